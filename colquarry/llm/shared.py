@@ -144,5 +144,17 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, np.searchsorted(starts, off).astype(np.int64)
 
 
+def text_runs(texts: list[str], most: int = 1 << 20):
+    """(first, end) of runs of texts with about ``most`` characters; a longer text is a run of its own."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield first, k
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def crc32_bucket(column: str, buckets: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % buckets
