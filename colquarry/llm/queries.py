@@ -21,9 +21,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordpiece import token_counts
+
+    return token_counts(documents(spark, sf_dir))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encoded
+
+    return encoded(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op5_token_counts": op5_token_counts,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
