@@ -47,6 +47,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replaced
+
+    return replaced(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import scan
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op10_license_scan": op10_license_scan,
 }
 
