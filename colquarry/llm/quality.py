@@ -131,7 +131,7 @@ def thresholds(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES, keep_columns: bool = False
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None
 ) -> DataFrame:
     """The features of every document with base_failed and kept.
 
@@ -141,17 +141,17 @@ def judge(
 
     ``labels``: doc_id and quality (1 good); a document with several labels is good if none says otherwise. A
     null text has no words. A null stratum is a stratum of its own; a null doc_id has no label. Repeated rows
-    are judged each. Empty tables give an empty result, and no labels leave the base rules only. With
-    ``keep_columns`` the columns of ``docs`` are returned too (as they are, but for columns of the names of the
-    results, which are replaced)."""
+    are judged each. Empty tables give an empty result, and no labels leave the base rules only. ``carry``: the
+    columns to return along with the results (doc_id alone if not given)."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     levels = [f"level_{r.name}" for r in rules]
-    given = [c for c in docs.columns if c not in {*made, "base_failed", "kept", *levels, "stratum"}] if keep_columns else ["doc_id"]
-    base = docs.select(*given, *([] if "text" in given else ["text"]), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
-    found = features(base).withColumns({"base_failed": base_failed(), **{f"level_{r.name}": r.level() for r in rules}})
-    judged = materialize(found.select(*given, "stratum", *made, "base_failed", *levels), "quality")
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    holdout = judged.where("not base_failed").select("doc_id", "stratum", *levels).join(good, "doc_id")
+    given = carry or ["doc_id"]
+    base = docs.select(F.col("doc_id").alias("_doc"), *given, F.col("text").alias("_text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
+    found = features(base, "_text").withColumns({"base_failed": base_failed(), **{f"level_{r.name}": r.level() for r in rules}})
+    judged = materialize(found.select("_doc", *given, "stratum", *made, "base_failed", *levels), "quality")
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    good = good.select(F.col("doc_id").alias("_doc"))
+    holdout = judged.where("not base_failed").select("_doc", "stratum", *levels).join(good, "_doc")
     cuts = thresholds(holdout, rate, error, rules)
     by = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules))
     exceeds = F.lit(False)

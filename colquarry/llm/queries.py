@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .license import oracle_sql as license_sql
 from .quality import oracle_sql as quality_sql
@@ -23,6 +24,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the evidence of their markup and address, and documents, whose source is their host and whose
+    lang is what they declare; the text likelihoods are fitted on documents."""
+    from .language import fit, identify, page_evidence, page_text
+
+    docs = documents(spark, sf_dir)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    nothing = F.lit(None)
+    evidence = page_evidence(F.col("url"), F.col("html"))
+    rows = docs.select(
+        "doc_id", nothing.cast("long").alias("page_id"), "text", F.col("source").alias("host"), nothing.cast("string").alias("suffix"), F.col("lang").alias("declared")
+    ).union(pages.select(nothing.cast("long"), "page_id", page_text(F.col("html")), evidence["host"], evidence["suffix"], evidence["declared"]))
+    return identify(rows, fit(docs), ["doc_id", "page_id"], F.col("host"), F.col("suffix"), F.col("declared"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
@@ -62,6 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
