@@ -69,6 +69,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import scored
+
+    return scored(documents(spark, sf_dir))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import scan
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
+    "op9_lm_scores": op9_lm_scores,
     "op10_license_scan": op10_license_scan,
 }
 
