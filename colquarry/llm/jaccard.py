@@ -14,8 +14,9 @@ shared ones, can't reach the least overlap that a link needs. Pairs of sets that
 
 The join walks trees twice. First each set goes to one route only, the class that heads most of its routes;
 that links nearly all copies, and the components of these links are taken. Then only routes that still hold
-sets of different components are walked in full. Routes with many sets are cut into blocks, and pairs of blocks
-are tasks.
+sets of different components are walked: once with short bitmaps alone, which leaves the sets that some other
+one may link with, and in full over these. Routes with many sets are cut into blocks, and pairs of blocks are
+tasks.
 """
 
 from __future__ import annotations
@@ -211,41 +212,41 @@ class SignatureTree:
         return slice(node * width, (node + 1) * width)
 
 
-def tree_links(sets: list[np.ndarray], labels: list[int], sides: list[int], spaces: Spaces) -> list[tuple[int, int]]:
-    """Pairs (i, j) that link what ``labels`` doesn't join yet: enough of them to join all that links.
+def bitmap(elements: np.ndarray, width: int) -> np.ndarray:
+    """Bits at the places that the top bits of the elements name; ``width``: a power of two."""
+    flags = np.zeros(width, np.uint8)
+    flags[(elements >> np.uint64(65 - width.bit_length())).astype(np.int64)] = 1
+    return np.packbits(flags)
 
-    sides: 0 or 1; with both, only pairs between the two are compared, else all."""
-    sizes = np.array([len(s) for s in sets])
-    width = 1 << min(15, max(6, int(16 * sizes.max() - 1).bit_length()))
-    bits = np.zeros((len(sets), width // 64), np.uint64)
-    shift = np.uint64(64 - width.bit_length() + 1)
-    for k, s in enumerate(sets):
-        place = (s >> shift).astype(np.int64)
-        flags = np.zeros(width, np.uint8)
-        flags[place] = 1
-        bits[k] = np.packbits(flags).view(np.uint64)
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The same elements' bitmap of a smaller width."""
+    flags = np.unpackbits(bits)
+    return np.packbits(flags.reshape(width, -1).any(axis=1))
+
+
+def width_for(n: int, each: int, most: int) -> int:
+    """Bits for a set of n elements: a power of two, about ``each`` for an element."""
+    return 1 << min(most, max(6, int(each * n - 1).bit_length()))
+
+
+def walk_pairs(sizes: np.ndarray, bits: np.ndarray, group: np.ndarray, sides: list[int], spaces: Spaces, visit) -> None:
+    """Calls visit(i, j) for the pairs of sets of different groups that their bitmaps don't rule out.
+
+    bits: a row of 64-bit words for each set. sides: 0 or 1; with both, only pairs between the two are met, else
+    all. ``visit`` may change ``group``: what it joins isn't met any more."""
     spare = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-    group = np.array([number[x] for x in labels])
     order = np.argsort(sizes, kind="stable").tolist()
     if len(set(sides)) > 1:
         left, right = (SignatureTree([k for k in order if sides[k] == side], sizes, bits, spare) for side in (0, 1))
     else:
         left = right = SignatureTree(order, sizes, bits, spare)
-    num, den, found = spaces.num, spaces.den, []
-
-    def too_far(low_a, high_a, low_b, high_b):
-        return den * high_a < num * low_b or den * high_b < num * low_a
-
-    def compare(i: int, j: int) -> None:
-        if spaces.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
-            found.append((i, j))
-            group[group == group[j]] = group[i]
+    num, den = spaces.num, spaces.den
 
     def leaves(a: int, b: int) -> None:
         right_at = right.members[right.under(0, b)]
         for i in left.members[left.under(0, a)].tolist():
-            at = right_at[(group[right_at] != group[i])]
+            at = right_at[group[right_at] != group[i]]
             if left is right and a == b:
                 at = at[sizes[at] >= sizes[i]]
             if len(at):
@@ -253,14 +254,14 @@ def tree_links(sets: list[np.ndarray], labels: list[int], sides: list[int], spac
                 least = -(-num * (sizes[at] + sizes[i]) // (num + den))
                 for j in at[np.minimum(most, np.minimum(sizes[at], sizes[i])) >= least].tolist():
                     if group[i] != group[j]:
-                        compare(i, j)
+                        visit(i, j)
 
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
         low_a, high_a, sign_a, extra_a = (x[a] for x in left.levels[la])
         low_b, high_b, sign_b, extra_b = (x[b] for x in right.levels[lb])
-        if too_far(low_a, high_a, low_b, high_b):
+        if den * high_a < num * low_b or den * high_b < num * low_a:
             continue
         groups = group[left.members[left.under(la, a)]]
         if (groups == groups[0]).all() and (group[right.members[right.under(lb, b)]] == groups[0]).all():
@@ -270,89 +271,150 @@ def tree_links(sets: list[np.ndarray], labels: list[int], sides: list[int], spac
             continue
         if la == 0 and lb == 0:
             leaves(a, b)
-        elif la >= lb and la:
-            if left is right and la == lb:
-                # both step down; of a node with itself only one order of each pair
-                ca, cb = left.children(la, a), right.children(lb, b)
-                stack += [(la - 1, x, lb - 1, y) for x in ca for y in cb if a != b or x <= y]
-            else:
-                stack += [(la - 1, x, lb, b) for x in left.children(la, a)]
+        elif left is right and la == lb:
+            # both step down; of a node with itself only one order of each pair
+            ca, cb = left.children(la, a), right.children(lb, b)
+            stack += [(la - 1, x, lb - 1, y) for x in ca for y in cb if a != b or x <= y]
+        elif la >= lb:
+            stack += [(la - 1, x, lb, b) for x in left.children(la, a)]
         else:
             stack += [(la, a, lb - 1, y) for y in right.children(lb, b)]
+
+
+def _numbered(labels: list[int]) -> np.ndarray:
+    number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    return np.array([number[x] for x in labels])
+
+
+def tree_links(sets: list[np.ndarray], labels: list[int], sides: list[int], spaces: Spaces) -> list[tuple[int, int]]:
+    """Pairs (i, j) that link what ``labels`` doesn't join yet: enough of them to join all that links."""
+    sizes = np.array([len(s) for s in sets])
+    width = width_for(int(sizes.max()), 16, 15)
+    bits = np.stack([bitmap(s, width).view(np.uint64) for s in sets])
+    group, found = _numbered(labels), []
+
+    def compare(i: int, j: int) -> None:
+        if spaces.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
+            found.append((i, j))
+            group[group == group[j]] = group[i]
+
+    walk_pairs(sizes, bits, group, sides, spaces, compare)
     return found
 
 
+def tree_sift(sizes: list[int], bitmaps: list[np.ndarray], labels: list[int], sides: list[int], spaces: Spaces) -> np.ndarray:
+    """Which sets some set of another label may link with, by bitmaps of any widths."""
+    width = min(len(b) for b in bitmaps) * 8
+    bits = np.stack([(b if len(b) * 8 == width else folded(b, width)).view(np.uint64) for b in bitmaps])
+    alive = np.zeros(len(sizes), bool)
+
+    def visit(i: int, j: int) -> None:
+        alive[i] = alive[j] = True
+
+    walk_pairs(np.array(sizes), bits, _numbered(labels), sides, spaces, visit)
+    return alive
+
+
+_TASK = ["route", "low", "high"]
 _LINK = {"a": pa.int64(), "b": pa.int64()}
+_ALIVE = {"route": pa.int64(), "low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "set_id": pa.int64(), "label": pa.int64()}
+
+
+def _by_task(batches, what: str) -> Iterator[list[dict]]:
+    """The rows of each task (route, low, high), from rows sorted by it, a class once."""
+    columns = (*_ALIVE, what)
+    task, held = None, {}
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if row[:3] != task:
+                if len(held) > 1:
+                    yield list(held.values())
+                task, held = row[:3], {}
+            held[row[4]] = dict(zip(columns, row))
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def _open(rows: list[dict]) -> bool:
+    return len({r["label"] for r in rows}) > 1
+
+
+def _sides(rows: list[dict]) -> list[int]:
+    return [0 if r["low"] == r["high"] else int(r["block"] == r["high"]) for r in rows]
+
+
+def _flushed(kind: dict, rows: Iterator[list[tuple]], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for found in rows:
+        out += found
+        if len(out) >= most:
+            yield arrow_batches(kind, dict(zip(kind, zip(*out))))
+            out = []
+    if out:
+        yield arrow_batches(kind, dict(zip(kind, zip(*out))))
 
 
 def _walk(num: int, den: int):
-    """Rows sorted by task (route, low, high): one tree, or two, for each task."""
+    """Links of each task's classes, by their elements."""
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        named = list({r[3]: r for r in rows}.values())  # a class comes once
-        if len({r[6] for r in named}) < 2:
-            return []
-        sides = [0 if r[1] == r[2] else int(r[4] == r[2]) for r in named]
-        found = tree_links([np.frombuffer(r[5], np.uint64) for r in named], [r[6] for r in named], sides, Spaces(num, den))
-        return [(named[i][3], named[j][3]) for i, j in found]
+    def links(rows: list[dict]) -> list[tuple]:
+        sets = [np.frombuffer(r["elements"], np.uint64) for r in rows]
+        found = tree_links(sets, [r["label"] for r in rows], _sides(rows), Spaces(num, den))
+        return [(rows[i]["set_id"], rows[j]["set_id"]) for i, j in found]
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        task, held, out = None, [], []
-        columns = ("route", "low", "high", "set_id", "block", "elements", "label")
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if row[:3] != task:
-                    if len(held) > 1:
-                        out += links(held)
-                    task, held = row[:3], []
-                held.append(row)
-            if out:
-                yield arrow_batches(_LINK, {"a": [x for x, _ in out], "b": [y for _, y in out]})
-                out = []
-        if len(held) > 1 and (out := links(held)):
-            yield arrow_batches(_LINK, {"a": [x for x, _ in out], "b": [y for _, y in out]})
+    return lambda batches: _flushed(_LINK, (links(rows) for rows in _by_task(batches, "elements") if _open(rows)))
 
-    return run
 
+def _sift(num: int, den: int):
+    """The rows of each task that some other one of it may link with, by bitmaps."""
 
-def _link(assigned: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
-    """Links among the classes assigned (route, set_id, label) to each route.
+    def left(rows: list[dict]) -> list[tuple]:
+        sizes = [int.from_bytes(r["bits"][:8], "little") for r in rows]
+        maps = [np.frombuffer(r["bits"], np.uint8, offset=8) for r in rows]
+        alive = tree_sift(sizes, maps, [r["label"] for r in rows], _sides(rows), Spaces(num, den))
+        return [tuple(r[c] for c in _ALIVE) for r, a in zip(rows, alive) if a]
 
-    A route whose sets take more than ``block_bytes`` is cut into blocks; a task is a pair of blocks."""
-    sizes = sets.select("set_id", "n")
-    blocks = (
-        assigned.join(sizes, "set_id").groupBy("route").agg(F.ceil(F.sum(F.col("n") * 8 + 64) / F.lit(float(block_bytes))).cast("int").alias("blocks"))
-    )
+    return lambda batches: _flushed(_ALIVE, (left(rows) for rows in _by_task(batches, "bits") if _open(rows)))
+
+
+def _tasks(assigned: DataFrame, sizes: DataFrame, bytes_each: float, block_bytes: int) -> DataFrame:
+    """(route, low, high, block, set_id, label): the tasks of the classes assigned (route, set_id, label).
+
+    A route whose classes take more than ``block_bytes`` (``bytes_each`` an element) is cut into blocks; a task
+    is a pair of blocks."""
+    taken = F.sum(F.col("n") * bytes_each + 64) / F.lit(float(block_bytes))
+    blocks = assigned.join(sizes, "set_id").groupBy("route").agg(F.ceil(taken).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int")
-    tasks = F.transform(
+    pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high"))
     )
-    return (
-        assigned.join(blocks, "route")
-        .withColumn("block", block)
-        .select("route", "set_id", "label", "block", F.inline(tasks))
-        .join(sets.select("set_id", "elements"), "set_id")
-        .repartition("route", "low", "high")
-        .sortWithinPartitions("route", "low", "high")
-        .select("route", "low", "high", "set_id", "block", "elements", "label")
-        .mapInArrow(_walk(num, den), "a long, b long")
-    )
+    placed = assigned.join(blocks, "route").withColumn("block", block)
+    return placed.select("route", "set_id", "label", "block", F.inline(pairs)).select(*_ALIVE)
 
 
-_SET = {"set_id": pa.int64(), "n": pa.int64(), "elements": pa.binary()}
+def _run(rows: DataFrame, what: str, function, schema: str) -> DataFrame:
+    return rows.select(*_ALIVE, what).repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(function, schema)
 
 
 def _sets(k: int):
+    """set_id, tasks, elements and bits (the number of elements, then a bitmap) of the classes asked for."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("set_id").to_pylist()
             for first, raw, off in text_chunks(batch.column("text")):
-                rows: list[tuple] = []
-                for row, elements in enumerate(shingle_sets(raw, off, k), first):
-                    if len(elements) and set_id(elements) == wanted[row]:
-                        rows.append((wanted[row], len(elements), elements.tobytes()))
-                if rows:
-                    yield arrow_batches(_SET, dict(zip(_SET, zip(*rows))))
+                at, elements, bits = [], [], []
+                for row, s in enumerate(shingle_sets(raw, off, k), first):
+                    if len(s) and set_id(s) == wanted[row]:
+                        at.append(row)
+                        elements.append(s.tobytes())
+                        bits.append(len(s).to_bytes(8, "little") + bitmap(s, width_for(len(s), 4, 16)).tobytes())
+                if at:
+                    kept = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [kept.column("set_id"), kept.column("tasks"), pa.array(elements, pa.binary()), pa.array(bits, pa.binary())],
+                        names=["set_id", "tasks", "elements", "bits"],
+                    )
 
     return run
 
@@ -375,19 +437,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     )
     met = met.where("n = -1").select(F.col("key").alias("route"), "set_id", "head").distinct()
 
-    # the sets of the classes that meet another one
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"))
-    wanted = met.select("set_id").distinct().join(classes, "set_id").select("set_id", "ref")
-    texts = docs.join(wanted, "ref").select("set_id", "text")
-    sets = texts.mapInArrow(_sets(shingle_words), "set_id long, n long, elements binary")
-    sets = materialize(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements")), "sets")
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"), F.min("n").alias("n"))
+    sizes = classes.select("set_id", "n")
+    links_of = lambda tasks: _run(tasks, "elements", _walk(num, den), "a long, b long")
 
-    # each class goes once to the head that it meets most
+    # each class that meets another one goes once to the head that it meets most
     often = met.groupBy("set_id", "head").agg(F.count("*").alias("times"))
     best = often.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
     heads = best.select(F.col("route").alias("set_id"), "route")
     first = best.select("set_id", "route").union(heads).distinct().withColumn("label", F.col("set_id"))
-    links = materialize(_link(first, sets, num, den, block_bytes), "links")
+    tasks = _tasks(first, sizes, 8, block_bytes).groupBy("set_id").agg(F.collect_list(F.struct(*(c for c in _ALIVE if c != "set_id"))).alias("tasks"))
+    wanted = tasks.join(classes, "set_id").select("ref", "set_id", "tasks")
+    texts = docs.join(wanted, "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("tasks").alias("tasks"), F.first("text").alias("text"))
+    task_type = tasks.schema["tasks"].dataType.simpleString()
+    sets = texts.select("set_id", "tasks", "text").mapInArrow(_sets(shingle_words), f"set_id long, tasks {task_type}, elements binary, bits binary")
+    sets = materialize(sets, "sets")
+    links = materialize(links_of(sets.select("set_id", F.inline("tasks"), "elements")), "links")
     found = materialize(components(links), "components")
 
     # routes that still hold different components, one of those with equal members
@@ -398,7 +463,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
         F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("digest"), F.sum(F.xxhash64(F.lit(3), "set_id").cast("decimal(20,0)")).alias("digest2"),
     ).where("least != most").groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
     rest = materialize(open_.join(mixed, "route").select("route", "set_id", "label"), "open")
-    more = materialize(links.union(_link(rest, sets, num, den, block_bytes)), "links")
+    short = _tasks(rest, sizes, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
+    alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
+    sifted = materialize(_run(short, "bits", _sift(num, den), alive), "sifted")
+    more = materialize(links.union(links_of(sifted.join(sets.select("set_id", "elements"), "set_id"))), "links")
     found = components(more)
 
     joined = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from colquarry.llm.components import components
-from colquarry.llm.jaccard import Spaces, near_duplicates, routes, tree_links
+from colquarry.llm.jaccard import Spaces, bitmap, near_duplicates, routes, tree_links, tree_sift, width_for
 
 SCHEMA = "doc_id long, text string, n int, set_id string, route int"
 U64 = np.uint64
@@ -114,6 +114,8 @@ def test_tree_joins_what_links(seed, n, two_sides):
     found = tree_links(sets, labels, sides, spaces)
     assert all((max(p), min(p)) in set(linked) for p in found)
     assert joined(found) == joined(linked)
+    alive = tree_sift([len(s) for s in sets], [bitmap(s, width_for(len(s), 4, 16)) for s in sets], labels, sides, spaces)
+    assert all(alive[i] and alive[j] for i, j in linked if labels[i] != labels[j])
 
 
 def test_star_components(spark):
