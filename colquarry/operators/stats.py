@@ -118,8 +118,8 @@ def sort_order(groups: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, pearson) of every pair, over the rows where both are known; 0 where one doesn't vary."""
-    x = lambda c: F.col(f"`{c}`").cast("double")
+    """(a, b, pearson) of every pair, over the rows where both are known numbers; 0 where one doesn't vary."""
+    x = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
     terms, names = [], []
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
