@@ -51,14 +51,15 @@ class TimedOut(TimeoutError):
 def with_timeout(spark: SparkSession, seconds: float, work: Callable[[], object], tag: str = "colquarry-timeout") -> object:
     """Run ``work``; after so many seconds its jobs are cancelled and TimedOut is raised. There are no partial
     results: a task can't hand over half of an aggregate."""
-    fired = threading.Event()
+    context, fired = spark.sparkContext, threading.Event()
 
     def stop() -> None:
         fired.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    context.setInterruptOnCancel(True)
+    context.addJobTag(tag)
     timer.start()
     try:
         return work()
@@ -68,4 +69,5 @@ def with_timeout(spark: SparkSession, seconds: float, work: Callable[[], object]
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
