@@ -32,17 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         here = mark()
         following = materialize(small, "edges")
         if here > started:
-            release_between(spark, started, here)
+            release(spark, started, here)  # the rounds before
         now = following
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).distinct()
 
-
-def release_between(spark, first: int, end: int) -> None:
-    """Delete the tables of earlier rounds."""
-    from . import shared
-
-    for path in shared._WRITTEN[first:end]:
-        shared.drop_path(spark, path)
-    del shared._WRITTEN[first:end]

@@ -47,11 +47,11 @@ def mark() -> int:
     return len(_WRITTEN)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written since ``mark()``; only after the results that read them are stored."""
-    for path in _WRITTEN[since:]:
+def release(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Delete the tables written from one ``mark()`` to another; only after the results that read them are stored."""
+    for path in _WRITTEN[first:end]:
         drop_path(spark, path)
-    del _WRITTEN[since:]
+    del _WRITTEN[first:end]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

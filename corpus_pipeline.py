@@ -87,25 +87,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = documents(spark, sf_dir)
+    docs, started = documents(spark, sf_dir), mark()
     for name, stage in STAGES:
-        before = mark()
-        stored = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        last = _take_last()
-        release(spark, before)
-        _put_back(last)
-        docs = stored
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, started, mark() - 1)  # all that led to what is stored now
     return docs
 
-
-def _take_last() -> str:
-    """A stage's result outlives the tables that it was made from."""
-    from colquarry.llm import shared
-
-    return shared._WRITTEN.pop()
-
-
-def _put_back(path: str) -> None:
-    from colquarry.llm import shared
-
-    shared._WRITTEN.append(path)
