@@ -392,6 +392,12 @@ def _tasks(assigned: DataFrame, sizes: DataFrame, bytes_each: float, block_bytes
     return placed.select("route", "set_id", "label", "block", F.inline(pairs)).select(*_ALIVE)
 
 
+# Tells groups of the same classes: their number and two sums of hashes.
+def _members() -> list:
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    return [F.count("*").alias("members"), total("set_id").alias("digest"), total(F.lit(3), "set_id").alias("digest2")]
+
+
 def _run(rows: DataFrame, what: str, function, schema: str) -> DataFrame:
     return rows.select(*_ALIVE, what).repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(function, schema)
 
@@ -448,7 +454,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     first = best.select("set_id", "route").union(heads).distinct().withColumn("label", F.col("set_id"))
     tasks = _tasks(first, sizes, 8, block_bytes).groupBy("set_id").agg(F.collect_list(F.struct(*(c for c in _ALIVE if c != "set_id"))).alias("tasks"))
     wanted = tasks.join(classes, "set_id").select("ref", "set_id", "tasks")
-    texts = docs.join(wanted, "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("tasks").alias("tasks"), F.first("text").alias("text"))
+    # a sort-merge join at any size: the plan doesn't turn with what happens to fit a broadcast
+    texts = docs.join(wanted.hint("merge"), "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("tasks").alias("tasks"), F.first("text").alias("text"))
     task_type = tasks.schema["tasks"].dataType.simpleString()
     sets = texts.select("set_id", "tasks", "text").mapInArrow(_sets(shingle_words), f"set_id long, tasks {task_type}, elements binary, bits binary")
     sets = materialize(sets, "sets")
@@ -458,14 +465,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     # routes that still hold different components, one of those with equal members
     labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
     open_ = met.select("route", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = open_.groupBy("route").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members"),
-        F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("digest"), F.sum(F.xxhash64(F.lit(3), "set_id").cast("decimal(20,0)")).alias("digest2"),
-    ).where("least != most").groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
+    mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
+    mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
     rest = materialize(open_.join(mixed, "route").select("route", "set_id", "label"), "open")
     short = _tasks(rest, sizes, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
     alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
     sifted = materialize(_run(short, "bits", _sift(num, den), alive), "sifted")
+    # of tasks with equal members one is enough, but for those between two blocks, whose pairs differ
+    between = F.when(F.col("low") != F.col("high"), F.struct(*_TASK))
+    groups = sifted.groupBy(*_TASK).agg(*_members()).groupBy("members", "digest", "digest2", between).agg(F.min(F.struct(*_TASK)).alias("task"))
+    sifted = sifted.join(groups.select("task.*"), _TASK)
     more = materialize(links.union(links_of(sifted.join(sets.select("set_id", "elements"), "set_id"))), "links")
     found = components(more)
 
