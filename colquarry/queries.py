@@ -247,7 +247,7 @@ def _measured_sql(columns: tuple[str, ...], source: str) -> str:
     return _each(columns, f"count(*) - count({{c}}) AS total_null_count, count(*) AS rows, count(DISTINCT {{c}}) AS total_distinct_count_estimate, 100.0::DOUBLE * (count(*) - count({{c}})) / count(*) AS null_percentage, count(*) * 8 AS total_data_page_size FROM {source}")
 
 
-_MIXED = "(SELECT l_orderkey, l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS sometimes, CASE WHEN l_orderkey % 7 = 1 THEN NULL ELSE l_tax END AS also, CASE WHEN l_orderkey % 10 > 0 THEN NULL ELSE 1 END AS few, CAST(NULL AS INT) AS none, 5 AS same, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id FROM lineitem)"
+_MIXED = "(SELECT l_orderkey, l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS sometimes, CASE WHEN l_orderkey % 7 = 1 THEN NULL ELSE l_tax END AS also, CASE WHEN l_orderkey % 10 > 0 THEN NULL ELSE 1 END AS few, CAST(NULL AS INT) AS none, 5 AS same, l_orderkey * 100 + l_linenumber AS id FROM lineitem)"
 _MIXED_COLUMNS = ("l_orderkey", "l_quantity", "sometimes", "also", "few", "none", "same", "id")
 
 
