@@ -32,20 +32,22 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-#: The kinds in order of precedence, each with its pattern. None begins right after a letter or digit.
+#: The kinds in order of precedence, each with its pattern.
 PATTERNS = {
-    "name": rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?<!\p{{L}})(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?<![\p{{L}}\p{{N}}])(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
     "secret": r"(?i:password|passwd|secret|api_?key|token)(?: ?[=:] ?)\"?[^\s\"]{6,}\"?",
-    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "access_key": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "ip": rf"(?=\d)(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?=[+(\d])(?<![_+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4})(?!\d)",
-    "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?=\d)(?<!-)(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4})(?!\d)",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4})(?!\d)",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?=\d)(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4})(?!\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What may also begin inside a word (accessToken, SSN123-45-6789). The others can't, so there they aren't tried.
+INSIDE = ("secret", "ip", "ssn", "card")
+ENTITY = rf"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})|(?=[AaPpSsTt\d])(?<=[A-Za-z0-9])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in INSIDE)})"
 #: A text without any of these holds no entity; looking for them costs much less.
 HINT = "[0-9@=:]"
 TITLE_HINT = rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?:{_ALL_TITLES})\.? "
