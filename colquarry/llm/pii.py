@@ -5,11 +5,14 @@ numbers). An entity's kind and plain form (case, separators and title aside) nam
 a hash under a secret key, so it is the same in every document and can't be turned back. Surrogates keep the
 kind's form: digits stay digits, letters letters of their case, addresses keep their dots, card and account
 numbers their checks, hexadecimal secrets stay hexadecimal, names their gender and script. Distinct entities get
-distinct surrogates, none of which is an entity of the corpus: what collides is drawn again.
+distinct surrogates, none of which is an entity of the corpus: what collides is drawn again, longer after some
+attempts.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,17 @@ SYLLABLES = {
     "cyrillic": ("ба", "ден", "фа", "гор", "ка", "лин", "мор", "не", "рал", "са", "тон", "ве", "зан", "ри", "пол", "ду"),
 }
 
+#: Letters and digits outside ASCII by what they match: runs of code points to draw from. What no run meets becomes a Latin letter or a digit.
+ALPHABETS = (
+    (r"[\p{IsLatin}&&\p{Lu}]", 0xC0, 0xD6), (r"\p{IsLatin}", 0xE0, 0xF6), (r"[\p{IsCyrillic}&&\p{Lu}]", 0x410, 0x42F), (r"\p{IsCyrillic}", 0x430, 0x44F),
+    (r"[\p{IsGreek}&&\p{Lu}]", 0x391, 0x3A1), (r"\p{IsGreek}", 0x3B1, 0x3C9), (r"[\p{IsArmenian}&&\p{Lu}]", 0x531, 0x556), (r"\p{IsArmenian}", 0x561, 0x586),
+    (r"[\p{IsHebrew}&&\p{L}]", 0x5D0, 0x5EA), (r"[\p{IsArabic}&&\p{L}]", 0x627, 0x63A), (r"[\p{IsArabic}&&\p{N}]", 0x660, 0x669), (r"[\p{IsDevanagari}&&\p{L}]", 0x905, 0x939),
+    (r"[\p{IsDevanagari}&&\p{N}]", 0x966, 0x96F), (r"[\p{IsThai}&&\p{L}]", 0xE01, 0xE2E), (r"[\p{IsGeorgian}&&\p{L}]", 0x10D0, 0x10F0), (r"\p{IsHangul}", 0xAC00, 0xD7A3),
+    (r"\p{IsHiragana}", 0x3041, 0x3096), (r"\p{IsKatakana}", 0x30A1, 0x30FA), (r"\p{IsHan}", 0x4E00, 0x9FA5), (r"\p{L}", 0x61, 0x7A), (r"\p{N}", 0x30, 0x39),
+)
+#: A draw is as long as its entity at the first attempts; each later one is a character longer, so no form's space is used up.
+SAME_LENGTH = 4
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 #: The kinds in order of precedence, each with its pattern.
@@ -101,6 +115,13 @@ def _pick(seed: Column, at, n: int) -> Column:
 def _letters(seed: Column, text: Column, hexadecimal: Column) -> Column:
     """The same string with other digits and letters in the same places and cases."""
     base = lambda c, first, n: F.chr(F.lit(ord(first)) + n)
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+
+    def foreign(c: Column, i: Column) -> Column:
+        out = c
+        for pattern, first, last in reversed(ALPHABETS):
+            out = F.when(c.rlike(pattern), point(first + _pick(seed, i, last - first + 1))).otherwise(out)
+        return out
 
     def other(c: Column, i: Column) -> Column:
         any_ = F.when(hexadecimal & (_pick(seed, i, 16) < 10), base(c, "0", _pick(seed, -1 - i, 10)))
@@ -109,19 +130,25 @@ def _letters(seed: Column, text: Column, hexadecimal: Column) -> Column:
             .when(c.between("0", "9"), base(c, "0", _pick(seed, i, 10)))
             .when(c.between("a", "z"), base(c, "a", _pick(seed, i, 26)))
             .when(c.between("A", "Z"), base(c, "A", _pick(seed, i, 26)))
-            .otherwise(c)
+            .when(c < "\x80", c)
+            .otherwise(foreign(c, i))
         )
 
     return F.array_join(F.transform(chars(text), other), "")
 
 
+def _symbols(seed: Column, text: Column) -> Column:
+    """Lower-case letters for a string without letters or digits: no draw of ``_letters`` would change it."""
+    return F.array_join(F.transform(chars(text), lambda c, i: F.chr(F.lit(97) + _pick(seed, i, 26))), "")
+
+
 def _name(seed: Column, plain: Column, gender: Column, attempt: Column) -> Column:
     def one(script: str) -> Column:
         given = F.lit("")
         for g in TITLES:
             names = GIVEN[g, script]
             given = F.when(gender == g, F.get(F.lit(list(names)), _pick(seed, 1, len(names)))).otherwise(given)
-        parts = F.transform(F.sequence(F.lit(1), 2 + F.least(attempt, F.lit(6))), lambda i: F.get(F.lit(list(SYLLABLES[script])), _pick(seed, 10 + i, 16)))
+        parts = F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: F.get(F.lit(list(SYLLABLES[script])), _pick(seed, 10 + i, 16)))
         family = F.initcap(F.array_join(parts, ""))
         return F.when(F.contains(plain, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family)
 
@@ -136,30 +163,34 @@ def surrogate(k: Column, plain: Column, gender: Column, attempt: Column, key: st
     at = F.instr(plain, "@")
     dot = at + F.instr(F.substr(plain, at + 1), ".")
     body = _letters(seed, plain, never)
-    card = F.concat(F.substring(plain, 1, 1), F.substr(body, F.lit(2), F.length(plain) - 2))
+    longer = F.substr(F.sha2(F.concat(seed, F.lit("\x1flonger")), 256), F.lit(1), F.greatest(attempt - SAME_LENGTH + 1, F.lit(0)))  # hexadecimal
+    digits = F.translate(longer, "abcdef", "012345")
+    card = F.concat(F.substring(plain, 1, 1), F.substr(body, F.lit(2), F.length(plain) - 2), digits)
     card = F.concat(card, F.pmod(-luhn_sum(F.concat(card, F.lit("0"))), F.lit(10)).cast("string"))
-    account = lambda check: F.concat(F.substring(plain, 1, 2), check, F.substring(body, 5, 100))
+    account = lambda check: F.concat(F.substring(plain, 1, 2), check, F.substring(body, 5, 100), digits)
+    secret = F.when(plain.rlike(r"[\p{L}\p{N}]"), _letters(seed, plain, plain.rlike(r"\A[0-9a-f]+\z"))).otherwise(_symbols(seed, plain))
     return (
-        F.when(k == "email", F.concat(F.substr(body, F.lit(1), dot - 1), F.substr(plain, dot)))
-        .when(k == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
+        F.when(k == "email", F.concat(F.substr(body, F.lit(1), dot - 1), longer, F.substr(plain, dot)))
+        .when(k == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), digits))
         .when(k == "card", card)
         .when(k == "iban", account(F.lpad((98 - mod97(account(F.lit("00")))).cast("string"), 2, "0")))
-        .when(k == "access_key", F.concat(F.lit("AKIA"), F.substring(body, 5, 100)))
+        .when(k == "access_key", F.concat(F.lit("AKIA"), F.substring(body, 5, 100), F.upper(longer)))
         .when(k == "name", _name(seed, plain, gender, attempt))
-        .when(k.isin("hex", "secret"), _letters(seed, plain, plain.rlike(r"\A[0-9a-f]+\z")))
-        .otherwise(body)
+        .when(k.isin("hex", "secret"), F.concat(secret, longer))
+        .otherwise(F.concat(body, digits))
     )
 
 
 def written(k: Column, raw: Column, plain: Column, new: Column) -> Column:
     """The surrogate in the way the entity was written: its separators, case, title and key word."""
-    fill = F.aggregate(  # digits and letters in turn, all else as it was
+    filled = F.aggregate(  # digits and letters in turn, all else as it was
         chars(raw),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("k")),
         lambda a, c: F.when(
             c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substr(new, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))
         ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
-    )["out"]
+    )
+    fill = F.concat(filled["out"], F.substr(new, filled["k"] + 1))  # a longer draw goes on at the end
     cased = F.when(raw == F.upper(raw), F.upper(new)).otherwise(new)
     inside = F.concat(F.substr(raw, F.lit(1), F.instr(raw, plain) - 1), new, F.substr(raw, F.instr(raw, plain) + F.length(plain)))
     return F.when(k.isin("phone", "ssn", "card", "iban"), fill).when(k == "email", cased).when(k.isin("secret", "name"), inside).otherwise(new)
@@ -176,12 +207,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, plain, new) for distinct (kind, plain, gender): no two alike, none an entity itself.
 
     Each round draws for those left; of equal draws the first plain form keeps it, and draws that are entities or
-    given already are drawn again. Rounds end when none is left."""
+    given already are drawn again, from some round on a character longer each time. So rounds end, when none is left."""
     spark = entities.sparkSession
     left = entities.withColumn("attempt", F.lit(0))
     taken = entities.select("kind", F.col("plain").alias("new"))
     done: list[DataFrame] = []
-    for attempt in range(64):
+    for attempt in count():
         drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("plain"), F.col("gender"), F.lit(attempt), key))
         first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("plain")) == 1
         free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "new"], "left").withColumn("ok", F.col("used").isNull() & first)
@@ -191,8 +222,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         taken = taken.union(done[-1].select("kind", "new"))
         if left.isEmpty():
             break
-    else:
-        raise ValueError("the surrogates of some kind are used up")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -200,13 +229,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _valid(k: Column, plain: Column) -> Column:
-    return F.when(k == "card", luhn_sum(plain) % 10 == 0).when(k == "iban", mod97(plain) == 1).otherwise(k.isNotNull())
+    masked = (k == "secret") & plain.rlike(r"\A([^\p{L}\p{N}])\1*\z")
+    return F.when(k == "card", luhn_sum(plain) % 10 == 0).when(k == "iban", mod97(plain) == 1).otherwise(k.isNotNull() & ~masked)
 
 
 def replaced(docs: DataFrame, key: str = "colquarry", text: str = "text") -> DataFrame:
     """``docs`` with its text's entities replaced, and n_entities, the number of places.
 
-    Card and account numbers whose checks fail are left alone, as is all that no pattern meets. A person named
+    Card and account numbers whose checks fail are left alone, as are masked secrets (one sign over and over, as in
+    ``********``) and all that no pattern meets. A person named
     with titles of different genders gets a neutral name. A null text stays null (n_entities 0). Rows are matched
     by the text, not by id, so null ids and repeated rows do no harm; all columns are kept but for one named
     n_entities, which is replaced. An empty table gives an empty result."""
