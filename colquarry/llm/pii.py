@@ -63,7 +63,7 @@ PATTERNS = {
 INSIDE = ("secret", "ip", "ssn", "card")
 ENTITY = rf"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})|(?=[AaPpSsTt\d])(?<=[A-Za-z0-9])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in INSIDE)})"
 #: A text without any of these holds no entity; looking for them costs much less.
-HINT = "[0-9@=:]"
+HINT = "[0-9@=:]|AKIA"
 TITLE_HINT = rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?:{_ALL_TITLES})\.? "
 
 
