@@ -8,8 +8,9 @@ A fingerprint keeps the prefix hashes at cut points only. A cut stands where the
 16-character window ends in enough zero bits, so equal passages are cut alike wherever they stand, and
 cuts of a coarser level are a subset of those of a finer one. The spans between cuts of two fingerprints,
 hashed through their kept prefixes, are compared: the likeness is the share of the longer text that lies
-in spans both have. Prefix hashes at fixed rungs near the start are kept as well; a binary search over them
-finds the common prefix of texts too short for several cuts, which counts where it is the larger share.
+in spans both have. Where cuts are far apart or none is left (windows that repeat), even cuts counted from the
+last one stand in. Prefix hashes at fixed rungs, which grow by an eighth up to the text's length, are kept as well;
+a binary search over them finds the common prefix to the rung, which counts where it is the larger share.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ BASES = (1000003579, 1500450271)
 WINDOW = 16
 MOST_CUTS = 48
 _FIRST_BITS = 4
+#: A span of more than so many mean ones is cut evenly.
+_WIDE = 4
 
 
 def _rungs() -> np.ndarray:
     at = [0]
-    while at[-1] < 512:
+    while at[-1] < 1 << 31:  # no string is longer
         at.append(at[-1] + max(1, at[-1] // 8))
     return np.array(at[1:])
 
@@ -102,6 +105,19 @@ class PrefixHashes:
         return mix64((s[WINDOW:] + p - s[:-WINDOW]) * powers.down[: self.n - WINDOW + 1] % p)
 
 
+def _even_cuts(at: np.ndarray, low: np.ndarray, n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cuts and, in wide spans, every ``step`` characters more. Their distance from the span's start stands for
+    the window's hash, so of these too those of a coarser level are a subset."""
+    edges = np.concatenate([[0], at, [n]])
+    wide = np.flatnonzero(np.diff(edges) > _WIDE * step)
+    if not len(wide):
+        return at, low
+    away = [np.arange(step, edges[k + 1] - edges[k], step) for k in wide]
+    more = np.concatenate([edges[k] + a for k, a in zip(wide, away)])
+    order = np.argsort(np.concatenate([at, more]))
+    return np.concatenate([at, more])[order], np.concatenate([low, np.concatenate(away).astype(np.uint32)])[order]
+
+
 class Fingerprint:
     """Cut points with their prefix hashes, and the text's length and whole hash."""
 
@@ -110,14 +126,17 @@ class Fingerprint:
     def __init__(self, hashes: PrefixHashes) -> None:
         n = self.n = hashes.n
         marks = hashes.window_hashes()
-        bits = _FIRST_BITS + max(0, int(n // (MOST_CUTS << _FIRST_BITS)).bit_length())
+        bits = first_bits = _FIRST_BITS + max(0, int(n // (MOST_CUTS << _FIRST_BITS)).bit_length())
         at = np.flatnonzero((marks & np.uint64((1 << bits) - 1)) == 0)
         while len(at) > 2 * MOST_CUTS:
             bits += 1
             at = at[(marks[at] & np.uint64((1 << bits) - 1)) == 0]
         at = at[at > 0]
+        if len(at) < MOST_CUTS // 8:  # the few that are left count at the level of texts as long
+            bits = first_bits
         self.bits = bits
-        self.low = (marks[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        low = (marks[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at, self.low = _even_cuts(at, low, n, 1 << bits)
         ends = np.append(at, n)
         self.at = ends.astype(np.uint32)
         self.h1, self.h2 = (s[ends].astype(np.uint32) for s in hashes.sums)

@@ -47,6 +47,20 @@ def test_a_moved_passage_still_counts():
     assert likeness(fp("x" * 5000), fp("x" * 4000)) <= 1
 
 
+def test_repetitive_texts_keep_their_likeness():
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    for period in (1, 7, 60, 130, 400):
+        for n in (700, 5000, 24757, 130_000):
+            text = (prose(period) * (n // period + 1))[:n]
+            new = edited(text, prose(n))
+            a, b = fp(text), fp(new)
+            assert likeness(a, b) == likeness(Fingerprint.parse(str(a)), Fingerprint.parse(str(b))) >= 2 / 3, (period, n)
+            assert len(a.at) < 200
+            # a copy whose first character differs has no common prefix
+            assert likeness(a, fp("#" + text[1:])) > 0.7, (period, n)
+
+
 def expected(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0], r[1]))
     out = []
