@@ -50,16 +50,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group that links at 0.8 on five-word shingles.
 
-    Of rows with one doc_id in one group a single one is kept. Rows without a doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    found = materialize(near_duplicates(docs, shingle_words=5, num=80, den=100), "groups")
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    twice = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    Rows are told apart by all columns, so another row with the same doc_id is judged apart. Rows without a doc_id
+    come after those with one. Of rows alike in all columns a single one is kept."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle_words=5, num=80, den=100)
+    groups = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    groups = materialize(groups.join(keyed.select("_key", "doc_id").distinct(), "_key"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key"))["_key"].alias("_key"))
+    dropped = materialize(groups.select("_key").join(first, "_key", "left_anti"), "dropped")
+    kept = keyed.join(dropped, "_key", "left_anti")
+    twice = materialize(groups.where("n > 1").select("_key"), "twice")
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(once)
+        return kept.select(*COLUMNS)
+    once = kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    return kept.join(twice, "_key", "left_anti").select(*COLUMNS).union(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

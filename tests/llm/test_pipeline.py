@@ -63,3 +63,14 @@ def test_run_and_ties(spark, tmp_path):
     kept = cp.near_duplicate(spark, twice, str(tmp_path)).select("doc_id").collect()
     assert sorted(str(x.doc_id) for x in kept) == ["1", "2", "None"]
     assert cp.run.__doc__ and cp.language(spark, twice.limit(0), str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    a, b, c = (" ".join(f"{k}word{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "en", "s"), (5, a + " more", "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (7, c + " more", "en", "s"), (None, b + " more", "en", "s")]
+    rows += [(None, f"{a} {c}", "en", "s"), (None, f"{a} {c} more", "en", "s")] + [(None, f"{b} {c}", "en", "s")] * 2
+    kept = cp.near_duplicate(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept if x.doc_id in (1, 5)) == [(1, a), (5, b)]
+    assert len([x for x in kept if x.doc_id == 7]) == 1
+    nameless = [x.text for x in kept if x.doc_id is None]
+    assert len(nameless) == 2 and f"{b} {c}" in nameless and set(nameless) & {f"{a} {c}", f"{a} {c} more"}
