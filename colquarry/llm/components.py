@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mark, materialize, release
+from .shared import Tables
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (columns a, b of long): the smallest node reached.
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(node, component) for every node of ``edges`` (columns a, b of long): the smallest node reached; a stored
+    table, of ``tables`` if they are given.
 
     Each round hangs neighbours onto the smallest node they see; rounds are logarithmic in the longest path,
     each is a stored table, and no node's neighbours are ever gathered in one place: the smallest neighbour is
     an aggregate, joined back. An empty table gives an empty result; loops are allowed, null ends are not."""
-    spark = edges.sparkSession
+    rounds = Tables(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    started = mark()
-    now, seen = materialize(edges, "edges"), None
+    now, seen = rounds.store(edges, "edges"), None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or state["n"] == 0:
@@ -29,12 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(lower, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = hung.union(lower.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        here = mark()
-        following = materialize(small, "edges")
-        if here > started:
-            release(spark, started, here)  # the rounds before
-        now = following
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    ).distinct()
-
+        now = rounds.store(small, "edges")
+        rounds.drop_others(now)
+    pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    found = (tables or Tables(edges.sparkSession)).store(pairs.distinct(), "components")
+    rounds.drop(now)
+    return found

@@ -7,6 +7,10 @@ of them (for a similarity of num / den). Sizes fall into spaces; the hash range
 linked sets of a space can differ in, so some part is the same in both, and the hash of a part's elements routes
 a set to all it could link with. No link is lost and no pair is listed yet.
 
+What is worth a meeting. Of a set's parts that aren't empty, all but the most that it can differ in are the same
+in a set that it links with. So a set takes part in a space only if that many of its routes are met by others: a
+passage shared by many documents makes few of its parts equal, and such sets leave before any of them is read.
+
 What happens where sets meet. The sets of a route form a signature tree: a node holds its sets' OR-combined
 bitmap, its range of sizes and how many elements share bits with others. Two nodes are walked together and
 dropped where the sizes are too far apart, all their sets are linked already, or the bits both have, with the
@@ -27,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .shared import arrow_batches, materialize, mix64, random64, text_chunks, word_hashes
+from .shared import Tables, arrow_batches, mix64, random64, text_chunks, word_hashes
 
 _WEIGHTS = random64(64, 21) | np.uint64(1)
 _SPAN_RATIO = 1.5
@@ -67,7 +72,7 @@ class Spaces:
             if top < n and self.den * top < self.num * n:
                 break
             most = self.differences(top, top * self.den // self.num)
-            out.append((k, most + 2 + most // 32, most))
+            out.append((k, most + 2 + most // 16, most))
             k -= 1
         return out
 
@@ -97,88 +102,133 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def routes(elements: np.ndarray, spaces: Spaces) -> np.ndarray:
-    """The routes of a set: for each of its spaces the hash of the elements of each part that has any.
+def marked_routes(elements: np.ndarray, spaces: Spaces) -> list[tuple[int, int, np.ndarray]]:
+    """For each space of a set: its number, how many of the routes a set that links shares at least, and the routes,
+    the hash of the elements of each part that has any.
 
     In m parts, linked sets differ in at most ``most``. A set with more than ``most`` parts that have elements
     has one of these in common with whatever it links with. Where a set has no more than that, its empty parts
     are routes as well: they bring it together with another such set."""
-    out = []
+    out, n = [], len(elements)
     with np.errstate(over="ignore"):
         mixed = mix64(elements)
-        for number, m, most in spaces.of(len(elements)):
+        for number, m, most in spaces.of(n):
             part = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             full = part[first]
             tag = np.uint64(number << 32)
-            out.append(mix64(np.add.reduceat(mixed, first) + mix64(tag | full)))
+            keys = mix64(np.add.reduceat(mixed, first) + mix64(tag | full))
+            top = spaces.tops[number]
+            differ = spaces.differences(n, n * spaces.den // spaces.num if n <= top else top)
             if len(first) <= most:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full)
-                out.append(mix64(mix64(tag | empty) ^ np.uint64(0xD1B54A32D192ED03)))
-    return np.concatenate(out).view(np.int64)
+                keys = np.concatenate([keys, mix64(mix64(tag | empty) ^ np.uint64(0xD1B54A32D192ED03))])
+            out.append((number, max(1, len(first) - differ), keys.view(np.int64)))
+    return out
+
+
+def routes(elements: np.ndarray, spaces: Spaces) -> np.ndarray:
+    return np.concatenate([keys for _, _, keys in marked_routes(elements, spaces)])
+
+
+class Frequent:
+    """Tells which of the routes that a task has seen already belong to so many of its classes that more of them are
+    to be dealt over many tasks. Of each such route ``often`` different classes have gone undealt before.
+
+    Cells count routes first, and a route by itself only once its cell is full, so memory is bounded."""
+
+    CELLS, LIFE = 1 << 22, 1 << 24
+
+    def __init__(self, often: int) -> None:
+        self.often = often
+        self.clear()
 
+    def clear(self) -> None:
+        self.cells, self.age, self.sent = np.zeros(self.CELLS, np.uint32), 0, {}
 
+    def dealt(self, keys: np.ndarray) -> np.ndarray:
+        """Flags of the routes to deal; no class may come with a route twice between two calls of clear()."""
+        if self.age + len(keys) > self.LIFE:
+            self.clear()
+        self.age += len(keys)
+        cell = (keys.view(np.uint64) >> np.uint64(65 - self.CELLS.bit_length())).astype(np.int64)
+        np.add.at(self.cells, cell, np.uint32(1))
+        out = np.zeros(len(keys), bool)
+        for at in np.flatnonzero(self.cells[cell] >= self.often).tolist():
+            times = self.sent.get(key := int(keys[at]), 0)
+            out[at] = times >= self.often
+            self.sent[key] = times + 1
+        return out
+
+
+_DEAL = 4096  # ways that a frequent route is dealt
+_SALT = 40
 _ROUTED = {"key": pa.int64(), "set_id": pa.int64(), "n": pa.int64()}
 
 
-def _routed(k: int, num: int, den: int, memory: int = 500_000):
-    """Rows of two kinds: n = -1: a route (key) of a class; else a document (key) with its class and the n
-    elements of its set, counted down from -2 where it has no doc_id."""
+def _routed(k: int, num: int, den: int, id_type: pa.DataType, memory: int = 500_000, often: int = 64):
+    """Rows of two kinds: n >= 0: a document (its ref as the key and its doc_id) with its class and the number of
+    elements of its set; else a route (key) of a class: -1 - n has the space, above it the routes that are needed
+    there, and from bit 40 on, for a frequent route, which of its parts the class is dealt to."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        spaces, seen = Spaces(num, den), set()
+        spaces, seen, frequent = Spaces(num, den), set(), Frequent(often)
         for batch in batches:
-            keys_of, nameless = batch.column("ref").to_pylist(), batch.column("doc_id").is_null().to_pylist()
             for first, raw, off in text_chunks(batch.column("text")):
-                names, sizes, keys, owners = [], [], [], []
+                names, sizes, keys, owners, marks = [], [], [], [], []
                 for elements in shingle_sets(raw, off, k):
                     name = set_id(elements) if len(elements) else None
                     names.append(name)
-                    sizes.append(-2 - len(elements) if nameless[first + len(sizes)] else len(elements))
+                    sizes.append(len(elements))
                     if name is not None and name not in seen:
                         if len(seen) >= memory:
                             seen.clear()
+                            frequent.clear()
                         seen.add(name)
-                        keys.append(routes(elements, spaces))
-                        owners.append(np.full(len(keys[-1]), name, np.int64))
-                yield arrow_batches(_ROUTED, {"key": keys_of[first : first + len(names)], "set_id": names, "n": sizes})
+                        for number, need, own in marked_routes(elements, spaces):
+                            keys.append(own)
+                            owners.append(np.full(len(own), name, np.int64))
+                            marks.append(np.full(len(own), need << 6 | number, np.int64))
+                rows = {"key": batch.column("ref").slice(first, len(names)), "set_id": names, "n": sizes}
+                yield arrow_batches(_ROUTED | {"doc_id": id_type}, rows | {"doc_id": batch.column("doc_id").slice(first, len(names))})
                 if keys:
-                    key = np.concatenate(keys)
-                    yield arrow_batches(_ROUTED, {"key": key, "set_id": np.concatenate(owners), "n": np.full(len(key), -1, np.int64)})
+                    key, owner, mark = map(np.concatenate, (keys, owners, marks))
+                    part = 1 + (mix64(owner.view(np.uint64)) % np.uint64(_DEAL)).astype(np.int64)
+                    mark |= np.where(frequent.dealt(key), part, 0) << _SALT
+                    yield arrow_batches(_ROUTED | {"doc_id": id_type}, {"key": key, "set_id": owner, "n": -1 - mark, "doc_id": pa.nulls(len(key), id_type)})
 
     return run
 
 
-_MET = _ROUTED | {"head": pa.int64()}
-
-
 def _met(batches) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (is a route, key): the documents, and the routes on which two classes or more meet,
-    each with the class that came first (head)."""
-    last_key = last_head = None
+    """Of rows sorted by (key, part, set_id): the documents, and the classes of the routes on which two of them or more meet.
+
+    A dealt route is met: undealt classes of it are elsewhere. So each of its rows stays."""
+    last = None
     for batch in batches:
-        n = batch.column("n").to_numpy(zero_copy_only=False)
-        doc = n != -1
-        if doc.any():
-            docs = batch.filter(pa.array(doc))
-            yield arrow_batches(_MET, {c: docs.column(c) for c in _ROUTED} | {"head": pa.nulls(docs.num_rows, pa.int64())})
-        route = ~doc
+        n = batch.column("n").to_numpy()
+        route = n < 0
+        if not route.all():
+            yield batch.filter(pa.array(~route))
         if not route.any():
             continue
-        rows = batch.filter(pa.array(route))
-        key, name = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set_id"))
-        begins = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(begins) - 1
-        head = name[begins].copy()
-        if last_key is not None and key[0] == last_key:
-            head[0] = last_head
-        last_key, last_head = key[-1], head[-1]
-        differs = name != head[group]
-        if differs.any():
-            key, name, head = key[differs], name[differs], head[group][differs]
-            firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, name, head = (np.concatenate([x, y[firsts]]) for x, y in ((key, key), (name, head), (head, head)))
-            yield arrow_batches(_MET, {"key": key, "set_id": name, "n": np.full(len(key), -1, np.int64), "head": head})
+        key, name = (batch.column(c).filter(pa.array(route)).to_numpy(zero_copy_only=False) for c in ("key", "set_id"))
+        n = n[route]
+        if last is not None:  # the last class of the batch before stands for its route
+            key, name, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, name, n)))
+        part = (-1 - n) >> _SALT
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (part[1:] == part[:-1])])
+        again = same & np.concatenate([[False], name[1:] == name[:-1]])
+        other = same & ~again
+        met = np.concatenate([other[1:], [False]])  # the one before another class
+        met |= other | (part > 0)
+        last = key[-1], name[-1], n[-1]
+        if met.any():
+            ids = batch.schema.field("doc_id").type
+            values = {"key": key[met], "set_id": name[met], "n": -1 - (-1 - n[met] & ((1 << _SALT) - 1)), "doc_id": pa.nulls(int(met.sum()), ids)}
+            yield arrow_batches(_ROUTED | {"doc_id": ids}, values)
+
+    return
 
 
 # ---------------------------------------------------------------------------------------------
@@ -403,83 +453,100 @@ def _run(rows: DataFrame, what: str, function, schema: str) -> DataFrame:
 
 
 def _sets(k: int):
-    """set_id, tasks, elements and bits (the number of elements, then a bitmap) of the classes asked for."""
+    """set_id, elements and bits (the number of elements, then a bitmap) of the classes asked for."""
+    kind = {"set_id": pa.int64(), "elements": pa.binary(), "bits": pa.binary()}
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("set_id").to_pylist()
             for first, raw, off in text_chunks(batch.column("text")):
-                at, elements, bits = [], [], []
-                for row, s in enumerate(shingle_sets(raw, off, k), first):
-                    if len(s) and set_id(s) == wanted[row]:
-                        at.append(row)
+                names, elements, bits = [], [], []
+                for name, s in zip(wanted[first:], shingle_sets(raw, off, k)):
+                    if len(s) and set_id(s) == name:
+                        names.append(name)
                         elements.append(s.tobytes())
                         bits.append(len(s).to_bytes(8, "little") + bitmap(s, width_for(len(s), 4, 16)).tobytes())
-                if at:
-                    kept = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [kept.column("set_id"), kept.column("tasks"), pa.array(elements, pa.binary()), pa.array(bits, pa.binary())],
-                        names=["set_id", "tasks", "elements", "bits"],
-                    )
+                if names:
+                    yield arrow_batches(kind, {"set_id": names, "elements": elements, "bits": bits})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, block_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+def _worthwhile(met: DataFrame) -> DataFrame:
+    """Of (route, set_id, mark) the classes, in each space, of which as many routes are met as a link needs."""
+    others = met.groupBy("route").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most")
+    met = met.join(others.select("route"), "route")
+    enough = met.groupBy("set_id", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= F.shiftright("mark", 6))
+    return met.join(enough.select("set_id", "mark"), ["set_id", "mark"]).select("route", "set_id", "mark")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, block_bytes: int = 24 << 20, often: int = 64) -> DataFrame:
+    """doc_id (of any type that can be ordered and hashed), n_shingles and component_id of every row of ``docs``.
 
     Rows whose shingle sets have a Jaccard similarity of num / den or more are linked; component_id is the
     smallest doc_id that is reached by links, the row's own included. A null or empty text, or one without
     words, has no shingles, links with nothing and is its own component. Null doc_ids are passed over where a
     smallest is taken (a component of nothing else has a null id). Rows with one doc_id are rows of their own.
+    A very long text has as many routes as its size asks for; its set is held by a task alone with those it meets.
     Columns other than doc_id and text are ignored; an empty table gives an empty result."""
-    # a document without an id is found again by its text
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("ref", F.coalesce("doc_id", F.xxhash64("text")))
-    routed = docs.mapInArrow(_routed(shingle_words, num, den), "key long, set_id long, n long")
-    sorted_ = routed.repartition("key").sortWithinPartitions("key")
-    met = materialize(sorted_.mapInArrow(_met, "key long, set_id long, n long, head long"), "met")
-    rows = met.where("n != -1").select(
-        F.when(F.col("n") >= 0, F.col("key")).alias("doc_id"), F.col("key").alias("ref"), "set_id", F.when(F.col("n") < 0, -2 - F.col("n")).otherwise(F.col("n")).alias("n")
-    )
-    met = met.where("n = -1").select(F.col("key").alias("route"), "set_id", "head").distinct()
-
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"), F.min("n").alias("n"))
+    tables = Tables(docs.sparkSession)
+    # a document is found again by its id, without one by its text, and then told by its class
+    docs = docs.select("doc_id", "text").withColumn("ref", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))))
+    id_type = docs.schema["doc_id"].dataType
+    schema = f"key long, set_id long, n long, doc_id {id_type.simpleString()}"
+    routed = docs.mapInArrow(_routed(shingle_words, num, den, to_arrow_type(id_type), often=often), schema)
+    part = F.when(F.col("n") < 0, F.shiftright(-1 - F.col("n"), _SALT)).otherwise(0)
+    dealt = routed.repartition("key", part).sortWithinPartitions("key", part, "set_id")
+    all_met = tables.store(dealt.mapInArrow(_met, schema), "met")
+    rows = all_met.where("n >= 0").select("doc_id", F.col("key").alias("ref"), "set_id", "n")
+    classes = tables.store(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"), F.min("n").alias("n")), "classes")
     sizes = classes.select("set_id", "n")
+
+    met = all_met.where("n < 0").select(F.col("key").alias("route"), "set_id", (-1 - F.col("n")).alias("mark")).distinct()
+    once = tables.store(_worthwhile(met), "worthwhile")
+    met = tables.store(_worthwhile(once).select("route", "set_id"), "worthwhile")  # what only met those that left leaves too
+    tables.drop(once)
     links_of = lambda tasks: _run(tasks, "elements", _walk(num, den), "a long, b long")
 
     # each class that meets another one goes once to the head that it meets most
-    often = met.groupBy("set_id", "head").agg(F.count("*").alias("times"))
-    best = often.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
+    heads = met.groupBy("route").agg(F.min("set_id").alias("head"))
+    often_met = met.join(heads, "route").where("set_id != head").groupBy("set_id", "head").agg(F.count("*").alias("times"))
+    best = often_met.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
     heads = best.select(F.col("route").alias("set_id"), "route")
-    first = best.select("set_id", "route").union(heads).distinct().withColumn("label", F.col("set_id"))
-    tasks = _tasks(first, sizes, 8, block_bytes).groupBy("set_id").agg(F.collect_list(F.struct(*(c for c in _ALIVE if c != "set_id"))).alias("tasks"))
-    wanted = tasks.join(classes, "set_id").select("ref", "set_id", "tasks")
+    first = tables.store(best.select("set_id", "route").union(heads).distinct(), "first")
+    every = first.select("set_id").distinct()
     # a sort-merge join at any size: the plan doesn't turn with what happens to fit a broadcast
-    texts = docs.join(wanted.hint("merge"), "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("tasks").alias("tasks"), F.first("text").alias("text"))
-    task_type = tasks.schema["tasks"].dataType.simpleString()
-    sets = texts.select("set_id", "tasks", "text").mapInArrow(_sets(shingle_words), f"set_id long, tasks {task_type}, elements binary, bits binary")
-    sets = materialize(sets, "sets")
-    links = materialize(links_of(sets.select("set_id", F.inline("tasks"), "elements")), "links")
-    found = materialize(components(links), "components")
+    wanted = classes.join(every, "set_id").select("ref", "set_id")
+    texts = docs.select("ref", "text").join(wanted.hint("merge"), "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    sets = tables.store(texts.select("set_id", "text").mapInArrow(_sets(shingle_words), "set_id long, elements binary, bits binary"), "sets")
+    tasks = _tasks(first.withColumn("label", F.col("set_id")), sizes, 8, block_bytes)
+    links = tables.store(links_of(tasks.join(sets.select("set_id", "elements"), "set_id")), "links")
+    found = components(links, tables)
 
     # routes that still hold different components, one of those with equal members
     labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    open_ = met.select("route", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    open_ = met.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
     mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
-    rest = materialize(open_.join(mixed, "route").select("route", "set_id", "label"), "open")
+    rest = tables.store(open_.join(mixed, "route").select("route", "set_id", "label"), "open")
+    tables.drop(met, first, found)
     short = _tasks(rest, sizes, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
     alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
-    sifted = materialize(_run(short, "bits", _sift(num, den), alive), "sifted")
+    sifted = tables.store(_run(short, "bits", _sift(num, den), alive), "sifted")
+    tables.drop(rest)
     # of tasks with equal members one is enough, but for those between two blocks, whose pairs differ
     between = F.when(F.col("low") != F.col("high"), F.struct(*_TASK))
     groups = sifted.groupBy(*_TASK).agg(*_members()).groupBy("members", "digest", "digest2", between).agg(F.min(F.struct(*_TASK)).alias("task"))
-    sifted = sifted.join(groups.select("task.*"), _TASK)
-    more = materialize(links.union(links_of(sifted.join(sets.select("set_id", "elements"), "set_id"))), "links")
-    found = components(more)
+    last = sifted.join(groups.select("task.*"), _TASK)
+    more = tables.store(links.union(links_of(last.join(sets.select("set_id", "elements"), "set_id"))), "links")
+    tables.drop(sifted, sets, links)
+    found = components(more, tables)
 
     joined = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    reached = materialize(joined.join(smallest, "component").select("set_id", "component_id"), "reached")
+    reached = joined.join(smallest, "component").select("set_id", "component_id")
     with_words = rows.where("set_id is not null").join(reached, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.union(rows.where("set_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    without = rows.where("set_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    result = tables.store(with_words.union(without), "near-duplicates")
+    tables.drop_others(result)
+    return result

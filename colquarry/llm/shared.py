@@ -11,49 +11,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
-_WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset and driver and
+    executors are one process (tests, a laptop) it is a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="colquarry-"))
     return _OWN_DIR[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the stored table.
-
-    It cuts the lineage: later jobs read files that every executor sees, so a lost executor costs a
-    re-read, and work that two jobs need is done once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/colquarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    # Spark deletes the shuffle files behind the table once the driver has collected what refers to them
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
+def _hadoop(spark: SparkSession, path: str) -> tuple:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+class Tables:
+    """The intermediate tables of one run of one operator, in the shared folder.
+
+    ``store`` writes a frame once as Parquet and returns the stored table. That cuts the lineage: later jobs read
+    files that every executor sees, so a lost executor costs a re-read, and work that two jobs need is done once.
+    Spark removes the shuffle files of such a write at its end. ``drop`` deletes tables that nothing reads any
+    more; those that a returned frame still reads go when the application ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/colquarry/{name}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        files, hadoop = _hadoop(self.spark, path)
+        files.deleteOnExit(hadoop)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((stored, path))
+        return stored
+
+    def drop(self, *tables: DataFrame) -> None:
+        for _, path in (x for x in self.held if any(x[0] is t for t in tables)):
+            files, hadoop = _hadoop(self.spark, path)
+            files.delete(hadoop, True)
+            files.cancelDeleteOnExit(hadoop)
+        self.held = [x for x in self.held if all(x[0] is not t for t in tables)]
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.held if all(t is not k for k in kept)))
 
 
-def mark() -> int:
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
-    """Delete the tables written from one ``mark()`` to another; only after the results that read them are stored."""
-    for path in _WRITTEN[first:end]:
-        drop_path(spark, path)
-    del _WRITTEN[first:end]
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A stored table that stays until the application ends."""
+    return Tables(df.sparkSession).store(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

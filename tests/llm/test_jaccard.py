@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from colquarry.llm.components import components
-from colquarry.llm.jaccard import Spaces, bitmap, near_duplicates, routes, tree_links, tree_sift, width_for
+from colquarry.llm.jaccard import Frequent, Spaces, bitmap, marked_routes, near_duplicates, routes, tree_links, tree_sift, width_for
 
 SCHEMA = "doc_id long, text string, n int, set_id string, route int"
 U64 = np.uint64
@@ -84,6 +84,40 @@ def test_linked_sets_share_a_route(seed, common, only_a, only_b, similarity):
     spaces = Spaces(*similarity)
     if spaces.linked(len(a), len(b), len(np.intersect1d(a, b))):
         assert set(routes(a, spaces).tolist()) & set(routes(b, spaces).tolist())
+        # in some space both, each with as many routes of it as it needs
+        of_a, of_b = ({number: (need, set(keys.tolist())) for number, need, keys in marked_routes(x, spaces)} for x in (a, b))
+        assert any(len(of_a[k][1] & of_b[k][1]) >= max(of_a[k][0], of_b[k][0]) for k in of_a.keys() & of_b.keys())
+
+
+def test_frequent_routes_are_dealt_after_some():
+    r = np.random.default_rng(3)
+    frequent, met = Frequent(8), {}
+    hot = r.integers(-(2**62), 2**62, 5)
+    for _ in range(40):
+        keys = np.concatenate([r.choice(hot, 3, replace=False), r.integers(-(2**62), 2**62, 50)])
+        for key, flag in zip(keys.tolist(), frequent.dealt(keys).tolist()):
+            met.setdefault(key, []).append(flag)
+    for key, flags in met.items():
+        assert not any(flags[:8]) and all(flags[16:]) and sorted(flags) == flags
+        assert key in hot or len(flags) < 8
+
+
+def test_dealt_routes_join_all_the_same(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a chain of small changes, with the same routes again and again
+        base[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(100 + i, " ".join(f"{i}y{j}" if j % 3 else base[j] for j in range(60))) for i in range(20)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((tuple(x) for x in near_duplicates(df, 4, 70, 100, often=4).collect()), key=str)
+    assert got == expected(rows, 4, 70, 100)
+
+
+def test_ids_of_another_type(spark):
+    df = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six"), (None, "none"), ("c", None)], "doc_id string, text string")
+    assert sorted((tuple(x) for x in near_duplicates(df).collect()), key=str) == sorted([("b", 2, "a"), ("a", 2, "a"), (None, 1, None), ("c", 0, "c")], key=str)
 
 
 @settings(max_examples=80, deadline=None)
