@@ -16,14 +16,15 @@ from colquarry.llm.language import fit, identify
 from colquarry.llm.packing import pack
 from colquarry.llm.pii import replaced
 from colquarry.llm.quality import judge
-from colquarry.llm.shared import documents, mark, materialize, release
+from colquarry.llm.shared import Tables, documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key over all columns: rows alike in all of them are judged alike."""
-    return docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
+    """With a key of 128 bits over all columns, nulls told from values: rows alike in all of them are judged alike."""
+    parts = (F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in COLUMNS)
+    return docs.select(*COLUMNS).withColumn("_key", F.left(F.sha2(F.concat(*parts), 256), F.lit(32)))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -51,19 +52,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the document with the smallest doc_id of each group that links at 0.8 on five-word shingles.
 
     Rows are told apart by all columns, so another row with the same doc_id is judged apart. Rows without a doc_id
-    come after those with one. Of rows alike in all columns a single one is kept."""
+    come after those with one, rows with one doc_id in the order of their keys. Of rows alike in all columns a single
+    one is kept. Null and empty texts link with nothing, so each such row stays; very long texts are compared whole.
+    An empty table gives an empty result."""
     keyed = _keyed(docs)
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle_words=5, num=80, den=100)
-    groups = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    groups = materialize(groups.join(keyed.select("_key", "doc_id").distinct(), "_key"), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key"))["_key"].alias("_key"))
-    dropped = materialize(groups.select("_key").join(first, "_key", "left_anti"), "dropped")
-    kept = keyed.join(dropped, "_key", "left_anti")
-    twice = materialize(groups.where("n > 1").select("_key"), "twice")
-    if twice.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
-    return kept.join(twice, "_key", "left_anti").select(*COLUMNS).union(once)
+    # ids in the order to keep: with a doc_id, by it, by the key
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rank = F.concat(F.coalesce(F.concat(F.lit("0"), number), F.lit("1")), "_key")
+    found = near_duplicates(keyed.select(rank.alias("doc_id"), "text"), shingle_words=5, num=80, den=100)
+    kept = found.where("doc_id = component_id").select(F.right("doc_id", F.lit(32)).alias("_key")).distinct()
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,9 +89,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs, started = documents(spark, sf_dir), mark()
+    tables, docs = Tables(spark), documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark, started, mark() - 1)  # all that led to what is stored now
+        docs = tables.store(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.drop_others(docs)
     return docs
-
