@@ -1,28 +1,34 @@
-"""Licence notices in texts, by the Dice coefficient of word bigrams, in DataFrame functions only.
+"""Licences in texts, by the Dice coefficient of word bigrams, in DataFrame functions only.
 
-A text's units are its lines, its paragraphs (between blank lines) and the whole. A unit is normalised to
-lower-cased runs of letters and digits, and its distinct word bigrams are compared with each template's. A
-coefficient of t or more needs set sizes a, b with a * (2 - t) >= t * b and the reverse; templates outside these
-bounds are not compared.
+A text is normalised to lower-cased runs of letters and digits, so comment marks and line ends vanish. It is compared
+with templates, whole licences and short notices, in windows: a window begins where a run of the template's bigrams
+begins, has as many words as the template at most, and ends with the last of the template's bigrams in that reach.
+The coefficient is that of the distinct bigrams of window and template.
+
+A coefficient of t or more needs t / (2 - t) of the template's distinct bigrams. So a template is left out where the
+text has fewer bigrams than that, or fewer of the template's; and a text is left out whole if it has none of the
+words without which no template can reach that many.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common notices and the first sentences of the licences.
-TEMPLATES = (
+#: Common notices and the first sentences of the licences. The whole texts lie in license_texts.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -30,79 +36,136 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
 #: Of 100, so that no comparison rounds.
 THRESHOLD = 80
+#: Templates of fewer words are looked for in every text; longer ones have needed words of their own.
+SHORT = 60
+
+
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(name, text): the notices, and the whole licences by the names of their files."""
+    whole = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return (*NOTICES, *((path.stem, path.read_text(encoding="utf-8")) for path in whole))
+
+
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def bigrams(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
-
-
-def templates(given=TEMPLATES) -> Column:
-    return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, text in given for b in [bigrams(text)]))
-
-
-def scan(docs: DataFrame, threshold: int = THRESHOLD, given=TEMPLATES) -> DataFrame:
-    """doc_id, license, dice, n_matches and licenses of every row.
-
-    license and dice: the best template and its coefficient (of equals the name that sorts first), null where no
-    unit reaches ``threshold``; n_matches: distinct units that reach it; licenses: the names they reach, sorted,
-    joined by commas, empty if none. A null or empty text has none. Units of fewer than two words have no bigrams
-    and match nothing. Rows are never grouped, so repeated rows and null ids stay as they are. Columns other than
-    doc_id and text are ignored."""
-    body = F.lower(F.coalesce("text", F.lit("")))
-    units = F.concat(F.split(body, "\n"), F.split(body, r"\n\s*\n"), F.array(body))
-    plain = F.array_distinct(F.transform(units, lambda u: F.trim(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " "))))
-    out = docs.select("doc_id", plain.alias("_units"))
-    out = out.withColumn("_words", F.transform(F.filter("_units", lambda u: F.contains(u, F.lit(" "))), lambda u: F.split(u, " ")))
-    pairs = lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-    out = out.withColumn("_bigrams", F.transform("_words", lambda w: F.array_distinct(pairs(w))))
-    t, rest = F.lit(threshold), F.lit(200 - threshold)
-    fits = lambda a, b: (a * rest >= t * b) & (b * rest >= t * a)
-    compared = lambda b: F.transform(
-        F.filter(templates(given), lambda x: fits(F.size(b), x["n"])),
-        lambda x: F.struct(F.size(F.array_intersect(b, x["bigrams"])).alias("common"), (F.size(b) + x["n"]).alias("all"), x["name"].alias("name")),
-    )
-    reached = lambda b: F.transform(
-        F.filter(compared(b), lambda s: 200 * s["common"] >= t * s["all"]), lambda s: F.struct((F.lit(-2.0) * s["common"] / s["all"]).alias("minus"), s["name"].alias("name"))
-    )
-    found = F.filter(F.transform("_bigrams", reached), lambda s: F.size(s) > 0)
-    out = out.withColumn("_found", found)
-    # the least is that of the highest coefficient, of equals that of the first name
-    best = F.array_min(F.flatten("_found"))
-    names = F.array_sort(F.array_distinct(F.transform(F.flatten("_found"), lambda s: s["name"])))
+    found = words(text)
+    return sorted({f"{a} {b}" for a, b in zip(found, found[1:])})
+
+
+def least_common(n: int, threshold: int) -> int:
+    """How many of a template's n distinct bigrams a window must have."""
+    return -(-threshold * n // (200 - threshold))
+
+
+def needed_words(given: tuple[tuple[str, str], ...], threshold: int) -> list[str]:
+    """Words of which every text that matches has one: for each template words whose bigrams are more than a match
+    can do without. Long words, which fewer texts have, go first, of these the ones in most bigrams."""
+    chosen: set[str] = set()
+    for _, text in given:
+        left = bigrams(text)
+        spare = len(left) - least_common(len(left), threshold)
+        own = sorted({w for b in left for w in b.split(" ")}, key=lambda w: (w not in chosen, len(w) < 6, -sum(w in b.split(" ") for b in left), w))
+        covered: set[str] = set()
+        for word in own:
+            if len(covered) > spare:
+                break
+            more = {b for b in left if word in b.split(" ")}
+            if more - covered:
+                covered |= more
+                chosen.add(word)
+    return sorted(chosen)
+
+
+def _list(values: list[str]) -> Column:
+    """A constant array, of one literal: values hold letters, digits and spaces only."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
+def scan(docs: DataFrame, threshold: int = THRESHOLD, given: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """doc_id, license, dice, first_word, n_matches and licenses of every row.
+
+    license, dice and first_word: the name of the template, its coefficient and where its window begins (in words,
+    from 0) of the best match (of equals the name that sorts first, then the first window), null where none reaches
+    ``threshold``; n_matches: templates that reach it; licenses: the names they have, sorted, joined by commas, empty
+    if none. A null or empty text, or one of a single word, has none. A very long text is searched whole. Rows are
+    never grouped, so repeated rows and null ids stay as they are. An empty table gives an empty result. Columns
+    other than doc_id and text are ignored."""
+    given = templates() if given is None else given
+    sets = [(name, len(words(text)), bigrams(text)) for name, text in given]
+    constant = F.array(*(
+        F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(len(b)).alias("n"), F.lit(least_common(len(b), threshold)).alias("need"), _list(b).alias("bigrams")) for name, m, b in sets
+    ))
+    t = F.lit(threshold)
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    out = docs.select("doc_id", F.split(plain, " ").alias("_words"))
+    short = tuple(x for x in given if len(words(x[1])) < SHORT)
+    long_ = tuple(x for x in given if len(words(x[1])) >= SHORT)
+    fewest = min((least_common(len(bigrams(x)), threshold) for _, x in long_), default=0)
+    has = lambda group: F.arrays_overlap("_words", _list(needed_words(group, threshold))) if group else F.lit(False)
+    hinted = has(short) | ((F.size("_words") > fewest) & has(long_))
+    pairs = F.zip_with(F.slice("_words", 1, F.size("_words") - 1), F.slice("_words", 2, F.size("_words")), lambda a, b: F.concat_ws(" ", a, b))
+    found = F.when(hinted & (F.size("_words") > 1), pairs).otherwise(F.array().cast("array<string>"))
+    out = out.select("doc_id", found.alias("_g"))
+    # size bounds: the text's distinct bigrams, then those it shares
+    possible = F.filter(constant, lambda x: x["need"] <= F.size("_g"))
+    shared = F.transform(possible, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "m", "n", "need")), F.array_intersect("_g", x["bigrams"]).alias("common")))
+    out = out.select("doc_id", "_g", F.filter(shared, lambda x: F.size(x["common"]) >= x["need"]).alias("_t"))
+    flags = lambda x: F.transform("_g", lambda g: F.array_contains(x["common"], g))
+    placed = F.transform("_t", lambda x: F.struct(x.alias("t"), flags(x).alias("hit")))
+
+    def windows(x: Column) -> Column:
+        t_, hit = x["t"], x["hit"]
+        at = F.sequence(F.lit(0), F.size(hit) - 1)
+        begins = F.filter(at, lambda i: F.get(hit, i) & ~F.coalesce(F.get(hit, i - 1), F.lit(False)))
+
+        def window(i: Column) -> Column:
+            reach = F.slice(hit, i + 1, t_["m"] - 1)
+            length = F.size(reach) + 1 - F.array_position(F.reverse(reach), True).cast("int")
+            unit = F.slice("_g", i + 1, length)
+            both = F.size(F.array_intersect(unit, t_["common"]))
+            total = F.size(F.array_distinct(unit)) + t_["n"]
+            return F.when(200 * both >= t * total, F.struct((F.lit(-2.0) * both / total).alias("minus"), t_["name"].alias("name"), i.alias("first_word")))
+
+        return F.array_min(F.transform(begins, window))  # nulls, windows that don't match, are passed over
+
+    out = out.select("doc_id", F.filter(F.transform(placed, windows), lambda w: w.isNotNull()).alias("_found"))
+    best = F.array_min("_found")
+    names = F.array_sort(F.array_distinct(F.transform("_found", lambda w: w["name"])))
     return out.select(
-        "doc_id", best["name"].alias("license"), (-best["minus"]).alias("dice"), F.size("_found").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses")
+        "doc_id", best["name"].alias("license"), (-best["minus"]).alias("dice"), best["first_word"].cast("long").alias("first_word"), F.size("_found").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
     )
 
 
-def oracle_sql(threshold: int = THRESHOLD, given=TEMPLATES) -> str:
-    """DuckDB SQL for scan() over documents, with one row for each unit and template."""
-    rows = ", ".join(f"('{name}', {len(b)}, {b!r})" for name, text in given for b in [bigrams(text)])
-    t, rest = threshold, 200 - threshold
+def oracle_sql(threshold: int = THRESHOLD, given: tuple[tuple[str, str], ...] | None = None) -> str:
+    """DuckDB SQL for scan() over documents, by joins of the bigrams with their places."""
+    given = templates() if given is None else given
+    rows = ", ".join(f"({k}, '{name}', {len(words(text))}, {len(b)}, '{'|'.join(b)}')" for k, (name, text) in enumerate(given) for b in [bigrams(text)])
+    t = threshold
     return f"""
-WITH tpl AS (SELECT * FROM (VALUES {rows}) v(name, n, bigrams)),
-u AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(unit, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM (
-    SELECT doc_id, unnest(list_concat(list_concat(string_split(body, chr(10)), string_split_regex(body, '\\n\\s*\\n')), [body])) AS unit
-    FROM (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents))),
-b AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigrams
-  FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM u) WHERE len(w) > 1),
-s AS (
-  SELECT doc_id, unit, name, len(list_intersect(b.bigrams, tpl.bigrams)) AS common, len(b.bigrams) + tpl.n AS total, 2.0::DOUBLE * common / total AS dice
-  FROM b JOIN tpl ON len(b.bigrams) * {rest} >= {t} * tpl.n AND tpl.n * {rest} >= {t} * len(b.bigrams)),
-g AS (
-  SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_matches,
-    array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses
-  FROM s WHERE 200 * common >= {t} * total GROUP BY doc_id)
-SELECT d.doc_id, g.license, g.dice, CAST(coalesce(g.n_matches, 0) AS BIGINT) AS n_matches, coalesce(g.licenses, '') AS licenses
-FROM documents d LEFT JOIN g USING (doc_id)"""
+WITH tpl AS (SELECT * FROM (VALUES {rows}) v(k, name, m, n, bigrams)),
+tb AS (SELECT k, unnest(string_split(bigrams, '|')) AS g FROM tpl),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+h AS (SELECT p.doc_id, tb.k, p.i, p.g FROM p JOIN tb USING (g)),
+c AS (SELECT h.doc_id, h.k FROM h JOIN tpl USING (k) GROUP BY h.doc_id, h.k, n HAVING {200 - t} * count(DISTINCT g) >= {t} * n),
+hits AS (SELECT h.* FROM h JOIN c USING (doc_id, k)),
+runs AS (SELECT doc_id, k, i FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM hits) WHERE before IS NULL OR before < i - 1),
+ends AS (SELECT r.doc_id, r.k, r.i, max(x.i) AS e, count(DISTINCT x.g) AS common FROM runs r JOIN tpl USING (k) JOIN hits x ON x.doc_id = r.doc_id AND x.k = r.k AND x.i >= r.i AND x.i <= r.i + m - 2 GROUP BY ALL),
+sized AS (SELECT s.doc_id, s.k, s.i, s.common, count(DISTINCT p.g) AS unit FROM ends s JOIN p ON p.doc_id = s.doc_id AND p.i >= s.i AND p.i <= s.e GROUP BY ALL),
+d AS (SELECT doc_id, k, name, i, 2.0::DOUBLE * common / (unit + n) AS dice FROM sized JOIN tpl USING (k) WHERE 200 * common >= {t} * (unit + n)),
+f AS (SELECT doc_id, arg_min(name, (-dice, name, i)) AS license, max(dice) AS dice, arg_min(i, (-dice, name, i)) AS first_word, count(DISTINCT k) AS n_matches,
+  array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses FROM d GROUP BY doc_id)
+SELECT o.doc_id, f.license, f.dice, f.first_word, CAST(coalesce(f.n_matches, 0) AS BIGINT) AS n_matches, coalesce(f.licenses, '') AS licenses
+FROM documents o LEFT JOIN f USING (doc_id)"""
