@@ -1,22 +1,28 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
 Entities are found by one pattern over the whole text and checked where their kind has a check (card and account
-numbers). An entity's kind and plain form (case, separators and title aside) name it; its surrogate is drawn from
-a hash under a secret key, so it is the same in every document and can't be turned back. Surrogates keep the
-kind's form: digits stay digits, letters letters of their case, addresses keep their dots, card and account
+numbers). An entity's kind and plain form (case, separators, country code and title aside) name it; its surrogate is
+drawn from a hash under a secret key, so it is the same in every document and can't be turned back. Surrogates keep
+the kind's form: digits stay digits, letters letters of their case, addresses keep their dots, card and account
 numbers their checks, hexadecimal secrets stay hexadecimal, names their gender and script. Distinct entities get
 distinct surrogates, none of which is an entity of the corpus: what collides is drawn again, longer after some
 attempts.
+
+A name is found by its title. Its last word is a family name, the others are given names; each has a surrogate of
+its own, so that a person keeps one with and without the given name, and hyphens, particles and beginnings such as
+O' and Mc stay. Where a document names somebody by title with a given name, the same name without a title is
+replaced in it as well; a family name alone without a title is not.
 """
 
 from __future__ import annotations
 
+import secrets
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Tables
 
 #: Titles by the gender they show, and names by gender and script.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Господин"), "f": ("Mrs", "Ms", "Frau", "Madame", "Mme", "Señora", "Госпожа"), "n": ("Dr", "Prof")}
@@ -28,6 +34,8 @@ GIVEN = {
     ("f", "cyrillic"): ("Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Лидия"),
     ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Шура"),
 }
+ENDINGS = {("m", "latin"): "on", ("f", "latin"): "a", ("n", "latin"): "i", ("m", "cyrillic"): "ан", ("f", "cyrillic"): "а", ("n", "cyrillic"): "и"}
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "des", "la", "le", "zu", "zur", "ter", "ten", "af", "dos", "фон")
 SYLLABLES = {
     "latin": ("ba", "den", "fa", "gor", "han", "ka", "lin", "mor", "ne", "ral", "sa", "ton", "ve", "wil", "zan", "ri"),
     "cyrillic": ("ба", "ден", "фа", "гор", "ка", "лин", "мор", "не", "рал", "са", "тон", "ве", "зан", "ри", "пол", "ду"),
@@ -46,9 +54,12 @@ SAME_LENGTH = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
+_WORD = r"(?=\p{Lu}[\p{Ll}'’])\p{Lu}\p{Ll}*+(?:['’-]?\p{Lu}\p{Ll}++)*+"
+_NAME = rf"(?:(?:{'|'.join(PARTICLES)}) )*{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*{_WORD}){{0,2}}"
+_TITLED = rf"(?:(?:{_ALL_TITLES})\.? ){{1,3}}"
 #: The kinds in order of precedence, each with its pattern.
 PATTERNS = {
-    "name": rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?<![\p{{L}}\p{{N}}])(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?<![\p{{L}}\p{{N}}]){_TITLED}{_NAME}(?![\p{{L}}\p{{N}}])",
     "secret": r"(?i:password|passwd|secret|api_?key|token)(?: ?[=:] ?)\"?[^\s\"]{6,}\"?",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -95,14 +106,20 @@ def kind(raw: Column) -> Column:
 _PREFIX = r"\A(?i:password|passwd|secret|api_?key|token) ?[=:] ?\"?"
 
 
+#: A telephone number's country code: one digit for two zones, two for the others.
+_COUNTRY = r"\A\+(?:1|7|[2-9]\d)"
+
+
 def plain_form(k: Column, raw: Column) -> Column:
     """What names an entity of a kind, whatever way it is written."""
+    digits = lambda c: F.regexp_replace(c, r"[^\d]", "")
     return (
         F.when(k == "email", F.lower(raw))
-        .when(k.isin("phone", "ssn", "card"), F.regexp_replace(raw, r"[^\d]", ""))
+        .when(k == "phone", digits(F.regexp_replace(raw, _COUNTRY, "")))
+        .when(k.isin("ssn", "card"), digits(raw))
         .when(k == "iban", F.replace(raw, F.lit(" "), F.lit("")))
         .when(k == "secret", F.regexp_replace(F.regexp_replace(raw, _PREFIX, ""), r"\"\z", ""))
-        .when(k == "name", F.regexp_replace(raw, rf"\A(?:{_ALL_TITLES})\.? ", ""))
+        .when(k == "name", F.regexp_replace(raw, rf"\A{_TITLED}", ""))
         .otherwise(raw)
     )
 
@@ -142,17 +159,31 @@ def _symbols(seed: Column, text: Column) -> Column:
     return F.array_join(F.transform(chars(text), lambda c, i: F.chr(F.lit(97) + _pick(seed, i, 26))), "")
 
 
-def _name(seed: Column, plain: Column, gender: Column, attempt: Column) -> Column:
+def _by_script(plain: Column, one) -> Column:
+    return F.when(plain.rlike(r"\p{IsCyrillic}"), one("cyrillic")).otherwise(one("latin"))
+
+
+def _syllables(seed: Column, n: Column, script: str, at: int) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(F.lit(list(SYLLABLES[script])), _pick(seed, at + i, 16))), "")
+
+
+def _family(seed: Column, plain: Column, attempt: Column) -> Column:
+    return _by_script(plain, lambda script: F.initcap(_syllables(seed, 3 + attempt, script, 10)))
+
+
+def _given(seed: Column, plain: Column, gender: Column, attempt: Column) -> Column:
+    """A name of the list at the first attempt, after that syllables with an ending of the gender."""
+
     def one(script: str) -> Column:
-        given = F.lit("")
+        out = F.lit("")
         for g in TITLES:
             names = GIVEN[g, script]
-            given = F.when(gender == g, F.get(F.lit(list(names)), _pick(seed, 1, len(names)))).otherwise(given)
-        parts = F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: F.get(F.lit(list(SYLLABLES[script])), _pick(seed, 10 + i, 16)))
-        family = F.initcap(F.array_join(parts, ""))
-        return F.when(F.contains(plain, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family)
+            made = F.initcap(F.concat(_syllables(seed, 1 + attempt, script, 10), F.lit(ENDINGS[g, script])))
+            listed = F.get(F.lit(list(names)), _pick(seed, 1, len(names)))
+            out = F.when(gender == g, F.when(attempt == 0, listed).otherwise(made)).otherwise(out)
+        return out
 
-    return F.when(plain.rlike(r"\p{IsCyrillic}"), one("cyrillic")).otherwise(one("latin"))
+    return _by_script(plain, one)
 
 
 def surrogate(k: Column, plain: Column, gender: Column, attempt: Column, key: str) -> Column:
@@ -175,57 +206,84 @@ def surrogate(k: Column, plain: Column, gender: Column, attempt: Column, key: st
         .when(k == "card", card)
         .when(k == "iban", account(F.lpad((98 - mod97(account(F.lit("00")))).cast("string"), 2, "0")))
         .when(k == "access_key", F.concat(F.lit("AKIA"), F.substring(body, 5, 100), F.upper(longer)))
-        .when(k == "name", _name(seed, plain, gender, attempt))
+        .when(k == "family", _family(seed, plain, attempt))
+        .when(k == "given", _given(seed, plain, gender, attempt))
+        .when(k == "phone", F.concat(F.when(plain.rlike(r"\A[2-9]"), F.chr(F.lit(50) + _pick(seed, 0, 8))).otherwise(F.left(plain, F.lit(1))), F.substring(body, 2, 100), digits))
         .when(k.isin("hex", "secret"), F.concat(secret, longer))
         .otherwise(F.concat(body, digits))
     )
 
 
 def written(k: Column, raw: Column, plain: Column, new: Column) -> Column:
-    """The surrogate in the way the entity was written: its separators, case, title and key word."""
+    """The surrogate in the way the entity was written: its separators, case, country code and key word."""
+    code = F.when(k == "phone", F.regexp_extract(raw, _COUNTRY, 0)).otherwise("")
     filled = F.aggregate(  # digits and letters in turn, all else as it was
-        chars(raw),
+        chars(F.substr(raw, F.length(code) + 1)),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("k")),
         lambda a, c: F.when(
             c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substr(new, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))
         ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
     )
-    fill = F.concat(filled["out"], F.substr(new, filled["k"] + 1))  # a longer draw goes on at the end
+    fill = F.concat(code, filled["out"], F.substr(new, filled["k"] + 1))  # a longer draw goes on at the end
     cased = F.when(raw == F.upper(raw), F.upper(new)).otherwise(new)
     inside = F.concat(F.substr(raw, F.lit(1), F.instr(raw, plain) - 1), new, F.substr(raw, F.instr(raw, plain) + F.length(plain)))
-    return F.when(k.isin("phone", "ssn", "card", "iban"), fill).when(k == "email", cased).when(k.isin("secret", "name"), inside).otherwise(new)
+    return F.when(k.isin("phone", "ssn", "card", "iban"), fill).when(k == "email", cased).when(k == "secret", inside).otherwise(new)
+
+
+def gender_of(raw: Column) -> Column:
+    """The gender that a name's titles show; n if none does, or titles of both."""
+    shown = [raw.rlike(rf"\A{_TITLED}") & F.regexp_extract(raw, rf"\A{_TITLED}", 0).rlike(rf"(?:\A| )(?:{'|'.join(TITLES[g])})\.? ") for g in ("m", "f")]
+    return F.when(shown[0] & ~shown[1], "m").when(shown[1] & ~shown[0], "f").otherwise("n")
+
 
+def _beginning(piece: Column) -> Column:
+    """O' and Mc, which a surrogate keeps."""
+    return F.regexp_extract(piece, r"\A(?:\p{Lu}['’]|Ma?c(?=\p{Lu}))", 0)
 
-def gender_of(k: Column, raw: Column) -> Column:
-    out = F.lit("n")
-    for g, titles in TITLES.items():
-        out = F.when(raw.rlike(rf"\A(?:{'|'.join(titles)})\.? "), F.lit(g)).otherwise(out)
-    return F.when(k == "name", out).otherwise(F.lit("n"))
 
+def _parts(k: Column, raw: Column, plain: Column) -> Column:
+    """What an entity consists of, each with a surrogate of its own: (kind, plain, before). Of a name its words and, of
+    hyphened ones, their pieces, with what comes before each as it was written; particles are part of that. All else
+    is a part alone."""
+    piece = F.lit(r"[^ -]+")
+    titles = F.substr(raw, F.lit(1), F.instr(raw, plain) - 1)
+    found = F.regexp_extract_all(plain, piece, F.lit(0))
+    gaps = F.regexp_extract_all(F.concat(plain, F.lit(" ")), F.lit(r"[ -]"), F.lit(0))
+    last_word = F.size(F.regexp_extract_all(F.regexp_replace(plain, r"\A.* ", ""), piece, F.lit(0)))
+    particle = lambda x: x.isin(*PARTICLES)
+    start = F.struct(F.array().cast("array<struct<kind:string,plain:string,before:string>>").alias("out"), titles.alias("text"), F.lit(0).alias("i"))
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    def step(a: Column, x: Column) -> Column:
+        gap = F.get(gaps, a["i"])
+        kept = F.concat(a["text"], _beginning(x))
+        kind_ = F.when(a["i"] >= F.size(found) - last_word, "family").otherwise("given")
+        entry = F.struct(kind_.alias("kind"), F.substr(x, F.length(_beginning(x)) + 1).alias("plain"), kept.alias("before"))
+        as_is = F.struct(a["out"].alias("out"), F.concat(a["text"], x, gap).alias("text"), (a["i"] + 1).alias("i"))
+        return F.when(particle(x), as_is).otherwise(F.struct(F.array_append(a["out"], entry).alias("out"), gap.alias("text"), (a["i"] + 1).alias("i")))
+
+    alone = F.array(F.struct(k.alias("kind"), plain.alias("plain"), F.lit("").alias("before")))
+    return F.when(k == "name", F.aggregate(found, start, step, lambda a: a["out"])).otherwise(alone)
+
+
+def surrogates(entities: DataFrame, key: str, tables: Tables) -> DataFrame:
     """(kind, plain, new) for distinct (kind, plain, gender): no two alike, none an entity itself.
 
     Each round draws for those left; of equal draws the first plain form keeps it, and draws that are entities or
     given already are drawn again, from some round on a character longer each time. So rounds end, when none is left."""
-    spark = entities.sparkSession
     left = entities.withColumn("attempt", F.lit(0))
     taken = entities.select("kind", F.col("plain").alias("new"))
-    done: list[DataFrame] = []
+    out: DataFrame | None = None
     for attempt in count():
         drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("plain"), F.col("gender"), F.lit(attempt), key))
         first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("plain")) == 1
         free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "new"], "left").withColumn("ok", F.col("used").isNull() & first)
-        tried = materialize(free.select("kind", "plain", "gender", "attempt", "new", "ok"), "surrogates")
-        done.append(tried.where("ok").select("kind", "plain", "new"))
+        tried = tables.store(free.select("kind", "plain", "gender", "attempt", "new", "ok"), "surrogates")
+        given = tried.where("ok").select("kind", "plain", "new")
+        out = given if out is None else out.union(given)
         left = tried.where("not ok").select("kind", "plain", "gender", "attempt")
-        taken = taken.union(done[-1].select("kind", "new"))
+        taken = taken.union(given.select("kind", "new"))
         if left.isEmpty():
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out if done else spark.createDataFrame([], "kind string, plain string, new string")
+            return out
 
 
 def _valid(k: Column, plain: Column) -> Column:
@@ -233,34 +291,72 @@ def _valid(k: Column, plain: Column) -> Column:
     return F.when(k == "card", luhn_sum(plain) % 10 == 0).when(k == "iban", mod97(plain) == 1).otherwise(k.isNotNull() & ~masked)
 
 
-def replaced(docs: DataFrame, key: str = "colquarry", text: str = "text") -> DataFrame:
-    """``docs`` with its text's entities replaced, and n_entities, the number of places.
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name = f"_{name}"
+    return name
+
+
+def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with its text's entities replaced under the secret ``key``, and n_entities, the number of places.
 
     Card and account numbers whose checks fail are left alone, as are masked secrets (one sign over and over, as in
-    ``********``) and all that no pattern meets. A person named
-    with titles of different genders gets a neutral name. A null text stays null (n_entities 0). Rows are matched
-    by the text, not by id, so null ids and repeated rows do no harm; all columns are kept but for one named
-    n_entities, which is replaced. An empty table gives an empty result."""
+    ``********``) and all that no pattern meets. A given name that occurs with titles of both genders gets a neutral
+    one. A null text stays null, an empty one empty (n_entities 0); a very long text is searched whole, and its
+    entities are a map in one row. Rows are matched by the text, not by id, so null ids and repeated rows do no harm;
+    all columns are kept but for one named n_entities, which is replaced. An empty table gives an empty result."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    tables = Tables(docs.sparkSession)
     columns = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*columns)
-    hinted = F.col(text).rlike(HINT) | F.col(text).rlike(TITLE_HINT) | F.col(text).rlike("[A-Fa-f]{32}")
-    has = F.coalesce(hinted & F.col(text).rlike(ENTITY), F.lit(False))
-    some = docs.where(has).withColumn("_key", F.sha2(text, 256))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
-    raws = some.select("_key", F.explode(found).alias("raw")).withColumn("kind", kind(F.col("raw")))
-    raws = raws.withColumn("plain", plain_form(F.col("kind"), F.col("raw"))).withColumn("gender", gender_of(F.col("kind"), F.col("raw")))
-    raws = materialize(raws.where(_valid(F.col("kind"), F.col("plain"))).distinct(), "entities")
-    genders = raws.groupBy("kind", "plain").agg(F.min("gender").alias("g1"), F.max("gender").alias("g2"))
-    named = genders.select("kind", "plain", F.when(F.col("g1") == F.col("g2"), F.col("g1")).otherwise(F.lit("n")).alias("gender"))
-    mapping = surrogates(named, key)
-    pairs = raws.join(mapping, ["kind", "plain"]).select("_key", "raw", written(F.col("kind"), F.col("raw"), F.col("plain"), F.col("new")).alias("to"))
-    maps = pairs.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("raw", "to"))).alias("_map"))
-    matched = some.join(maps, "_key", "left")
-    matched = matched.withColumn("_found", F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
-    between = F.split(F.col(text), ENTITY, -1)
-    new = F.transform("_found", lambda e: F.coalesce(F.get(F.array(F.col("_map")), F.lit(0))[e], e))
-    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_found")), new, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    count = F.size(F.filter("_found", lambda e: F.map_contains_key(F.col("_map"), e)))
-    matched = matched.withColumn("_text", rebuilt).withColumn("n_entities", F.coalesce(F.when(F.col("_map").isNotNull(), count), F.lit(0)).cast("long"))
-    out = matched.select(*(F.col("_text").alias(c) if c == text else F.col(c) for c in columns), "n_entities")
-    return docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")).unionByName(out)
+    id_, map_, found_, names_ = (_free(c, docs.columns) for c in ("_key", "_map", "_found", "_names"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    body = F.col(f"`{text}`")
+    hinted = body.rlike(HINT) | body.rlike(TITLE_HINT) | body.rlike("[A-Fa-f]{32}")
+    has = F.coalesce(hinted & body.rlike(ENTITY), F.lit(False))
+    some = docs.where(has).withColumn(id_, F.sha2(body, 256))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)))
+    raws = some.select(F.col(id_).alias("id"), F.explode(found).alias("raw")).withColumn("kind", kind(F.col("raw")))
+    raws = raws.withColumn("plain", plain_form(F.col("kind"), F.col("raw"))).where(_valid(F.col("kind"), F.col("plain"))).distinct()
+    # a name with a given one is looked for without its title too
+    bare = F.when((F.col("kind") == "name") & F.contains("plain", F.lit(" ")), F.array("raw", "plain")).otherwise(F.array("raw"))
+    raws = raws.withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("raw"))).otherwise("n"))
+    raws = raws.select("id", "kind", "plain", "gender", F.explode(bare).alias("raw"))
+    raws = raws.withColumn("parts", _parts(F.col("kind"), F.col("raw"), F.col("plain")))
+    raws = tables.store(raws.select("id", "raw", F.col("kind").alias("whole"), "gender", F.posexplode("parts").alias("place", "part")).select("id", "raw", "whole", "gender", "place", "part.*").distinct(), "entities")
+    shown = F.when(F.col("gender") != "n", F.col("gender"))
+    genders = raws.groupBy("kind", "plain").agg(F.min(shown).alias("g1"), F.max(shown).alias("g2"))
+    named = genders.select("kind", "plain", F.when((F.col("kind") == "given") & (F.col("g1") == F.col("g2")), F.col("g1")).otherwise(F.lit("n")).alias("gender"))
+    mapping = surrogates(named, key, tables)
+    new = F.concat("before", written(F.col("kind"), F.col("raw"), F.col("plain"), F.col("new")))
+    words = raws.select("id", "raw", "whole", "place", "kind", "plain", "before").distinct().join(mapping, ["kind", "plain"]).select("id", "raw", "whole", F.struct("place", new.alias("to")).alias("part"))
+    # an entity has the parts of a name at most, a document the entities of its text
+    pairs = words.groupBy("id", "raw", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_set("part")), lambda x: x["to"]), "").alias("to"))
+    untitled = (F.col("whole") == "name") & ~F.col("raw").rlike(rf"\A{_TITLED}")
+    maps = pairs.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("raw", "to"))).alias(map_), F.collect_set(F.when(untitled, F.col("raw"))).alias(names_))
+    maps = tables.store(maps.withColumnRenamed("id", id_), "maps")
+    tables.drop_others(maps)
+    matched = some.join(maps, id_, "left")
+    names = F.array_join(F.reverse(F.array_sort(names_)), "|")  # of two names the longer one first; letters, spaces, hyphens and apostrophes only
+    pattern = F.when(F.size(names_) > 0, F.concat(F.lit(rf"{ENTITY}|(?=\p{{Lu}}|\p{{Ll}}+ )(?<![\p{{L}}\p{{N}}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ENTITY))
+
+    def rebuilt(rows: DataFrame, what: Column) -> DataFrame:
+        rows = rows.withColumn(found_, F.regexp_extract_all(body, what, F.lit(0)))
+        between = F.split(body, what, -1)
+        new = F.transform(found_, lambda e: F.coalesce(F.get(F.array(F.col(map_)), F.lit(0))[e], e))
+        made = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found_)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+        n = F.size(F.filter(found_, lambda e: F.map_contains_key(F.col(map_), e)))
+        n = F.coalesce(F.when(F.col(map_).isNotNull(), n), F.lit(0)).cast("long").alias("n_entities")
+        return rows.select(*(made.alias(c) if c == text else F.col(f"`{c}`") for c in columns), n)
+
+    with_names = F.coalesce(F.size(names_), F.lit(0)) > 0
+    plain = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
+    return plain.unionByName(rebuilt(matched, F.when(with_names, pattern).otherwise(F.lit(ENTITY))))
+
+
+#: Where a session keeps the key of the queries; without one each run draws its own, and nobody can repeat it.
+KEY_SETTING = "spark.colquarry.pii.key"
+
+
+def session_key(spark) -> str:
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
