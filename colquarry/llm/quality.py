@@ -87,19 +87,29 @@ def base_failed() -> Column:
 
 
 def binomial_tail(n: str, k: str, rate: float) -> Column:
-    """P(X <= k) for X binomial with n trials of the given rate, for k < n * rate: the term at k in logarithms,
-    times one plus the ratios of the terms below it."""
+    """P(X <= k) for X binomial with n trials of the given rate, for k < n * rate: the term at k, from factorials by
+    Stirling's series, times one plus the ratios of the terms below it.
+
+    Terms shrink downwards, by forty deviations to nothing that a double could hold, so no more of them are summed:
+    the number of steps grows with the root of n."""
     odds = rate / (1 - rate)
-    ways = F.aggregate(F.when(F.col(k) > 0, F.sequence(F.lit(1), F.col(k))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.ln((F.col(n) - F.col(k) + i) / i))
+    few = F.least(F.col(k), F.ceil(40 * F.sqrt(F.col(n) * rate)).cast("long") + 100)
     below = F.aggregate(
-        F.when(F.col(k) > 0, F.sequence(F.col(k), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<bigint>")),
+        F.when(F.col(k) > 0, F.sequence(F.col(k), F.col(k) - few + 1, F.lit(-1))).otherwise(F.array().cast("array<bigint>")),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
         lambda a, i: F.struct(
             (a["term"] * i / ((F.col(n) - i + 1) * odds)).alias("term"), (a["total"] + a["term"] * i / ((F.col(n) - i + 1) * odds)).alias("total")
         ),
     )["total"]
-    from math import log
+    from math import log, pi
+
+    def log_factorial(x: Column) -> Column:
+        """Of whole numbers: a sum up to 30, the series beyond, whose next term is under 1e-13 there."""
+        near = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(x, F.lit(30)), F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.ln(i))
+        far = x * F.ln(x) - x + F.ln(x) / 2 + log(2 * pi) / 2 + 1 / (12.0 * x) - 1 / (360.0 * x * x * x) + 1 / (1260.0 * x * x * x * x * x)
+        return F.when(x <= 30, near).otherwise(far)
 
+    ways = log_factorial(F.col(n)) - log_factorial(F.col(k)) - log_factorial(F.col(n) - F.col(k))
     return F.exp(ways + F.col(k) * log(rate) + (F.col(n) - F.col(k)) * log(1 - rate)) * below
 
 
@@ -139,7 +149,8 @@ def judge(
     base_failed; else false if some rule's ratio exceeds the cutoff certified for the document's stratum, so
     that with confidence 1 - ``error`` no stratum loses more than ``rate`` of its good documents to the rules.
 
-    ``labels``: doc_id and quality (1 good); a document with several labels is good if none says otherwise. A
+    ``labels``: doc_id and quality (1 good); a document with several labels is good if none says otherwise. Copies of
+    a text count once, for trials must be independent. A very long text is judged whole. A
     null text has no words. A null stratum is a stratum of its own; a null doc_id has no label. Repeated rows
     are judged each. Empty tables give an empty result, and no labels leave the base rules only. ``carry``: the
     columns to return along with the results (doc_id alone if not given)."""
@@ -148,10 +159,10 @@ def judge(
     given = carry or ["doc_id"]
     base = docs.select(F.col("doc_id").alias("_doc"), *given, F.col("text").alias("_text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
     found = features(base, "_text").withColumns({"base_failed": base_failed(), **{f"level_{r.name}": r.level() for r in rules}})
-    judged = materialize(found.select("_doc", *given, "stratum", *made, "base_failed", *levels), "quality")
+    judged = materialize(found.select("_doc", F.xxhash64("_text").alias("_hash"), *given, "stratum", *made, "base_failed", *levels), "quality")
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     good = good.select(F.col("doc_id").alias("_doc"))
-    holdout = judged.where("not base_failed").select("_doc", "stratum", *levels).join(good, "_doc")
+    holdout = judged.where("not base_failed").select("_doc", "_hash", "stratum", *levels).join(good, "_doc").drop("_doc").distinct()
     cuts = thresholds(holdout, rate, error, rules)
     by = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules))
     exceeds = F.lit(False)
@@ -185,7 +196,7 @@ c AS (
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 l AS ({levels}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT l.* FROM l JOIN good USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT DISTINCT body, l.stratum, rule, level FROM l JOIN good USING (doc_id) JOIN t USING (doc_id) WHERE NOT base_failed),
 tot AS (SELECT stratum, rule, count(*) AS n FROM h GROUP BY ALL),
 test AS (
   SELECT tot.stratum, tot.rule, n, cutoff, (SELECT count(*) FROM h WHERE h.stratum = tot.stratum AND h.rule = tot.rule AND h.level >= g.cutoff) AS k

@@ -42,7 +42,7 @@ def test_features_against_brute_force(spark):
 
 
 def test_binomial_tail(spark):
-    cases = [(n, k) for n in (1, 5, 300, 20_000) for k in (0, 1, 3, 25) if k < n * 0.01]
+    cases = [(n, k) for n in (1, 5, 300, 20_000) for k in (0, 1, 3, 25) if k < n * 0.01] + [(2_000_000, 19_000), (2_000_000, 19_900), (400_000, 3900)]
     df = spark.createDataFrame([(5, 0), *cases], "n long, k long").withColumn("p", binomial_tail("n", "k", 0.01))
     for x in df.collect():
         want = sum(math.exp(math.lgamma(x.n + 1) - math.lgamma(i + 1) - math.lgamma(x.n - i + 1) + i * math.log(0.01) + (x.n - i) * math.log(0.99)) for i in range(x.k + 1))
@@ -59,6 +59,9 @@ def corpus():
         docs.append({"doc_id": i, "text": text, "lang": r.choice(["en", "en", "en", "de", None])})
         if r.random() < 0.8:
             labels.append({"doc_id": i, "quality": int(not bad), "toxic": 0})
+    for i in range(1500, 1700):  # copies of one text count once
+        docs.append({"doc_id": i, "text": docs[0]["text"] + " #", "lang": "de"})
+        labels.append({"doc_id": i, "quality": 1, "toxic": 0})
     return docs, labels
 
 
