@@ -9,7 +9,7 @@ A fingerprint keeps the prefix hashes at cut points only. A cut stands where the
 cuts of a coarser level are a subset of those of a finer one. The spans between cuts of two fingerprints,
 hashed through their kept prefixes, are compared: the likeness is the share of the longer text that lies
 in spans both have. Where cuts are far apart or none is left (windows that repeat), even cuts counted from the
-last one stand in. Prefix hashes at fixed rungs, which grow by an eighth up to the text's length, are kept as well;
+last one stand in. Prefix hashes at fixed rungs, which grow by a sixteenth up to the text's length, are kept as well;
 a binary search over them finds the common prefix to the rung, which counts where it is the larger share.
 """
 
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,7 @@ _WIDE = 4
 def _rungs() -> np.ndarray:
     at = [0]
     while at[-1] < 1 << 31:  # no string is longer
-        at.append(at[-1] + max(1, at[-1] // 8))
+        at.append(at[-1] + max(1, at[-1] // 16))
     return np.array(at[1:])
 
 
@@ -266,43 +267,65 @@ def _chain(batches):
         yield arrow_batches(_OUT, dict(zip(_OUT, zip(*out))))
 
 
-def fingerprints(docs: DataFrame, rows_per_bucket: int = 6000) -> DataFrame:
+#: Buckets at most, and rows that their bounds are taken from for each. Bounds only balance the buckets: beyond them each grows.
+MOST_BUCKETS, SAMPLED_PER_BUCKET = 1 << 15, 64
+_PREFIX = 24
+
+
+def _order_key() -> Column:
+    """What orders rows but for the rest of long texts: null ids first, ids, beginnings of texts."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.left("text", F.lit(_PREFIX)), F.lit("")).alias("beginning"))
+
+
+def _bounds(docs: DataFrame, rows_per_bucket: int, bytes_per_bucket: int) -> list[tuple[bool, int, str]]:
+    """The least key of each bucket, in order; none for an empty table. Keys of rows that are there."""
+    key = _order_key()
+    facts = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min(key).alias("first")).first()
+    if not facts["rows"]:
+        return []
+    n = min(MOST_BUCKETS, max(1, -(-facts["rows"] // rows_per_bucket), -(-facts["bytes"] // bytes_per_bucket)))
+    bounds = {tuple(facts["first"])}
+    if n > 1:
+        share = min(1.0, n * SAMPLED_PER_BUCKET / facts["rows"])
+        sample = docs.select(key.alias("key")) if share == 1.0 else docs.select(key.alias("key")).sample(share, seed=11)
+        counted = sorted((tuple(r["key"]), r["count"]) for r in sample.groupBy("key").count().collect())  # some n * SAMPLED_PER_BUCKET rows at most
+        total, seen, made = sum(c for _, c in counted), 0, 0
+        for k, c in counted:
+            if seen * n >= (made + 1) * total:
+                bounds.add(k)
+                made = seen * n // total
+            seen += c
+    return sorted(bounds, key=lambda b: (b[0], b[1], b[2].encode()))
+
+
+def fingerprints(docs: DataFrame, rows_per_bucket: int = 6000, bytes_per_bucket: int = 32 << 20) -> DataFrame:
     """Fingerprint each text and its edit against the next document in ascending (doc_id, text).
 
-    Ranges of doc_id, cut at quantiles, are sorted apart: one shuffle of the texts, each dealt to the
-    bucket of its range; the first document of a range also goes to the end of the range before (that
-    of the first range to the last), so no order over all rows is needed.
+    Ranges of doc_id and beginning of the text, cut by a sample, are sorted apart: one shuffle of the texts, each
+    dealt to the bucket of its range; the first documents of a range also go to the end of the range before (those
+    of the first range to the last), so no order over all rows is needed, and rows that share a doc_id, or have
+    none, are split as well.
 
     A null text counts as empty (n_chars 0, likeness 1 to another empty text, 0 to any other). A null
-    doc_id sorts first. Rows with one doc_id follow each other by text; repeated rows are kept. A
-    single document is its own successor. An empty table gives an empty result. Columns other than
-    doc_id and text are ignored."""
+    doc_id sorts first. Rows with one doc_id follow each other by text; repeated rows are kept. A very long text is
+    fingerprinted whole. A single document is its own successor. An empty table gives an empty result. Columns other
+    than doc_id and text are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    spark = docs.sparkSession
-    rows = docs.select(F.count("*")).first()[0]
-    if not rows:
-        return spark.createDataFrame([], _SCHEMA)
-    n = max(1, min(1 << 14, -(-rows // rows_per_bucket)))
-    cuts = docs.select(
-        F.min(key).alias("first"), F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 100 * n).alias("cuts")
-    ).first()
-    bounds = sorted({cuts["first"], *(cuts["cuts"] if n > 1 else [])})
+    bounds = _bounds(docs, rows_per_bucket, bytes_per_bucket)
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
     steps = (len(bounds) - 1).bit_length()
-    padded = bounds + [(1 << 63) - 1] * ((1 << steps) + 1 - len(bounds))
-    array = F.lit(padded)
+    array = F.from_json(F.lit(json.dumps([{"known": b, "id": i, "beginning": t} for b, i, t in bounds])), "array<struct<known:boolean,id:bigint,beginning:string>>")
     # the last bound that is not above the key, by binary search
     find = F.aggregate(
         F.lit([1 << k for k in reversed(range(steps))]) if steps else F.array().cast("array<int>"),
         F.lit(0),
-        lambda low, step: F.when((low + step < len(bounds)) & (F.get(array, low + step) <= key), low + step).otherwise(low),
+        lambda low, step: F.when((low + step < len(bounds)) & (F.get(array, low + step) <= F.col("key")), low + step).otherwise(low),
     )
-    placed = docs.withColumn("at", find)
+    placed = docs.withColumn("key", _order_key()).withColumn("at", find)
     here = F.struct(F.col("at").alias("bucket"), F.lit(0).alias("tail"))
     before = F.struct(((F.col("at") + len(bounds) - 1) % len(bounds)).alias("bucket"), F.lit(1).alias("tail"))
-    dealt = placed.select(
-        "doc_id", "text", F.inline(F.when(F.get(array, F.col("at")) == key, F.array(here, before)).otherwise(F.array(here)))
-    )
+    dealt = placed.select("doc_id", "text", F.inline(F.when(F.get(array, F.col("at")) == F.col("key"), F.array(here, before)).otherwise(F.array(here))))
     return (
         dealt.repartitionById(len(bounds), F.col("bucket"))
         .sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

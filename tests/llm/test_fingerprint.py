@@ -61,8 +61,27 @@ def test_repetitive_texts_keep_their_likeness():
             assert likeness(a, fp("#" + text[1:])) > 0.7, (period, n)
 
 
+def test_the_edit_is_told_to_a_twentieth():
+    r = random.Random(9)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    for n in (400, 1500, 5000, 8000, 60_000):
+        for text in (prose(n), "x" * n, ("ab" * n)[:n], ("One sentence again and again. " * n)[:n]):
+            share = 1 - n // 4 / n
+            assert abs(likeness(fp(text), fp(edited(text, prose(n)))) - share) < 0.05, (n, text[:10])
+
+
+def test_rows_that_share_an_id_are_split(spark):
+    r = random.Random(6)
+    rows = [(None if i % 2 else 7, "".join(r.choices("abcé", k=r.randint(0, 60)))) for i in range(80)] + [(-(1 << 63), "least"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], SCHEMA).repartition(3)
+    out = fingerprints(df, 5)
+    assert sorted((tuple(x) for x in out.collect()), key=str) == expected(rows)
+    sizes = [sum(1 for _ in p) for p in out.rdd.glom().collect()]
+    assert max(sizes) <= 20 and fingerprints(df, 1000, 300).rdd.getNumPartitions() > 5
+
+
 def expected(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0], r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     out = []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
