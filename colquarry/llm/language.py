@@ -22,6 +22,8 @@ from .shared import materialize, text_chunks
 
 #: Labelled texts that the trigram counts are fitted on, in expectation.
 SAMPLE_ROWS = 20_000
+#: Languages that a model knows at most, the most frequent ones of the sample: their weights, 16 MB, go to every task.
+MOST_LANGUAGES = 64
 #: Trigrams overlap, so their evidence counts for this share.
 TEMPER = 0.3
 #: Rows that a parent's prior counts for.
@@ -64,12 +66,20 @@ class Model:
         return total, count
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on columns lang and text: about ``sample_rows`` rows, chosen by a hash of both, evenly."""
+def in_sample(rows: int, sample_rows: int = SAMPLE_ROWS) -> Column:
+    """Whether a row of columns lang and text is one that ``fit`` learns from, out of so many rows."""
+    share = min(1.0, sample_rows / max(1, rows))
+    return F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fit on columns lang and text: about ``sample_rows`` rows, chosen by a hash of both, evenly, and of these the
+    ``most_languages`` most frequent languages. Rows without either are left out; very long texts count whole."""
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
     rows = labelled.select(F.count("*")).first()[0]
-    share = min(1.0, sample_rows / max(1, rows))
-    chosen = labelled.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = labelled.where(in_sample(rows, sample_rows))
+    frequent = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    chosen = chosen.where(F.col("lang").isin([r["lang"] for r in frequent]))
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +119,7 @@ def identify(docs: DataFrame, model: Model, keys: list[str], host: Column, suffi
     given evidence.
 
     lang: the language of the highest posterior (of equals the one that sorts last), null for a text without
-    letters (null and empty texts as well); kept: lang is known with a posterior of ``least`` or more. Evidence
+    letters (null and empty texts as well); a very long text counts whole; kept: lang is known with a posterior of ``least`` or more. Evidence
     that is null, and a declared language that no language of the model starts, is left out. Hosts and declared
     languages may hold any share of the rows: they are summed by partial aggregates and joined back by tables of a
     row for each. Repeated rows are kept, an empty table gives an empty result."""

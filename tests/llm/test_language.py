@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colquarry.llm.language import STRENGTH, TEMPER, Model, fit, identify, page_evidence, page_text, trigrams
+from colquarry.llm.language import STRENGTH, TEMPER, Model, fit, identify, in_sample, page_evidence, page_text, trigrams
 from colquarry.llm.shared import text_chunks
 
 WORDS = {"en": "the and of thing water house with from".split(), "de": "der und wasser haus mit schön für über".split(), "fr": "le et eau maison avec où élève".split()}
@@ -76,6 +76,46 @@ def test_held_out_accuracy_and_evidence(spark):
     assert got.lang == "de"
 
 
+def counted(text):
+    """Trigram buckets of a text, byte by byte."""
+    x = [b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 128 else 32 for b in text.encode()]
+    return [(((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF) >> 17 for a, b, c in zip(x, x[1:], x[2:]) if b != 32]
+
+
+def test_the_text_model_against_brute_force(spark):
+    labelled = [(r[2], r[1]) for r in texts(4, 90)] + [("fr", "MAJUSCULES, été 12!"), ("de", None), (None, "words"), ("en", ""), ("en", "thing " * 30_000)]
+    model = fit(spark.createDataFrame(labelled, "lang string, text string").repartition(4))
+    table = {lang: np.full(1 << 15, 0.5) for lang in ("de", "en", "fr")}
+    for lang, text in labelled:
+        if lang and text:
+            np.add.at(table[lang], counted(text), 1)
+    assert model.languages == sorted(table)
+    for j, lang in enumerate(model.languages):
+        assert np.allclose(model.weights[:, j], np.log(table[lang] / table[lang].sum()), rtol=1e-12)
+    asked = ["the house", "Über Wasser", "zz", "", None, "maison " * 20_000]
+    total, count = model.likelihoods(pa.array(asked))
+    for i, text in enumerate(asked):
+        found = counted(text or "")
+        assert count[i] == len(found) and np.allclose(total[i], model.weights[found].sum(axis=0), rtol=1e-9)
+
+
+def test_only_the_frequent_languages_are_learnt(spark):
+    rows = [(f"l{i % 7}", f"word{i} text") for i in range(60)] + [("rare", "a single one")]
+    assert fit(spark.createDataFrame(rows, "lang string, text string"), most_languages=7).languages == [f"l{i}" for i in range(7)]
+
+
+def test_documents_outside_the_sample(spark):
+    """Documents get the language of their label, though neither it nor their text was learnt."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null and lang is not null")
+    model = fit(docs, sample_rows=600)
+    rows = docs.count()
+    held = docs.where(~in_sample(rows, 600)).withColumn("label", F.col("lang"))
+    nothing = F.lit(None).cast("string")
+    found = identify(held, model, ["doc_id", "label"], F.col("source"), nothing, nothing)
+    sums = found.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("label")).alias("right"), F.count_if("kept").alias("kept")).first()
+    assert sums["n"] > 5000 and sums["right"] / sums["n"] > 0.98 and sums["kept"] / sums["n"] > 0.98, sums
+
+
 def test_no_labels(spark):
     model = fit(spark.createDataFrame([], "lang string, text string"))
     df = spark.createDataFrame([(1, "words", None, "h", "t", 1, "x")], SCHEMA)
