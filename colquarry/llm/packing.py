@@ -125,12 +125,13 @@ def pack(
 
     A document is its ids and the end id; a null or empty text is the end id alone. One row per piece:
     doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for). Rows that share a
-    doc_id are documents of their own. An empty table gives an empty result. A null doc_id stays null.
+    doc_id are documents of their own. An empty table gives an empty result. A null doc_id stays null. A very long
+    text is cut into pieces of ``capacity``, of which the first may be shorter.
     Columns other than doc_id and text are ignored."""
     spark = docs.sparkSession
     made = materialize(pieces(docs, tokenizer_path or default_path(), capacity, end_id, with_ids), "pieces")
     buckets = max(1, -(-made.count() // rows_per_bucket))
-    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     counts = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     planned = spark.createDataFrame(
@@ -138,7 +139,7 @@ def pack(
     )
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "bucket", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = made.withColumn("inside", inside).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
     k = F.col("rank") - F.col("first_rank")
     return (
