@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import oracle_sql as jaccard_sql
 from .license import oracle_sql as license_sql
 from .quality import oracle_sql as quality_sql
 from .shared import documents
@@ -25,8 +26,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the evidence of their markup and address, and documents, whose source is their host and whose
-    lang is what they declare; the text likelihoods are fitted on documents."""
+    """Pages with the evidence of their markup and address, and documents, whose source is their host. The text
+    likelihoods are fitted on documents, so their lang is a label and no evidence of theirs."""
     from .language import fit, identify, page_evidence, page_text
 
     docs = documents(spark, sf_dir)
@@ -34,7 +35,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = F.lit(None)
     evidence = page_evidence(F.col("url"), F.col("html"))
     rows = docs.select(
-        "doc_id", nothing.cast("long").alias("page_id"), "text", F.col("source").alias("host"), nothing.cast("string").alias("suffix"), F.col("lang").alias("declared")
+        "doc_id", nothing.cast("long").alias("page_id"), "text", F.col("source").alias("host"), nothing.cast("string").alias("suffix"), nothing.cast("string").alias("declared")
     ).union(pages.select(nothing.cast("long"), "page_id", page_text(F.col("html")), evidence["host"], evidence["suffix"], evidence["declared"]))
     return identify(rows, fit(docs), ["doc_id", "page_id"], F.col("host"), F.col("suffix"), F.col("declared"))
 
@@ -64,9 +65,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import replaced
+    from .pii import replaced, session_key
 
-    return replaced(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return replaced(documents(spark, sf_dir), session_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard_sql(4, 85, 100),
     "op6_quality": quality_sql(),
     "op10_license_scan": license_sql(),
 }
