@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colquarry.llm.jaccard import near_duplicates
 from colquarry.llm.language import fit, identify
 from colquarry.llm.packing import pack
-from colquarry.llm.pii import replaced
+from colquarry.llm.pii import replaced, session_key
 from colquarry.llm.quality import judge
 from colquarry.llm.shared import Tables, documents
 
@@ -34,15 +34,18 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't known: without letters, or none with half of the posterior.
 
-    The source is the host, the column lang what the document declares; there is no address suffix."""
+    The source is the host. The column lang has the labels that the text model is fitted on, so it is no evidence; there
+    is no address suffix. Null and empty texts go, very long ones are judged whole, repeated rows alike; an empty
+    table gives an empty result."""
     keyed = _keyed(docs)
     nothing = F.lit(None).cast("string")
-    found = identify(keyed, fit(docs), ["_key"], F.col("source"), nothing, F.col("lang"))
+    found = identify(keyed, fit(docs), ["_key"], F.col("source"), nothing, nothing)
     return _without(keyed, found.where("not kept"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or a certified cutoff of their language."""
+    """Drops documents that fail the base rules or a certified cutoff of their language. Null and empty texts fail,
+    very long ones are judged whole, repeated rows alike; an empty table gives an empty result."""
     keyed = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _without(keyed, judge(keyed, labels, carry=["_key"]).where("not kept"))
@@ -65,12 +68,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates; n_chars follows the new text."""
-    return replaced(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Replaces personal data by surrogates; n_chars follows the new text. Null and empty texts stay as they are, very
+    long ones are searched whole, repeated rows are treated alike; an empty table gives an empty result."""
+    return replaced(docs.select(*COLUMNS), session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens."""
+    """Packs the documents into sequences of 1024 tokens: a row for each piece. Null and empty texts are an end each,
+    very long ones are cut, repeated rows are packed each; an empty table gives an empty result."""
     return pack(docs)
 
 
