@@ -56,16 +56,11 @@ def version(created_by: Column) -> Column:
     return F.coalesce(after(r"(?i)version ([0-9.-]*)"), after(r"(?i)v([0-9.-]*)"))
 
 
-def as_text(c: Column, null: str = "NULL") -> Column:
-    return F.coalesce(c.cast("string"), F.lit(null))
-
-
 def epoch_ms(c: Column, kind: T.DataType) -> Column:
     """Milliseconds since 1970, cut towards zero."""
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long") * 86_400_000
-    us = F.unix_micros(c.cast("timestamp"))
-    return F.when(us >= 0, F.floor(us / F.lit(1000))).otherwise(F.ceil(us / F.lit(1000))).cast("long")
+    return F.call_function("div", F.unix_micros(c.cast("timestamp")), F.lit(1000))
 
 
 def approximate_year(ms: Column) -> Column:
@@ -87,6 +82,23 @@ def duration_text(ms: Column) -> Column:
     return out
 
 
+def epoch_text(seconds: Column) -> Column:
+    """Seconds since 1970 as a date and time in UTC."""
+    plain = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.concat(F.date_format(plain, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+#: The sign that stands for a physical type.
+ICONS = {"INT32": "#", "INT64": "#", "FLOAT": "~", "DOUBLE": "~", "BYTE_ARRAY": '"', "FIXED_LEN_BYTE_ARRAY": '"', "BOOLEAN": "?"}
+
+
+def type_icon(physical: Column) -> Column:
+    out = F.lit(".")
+    for name, sign in ICONS.items():
+        out = F.when(physical == name, F.lit(sign)).otherwise(out)
+    return out
+
+
 def shortened(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n - 1), F.lit("…")))
 

@@ -43,21 +43,29 @@ def dataset_diff(left_files: DataFrame, right_files: DataFrame, left_columns: in
 
 def schema_consistency(leaves: DataFrame) -> DataFrame:
     """(path, column_name, kind, expected, found): how each file's leaves differ from those of the first by path:
-    added, removed, physical type, logical type, repetition."""
+    added, removed, physical type, logical type, repetition. A schema is a map in a row; the first one is broadcast."""
     first = F.lit(leaves.agg(F.min("path")).first()[0])
     facts = ("physical_type", "logical_type", "repetition")
-    base = leaves.where(F.col("path") == first).select("leaf_path", *(F.col(c).alias(f"b_{c}") for c in facts), F.lit(True).alias("b"))
-    others = leaves.where(F.col("path") != first)
-    every = others.select("path").distinct().join(F.broadcast(base))  # a schema for each file
-    both = every.join(others.select("path", "leaf_path", *facts, F.lit(True).alias("o")), ["path", "leaf_path"], "full_outer")
-    kinds = [
-        F.when(F.col("b").isNull(), F.struct(F.lit("column_added").alias("kind"), F.lit(None).cast("string").alias("expected"), F.col("physical_type").alias("found"))),
-        F.when(F.col("o").isNull(), F.struct(F.lit("column_removed").alias("kind"), F.col("b_physical_type").alias("expected"), F.lit(None).cast("string").alias("found"))),
-    ] + [
-        F.when(F.col("b") & F.col("o") & ~F.col(f"b_{c}").eqNullSafe(F.col(c)), F.struct(F.lit(f"{c}_changed").alias("kind"), F.col(f"b_{c}").alias("expected"), F.col(c).alias("found")))
-        for c in facts
-    ]
-    return both.select("path", F.col("leaf_path").alias("column_name"), F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
+    schemas = leaves.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("leaf_path", F.struct(*facts)))).alias("own"))
+    base = schemas.where(F.col("path") == first).select(F.col("own").alias("base"))
+    both = schemas.where(F.col("path") != first).crossJoin(F.broadcast(base))  # one row, as wide as a schema
+    names = F.array_union(F.map_keys("base"), F.map_keys("own"))
+    each = both.select("path", F.explode(names).alias("column_name"), "base", "own").select("path", "column_name", F.element_at("base", F.col("column_name")).alias("b"), F.element_at("own", F.col("column_name")).alias("o"))
+    kind = lambda test, name, expected, found: F.when(test, F.struct(F.lit(name).alias("kind"), expected.alias("expected"), found.alias("found")))
+    b, o, nothing = F.col("b"), F.col("o"), F.lit(None).cast("string")
+    kinds = [kind(b.isNull(), "column_added", nothing, o["physical_type"]), kind(o.isNull(), "column_removed", b["physical_type"], nothing)]
+    kinds += [kind(b.isNotNull() & o.isNotNull() & ~b[c].eqNullSafe(o[c]), f"{c}_changed", b[c], o[c]) for c in facts]
+    return each.select("path", "column_name", F.inline(F.filter(F.array(*kinds), lambda k: k.isNotNull())))
+
+
+def schema_messages(leaves: DataFrame) -> DataFrame:
+    """(path, message) for each missing or extra column and each other physical type, against the first file."""
+    name, kind = F.col("column_name"), F.col("kind")
+    text = (
+        F.when(kind == "column_removed", F.format_string("missing column '%s'", name)).when(kind == "column_added", F.format_string("extra column '%s'", name))
+        .when(kind == "physical_type_changed", F.format_string("column '%s' type %s vs %s", name, "expected", "found"))
+    )
+    return schema_consistency(leaves).select("path", F.concat("path", F.lit(": "), text).alias("message")).where("message is not null")
 
 
 def regressions(base_schema: DataFrame, schema: DataFrame, base_scores: DataFrame, scores: DataFrame, base_stats: DataFrame, stats: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Column profiles: one pass for all columns' moments, counts and patterns, one for histograms, one for top values.
+"""Column profiles: one pass for all columns' moments, counts and patterns, one for histograms and top values.
 
 Every statistic of the first pass is an aggregate with a partial step, so a profile shuffles one row per task; the
-wide row is turned into a row per column by inline(array(struct)). NaN is left out of numeric statistics.
+wide row is turned into a row per column by inline(array(struct)). The second pass counts bins and values of all
+columns together, in the columns' own types. NaN is left out of numeric statistics.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from ..functions import scalars as S
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 _QUANTILE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
-#: Columns that go into one aggregation; more would outgrow generated code.
-COLUMNS_AT_ONCE = 12
+#: Columns that go into one aggregation, each with a sketch or two of some 16 kB in a task.
+COLUMNS_AT_ONCE = 64
+#: Registers of the sketch of distinct values, as a power of two: an error of 0.65 %.
+DISTINCT_BITS = 14
 TOP_N, TOP_MOST_DISTINCT = 20, 10_000
 
 
@@ -68,57 +71,68 @@ def per_column(df: DataFrame, columns: list[str], statistics) -> DataFrame:
     return out
 
 
-def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact_quantiles: bool = False) -> DataFrame:
-    """column_name, count, mean, stddev, min, max, skewness, kurtosis (excess) and p1 .. p99 of the numeric columns.
+NUMERIC = ("count", "mean", "stddev", "min", "max", "skewness", "kurtosis", *_QUANTILE_NAMES)
+
+
+def _numeric(c: str, statistics: tuple[str, ...], exact: bool) -> dict[str, Column]:
+    x = _number(c)
+    moments = {"count": F.count(x), "mean": F.avg(x), "stddev": F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x)}
+    wanted = [q for q, n in zip(QUANTILES, _QUANTILE_NAMES) if n in statistics]
+    out = {k: v if k == "count" else F.coalesce(v, F.lit(0.0)) for k, v in moments.items() if k in statistics}
+    return out | ({"_at": F.percentile(x, wanted) if exact else F.percentile_approx(x, wanted, 10_000)} if wanted else {})
+
+
+def _quantiles(at: Column, statistics: tuple[str, ...]) -> list[Column]:
+    names = [n for n in _QUANTILE_NAMES if n in statistics]
+    return [F.coalesce(F.get(at, F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
+
+
+def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact_quantiles: bool = False, statistics: tuple[str, ...] = NUMERIC) -> DataFrame:
+    """column_name and the ``statistics`` (count, mean, stddev, min, max, skewness, excess kurtosis, p1 .. p99) of the
+    numeric columns; what isn't asked for isn't computed.
 
     Population moments; 0 for shape statistics of a constant, and for all of them without values. Quantiles come
     from a bounded sketch (percentile_approx); ``exact_quantiles`` interpolates over all values instead, which
     keeps each distinct value in memory."""
+    wide = per_column(df, numeric_columns(df, columns), lambda c: _numeric(c, statistics, exact_quantiles))
+    kept = [c for c in wide.columns if c != "_at"]
+    return wide.select(*kept, *(_quantiles(F.col("_at"), statistics) if "_at" in wide.columns else []))
 
-    def statistics(c: str) -> dict[str, Column]:
-        x, zero = _number(c), F.lit(0.0)
-        at = F.percentile(x, [*QUANTILES]) if exact_quantiles else F.percentile_approx(x, [*QUANTILES], 10_000)
-        moments = {"count": F.count(x), "mean": F.avg(x), "stddev": F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x)}
-        return {k: v if k == "count" else F.coalesce(v, zero) for k, v in moments.items()} | {"_at": at}
 
-    wide = per_column(df, numeric_columns(df, columns), statistics)
-    quantiles = [F.coalesce(F.get("_at", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(_QUANTILE_NAMES)]
-    return wide.select("*", *quantiles).drop("_at")
+def _string(c: str) -> dict[str, Column]:
+    x, n = _q(c), F.count(_q(c))
+    share = lambda p: S.percentage(F.count_if(x.rlike(p)), n)
+    size = F.octet_length(x)
+    return {
+        "count": n, "empty_count": F.count_if(x == ""), "whitespace_count": F.count_if(x.rlike(S.BLANK)), "min_length": F.coalesce(F.min(size), F.lit(0)),
+        "max_length": F.coalesce(F.max(size), F.lit(0)), "mean_length": F.coalesce(F.avg(size), F.lit(0.0)), "numeric_pct": share(S.NUMERIC),
+        "email_pct": share(S.EMAIL), "uuid_pct": share(S.UUID), "iso_date_pct": share(S.ISO_DATE),
+    }
 
 
 def string_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, empty_count, whitespace_count, min/max/mean length in bytes and the shares of four patterns in %."""
+    return per_column(df, string_columns(df, columns), _string)
 
-    def statistics(c: str) -> dict[str, Column]:
-        x, n = _q(c), F.count(_q(c))
-        share = lambda p: S.percentage(F.count_if(x.rlike(p)), n)
-        size = F.octet_length(x)
-        return {
-            "count": n, "empty_count": F.count_if(x == ""), "whitespace_count": F.count_if(x.rlike(S.BLANK)), "min_length": F.coalesce(F.min(size), F.lit(0)),
-            "max_length": F.coalesce(F.max(size), F.lit(0)), "mean_length": F.coalesce(F.avg(size), F.lit(0.0)), "numeric_pct": share(S.NUMERIC),
-            "email_pct": share(S.EMAIL), "uuid_pct": share(S.UUID), "iso_date_pct": share(S.ISO_DATE),
-        }
 
-    return per_column(df, string_columns(df, columns), statistics)
+def _boolean(c: str) -> dict[str, Column]:
+    x = _q(c)
+    return {"true_count": F.count_if(x), "false_count": F.count_if(~x), "null_count": F.count_if(x.isNull()), "true_pct": S.percentage(F.count_if(x), F.count(x))}
 
 
 def boolean_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    def statistics(c: str) -> dict[str, Column]:
-        x = _q(c)
-        return {"true_count": F.count_if(x), "false_count": F.count_if(~x), "null_count": F.count_if(x.isNull()), "true_pct": S.percentage(F.count_if(x), F.count(x))}
+    return per_column(df, boolean_columns(df, columns), _boolean)
 
-    return per_column(df, boolean_columns(df, columns), statistics)
+
+def _temporal(c: str, kind: T.DataType) -> dict[str, Column]:
+    ms = S.epoch_ms(_q(c), kind)
+    low, high = F.min(ms), F.max(ms)
+    return {"count": F.count(ms), "null_count": F.count_if(_q(c).isNull()), "min_ms": low, "max_ms": high, "range_days": ((high - low) / 86_400_000.0)}
 
 
 def temporal_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     types = kinds(df)
-
-    def statistics(c: str) -> dict[str, Column]:
-        ms = S.epoch_ms(_q(c), types[c])
-        low, high = F.min(ms), F.max(ms)
-        return {"count": F.count(ms), "null_count": F.count_if(_q(c).isNull()), "min_ms": low, "max_ms": high, "range_days": ((high - low) / 86_400_000.0)}
-
-    return per_column(df, temporal_columns(df, columns), statistics)
+    return per_column(df, temporal_columns(df, columns), lambda c: _temporal(c, types[c]))
 
 
 def year_distribution(df: DataFrame, column: str, calendar: bool = False) -> DataFrame:
@@ -127,44 +141,113 @@ def year_distribution(df: DataFrame, column: str, calendar: bool = False) -> Dat
     return df.where(_q(column).isNotNull()).groupBy(year.alias("year")).agg(F.count("*").alias("count")).orderBy("year")
 
 
+def approx_distinct(*columns: Column) -> Column:
+    """Distinct non-null values by a sketch, which is one binary field of an aggregation."""
+    known = F.when(columns[0].isNotNull(), F.xxhash64(*columns)) if len(columns) == 1 else F.xxhash64(*columns)  # of several, whole rows
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(known, F.lit(DISTINCT_BITS))), F.lit(0).cast("long"))
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """Distinct non-null values of each column, by HyperLogLog at 0.813 % or exactly."""
-    count = F.count_distinct if exact else lambda c: F.approx_count_distinct(c, 0.00813)
+    """Distinct non-null values of each column, by a HyperLogLog sketch or exactly."""
+    count = F.count_distinct if exact else approx_distinct
     return per_column(df, list(kinds(df, columns)), lambda c: {"distinct_count": count(_q(c))})
 
 
+#: How values travel while they are counted: whole numbers, days and microseconds as long, and so on.
+_CARRIED = ("whole", "real", "text")
+
+
+def _carried(c: str, kind: T.DataType) -> tuple[str, Column]:
+    x = _q(c)
+    if isinstance(kind, T.DateType):
+        return "whole", F.unix_date(x).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return "whole", F.unix_micros(x)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "whole", x.cast("long")
+    if isinstance(kind, T.DoubleType):
+        return "real", x
+    return "text", x.cast("string")
+
+
+def _as_text(kind: T.DataType) -> Column:
+    whole = F.col("whole")
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(whole.cast("int")).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(whole).cast("string")
+    if isinstance(kind, T.BooleanType):
+        return whole.cast("boolean").cast("string")
+    if isinstance(kind, T.IntegralType):
+        return whole.cast("string")
+    return F.col("real").cast("string") if isinstance(kind, T.DoubleType) else F.col("text")
+
+
+def _entry(place: int, bin_: Column | None, carried: tuple[str, Column] | None) -> Column:
+    types = {"whole": "long", "real": "double", "text": "string"}
+    values = {k: F.lit(None).cast(t) for k, t in types.items()} | (dict([carried]) if carried else {})
+    return F.struct(F.lit(place).alias("place"), (F.lit(None) if bin_ is None else bin_).cast("int").alias("bin"), *(v.alias(k) for k, v in values.items()))
+
+
+def _named(counts: DataFrame, fields: dict[str, T.DataType], *more: str) -> DataFrame:
+    value, name = F.col("text"), F.lit(None).cast("string")
+    for i, (c, kind) in enumerate(fields.items()):
+        value = F.when(F.col("place") == i, _as_text(kind)).otherwise(value)
+        name = F.when(F.col("place") == i, F.lit(c)).otherwise(name)
+    return counts.select(name.alias("column_name"), *more, value.alias("value"), "count")
+
+
+def _with_rank(named: DataFrame, per) -> DataFrame:
+    rank = F.row_number().over(per.orderBy(F.desc("count"), "value"))
+    return named.withColumns({"rank": rank, "percentage": S.percentage(F.col("count"), F.sum("count").over(per))})
+
+
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_N, most_distinct: int = TOP_MOST_DISTINCT) -> DataFrame:
     """The ``n`` most frequent values of each column with fewer than ``most_distinct`` values: column_name, value,
     count, percentage (of non-null values) and rank; ties by value.
 
-    One aggregation over (column, value) pairs, combined before the shuffle; columns that have too many values by
-    the sketch are left out of it."""
-    chosen = list(kinds(df, columns))
+    One aggregation over (column, value) pairs in the columns' own types, combined before the shuffle; columns that
+    have too many values by the sketch are left out of it, so what is ranked has a bound."""
+    chosen = kinds(df, columns)
     if not chosen:
         raise ValueError("no column of this kind")
-    few = [r["column_name"] for r in distinct_counts(df, chosen).collect() if r["distinct_count"] < most_distinct]
-    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for c in few or chosen[:1]))
-    counts = df.select(F.inline(pairs)).where("value is not null" if few else "false").groupBy("column_name", "value").agg(F.count("*").alias("count"))
-    per = Window.partitionBy("column_name")
-    ranked = counts.withColumn("rank", F.row_number().over(per.orderBy(F.desc("count"), "value"))).withColumn("percentage", S.percentage(F.col("count"), F.sum("count").over(per)))
-    return ranked.where(F.col("rank") <= n)
+    few = {r["column_name"] for r in distinct_counts(df, list(chosen)).collect() if r["distinct_count"] < most_distinct}
+    fields = {c: t for c, t in chosen.items() if c in few}
+    entries = [_entry(i, None, _carried(c, t)) for i, (c, t) in enumerate(fields.items())]
+    pairs = df.select(F.inline(F.array(*entries))) if entries else df.select(F.inline(F.array(_entry(-1, None, None)))).where("false")
+    counts = _named(pairs.groupBy("place", *_CARRIED).agg(F.count("*").alias("count")), fields).where("value is not null")
+    return _with_rank(counts, Window.partitionBy("column_name")).where(F.col("rank") <= n)
+
+
+def _finite(c: str) -> Column:
+    x = _number(c)
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _bins(low: float, high: float, bins: int) -> tuple[int, float]:
+    """Number and width of the bins; the difference of two finite numbers may be infinite, their halves' isn't."""
+    bins = 1 if high - low < 2.220446049250313e-16 else bins
+    return bins, (high / bins - low / bins) if high - low == float("inf") else (high - low) / bins
+
+
+def _bin(x: Column, low: float, bins: int, width: float) -> Column:
+    place = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int") if bins > 1 else F.lit(0)
+    return F.when(x.isNotNull(), place)  # least passes over nulls
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins over [min, max], the last one closed; one bin if all values are equal; none without values."""
+    """Equal-width bins over [min, max] of the finite values, the last one closed; one bin if they are all equal; none
+    without any. Infinite values and NaN belong to no bin."""
     if bins < 1:
         raise ValueError("a histogram needs a bin")
-    x = df.select(_number(column).alias("x")).where("x is not null")
+    x = df.select(_finite(column).alias("x")).where("x is not null")
     edges = x.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
     spark = df.sparkSession
     if edges["low"] is None:
         return spark.createDataFrame([], "bin int, low double, high double, count long")
     low, high = edges["low"], edges["high"]
-    if high - low < 2.220446049250313e-16:
-        bins = 1
-    width = (high - low) / bins
-    place = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int") if bins > 1 else F.lit(0)
-    counts = x.groupBy(place.alias("bin")).agg(F.count("*").alias("count"))
+    bins, width = _bins(low, high, bins)
+    counts = x.groupBy(_bin(F.col("x"), low, bins, width).alias("bin")).agg(F.count("*").alias("count"))
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     edge = lambda k: F.lit(low) + k * F.lit(width)
     return every.join(counts, "bin", "left").select(
@@ -189,13 +272,90 @@ def string_length_histogram(df: DataFrame, column: str, bins: int = 20) -> DataF
     return every.join(counts, "bin", "left").select("bin", start.alias("low"), (start + width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, type, null_count, distinct_count and, where they apply, numeric, string, boolean and temporal."""
-    base = per_column(df, list(kinds(df, columns)), lambda c: {"row_count": F.count("*"), "null_count": F.count_if(_q(c).isNull()), "distinct_count": F.approx_count_distinct(_q(c), 0.00813)})
-    names = F.create_map(*(F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())))
-    out = base.withColumn("type", names[F.col("column_name")])
-    for name, which, make in (("numeric", numeric_columns, numeric_profile), ("string", string_columns, string_profile), ("boolean", boolean_columns, boolean_profile), ("temporal", temporal_columns, temporal_profile)):
-        if which(df, columns):
-            made = make(df, columns)
-            out = out.join(made.select("column_name", F.struct(*(c for c in made.columns if c != "column_name")).alias(name)), "column_name", "left")
+def _kind_struct(given: dict[str, Column] | None, like: list[tuple[str, str]]) -> Column:
+    typed = F.struct(*((given[k] if given else F.lit(None)).cast(t).alias(k) for k, t in like))
+    return typed if given else F.when(F.lit(False), typed)
+
+
+_KINDS = {
+    "numeric": [("count", "long"), *((k, "double") for k in NUMERIC if k != "count")],
+    "string": [(k, "long") for k in ("count", "empty_count", "whitespace_count", "min_length", "max_length")] + [(k, "double") for k in ("mean_length", "numeric_pct", "email_pct", "uuid_pct", "iso_date_pct")],
+    "boolean": [("true_count", "long"), ("false_count", "long"), ("null_count", "long"), ("true_pct", "double")],
+    "temporal": [("count", "long"), ("null_count", "long"), ("min_ms", "long"), ("max_ms", "long"), ("range_days", "double")],
+}
+
+
+def _kind(t: T.DataType) -> str | None:
+    tests = {"numeric": T.NumericType, "string": T.StringType, "boolean": T.BooleanType, "temporal": (T.DateType, T.TimestampType, T.TimestampNTZType)}
+    return next((k for k, types in tests.items() if isinstance(t, types)), None)
+
+
+def _first_pass(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
+    """A row for each column, from one aggregation over one scan for every COLUMNS_AT_ONCE columns."""
+    out: DataFrame | None = None
+    names = list(fields)
+    for a in range(0, len(names), COLUMNS_AT_ONCE):
+        aggregates, rows = [], []
+        for i, c in enumerate(names[a : a + COLUMNS_AT_ONCE]):
+            kind, t = _kind(fields[c]), fields[c]
+            base = {"row_count": F.count("*"), "null_count": F.count_if(_q(c).isNull())}
+            if not isinstance(t, (T.MapType, T.VariantType)):
+                base["distinct_count"] = approx_distinct(_q(c))
+            own = {"numeric": lambda: _numeric(c, NUMERIC, False), "string": lambda: _string(c), "boolean": lambda: _boolean(c), "temporal": lambda: _temporal(c, t)}.get(kind, dict)()
+            if kind == "numeric":
+                own |= {"_low": F.min(_finite(c)), "_high": F.max(_finite(c))}
+            aggregates += [x.alias(f"_{i}_{k}") for k, x in base.items()] + [x.alias(f"_{i}_own_{k}") for k, x in own.items()]
+            made = {k: F.col(f"_{i}_own_{k}") for k in own if not k.startswith("_")}
+            if kind == "numeric":
+                made |= {n: q for n, q in zip(_QUANTILE_NAMES, _quantiles(F.col(f"_{i}_own__at"), NUMERIC))}
+            edges = [F.col(f"_{i}_own_{k}") if kind == "numeric" else F.lit(None).cast("double") for k in ("_low", "_high")]
+            distinct = F.col(f"_{i}_distinct_count") if "distinct_count" in base else F.lit(None).cast("long")
+            rows.append(F.struct(
+                F.lit(c).alias("column_name"), F.lit(t.simpleString()).alias("type"), F.col(f"_{i}_row_count").alias("row_count"), F.col(f"_{i}_null_count").alias("null_count"), distinct.alias("distinct_count"),
+                *(_kind_struct(made if k == kind else None, like).alias(k) for k, like in _KINDS.items()), edges[0].alias("_low"), edges[1].alias("_high"),
+            ))
+        part = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no column of this kind")
     return out
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, bins: int = 30, top: int = TOP_N, most_distinct: int = TOP_MOST_DISTINCT) -> DataFrame:
+    """A row for each column: column_name, type, row_count, null_count, distinct_count (by a sketch; null for maps);
+    numeric, string, boolean and temporal, of which the one of its type is there; histogram (low, high, count of each
+    bin, of numeric columns with finite values) and top_values (value, count, rank and percentage, of columns with
+    fewer than ``most_distinct`` values).
+
+    Two scans: one for every statistic of all columns, which comes to the driver as a row for each column, and one
+    for the bins and values, which is left out where there is nothing to count."""
+    fields = kinds(df, columns)
+    spark = df.sparkSession
+    found = _first_pass(df, fields)
+    schema = found.schema
+    rows = found.collect()  # a row for each column
+    first = spark.createDataFrame(rows, schema)
+    facts, entries = {r["column_name"]: r for r in rows}, []
+    plan: dict[int, tuple[float, float, int, float]] = {}
+    for i, (c, t) in enumerate(fields.items()):
+        low, high = facts[c]["_low"], facts[c]["_high"]
+        if low is not None:
+            plan[i] = (low, high, *_bins(low, high, bins))
+            entries.append(_entry(i, _bin(_finite(c), low, *plan[i][2:]), None))
+        if (facts[c]["distinct_count"] or most_distinct) < most_distinct:
+            entries.append(_entry(i, None, _carried(c, t)))
+    counts = df.select(F.inline(F.array(*entries))) if entries else df.select(F.inline(F.array(_entry(-1, None, None)))).where("false")
+    counts = counts.groupBy("place", "bin", *_CARRIED).agg(F.count("*").alias("count"))
+    is_bin = F.col("bin").isNotNull()
+    found = _named(counts, fields, "bin").where(is_bin | F.col("value").isNotNull())
+    ranked = _with_rank(found, Window.partitionBy("column_name", is_bin)).where(is_bin | (F.col("rank") <= top))
+    details = ranked.groupBy("column_name").agg(
+        F.map_from_entries(F.collect_list(F.when(is_bin, F.struct("bin", "count")))).alias("_counts"),
+        F.nullif(F.array_sort(F.collect_list(F.when(~is_bin, F.struct("rank", "value", "count", "percentage")))), F.array().cast("array<struct<rank:int,value:string,count:bigint,percentage:double>>")).alias("top_values"),
+    )
+    names = list(fields)
+    edges = [(names[i], [(k, low + k * width, high if k == n - 1 else low + (k + 1) * width) for k in range(n)]) for i, (low, high, n, width) in plan.items()]
+    made = spark.createDataFrame(edges, "column_name string, _edges array<struct<bin:int,low:double,high:double>>")
+    bars = F.transform("_edges", lambda e: F.struct(e["low"].alias("low"), e["high"].alias("high"), F.coalesce(F.element_at("_counts", e["bin"]), F.lit(0)).alias("count")))
+    out = first.join(made, "column_name", "left").join(details, "column_name", "left")
+    return out.withColumn("histogram", bars).select(*(c for c in first.columns if not c.startswith("_")), "histogram", "top_values")

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .profile import approx_distinct, numeric_columns
 
 
 def column_stats(chunks: DataFrame, total_rows: Column | int) -> DataFrame:
-    """A row per column name: nulls and their share of ``total_rows``, distinct values (only if every chunk has
-    them), sizes, their ratio, and the least and greatest value."""
+    """A row per leaf: nulls and their share of ``total_rows``, distinct values (only if every chunk has them), sizes,
+    their ratio, and the least and greatest value, compared as numbers and times where they are such."""
     rows = total_rows if isinstance(total_rows, Column) else F.lit(total_rows)
     distinct = F.when(F.count("distinct_count") == F.count("*"), F.sum("distinct_count"))
+    kinds = [c for c in ("exact", "number", "micros") if f"min_{c}" in chunks.columns]
+    order = lambda end: F.struct(*(F.col(f"{end}_{c}") for c in kinds), F.col(end))
+    known = lambda end: F.when(F.col(end).isNotNull(), order(end))
     out = chunks.groupBy("column_name").agg(
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("total_null_count"), distinct.alias("total_distinct_count_estimate"), F.sum("uncompressed_size").alias("total_data_page_size"),
-        F.sum("compressed_size").alias("total_compressed_size"), F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.sum("compressed_size").alias("total_compressed_size"), F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number"),
+        F.min(known("min"))["min"].alias("min"), F.max(known("max"))["max"].alias("max"),
     )
     return out.withColumns({
         "null_percentage": S.percentage(F.col("total_null_count"), rows),
@@ -23,6 +28,10 @@ def column_stats(chunks: DataFrame, total_rows: Column | int) -> DataFrame:
     })
 
 
+def is_outlier(size: Column, mean: Column, spread: Column) -> Column:
+    return F.coalesce((spread > 0) & (F.abs(size - mean) > 2 * spread), F.lit(False))
+
+
 def uniformity(row_groups: DataFrame) -> DataFrame:
     """One row: the spread of rows and bytes, and the row groups beyond two deviations of the mean bytes."""
     agg = []
@@ -30,9 +39,7 @@ def uniformity(row_groups: DataFrame) -> DataFrame:
         x = F.col(c)
         agg += [F.avg(x).alias(f"{name}_mean"), F.median(x).alias(f"{name}_median"), F.stddev_pop(x).alias(f"{name}_stddev"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
     whole = row_groups.agg(F.count("*").alias("row_group_count"), *agg)
-    far = row_groups.join(F.broadcast(whole.select("bytes_mean", "bytes_stddev"))).where(  # one row
-        (F.col("bytes_stddev") > 0) & (F.abs(F.col("total_byte_size") - F.col("bytes_mean")) > 2 * F.col("bytes_stddev"))
-    )
+    far = row_groups.join(F.broadcast(whole.select("bytes_mean", "bytes_stddev"))).where(is_outlier(F.col("total_byte_size"), F.col("bytes_mean"), F.col("bytes_stddev")))  # one row
     return whole.join(F.broadcast(far.agg(F.array_sort(F.collect_list("index")).alias("outliers"))))
 
 
@@ -61,13 +68,13 @@ def bloom_filters(found: DataFrame) -> DataFrame:
 
 
 def nested(leaves: DataFrame) -> DataFrame:
-    """Leaves below the root: depth, levels, and whether a list, map or else a struct holds them."""
-    p = F.lower("leaf_path")
+    """Leaves below the root: depth, levels, what holds them, and whether that is a map, else a list, else structs."""
     depth = F.size(F.split("leaf_path", r"\.")) - 1
-    is_map = p.rlike(r"key_value(\.|$)") | p.rlike(r"\.map\.")
-    is_list = ~is_map & p.rlike(r"\.list(\.|$)|\.element(\.|$)|\.array(\.|$)")
-    out = leaves.where(depth > 0).select("path", "leaf_path", "column_name", depth.alias("nesting_depth"), "physical_type", "max_def_level", "max_rep_level", is_list.alias("is_list"), is_map.alias("is_map"))
-    return out.withColumn("is_struct", ~F.col("is_list") & ~F.col("is_map"))
+    has = lambda kind: F.array_contains("holders", kind)
+    return leaves.where(depth > 0).select(
+        "path", "leaf_path", "column_name", depth.alias("nesting_depth"), "physical_type", "max_def_level", "max_rep_level", "holders",
+        (~has("map") & has("list")).alias("is_list"), has("map").alias("is_map"), (~has("map") & ~has("list")).alias("is_struct"),
+    )
 
 
 def partitions(files: DataFrame) -> DataFrame:
@@ -117,34 +124,42 @@ def sort_order(groups: DataFrame) -> DataFrame:
     return out.select("column_name", order.alias("sort_order"), S.ratio(F.col("_up"), F.col("_pairs"), 1.0).alias("confidence"))
 
 
-def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, pearson) of every pair, over the rows where both are known numbers; 0 where one doesn't vary."""
+def pearson(a: Column, b: Column) -> Column:
+    both = a.isNotNull() & b.isNotNull()
+    u, v = F.when(both, a), F.when(both, b)
+    return F.covar_pop(u, v) / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0))
+
+
+#: Pairs that go into one aggregation.
+PAIRS_AT_ONCE = 64
+
+
+def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(a, b, pearson) of every pair of the numeric columns (or those given), over the rows where both are known
+    numbers; 0 where one doesn't vary. One scan for every PAIRS_AT_ONCE pairs."""
+    columns = numeric_columns(df) if columns is None else columns
     x = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
-    terms, names = [], []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            both = x(a).isNotNull() & x(b).isNotNull()
-            u, v = F.when(both, x(a)), F.when(both, x(b))
-            r = F.covar_pop(u, v) / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0))
-            terms.append(F.coalesce(r, F.lit(0.0)).alias(f"_{len(names)}"))
-            names.append((a, b))
-    same = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("pearson")) for c in columns]
-    if not names:
-        return df.limit(1).select(F.inline(F.array(*same)))
-    wide = df.agg(*terms)
-    rows = [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(f"_{k}").alias("pearson")) for k, (a, b) in enumerate(names) for p, q in ((a, b), (b, a))]
-    return wide.select(F.inline(F.array(*rows, *same)))
+    one = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(1.0).alias("pearson"))
+    names = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    row = lambda a, b, r: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("pearson"))
+    out = df.sparkSession.range(1).select(F.inline(F.array(*(row(c, c, F.lit(1.0)) for c in columns)) if columns else F.slice(F.array(one), 1, 0)))
+    for at in range(0, len(names), PAIRS_AT_ONCE):
+        part = names[at : at + PAIRS_AT_ONCE]
+        wide = df.agg(*(pearson(x(a), x(b)).alias(f"_{k}") for k, (a, b) in enumerate(part)))
+        value = lambda k: F.coalesce(F.nanvl(f"_{k}", F.lit(0.0)), F.lit(0.0))
+        out = out.union(wide.select(F.inline(F.array(*(row(p, q, value(k)) for k, (a, b) in enumerate(part) for p, q in ((a, b), (b, a)))))))
+    return out
 
 
 def duplicates(df: DataFrame, exact: bool = True) -> DataFrame:
     """total_rows, duplicate_rows and their share: rows beyond the first of equal ones (nulls are equal).
 
     Exact: a count per distinct row, combined before the shuffle; else by a sketch of row hashes, without one."""
-    columns = [f"`{c}`" for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in df.columns]
     if exact:
         out = df.groupBy(*columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
     else:
-        out = df.agg(F.count("*").alias("total_rows"), F.greatest(F.count("*") - F.approx_count_distinct(F.xxhash64(*columns), 0.00813), F.lit(0)).alias("duplicate_rows"))
+        out = df.agg(F.count("*").alias("total_rows"), F.greatest(F.count("*") - approx_distinct(*columns), F.lit(0)).alias("duplicate_rows"))
     out = out.withColumn("duplicate_pct", S.percentage(F.col("duplicate_rows"), F.col("total_rows")))
     return out.withColumns({"severity": S.duplicate_severity(F.col("duplicate_pct")), "is_exact": F.lit(exact)})
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import filter_rows, skipped_row_groups
+from .api import Dataset, check, duplicates, export, filter_count, filter_rows, find_columns, inspect, schema, skipped_row_groups, summary
 from .functions import scalars as S
 from .operators import compare as C
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import stats as A
+from .sources import sinks
 from .sources.footer import read_footers
-from .sources.paths import read
+from .sources.paths import preview, read, read_row_groups, scratch_folder
+from .streaming.watch import history, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,9 +84,27 @@ def filter_rows_limit(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-@query("filter_pruning", "SELECT CAST(1 AS BIGINT) AS total, CAST(1 AS BIGINT) AS skipped")
+def _dealt(spark: SparkSession, d: str, name: str, key: str, ways: int) -> str:
+    """A table written anew with a folder k=0, k=1, .. for each remainder of a key, a file in each."""
+    path = scratch_folder(spark, name)
+    df = table(spark, d, name).withColumn("k", F.col(key) % ways)
+    df.repartition(ways, "k").sortWithinPartitions("k", key).write.partitionBy("k").parquet(path)
+    return path
+
+
+_PRUNED = "o_totalprice > 400000 OR o_orderkey < 3 AND o_custkey >= 0"
+_BY_FILE = "(SELECT max(o_totalprice) AS p, min(o_orderkey) AS low, max(o_custkey) AS c FROM orders GROUP BY o_orderkey % 8)"
+
+
+@query("filter_pruning", f"SELECT count(*) AS total, count(*) FILTER (p <= 400000 AND (low >= 3 OR c < 0)) AS skipped FROM {_BY_FILE}")
 def filter_pruning(spark: SparkSession, d: str) -> DataFrame:
-    return skipped_row_groups(read_footers(spark, f"{d}/lineitem.parquet"), "l_quantity > 50.5 OR l_linenumber = 8")
+    return skipped_row_groups(read_footers(spark, _dealt(spark, d, "orders", "o_orderkey", 8)), _PRUNED)
+
+
+@query("filter_prompt", f"SELECT (SELECT count(*) FROM orders WHERE {_PRUNED}) AS matched, CAST(8 AS BIGINT) - count(*) FILTER (p <= 400000 AND (low >= 3 OR c < 0)) AS scanned, (SELECT least(10, count(*)) FROM orders WHERE {_PRUNED}) AS shown FROM {_BY_FILE}")
+def filter_prompt(spark: SparkSession, d: str) -> DataFrame:
+    r = filter_count(spark, _dealt(spark, d, "orders", "o_orderkey", 8), _PRUNED)
+    return spark.createDataFrame([(r.matched, r.scanned_row_groups, r.sample.count())], "matched long, scanned long, shown long")
 
 
 # -- profiles ---------------------------------------------------------------------------------------------
@@ -103,18 +124,17 @@ _SHAPE = "(SELECT avg(power(({c} - m) / s, {p})) FROM lineitem, (SELECT avg({c})
     _each(_NUMERIC, "count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS stddev, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max FROM lineitem"),
 )
 def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC]).select("column_name", "count", "mean", "stddev", "min", "max"))
+    return rounded(P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC], statistics=("count", "mean", "stddev", "min", "max")))
 
 
 @query("profile_moments", _each(_NUMERIC, f"round({_SHAPE.replace('{p}', '3')}, 5) AS skewness, round({_SHAPE.replace('{p}', '4')} - 3, 5) AS kurtosis"))
 def profile_moments(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC]).select("column_name", "skewness", "kurtosis"), 5)
+    return rounded(P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC], statistics=("skewness", "kurtosis")), 5)
 
 
 @query("profile_quantiles", _each(_NUMERIC, ", ".join(f"round(CAST(quantile_cont({{c}}, {q}) AS DOUBLE), 6) AS {n}" for n, q in zip(("p1", "p5", "p25", "p50", "p75", "p95", "p99"), P.QUANTILES)) + " FROM lineitem"))
 def profile_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    made = P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC], exact_quantiles=True)
-    return rounded(made.select("column_name", *(c for c in made.columns if c.startswith("p") and c[1:].isdigit())))
+    return rounded(P.numeric_profile(table(spark, d, "lineitem"), [*_NUMERIC], exact_quantiles=True, statistics=P.NUMERIC[-7:]))
 
 
 @query(
@@ -202,14 +222,57 @@ def distinct_count_exact(spark: SparkSession, d: str) -> DataFrame:
     return P.distinct_counts(table(spark, d, "events"), [*_EVENTS], exact=True)
 
 
-@query("distinct_count_approx", None)
+def _near(estimate: str, exact: str, share: float) -> Column:
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.col(exact) * share
+
+
+@query("distinct_count_approx", _each(_EVENTS, "count(DISTINCT {c}) AS distinct_count, true AS within_3_percent FROM events"))
 def distinct_count_approx(spark: SparkSession, d: str) -> DataFrame:
-    return P.distinct_counts(table(spark, d, "events"), [*_EVENTS])
+    """The exact counts, and whether the sketch's are within four and a half times its error of them."""
+    events = table(spark, d, "events")
+    both = P.distinct_counts(events, [*_EVENTS]).withColumnRenamed("distinct_count", "estimate").join(P.distinct_counts(events, [*_EVENTS], exact=True), "column_name")
+    return both.select("column_name", "distinct_count", _near("estimate", "distinct_count", 0.03).alias("within_3_percent"))
+
+
+@query("quantiles_approx", _each(_NUMERIC, ", ".join(f"true AS {n}_within" for n in P.NUMERIC[-7:])))
+def quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the share of values up to each sketched quantile is the one asked for, within a thousandth, ties aside."""
+    df = table(spark, d, "lineitem")
+    found = {r["column_name"]: r for r in P.numeric_profile(df, [*_NUMERIC], statistics=P.NUMERIC[-7:]).collect()}
 
+    def within(c: str) -> dict[str, Column]:
+        share = lambda test: F.count_if(test) / F.count(c)
+        return {f"{n}_within": (share(F.col(c) < found[c][n]) <= q + 0.001) & (share(F.col(c) <= found[c][n]) >= q - 0.001) for n, q in zip(P.NUMERIC[-7:], P.QUANTILES)}
 
-@query("profile_all_columns", None)
+    return P.per_column(df, [*_NUMERIC], within)
+
+
+_LINEITEM = {
+    "numeric": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), "string": ("l_returnflag", "l_linestatus"), "temporal": ("l_shipdate",),
+}
+
+
+def _profile_sql(kind: str, c: str) -> str:
+    own = {
+        "mean": ("numeric", f"round(avg({c}), 5)", "DOUBLE"), "stddev": ("numeric", f"round(stddev_pop({c}), 5)", "DOUBLE"), "low": ("numeric", f"CAST(min({c}) AS DOUBLE)", "DOUBLE"), "high": ("numeric", f"CAST(max({c}) AS DOUBLE)", "DOUBLE"),
+        "bins": ("numeric", f"(SELECT array_to_string(list(coalesce(n, 0) ORDER BY k), ' ') FROM (SELECT unnest(range(30)) AS k) LEFT JOIN (SELECT least(floor(({c} - low) / ((high - low) / 30)), 29) AS bin, count(*) AS n FROM lineitem, (SELECT min({c}) AS low, max({c}) AS high FROM lineitem) GROUP BY 1) ON bin = k)", "VARCHAR"),
+        "min_length": ("string", f"CAST(min(strlen({c})) AS BIGINT)", "BIGINT"), "max_length": ("string", f"CAST(max(strlen({c})) AS BIGINT)", "BIGINT"), "mean_length": ("string", f"round(avg(strlen({c})), 5)", "DOUBLE"),
+        "min_ms": ("temporal", f"epoch_ms(min({c}))", "BIGINT"), "max_ms": ("temporal", f"epoch_ms(max({c}))", "BIGINT"),
+    }
+    chosen = ", ".join(f"{sql if kind == k else f'CAST(NULL AS {t})'} AS {name}" for name, (k, sql, t) in own.items())
+    top = f"(SELECT string_agg(v || '=' || n, ' ' ORDER BY n DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 20))"
+    return f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count({c}) AS count, {chosen}, CASE WHEN count(DISTINCT {c}) < 10000 THEN {top} END AS top FROM lineitem"
+
+
+@query("profile_all_columns", " UNION ALL ".join(_profile_sql(kind, c) for kind, columns in _LINEITEM.items() for c in columns))
 def profile_all_columns(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile(table(spark, d, "lineitem"))
+    """The whole profile, of which the sketched parts have queries of their own."""
+    x = P.profile(table(spark, d, "lineitem"))
+    return rounded(x.select(
+        "column_name", "row_count", "null_count", F.coalesce("numeric.count", "string.count", "temporal.count").alias("count"), "numeric.mean", "numeric.stddev", F.col("numeric.min").alias("low"), F.col("numeric.max").alias("high"),
+        F.array_join(F.transform("histogram", lambda b: b["count"].cast("string")), " ").alias("bins"), "string.min_length", "string.max_length", "string.mean_length", "temporal.min_ms", "temporal.max_ms",
+        F.array_join(F.transform("top_values", lambda t: F.concat(t["value"], F.lit("="), t["count"].cast("string"))), " ").alias("top"),
+    ), 5)
 
 
 _CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -229,9 +292,13 @@ def duplicates_exact(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.duplicates(table(spark, d, "documents").select("text", "lang")))
 
 
-@query("duplicates_approx", None)
+@query("duplicates_approx", "SELECT (SELECT count(*) FROM documents) AS total_rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS distinct_rows, true AS within_3_percent, false AS is_exact")
 def duplicates_approx(spark: SparkSession, d: str) -> DataFrame:
-    return A.duplicates(table(spark, d, "lineitem"), exact=False)
+    """The exact number of distinct rows, and whether the sketch's is within 3 % of it."""
+    df = table(spark, d, "documents").select("text", "lang")
+    exact = A.duplicates(df).select((F.col("total_rows") - F.col("duplicate_rows")).alias("distinct_rows"))
+    both = A.duplicates(df, exact=False).withColumn("estimate", F.col("total_rows") - F.col("duplicate_rows")).join(F.broadcast(exact))  # a row each
+    return both.select("total_rows", "distinct_rows", _near("estimate", "distinct_rows", 0.03).alias("within_3_percent"), "is_exact")
 
 
 # -- scores and comparisons, on statistics of columns with nulls put in --------------------------------------
@@ -444,9 +511,10 @@ _WRITERS = ("Apache Spark 3.4.0", "pyarrow 14.0.1", "parquet-cpp-arrow version 1
 
 @query(
     "engine_identify",
-    "SELECT w AS created_by, CASE "
-    + " ".join(f"WHEN {' OR '.join(f'''contains(lower(w), '{m}')''' for m in marks)} THEN '{name}'" for marks, name, _ in S.ENGINES)
-    + " ELSE 'Unknown' END AS engine_name, coalesce(nullif(regexp_extract(w, '(?i)version ([0-9.-]*)', 1), ''), nullif(regexp_extract(w, '(?i)v([0-9.-]*)', 1), '')) AS version_hint"
+    """SELECT w AS created_by, CASE WHEN w ILIKE '%spark%' THEN 'Apache Spark' WHEN w ILIKE '%arrow%' THEN 'PyArrow / Apache Arrow' WHEN w ILIKE '%duckdb%' THEN 'DuckDB' WHEN w ILIKE '%impala%' THEN 'Apache Impala'
+  WHEN w ILIKE '%hive%' THEN 'Apache Hive' WHEN w ILIKE '%trino%' OR w ILIKE '%presto%' THEN 'Trino / Presto' WHEN w ILIKE '%flink%' THEN 'Apache Flink' WHEN w ILIKE '%pandas%' THEN 'Pandas (via fastparquet or PyArrow)'
+  WHEN regexp_matches(w, '(?i)parquet[-_]go') THEN 'parquet-go' WHEN w ILIKE '%parquet4s%' THEN 'parquet4s (Scala)' ELSE 'Unknown' END AS engine_name,
+  coalesce(nullif(regexp_extract(w, '(?i)version ([0-9.-]*)', 1), ''), nullif(regexp_extract(w, '(?i)v([0-9.-]*)', 1), '')) AS version_hint"""
     + f" FROM (VALUES {', '.join(f'''('{w}')''' for w in _WRITERS)}) t(w)",
 )
 def engine_identify(spark: SparkSession, d: str) -> DataFrame:
@@ -482,15 +550,23 @@ def recommend_compression(spark: SparkSession, d: str) -> DataFrame:
     return Q.compression_advice(t.withColumn("is_uncompressed", F.col("codec") == "UNCOMPRESSED")).drop("reason")
 
 
+_SMALL = "(SELECT event_id // 40 AS index, CAST(sum(strlen(props)) AS BIGINT) AS total_byte_size FROM events GROUP BY 1)"
+
+
 @query(
     "repair_suggestions",
-    """SELECT 'high' AS severity, '150 row groups, avg 1.0MB — too fragmented' AS issue UNION ALL SELECT 'medium', 'column ''big'' dict page avg 2.0MB' UNION ALL SELECT 'low', 'column ''holes'' is 75.0% null'""",
+    f"""WITH g AS (SELECT count(*) AS n, avg(total_byte_size) AS mean FROM {_SMALL}), m AS ({_measured_sql(_MIXED_COLUMNS, _MIXED)})
+SELECT 'high' AS severity, printf('%d row groups, avg %.1fMB — too fragmented', n, mean / 1048576.0) AS issue FROM g WHERE n > 100 AND mean < 67108864
+UNION ALL SELECT 'medium', printf('column ''%s'' dict page avg %.1fMB', column_name, (rows * 8000 // n) / 1048576.0) FROM m, g WHERE total_distinct_count_estimate BETWEEN 2 AND 60 AND rows * 8000 // n > 1048576
+UNION ALL SELECT 'low', printf('column ''%s'' is %.1f%% null', column_name, null_percentage) FROM m WHERE null_percentage > 50""",
 )
 def repair_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    groups = spark.range(150).select(F.col("id").cast("int").alias("index"), F.lit(1 << 20).alias("total_byte_size"))
-    stats = spark.createDataFrame([("big", 0.0, 300 << 20), ("holes", 75.0, 10)], "column_name string, null_percentage double, total_data_page_size long")
-    encodings = spark.createDataFrame([("big", ["PLAIN", "RLE_DICTIONARY"]), ("holes", ["PLAIN"])], "column_name string, encodings array<string>")
-    return Q.repair_suggestions(groups, stats, encodings).select("severity", "issue")
+    """Groups of forty events; columns of lineitem at a thousand times their bytes, those of few values with a dictionary."""
+    groups = table(spark, d, "events").groupBy(F.expr("event_id div 40").alias("index")).agg(F.sum(F.octet_length("props")).alias("total_byte_size"))
+    stats = measured(mixed(spark, d))
+    few = F.col("total_distinct_count_estimate").between(2, 60)
+    encodings = stats.select("column_name", F.when(few, F.array(F.lit("PLAIN"), F.lit("RLE_DICTIONARY"))).otherwise(F.array(F.lit("PLAIN"))).alias("encodings"))
+    return Q.repair_suggestions(groups, stats.withColumn("total_data_page_size", F.col("rows") * 8000), encodings).select("severity", "issue")
 
 
 # -- footers ----------------------------------------------------------------------------------------------
@@ -532,14 +608,28 @@ def footer_compression(spark: SparkSession, d: str) -> DataFrame:
     return A.compression(read_footers(spark, f"{d}/lineitem.parquet").chunks).select("column_name", "codec", "compressed_size", "is_uncompressed")
 
 
-@query("footer_page_index", None)
+_BOUNDED = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+
+
+@query("footer_bounds", _each(_BOUNDED, "CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM lineitem"))
+def footer_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Least and greatest values by the footers of sixteen files."""
+    f = read_footers(spark, _dealt(spark, d, "lineitem", "l_orderkey", 16))
+    return A.column_stats(f.chunks.where(F.col("leaf_path").isin(*_BOUNDED)), 1).select("column_name", "min", "max")
+
+
+@query("footer_page_index", "SELECT count(*) > 0 AS has_column_index, count(*) > 0 AS has_offset_index, 100.0::DOUBLE AS coverage_pct FROM lineitem")
 def footer_page_index(spark: SparkSession, d: str) -> DataFrame:
-    return A.page_index(read_footers(spark, f"{d}/lineitem.parquet").chunks)
+    """Spark writes a page index for every chunk."""
+    return A.page_index(read_footers(spark, _dealt(spark, d, "lineitem", "l_orderkey", 2)).chunks)
 
 
-@query("footer_bloom", f"SELECT path_in_schema AS leaf_path, bool_or(bloom_filter_offset IS NOT NULL) AS has_bloom_filter FROM {_META} GROUP BY 1")
+@query("footer_bloom", f"SELECT name AS leaf_path, name = 'o_custkey' AS has_bloom_filter FROM parquet_schema('{_DIR}/orders.parquet') WHERE num_children IS NULL OR num_children = 0")
 def footer_bloom(spark: SparkSession, d: str) -> DataFrame:
-    return A.bloom_filters(read_footers(spark, f"{d}/lineitem.parquet").bloom_filters())
+    """Orders written anew with a filter for one column."""
+    path = scratch_folder(spark, "bloom")
+    table(spark, d, "orders").write.option("parquet.bloom.filter.enabled#o_custkey", "true").option("parquet.enable.dictionary", "false").parquet(path)
+    return A.bloom_filters(read_footers(spark, path).bloom_filters())
 
 
 @query("footer_schema", f"SELECT name AS column_name, type AS physical_type, repetition_type AS repetition FROM parquet_schema('{_DIR}/lineitem.parquet') WHERE num_children IS NULL OR num_children = 0")
@@ -547,22 +637,42 @@ def footer_schema(spark: SparkSession, d: str) -> DataFrame:
     return read_footers(spark, f"{d}/lineitem.parquet").leaves.select("column_name", "physical_type", "repetition")
 
 
-@query("nested_columns", "SELECT 'element' AS column_name, 2 AS nesting_depth, 'FLOAT' AS physical_type, true AS is_list, false AS is_map, false AS is_struct")
+_TREE = f"(SELECT *, row_number() OVER () AS place FROM parquet_schema('{_DIR}/embeddings.parquet'))"
+
+
+@query(
+    "nested_columns",
+    f"""SELECT string_agg(name, '.' ORDER BY place) AS column_name, CAST(count(*) - 1 AS INT) AS nesting_depth, arg_max(type, place) AS physical_type, arg_max(repetition_type, place) AS repetition,
+  bool_or(converted_type = 'LIST') AS is_list, coalesce(bool_or(converted_type = 'MAP'), false) AS is_map, NOT bool_or(converted_type = 'LIST') AS is_struct
+FROM {_TREE} s, (SELECT min(place) AS first FROM {_TREE} WHERE converted_type = 'LIST') WHERE place >= first AND place < first + 3""",
+)
 def nested_columns(spark: SparkSession, d: str) -> DataFrame:
-    return A.nested(read_footers(spark, f"{d}/embeddings.parquet").leaves).select("column_name", "nesting_depth", "physical_type", "is_list", "is_map", "is_struct")
+    leaves = read_footers(spark, f"{d}/embeddings.parquet").leaves
+    return A.nested(leaves).join(leaves.select("leaf_path", "repetition"), "leaf_path").select("column_name", "nesting_depth", "physical_type", "repetition", "is_list", "is_map", "is_struct")
 
 
-@query("schema_consistency", None)
-def schema_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Two tables taken for files of one dataset: every column differs."""
+_LEAVES = "SELECT * FROM parquet_schema('{d}/{t}.parquet') WHERE num_children IS NULL OR num_children = 0"
+_TWO = f"(SELECT a.name AS a, b.name AS b, a.type AS ta, b.type AS tb FROM ({_LEAVES.format(d=_DIR, t='nation')}) a FULL JOIN ({_LEAVES.format(d=_DIR, t='region')}) b ON a.name = b.name)"
+
+
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables taken for files of one dataset."""
     a, b = (read_footers(spark, f"{d}/{t}.parquet").leaves for t in ("nation", "region"))
-    return C.schema_consistency(a.union(b)).drop("path")
+    return a.union(b)
+
+
+@query("schema_consistency", f"SELECT coalesce(a, b) AS column_name, CASE WHEN a IS NULL THEN 'column_added' ELSE 'column_removed' END AS kind, ta AS expected, tb AS found FROM {_TWO} WHERE a IS NULL OR b IS NULL UNION ALL SELECT a, 'physical_type_changed', ta, tb FROM {_TWO} WHERE ta <> tb")
+def schema_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return C.schema_consistency(_two(spark, d)).drop("path")
+
+
+@query("schema_messages", f"SELECT CASE WHEN a IS NULL THEN printf('extra column ''%s''', b) WHEN b IS NULL THEN printf('missing column ''%s''', a) ELSE printf('column ''%s'' type %s vs %s', a, ta, tb) END AS message FROM {_TWO} WHERE a IS NULL OR b IS NULL OR ta <> tb")
+def schema_messages(spark: SparkSession, d: str) -> DataFrame:
+    return C.schema_messages(_two(spark, d)).select(F.regexp_extract("message", r"parquet: (.*)", 1).alias("message"))
 
 
 @query("preview_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def preview_rows(spark: SparkSession, d: str) -> DataFrame:
-    from .sources.paths import preview
-
     return preview(table(spark, d, "nation"))
 
 
@@ -574,3 +684,148 @@ def preview_rows(spark: SparkSession, d: str) -> DataFrame:
 def text_classes(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("o_totalprice") / 5000
     return table(spark, d, "orders").select("o_orderkey", S.null_bucket(p).alias("bucket"), S.duplicate_severity(p).alias("severity"), S.quality_class(p).alias("quality"))
+
+
+# -- directories, exports, commands: what they wrote is read back ------------------------------------------
+
+
+@query("hive_partitions", "SELECT CAST(l_orderkey % 8 AS VARCHAR) AS k, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY 1")
+def hive_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Values of k=v folders stay strings."""
+    return read(spark, _dealt(spark, d, "lineitem", "l_orderkey", 8)).groupBy("k").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("directory_scan", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def directory_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with folders below it, and files that aren't Parquet."""
+    path = scratch_folder(spark, "scan")
+    orders = table(spark, d, "orders")
+    orders.where("o_orderkey % 2 = 0").write.parquet(f"{path}/a/b")
+    orders.where("o_orderkey % 2 = 1").write.parquet(f"{path}/c")
+    orders.select("o_orderpriority").write.text(f"{path}/notes")
+    return read(spark, path).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("partitions_view", "SELECT 'k' AS key, string_agg(CAST(k AS VARCHAR) || '=' || n, ',' ORDER BY k) AS sizes FROM (SELECT o_orderkey % 5 AS k, count(*) AS n FROM orders GROUP BY 1)")
+def partitions_view(spark: SparkSession, d: str) -> DataFrame:
+    out = Dataset(spark, _dealt(spark, d, "orders", "o_orderkey", 5)).partitions()
+    return out.select("key", F.array_join(F.transform("distinct_values", lambda v: F.concat(v, F.lit("="), F.col("partition_row_counts")[v].cast("string"))), ",").alias("sizes"))
+
+
+_SAMPLED = "(SELECT k FROM range(8) t(k) ORDER BY (CAST(xor(k, 3) AS HUGEINT) * 2654435761) % 18446744073709551616 LIMIT 2)"
+
+
+@query("row_group_scan", f"SELECT o_orderkey % 8 AS k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 8 IN {_SAMPLED} GROUP BY 1")
+def row_group_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a quarter of eight row groups, each of which is a file."""
+    data = Dataset(spark, _dealt(spark, d, "orders", "o_orderkey", 8))
+    return read_row_groups(spark, data.sampled_groups(25, seed=3)).groupBy((F.col("o_orderkey") % 8).alias("k")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(
+    "sampled_profile",
+    f"SELECT 'o_totalprice' AS column_name, (SELECT count(*) FROM orders) AS row_count, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS stddev, round(1.96 * sqrt(0.125) * 100, 6) AS margin_pct FROM orders WHERE o_orderkey % 8 IN {_SAMPLED}",
+)
+def sampled_profile(spark: SparkSession, d: str) -> DataFrame:
+    out = Dataset(spark, _dealt(spark, d, "orders", "o_orderkey", 8)).sampled_profile(25, 3, ["o_totalprice"])
+    return rounded(out.select("column_name", "row_count", "numeric.mean", "numeric.stddev", "margin_pct"))
+
+
+_CHUNKS = f"(SELECT path_in_schema AS column_name, CAST(sum(total_uncompressed_size) AS BIGINT) AS data, CAST(sum(total_compressed_size) AS BIGINT) AS compressed, coalesce(sum(stats_null_count), 0) AS nulls, bool_and(encodings = 'PLAIN') AS plain FROM {_META} GROUP BY 1)"
+
+
+@query(
+    "export_csv_columns",
+    f"SELECT column_name, printf('%.4f', nulls / (SELECT count(*) FROM lineitem)) AS null_rate, CAST(data AS VARCHAR) AS data_size_bytes, CAST(compressed AS VARCHAR) AS compressed_size_bytes, printf('%.4f', data / compressed) AS compression_ratio, CASE WHEN plain THEN '95' ELSE '100' END AS quality_score FROM {_CHUNKS}",
+)
+def export_csv_columns(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "csv")
+    export(spark, f"{d}/lineitem.parquet", out, "csv")
+    return spark.read.option("header", True).csv(f"{out}/columns").select("column_name", "null_rate", "data_size_bytes", "compressed_size_bytes", "compression_ratio", "quality_score")
+
+
+@query("export_csv_row_groups", f"SELECT CAST(row_group_id AS VARCHAR) AS index, CAST(any_value(row_group_num_rows) AS VARCHAR) AS row_count, CAST(CAST(sum(total_compressed_size) AS BIGINT) AS VARCHAR) AS compressed_size FROM {_META} GROUP BY row_group_id")
+def export_csv_row_groups(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "csv")
+    export(spark, f"{d}/lineitem.parquet", out, "csv")
+    return spark.read.option("header", True).csv(f"{out}/row_groups").select("index", "row_count", "compressed_size")
+
+
+@query("export_ndjson", f"SELECT column_name, data AS total_data_page_size, compressed AS total_compressed_size FROM {_CHUNKS} ORDER BY column_name LIMIT 4")
+def export_ndjson(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "ndjson")
+    export(spark, f"{d}/lineitem.parquet", out, "ndjson", limit=4)
+    return spark.read.json(f"{out}/columns").select("column_name", "total_data_page_size", "total_compressed_size")
+
+
+@query("export_json", f"SELECT (SELECT count(*) FROM lineitem) AS total_rows, (SELECT count(*) FROM {_CHUNKS}) AS columns, (SELECT count(DISTINCT row_group_id) FROM {_META}) AS row_groups, (SELECT CAST(sum(data) AS BIGINT) FROM {_CHUNKS}) AS data")
+def export_json(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "json")
+    export(spark, f"{d}/lineitem.parquet", out, "json")
+    x = spark.read.json(f"{out}/document")
+    sizes = F.aggregate("column_stats", F.lit(0).cast("long"), lambda a, c: a + c["total_data_page_size"])
+    return x.select("dataset.total_rows", F.size("column_stats").cast("long").alias("columns"), F.size("row_groups").cast("long").alias("row_groups"), sizes.alias("data"))
+
+
+@query("export_filtered_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority, (SELECT count(*) FROM orders WHERE o_totalprice > 300000) AS written FROM orders WHERE o_totalprice > 300000")
+def export_filtered_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "rows")
+    n = sinks.write_rows(table(spark, d, "orders"), F.col("o_totalprice") > 300_000, out)
+    return spark.read.option("header", True).csv(out).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit(n).cast("long").alias("written"))
+
+
+@query("summary_saved", f"SELECT (SELECT count(*) FROM orders) AS total_rows, (SELECT count(*) FROM ({_LEAVES.format(d=_DIR, t='orders')})) AS columns, 0.0::DOUBLE AS total_null_cell_pct, true AS schema_consistent")
+def summary_saved(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_folder(spark, "summary")
+    summary(spark, f"{d}/orders.parquet", save=out)
+    return spark.read.json(out).select("dataset.total_rows", "dataset.columns", "quality.total_null_cell_pct", "quality.schema_consistent")
+
+
+@query("schema_printed", f"SELECT name AS leaf_path, type AS physical_type, repetition_type AS repetition FROM ({_LEAVES.format(d=_DIR, t='customer')})")
+def schema_printed(spark: SparkSession, d: str) -> DataFrame:
+    rows = json.loads(schema(spark, f"{d}/customer.parquet", "json"))
+    return spark.createDataFrame([(r["leaf_path"], r["physical_type"], r["repetition"]) for r in rows], "leaf_path string, physical_type string, repetition string")
+
+
+@query("baseline_check", "SELECT CAST(l_orderkey % 2 AS VARCHAR) AS file, count(*) - count(t) AS nulls, 'l_tax' AS found FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 OR l_quantity <= 20 THEN l_tax END AS t FROM lineitem) GROUP BY 1")
+def baseline_check(spark: SparkSession, d: str) -> DataFrame:
+    """A baseline of the even orders, against which the odd ones with their holes are checked; and the nulls that both stored."""
+    path, store = scratch_folder(spark, "checked"), scratch_folder(spark, "baselines")
+    df, kept = table(spark, d, "lineitem"), []
+    for k in (0, 1):
+        holes = F.when((F.col("l_orderkey") % 2 == 0) | (F.col("l_quantity") <= 20), F.col("l_tax"))
+        df.where(F.col("l_orderkey") % 2 == k).withColumn("l_tax", holes).coalesce(1).write.mode("overwrite").parquet(path)
+        worse = [r["column"] for r in check(spark, path, store)[0].where("kind = 'null_increase'").collect()] if k else ["l_tax"]
+        with Dataset(spark, path) as data:
+            data.save_baseline(store)
+        stored = C.load_baseline(spark, store, path)["stats"].where("column_name = 'l_tax'").first()
+        kept.append((str(k), stored["total_null_count"], ",".join(worse)))
+    return spark.createDataFrame(kept, "file string, nulls long, found string")
+
+
+@query("duplicates_command", "SELECT count(*) AS total_rows, count(*) - count(DISTINCT r_name) AS duplicate_rows, count(*) = count(DISTINCT r_name) AS within FROM region")
+def duplicates_command(spark: SparkSession, d: str) -> DataFrame:
+    report, within = duplicates(spark, f"{d}/region.parquet", threshold=0.5)
+    return report.select("total_rows", "duplicate_rows", F.lit(within).alias("within"))
+
+
+@query("column_sizes", f"SELECT column_name, compressed AS total_compressed_size FROM {_CHUNKS} WHERE contains(column_name, 'ship') OR contains(column_name, 'key')")
+def column_sizes(spark: SparkSession, d: str) -> DataFrame:
+    stats = Dataset(spark, f"{d}/lineitem.parquet").column_stats
+    found = find_columns(stats, "KEY", order="total_compressed_size", descending=True).union(find_columns(stats, "ship"))
+    return found.select("column_name", "total_compressed_size")
+
+
+@query("null_heatmap", f"SELECT CAST(row_group_id AS INT) AS row_group, path_in_schema AS leaf_path, CASE WHEN 100 * stats_null_count < row_group_num_rows THEN '<1%' WHEN 4 * stats_null_count < row_group_num_rows THEN '<25%' ELSE '>=25%' END AS bucket FROM {_META}")
+def null_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    return inspect(spark, f"{d}/lineitem.parquet")["null_heatmap"].select("row_group", "leaf_path", "bucket")
+
+
+@query("watch_log", "SELECT count(*) AS new_rows, 'orders' AS source FROM orders UNION ALL SELECT count(*), 'customer' FROM customer")
+def watch_log(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were added, twice, and what the watch logged of them."""
+    path, log, state = (scratch_folder(spark, x) for x in ("watched", "log", "state"))
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+        table(spark, d, name).select(F.col(key).alias("id"), F.lit(name).alias("source")).write.mode("append").parquet(path)
+        watch(spark, path, lambda df, n: None, state, log).awaitTermination()
+    return history(spark.read.parquet(log)).select("new_rows", F.when(F.col("batch") == 0, "orders").otherwise("customer").alias("source"))

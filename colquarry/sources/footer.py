@@ -1,14 +1,17 @@
 """Parquet footers as tables: a row per file, row group, column chunk and leaf column.
 
-The footers are read by tasks over the list of files. Where pyarrow can open the path it does, reading the footer
-alone; other file systems and what pyarrow doesn't show (bloom filters, repetition) go through Spark's own
-Parquet reader on the driver.
+The footers are read by tasks over the list of files: local ones by the tasks themselves, all others, of whatever
+file system Hadoop knows, from the last bytes of each file, which the driver fetches in many threads. A footer's
+tables come from pyarrow; the schema's tree and the bloom filters, which it doesn't show, from the footer's bytes.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +20,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .paths import resolve
+from .thrift import Reader
 
 FILE = "path string, file_size long, row_count long, row_group_count int, created_by string, version string, key_values map<string,string>, error string"
 GROUP = "index int, num_rows long, total_byte_size long, compressed_size long, offsets array<long>, sizes array<long>"
 CHUNK = (
-    "row_group int, leaf_path string, column_name string, physical_type string, null_count long, distinct_count long, min string, max string, min_number double, "
-    "max_number double, uncompressed_size long, compressed_size long, codec string, encodings array<string>, has_column_index boolean, has_offset_index boolean"
+    "row_group int, leaf_path string, column_name string, physical_type string, null_count long, distinct_count long, min string, max string, min_exact decimal(38,18), "
+    "max_exact decimal(38,18), min_number double, max_number double, min_micros long, max_micros long, uncompressed_size long, compressed_size long, codec string, encodings array<string>, has_column_index boolean, has_offset_index boolean, has_bloom_filter boolean"
 )
-LEAF = "position int, leaf_path string, column_name string, physical_type string, logical_type string, repetition string, max_def_level int, max_rep_level int"
+LEAF = "position int, leaf_path string, column_name string, physical_type string, logical_type string, repetition string, max_def_level int, max_rep_level int, holders array<string>"
 
 
 def _struct(fields: str) -> str:
     parts, depth, name = [], 0, ""
     for ch in fields:
-        depth += (ch == "<") - (ch == ">")
+        depth += (ch in "<(") - (ch in ">)")
         if ch == "," and not depth:
             parts.append(name.strip())
             name = ""
@@ -51,31 +55,95 @@ def _text(x: object) -> str | None:
     return None if x is None else x.decode("utf-8", "replace") if isinstance(x, bytes) else str(x)
 
 
-def footer(path: str, size: int) -> dict:
+def _exact(x: object) -> Decimal | None:
+    """Whole numbers and decimals, as far as 20 digits before the point and 18 after it hold them."""
+    if isinstance(x, bool) or not isinstance(x, (int, Decimal)):
+        return None
+    d = Decimal(x)
+    return d if d.is_finite() and abs(d) < 10**20 and -d.as_tuple().exponent <= 18 else None
+
+
+def _micros(x: object) -> int | None:
+    if isinstance(x, datetime.datetime):
+        zone = datetime.timezone.utc
+        return (x.replace(tzinfo=x.tzinfo or zone) - datetime.datetime(1970, 1, 1, tzinfo=zone)) // datetime.timedelta(microseconds=1)
+    return (x - datetime.date(1970, 1, 1)).days * 86_400_000_000 if isinstance(x, datetime.date) else None
+
+
+class BadFooter(ValueError):
+    pass
+
+
+def local_tail(path: str, size: int) -> bytes:
+    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+
+        def read(n: int) -> bytes:
+            f.seek(size - n)
+            return f.read(n)
+
+        return tail(read, size)
+
+
+def tail(read, size: int) -> bytes:
+    """A footer with its length and mark, by ``read(n)``, the last n bytes of a file."""
+    if size < 12 or (end := read(min(size, 1 << 16)))[-4:] != b"PAR1":
+        raise BadFooter("no Parquet file")
+    whole = int.from_bytes(end[-8:-4], "little") + 8
+    if whole > size:
+        raise BadFooter("the footer is longer than the file")
+    return end[-whole:] if whole <= len(end) else read(whole)
+
+
+def footer(path: str, size: int, end: bytes | None = None, error: str | None = None) -> dict:
     """One file's footer; a file that can't be read has only its error."""
-    import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
     row: dict = {"path": path, "file_size": size, "row_groups": [], "chunks": [], "leaves": []}
+    if error:
+        return row | {"error": error}
     try:
-        fs, inner = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-        with fs.open_input_file(inner) as f:
-            meta = pq.ParquetFile(f).metadata
-            return row | _rows(meta)
+        end = local_tail(path, size) if end is None else end
+        return row | _rows(pq.read_metadata(pa.BufferReader(b"PAR1" + end)), Reader(end[:-8]).struct())
     except Exception as e:  # a broken file must not end the scan of the others
         return row | {"error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def _rows(meta) -> dict:
+#: Repetition types, and the converted and logical types of lists and maps.
+_REPETITION = {0: "REQUIRED", 1: "OPTIONAL", 2: "REPEATED"}
+_CONVERTED, _LOGICAL = {1: "map", 2: "map", 3: "list"}, {2: "map", 3: "list"}
+
+
+def leaf_holders(elements: list[dict]) -> list[tuple[str, list[str]]]:
+    """(repetition, what holds it from the root on: list, map or struct) of each leaf, from a schema in the order of
+    a walk. The repeated group that a list or map consists of counts with it."""
+    out, at = [], 0
+
+    def walk(holders: list[str], inner: bool) -> None:
+        nonlocal at
+        element, at = elements[at], at + 1
+        if not element.get(5):
+            out.append((_REPETITION.get(element.get(3, 0), "REQUIRED"), holders))
+            return
+        kind = _CONVERTED.get(element.get(6, -1)) or next((_LOGICAL[k] for k in element.get(10) or {} if k in _LOGICAL), None)
+        own = [] if inner else [kind or "struct"]
+        for _ in range(element[5]):
+            walk(holders + own, bool(kind) and not inner)
+
+    root, at = elements[0], 1
+    for _ in range(root.get(5) or 0):
+        walk([], False)
+    return out
+
+
+def _rows(meta, told: dict) -> dict:
     groups, chunks, leaves = [], [], []
-    schema = meta.schema
+    schema, tree = meta.schema, leaf_holders(told[2])
     for i in range(len(schema)):
         c = schema.column(i)
         logical = str(c.logical_type)
         leaves.append({
-            "position": i, "leaf_path": c.path, "column_name": c.name, "physical_type": c.physical_type, "logical_type": None if logical == "None" else logical,
-            "repetition": "REPEATED" if c.max_repetition_level else "OPTIONAL" if c.max_definition_level else "REQUIRED",
-            "max_def_level": c.max_definition_level, "max_rep_level": c.max_repetition_level,
+            "position": i, "leaf_path": c.path, "column_name": c.path, "physical_type": c.physical_type, "logical_type": None if logical == "None" else logical,
+            "repetition": tree[i][0], "max_def_level": c.max_definition_level, "max_rep_level": c.max_repetition_level, "holders": tree[i][1],
         })
     for g in range(meta.num_row_groups):
         group = meta.row_group(g)
@@ -84,16 +152,18 @@ def _rows(meta) -> dict:
             "index": g, "num_rows": group.num_rows, "total_byte_size": group.total_byte_size, "compressed_size": sum(c.total_compressed_size for c in columns),
             "offsets": [c.data_page_offset for c in columns], "sizes": [c.total_compressed_size for c in columns],
         })
-        for c in columns:
+        blooms = [14 in (x.get(3) or {}) for x in told[4][g][1]]
+        for c, bloom in zip(columns, blooms):
             stats = c.statistics
             bounds = (stats.min, stats.max) if stats is not None and stats.has_min_max else (None, None)
             chunks.append({
-                "row_group": g, "leaf_path": c.path_in_schema, "column_name": c.path_in_schema.split(".")[-1], "physical_type": c.physical_type,
+                "row_group": g, "leaf_path": c.path_in_schema, "column_name": c.path_in_schema, "physical_type": c.physical_type,
                 "null_count": stats.null_count if stats is not None and stats.has_null_count else None,
                 "distinct_count": stats.distinct_count if stats is not None and stats.has_distinct_count else None,
                 "min": _text(bounds[0]), "max": _text(bounds[1]), "min_number": _number(bounds[0]), "max_number": _number(bounds[1]),
+                "min_exact": _exact(bounds[0]), "max_exact": _exact(bounds[1]), "min_micros": _micros(bounds[0]), "max_micros": _micros(bounds[1]),
                 "uncompressed_size": c.total_uncompressed_size, "compressed_size": c.total_compressed_size, "codec": c.compression, "encodings": list(c.encodings),
-                "has_column_index": c.has_column_index, "has_offset_index": c.has_offset_index,
+                "has_column_index": c.has_column_index, "has_offset_index": c.has_offset_index, "has_bloom_filter": bloom,
             })
     pairs = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in (meta.metadata or {}).items()}
     return {
@@ -129,31 +199,50 @@ class Footers:
         return self.raw.select("path", F.inline("leaves"))
 
     def bloom_filters(self) -> DataFrame:
-        """(path, row_group, leaf_path, has_bloom_filter), by Spark's own reader, file after file on the driver."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        rows = []
-        for r in self.paths.select("path").toLocalIterator():
-            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(r["path"]), conf)
-            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        """(path, row_group, leaf_path, has_bloom_filter)."""
+        return self.chunks.select("path", "row_group", "leaf_path", "has_bloom_filter")
+
+
+def _tails(spark: SparkSession, paths: list[tuple[str, int]], threads: int = 64) -> list[tuple[str, int, bytes | None, str | None]]:
+    """(path, size, last bytes, error) of files that aren't local, through Hadoop's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def one(path: str, size: int) -> tuple[str, int, bytes | None, str | None]:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            file = where.getFileSystem(conf).open(where)
             try:
-                for g, block in enumerate(reader.getFooter().getBlocks()):
-                    rows += [(r["path"], g, c.getPath().toDotString(), c.getBloomFilterOffset() >= 0) for c in block.getColumns()]
+
+                def read(n: int) -> bytes:
+                    file.seek(size - n)
+                    return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(file, n))
+
+                return path, size, tail(read, size), None
             finally:
-                reader.close()
-        return self.spark.createDataFrame(rows, "path string, row_group int, leaf_path string, has_bloom_filter boolean")
+                file.close()
+        except Exception as e:  # a broken file must not end the scan of the others
+            return path, size, None, f"{type(e).__name__}: {e}"[:500]
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda x: one(*x), paths))
 
 
 def read_footers(spark: SparkSession, path: str, files_per_task: int = 64) -> Footers:
+    """The footers of what a path names. The tables are read again whenever they are asked for, unless ``raw`` is kept."""
     paths = resolve(spark, path)
+    far = paths.where("not path like 'file:%'").select("path", "size").collect()
+    given = paths.where("path like 'file:%'").select("path", "size", F.lit(None).cast("binary").alias("tail"), F.lit(None).cast("string").alias("error"))
+    if far:
+        given = given.union(spark.createDataFrame(_tails(spark, [(r["path"], r["size"]) for r in far]), given.schema))
     n = max(1, -(-paths.count() // files_per_task))
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [footer(p, s) for p, s in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist())]
+            rows = [footer(r["path"], r["size"], r["tail"], r["error"]) for r in batch.to_pylist()]
             rows = [{f.name: r.get(f.name) for f in schema} | {"key_values": list((r.get("key_values") or {}).items())} for r in rows]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     spark_schema = _parse_datatype_string(_FOOTER)
     schema = to_arrow_schema(spark_schema)
-    raw = paths.select("path", "size").repartition(n).mapInArrow(read, spark_schema)
+    raw = given.repartition(n).mapInArrow(read, spark_schema)
     return Footers(spark, paths, raw)

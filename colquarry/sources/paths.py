@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +34,11 @@ def partition_values(path: str, base: str) -> dict[str, str]:
     return {k: v for k, v in pairs if k and v}
 
 
-def resolve(spark: SparkSession, path: str) -> DataFrame:
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, dict[str, str]]]:
     """(path, size, partitions) of the Parquet files that a file, directory or glob names, by path.
 
     Directories are searched to the bottom for names ending in .parquet, and only they have partitions. Nothing
-    found is an empty table. Any file system that Hadoop knows will do."""
+    found is an empty list. Any file system that Hadoop knows will do."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(readable(path))
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -50,25 +53,87 @@ def resolve(spark: SparkSession, path: str) -> DataFrame:
             name = f.getPath().toString()
             if name.endswith(".parquet"):
                 found.append((name, f.getLen(), partition_values(name, base)))
-    return spark.createDataFrame(sorted(found), "path string, size long, partitions map<string,string>")
+    return sorted(found)
 
 
-def partition_columns(file_path: Column, keys: list[str]) -> dict[str, Column]:
-    """The values of Hive partition keys, from the path that a row came from."""
-    return {k: F.nullif(F.regexp_extract(file_path, rf"/{re.escape(k)}=([^/]+)/", 1), F.lit("")) for k in keys}
+def resolve(spark: SparkSession, path: str) -> DataFrame:
+    """``listed`` as a table."""
+    return spark.createDataFrame(listed(spark, path), "path string, size long, partitions map<string,string>")
+
+
+_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The rows of a dataset; unknown column names are passed over. Partition values stay strings."""
-    df = spark.read.option("recursiveFileLookup", "false").parquet(readable(path))
+    """The rows of a dataset; unknown column names are passed over.
+
+    Of a directory, the files below it to the bottom whose names end in .parquet, with the values of k=v folders as
+    strings. Where all files lie in folders of the same keys, Spark reads these as partitions and prunes by them; else
+    the values are taken from each row's path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(readable(path))
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df = None
+    if not re.search(r"[*?\[{]", path) and fs.exists(where) and fs.getFileStatus(where).isDirectory():
+        base = fs.getFileStatus(where).getPath().toString()
+        files = listed(spark, path)
+        folders = {tuple(x.split("=", 1)[0] if "=" in x else None for x in name[len(base) :].strip("/").split("/")[:-1]) for name, _, _ in files}
+        reader = spark.read.option("pathGlobFilter", "*.parquet")
+        if len(folders) == 1 and None not in next(iter(folders)):
+            before = spark.conf.get(_INFERENCE)
+            spark.conf.set(_INFERENCE, "false")
+            try:
+                df = reader.parquet(readable(path))
+            finally:
+                spark.conf.set(_INFERENCE, before)
+        elif files:
+            df = reader.option("recursiveFileLookup", "true").parquet(readable(path))
+            keys = sorted({k for _, _, parts in files for k in parts} - set(df.columns))
+            df = df.withColumns(partition_columns(F.col("_metadata.file_path"), keys)) if keys else df
+    df = spark.read.parquet(readable(path)) if df is None else df
     return df if columns is None else df.select(*(c for c in columns if c in df.columns))
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that are read again: in ``spark.checkpoint.dir``, which a cluster shares; where that is
+    unset and one process does all, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='colquarry-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def partition_columns(file_path: Column, keys: list[str]) -> dict[str, Column]:
+    """The values of Hive partition keys, from the path that a row came from."""
+    return {k: F.nullif(F.url_decode(F.regexp_extract(file_path, rf"/{re.escape(k)}=([^/]+)/", 1)), F.lit("")) for k in keys}
+
+
+def read_row_groups(spark: SparkSession, groups: DataFrame) -> DataFrame:
+    """The rows of chosen row groups: ``groups`` has path, first_row and num_rows. Only their files are read, whole
+    column by column; rows outside the groups are left out by their place in the file."""
+    paths = [r["path"] for r in groups.select("path").distinct().collect()]  # as many as the sample takes
+    local = lambda c: F.regexp_replace(F.url_decode(c), "^file:/+", "file:/")
+    rows = spark.read.parquet(*paths)
+    columns = rows.columns
+    placed = rows.select(*(F.col(f"`{c}`") for c in columns), local(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    chosen = groups.select(F.regexp_replace("path", "^file:/+", "file:/").alias("_path"), F.col("first_row").alias("_first"), (F.col("first_row") + F.col("num_rows")).alias("_end"))
+    return placed.join(chosen, "_path").where("_row >= _first and _row < _end").select(*(F.col(f"`{c}`") for c in columns))
+
+
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """The first rows, every cell as text."""
     return df.limit(n).select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in df.columns))
 
 
+def config_path() -> str:
+    """COLQUARRY_CONFIG if it is set, else config.json in the platform's folder for settings."""
+    if given := os.environ.get("COLQUARRY_CONFIG"):
+        return given
+    home = os.path.expanduser("~")
+    base = {"darwin": os.path.join(home, "Library", "Application Support"), "win32": os.environ.get("APPDATA", home)}.get(sys.platform)
+    return os.path.join(base or os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config"), "colquarry", "config.json")
+
+
 @dataclass
 class Config:
     """Settings of a user; unknown keys of a file are passed over."""
@@ -82,14 +147,16 @@ class Config:
     extra: dict = field(default_factory=dict)
 
     @classmethod
-    def load(cls, path: str) -> Config:
+    def load(cls, path: str | None = None) -> Config:
+        path = path or config_path()
         if not os.path.exists(path):
             return cls()
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
         return cls(**{k: v for k, v in given.items() if k in cls.__dataclass_fields__})
 
-    def save(self, path: str) -> None:
+    def save(self, path: str | None = None) -> None:
+        path = path or config_path()
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
             json.dump(asdict(self), f, indent=2)

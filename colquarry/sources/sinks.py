@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def json_document(dataset: DataFrame, required: dict[str, DataFrame], optional:
     rows. The tables hold a row per column, row group or finding, which one document must hold anyway."""
     out = _one(dataset, "dataset", False)
     for name, df in {**required, **{k: v for k, v in (optional or {}).items() if not v.isEmpty()}}.items():
-        out = out.join(F.broadcast(_one(df, name, True)))  # a row each
+        out = out.crossJoin(_one(df, name, True))  # a row each, of any size
     return out.select(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -50,8 +50,9 @@ def write_rows(df: DataFrame, condition: Column, path: str, limit: int | None =
     """Matching rows as CSV with a header; nothing is written where none match. Returns the number of rows."""
     rows = df.where(condition)
     rows = rows if limit is None else rows.limit(limit)
-    n = rows.count()
-    if n:
-        out = rows.select(*(F.col(f"`{f.name}`") if f.dataType.typeName() not in ("array", "map", "struct") else F.to_json(f"`{f.name}`").alias(f.name) for f in rows.schema))
-        out.write.mode("overwrite").option("header", True).csv(path)
-    return n
+    if rows.isEmpty():
+        return 0
+    out = rows.select(*(F.col(f"`{f.name}`") if f.dataType.typeName() not in ("array", "map", "struct") else F.to_json(f"`{f.name}`").alias(f.name) for f in rows.schema))
+    written = Observation()
+    out.observe(written, F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return written.get["n"]

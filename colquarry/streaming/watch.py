@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,10 @@ class TimedOut(TimeoutError):
     pass
 
 
-def with_timeout(spark: SparkSession, seconds: float, work: Callable[[], object], tag: str = "colquarry-timeout") -> object:
+def with_timeout(spark: SparkSession, seconds: float, work: Callable[[], object], tag: str | None = None) -> object:
     """Run ``work``; after so many seconds its jobs are cancelled and TimedOut is raised. There are no partial
     results: a task can't hand over half of an aggregate."""
-    context, fired = spark.sparkContext, threading.Event()
+    context, fired, tag = spark.sparkContext, threading.Event(), tag or f"colquarry-{uuid.uuid4().hex}"
 
     def stop() -> None:
         fired.set()

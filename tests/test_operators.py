@@ -137,6 +137,132 @@ def test_consistency_partitions_and_broken_files(spark, tmp_path):
     assert part.distinct_values == ["2023", "2024", "2025"] and part.partition_row_counts == {"2023": 10, "2024": 10, "2025": 90} and part.skewed_partitions == ["2025"]
 
 
+def test_bounds_are_typed(spark, tmp_path):
+    from decimal import Decimal
+
+    import datetime as dt
+
+    n = range(1, 21)
+    table = pa.table({
+        "id": list(n), "amount": pa.array([Decimal(i) / 4 for i in n], pa.decimal128(9, 2)), "x": [i * 1.5 for i in n], "day": [dt.date(2020, 1, 1) + dt.timedelta(i) for i in n],
+        "at": pa.array([dt.datetime(1969, 12, 31, 23) + dt.timedelta(hours=i) for i in n]), "s": [f"v{i}" for i in n],
+    })
+    pq.write_table(table, tmp_path / "t.parquet", row_group_size=5)
+    f = read_footers(spark, str(tmp_path / "t.parquet"))
+    got = {x.column_name: (x.min, x.max) for x in A.column_stats(f.chunks, 20).collect()}
+    assert got == {"id": ("1", "20"), "amount": ("0.25", "5.00"), "x": ("1.5", "30.0"), "day": ("2020-01-02", "2020-01-21"), "at": ("1970-01-01 00:00:00", "1970-01-01 19:00:00"), "s": ("v1", "v9")}
+    order = {x.column_name: x.sort_order for x in api.Dataset(spark, str(tmp_path / "t.parquet")).sort_order().collect()}
+    assert order["id"] == order["amount"] == order["at"] == "ascending"
+
+
+def test_pruning_is_exact(spark, tmp_path):
+    big = 1 << 53
+    pq.write_table(pa.table({"k": [big]}), tmp_path / "k.parquet")
+    for text, matched, skipped in ((f"k < {big + 1}", 1, 0), (f"k >= {big + 1}", 0, 1), (f"k = {big}", 1, 0), (f"k > {big}", 0, 1), ("k > 0.5", 1, 0)):
+        r = api.filter_count(spark, str(tmp_path / "k.parquet"), text)
+        assert (r.matched, r.skipped_row_groups) == (matched, skipped), text
+
+
+def test_leaves_come_from_the_tree(spark, tmp_path):
+    item = pa.struct([pa.field("x", pa.int32(), nullable=False), pa.field("y", pa.string())])
+    schema = pa.schema([
+        pa.field("id", pa.int64(), nullable=False), pa.field("a", pa.struct([pa.field("x", pa.int32(), nullable=False), pa.field("list", pa.int32())])), pa.field("b", pa.struct([pa.field("x", pa.int32())])),
+        pa.field("l", pa.list_(pa.float32())), pa.field("items", pa.list_(item)), pa.field("m", pa.map_(pa.string(), pa.list_(pa.int32()))),
+    ])
+    rows = [{"id": 1, "a": {"x": 5, "list": 1}, "b": {"x": 7}, "l": [1.0], "items": [{"x": 1, "y": "q"}], "m": [("k", [1])]}]
+    pq.write_table(pa.Table.from_pylist(rows, schema=schema), tmp_path / "n.parquet")
+    f = read_footers(spark, str(tmp_path / "n.parquet"))
+    leaves = {x.leaf_path: (x.repetition, x.holders) for x in f.leaves.collect()}
+    assert leaves == {
+        "id": ("REQUIRED", []), "a.x": ("REQUIRED", ["struct"]), "a.list": ("OPTIONAL", ["struct"]), "b.x": ("OPTIONAL", ["struct"]), "l.list.element": ("OPTIONAL", ["list"]),
+        "items.list.element.x": ("REQUIRED", ["list", "struct"]), "items.list.element.y": ("OPTIONAL", ["list", "struct"]), "m.key_value.key": ("REQUIRED", ["map"]), "m.key_value.value.list.element": ("OPTIONAL", ["map", "list"]),
+    }
+    kinds = {x.leaf_path: (x.is_list, x.is_map, x.is_struct) for x in A.nested(f.leaves).collect()}
+    assert kinds["a.list"] == (False, False, True) and kinds["l.list.element"] == (True, False, False) and kinds["m.key_value.value.list.element"] == (False, True, False)
+    stats = {x.column_name: x.min for x in A.column_stats(f.chunks, 1).collect()}
+    assert (stats["a.x"], stats["b.x"]) == ("5", "7")
+
+
+def test_bloom_filters_and_other_file_systems(spark, tmp_path):
+    out = f"{tmp_path}/bloom"
+    spark.range(2000).select("id", (F.col("id") * 7).alias("other")).coalesce(1).write.option("parquet.bloom.filter.enabled#id", "true").option("parquet.enable.dictionary", "false").parquet(out)
+    got = {x.leaf_path: x.has_bloom_filter for x in A.bloom_filters(read_footers(spark, out).bloom_filters()).collect()}
+    assert got == {"id": True, "other": False}
+    # a path that only Hadoop's file systems can open
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    (tmp_path / "bloom" / "broken.parquet").write_bytes(b"PAR1 nothing here")
+    far = read_footers(spark, "viewfs://far/in/bloom")
+    assert far.files.where("error is null").first().row_count == 2000 and far.files.where("error is not null").count() == 1
+    assert {x.leaf_path: x.has_bloom_filter for x in A.bloom_filters(far.bloom_filters()).collect()} == got
+
+
+def test_directories(spark, tmp_path):
+    for where in ("p/year=2024/month=01", "p/year=2025/month=02", "q/deep/er", "q/year=1/x"):
+        (tmp_path / where).mkdir(parents=True)
+        pq.write_table(pa.table({"a": [1, 2]}), tmp_path / where / "f.parquet")
+    (tmp_path / "p" / "notes.txt").write_text("no table")
+    (tmp_path / "q" / "notes.txt").write_text("no table")
+    from colquarry.sources.paths import read
+
+    p = read(spark, str(tmp_path / "p"))
+    assert dict(p.dtypes) == {"a": "bigint", "year": "string", "month": "string"} and sorted({(x.year, x.month) for x in p.collect()}) == [("2024", "01"), ("2025", "02")]
+    q = read(spark, str(tmp_path / "q"))
+    assert q.count() == 4 and sorted({x.year or "" for x in q.collect()}) == ["", "1"]
+    part = {x.key: x.distinct_values for x in api.Dataset(spark, str(tmp_path / "p")).partitions().collect()}
+    assert part == {"year": ["2024", "2025"], "month": ["01", "02"]}
+
+
+def test_sampled_rows_and_detail(spark, groups):
+    with api.Dataset(spark, groups) as data:
+        chosen = data.sampled_groups(20)
+        assert sorted((x.row_group, x.first_row) for x in chosen.collect()) == [(0, 0), (1, 100)]
+        p = {x.column_name: x for x in data.sampled_profile(20).collect()}
+        assert p["id"].row_count == 1000 and p["id"].numeric.max == 199 and len(p["id"].histogram) == 20 and p["s"].null_count == 250
+        detail = data.column_detail("s").first()
+        assert detail.codec == "SNAPPY" and detail.string.max_length == 2 and detail.score < 100
+        rows = data.row_groups("num_rows", descending=True).collect()
+        assert len(rows) == 10 and not any(x.is_outlier for x in rows)
+    assert "s: BYTE_ARRAY" in api.schema(spark, groups, "text") and api.filter_rows(data.rows_frame(), "id >= 150", 3).orderBy("id").first().id == 150
+    views = api.inspect(spark, groups, sample_percent=20, profile=True)
+    assert {"sampled_stats", "profile", "partitions", "messages", "sort_order"} <= set(views) and views["schema"].where("column_name = 'id'").first().icon == "#"
+    scored = api.find_columns(views["columns"].drop("score"), scores=data.scores.select("column_name", "score"), order="score", bookmarks=["id", "s"])
+    assert [x.column_name for x in scored.collect()] == ["s", "id"]
+
+
+def test_profile_of_all_kinds(spark):
+    import datetime as dt
+
+    rows = [(i, float(i % 5) if i % 7 else math.inf, f"k{i % 3}", i % 2 == 0, dt.date(2020, 1, 1 + i % 4), dt.datetime(2020, 1, 1, i % 6), [i], {"a": i}, None) for i in range(70)]
+    df = spark.createDataFrame(rows, "n int, x double, s string, b boolean, d date, t timestamp, l array<int>, m map<string,int>, none int").repartition(3)
+    got = {x.column_name: x for x in P.profile(df).collect()}
+    assert got["n"].distinct_count == 70 and got["n"].numeric.p50 in (34, 35) and sum(b["count"] for b in got["n"].histogram) == 70
+    assert got["x"].numeric.max == math.inf and sum(b["count"] for b in got["x"].histogram) == 60 and got["x"].histogram[0].low == 0 and got["x"].histogram[-1].high == 4
+    assert got["x"].top_values[0].value == "0.0" and {v.value for v in got["x"].top_values} == {"0.0", "1.0", "2.0", "3.0", "4.0", "Infinity"}
+    assert [(v.value, v["count"]) for v in got["s"].top_values] == [("k0", 24), ("k1", 23), ("k2", 23)] and got["s"].string.max_length == 2
+    assert got["b"].boolean.true_count == 35 and got["b"].top_values[0].value == "false" and got["d"].top_values[0].value == "2020-01-01" and got["d"].temporal.range_days == 3
+    assert got["t"].top_values[0].value == "2020-01-01 00:00:00" and got["m"].distinct_count is None and got["l"].distinct_count == 70
+    assert got["none"].null_count == 70 and got["none"].histogram is None and got["none"].top_values is None
+    assert {x.column_name: x.row_count for x in P.profile(df.limit(0)).collect()}["n"] == 0
+    plan = P._first_pass(df, P.kinds(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
+def test_two_time_limits_at_once(spark):
+    import threading
+
+    from colquarry.streaming.watch import with_timeout
+
+    found = []
+    slow = threading.Thread(target=lambda: found.append(with_timeout(spark, 120, lambda: spark.range(0, 1 << 22, 1, 8).select(F.sum("id")).first()[0])))
+    slow.start()
+    from colquarry.streaming.watch import TimedOut
+
+    with pytest.raises(TimedOut):
+        with_timeout(spark, 0.5, lambda: spark.range(0, 1 << 34, 1, 400).select(F.sum(F.hash("id"))).collect())
+    slow.join()
+    assert found == [(1 << 22) * ((1 << 22) - 1) // 2]
+
+
 def test_paths():
     assert parse_store_uri("s3://b/k/x.parquet") == ("s3", "b", "k/x.parquet") and parse_store_uri("gs://b") == ("gs", "b", "") and parse_store_uri("/a/b") is None
     assert partition_values("/d/y=1/m=/=3/z/f.parquet", "/d") == {"y": "1"}
@@ -149,6 +275,15 @@ def test_config(tmp_path):
     assert Config.load(path).histogram_bins == 7
 
 
+def test_config_from_the_environment(tmp_path, monkeypatch):
+    monkeypatch.setenv("COLQUARRY_CONFIG", f"{tmp_path}/own.json")
+    Config(max_rows_preview=3).save()
+    assert Config.load().max_rows_preview == 3
+    monkeypatch.delenv("COLQUARRY_CONFIG")
+    monkeypatch.setenv("XDG_CONFIG_HOME", f"{tmp_path}/xdg")
+    assert Config.load() == Config()
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([(1.0, 3.0, "", True), (2.0, 3.0, " ", None), (None, 3.0, "١٢", False), (math.nan, 3.0, "12\n", None)], "x double, same double, s string, b boolean")
     n = {r.column_name: r for r in P.numeric_profile(df).collect()}
@@ -170,8 +305,9 @@ def test_duplicates(spark):
 
 def test_texts(spark):
     row = spark.range(1).select(
-        S.byte_text(F.lit(1536)).alias("b"), S.duration_text(F.lit(90_000)).alias("d"), S.shortened(F.lit("abcdef"), 4).alias("t"), S.epoch_ms(F.lit(-1500).cast("long").cast("timestamp"), __import__("pyspark").sql.types.TimestampType()).alias("ms"),
+        S.byte_text(F.lit(1536)).alias("b"), S.duration_text(F.lit(90_000)).alias("d"), S.epoch_text(F.lit(951_782_399)).alias("e"), S.shortened(F.lit("abcdef"), 4).alias("t"), S.epoch_ms(F.lit(-1500).cast("long").cast("timestamp"), __import__("pyspark").sql.types.TimestampType()).alias("ms"),
     ).first()
+    assert row.e == "2000-02-28 23:59:59 UTC"
     assert (row.b, row.d, row.t, row.ms) == ("1.50 KB", "1.5m", "abc…", -1_500_000)
 
 
