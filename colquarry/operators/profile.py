@@ -1,13 +1,15 @@
 """Column profiles: one pass for all columns' moments, counts and patterns, one for histograms and top values.
 
-Every statistic of the first pass is an aggregate with a partial step, so a profile shuffles one row per task; the
-wide row is turned into a row per column by inline(array(struct)). The second pass counts bins and values of all
-columns together, in the columns' own types. NaN is left out of numeric statistics.
+Every statistic of the first pass is an aggregate with a partial step, so a profile shuffles a row per task and
+aggregation; the wide row is turned into a row per column by inline(array(struct)). The second pass counts each
+column's values or bins in its own type. NaN is left out of numeric statistics.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +17,9 @@ from ..functions import scalars as S
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 _QUANTILE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
-#: Columns that go into one aggregation, each with a sketch or two of some 16 kB in a task.
-COLUMNS_AT_ONCE = 64
+#: Columns that go into one aggregation. Each aggregation reads its own columns only, so more of them read nothing
+#: twice; with more columns in one its generated code outgrows what gets compiled.
+COLUMNS_AT_ONCE = 2
 #: Registers of the sketch of distinct values, as a power of two: an error of 0.65 %.
 DISTINCT_BITS = 14
 TOP_N, TOP_MOST_DISTINCT = 20, 10_000
@@ -153,75 +156,53 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool
     return per_column(df, list(kinds(df, columns)), lambda c: {"distinct_count": count(_q(c))})
 
 
-#: How values travel while they are counted: whole numbers, days and microseconds as long, and so on.
-_CARRIED = ("whole", "real", "text")
-
-
-def _carried(c: str, kind: T.DataType) -> tuple[str, Column]:
-    x = _q(c)
-    if isinstance(kind, T.DateType):
-        return "whole", F.unix_date(x).cast("long")
-    if isinstance(kind, T.TimestampType):
-        return "whole", F.unix_micros(x)
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return "whole", x.cast("long")
-    if isinstance(kind, T.DoubleType):
-        return "real", x
-    return "text", x.cast("string")
-
-
-def _as_text(kind: T.DataType) -> Column:
-    whole = F.col("whole")
-    if isinstance(kind, T.DateType):
-        return F.date_from_unix_date(whole.cast("int")).cast("string")
-    if isinstance(kind, T.TimestampType):
-        return F.timestamp_micros(whole).cast("string")
-    if isinstance(kind, T.BooleanType):
-        return whole.cast("boolean").cast("string")
-    if isinstance(kind, T.IntegralType):
-        return whole.cast("string")
-    return F.col("real").cast("string") if isinstance(kind, T.DoubleType) else F.col("text")
-
-
-def _entry(place: int, bin_: Column | None, carried: tuple[str, Column] | None) -> Column:
-    types = {"whole": "long", "real": "double", "text": "string"}
-    values = {k: F.lit(None).cast(t) for k, t in types.items()} | (dict([carried]) if carried else {})
-    return F.struct(F.lit(place).alias("place"), (F.lit(None) if bin_ is None else bin_).cast("int").alias("bin"), *(v.alias(k) for k, v in values.items()))
+def _value_counts(df: DataFrame, few: list[str], bins: dict[str, tuple[float, float, int, float]]) -> DataFrame:
+    """column_name and items, the list of (bin, value, count): of the columns in ``few`` every value, with its bin if
+    there are ``bins`` (low, high, number, width) for the column; of other columns with bins the bins alone.
 
+    An aggregation for each column in its own type, which reads that column only and is combined before the shuffle;
+    values become text when they are counted. A list holds fewer than the most distinct values allowed, or the bins."""
+    parts: list[DataFrame] = []
+    for c in dict.fromkeys([*few, *bins]):
+        place = (lambda x: _bin(_finite_of(x), bins[c][0], *bins[c][2:])) if c in bins else lambda x: F.lit(None).cast("int")
+        if c in few:
+            counts = df.groupBy(_q(c).alias("v")).agg(F.count("*").alias("count")).where("v is not null")
+            part = counts.select(F.lit(c).alias("column_name"), place(F.col("v")).alias("bin"), F.col("v").cast("string").alias("value"), "count")
+        else:
+            counts = df.groupBy(place(_q(c)).alias("bin")).agg(F.count("*").alias("count")).where("bin is not null")
+            part = counts.select(F.lit(c).alias("column_name"), "bin", F.lit(None).cast("string").alias("value"), "count")
+        parts.append(part)
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_name string, items array<struct<bin:int,value:string,count:bigint>>")
+    return reduce(DataFrame.union, parts).groupBy("column_name").agg(F.collect_list(F.struct("bin", "value", "count")).alias("items"))
 
-def _named(counts: DataFrame, fields: dict[str, T.DataType], *more: str) -> DataFrame:
-    value, name = F.col("text"), F.lit(None).cast("string")
-    for i, (c, kind) in enumerate(fields.items()):
-        value = F.when(F.col("place") == i, _as_text(kind)).otherwise(value)
-        name = F.when(F.col("place") == i, F.lit(c)).otherwise(name)
-    return counts.select(name.alias("column_name"), *more, value.alias("value"), "count")
 
-
-def _with_rank(named: DataFrame, per) -> DataFrame:
-    rank = F.row_number().over(per.orderBy(F.desc("count"), "value"))
-    return named.withColumns({"rank": rank, "percentage": S.percentage(F.col("count"), F.sum("count").over(per))})
+def _first_values(items: Column, n: int) -> Column:
+    """(rank, value, count, percentage) of the ``n`` most frequent values, ties by value."""
+    values = F.filter(items, lambda x: x["value"].isNotNull())
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    order = F.slice(F.array_sort(F.transform(values, lambda x: F.struct((-x["count"]).alias("minus"), x["value"].alias("value")))), 1, n)
+    return F.transform(order, lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), (-x["minus"]).alias("count"), S.percentage(-x["minus"], total).alias("percentage")))
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_N, most_distinct: int = TOP_MOST_DISTINCT) -> DataFrame:
     """The ``n`` most frequent values of each column with fewer than ``most_distinct`` values: column_name, value,
-    count, percentage (of non-null values) and rank; ties by value.
-
-    One aggregation over (column, value) pairs in the columns' own types, combined before the shuffle; columns that
-    have too many values by the sketch are left out of it, so what is ranked has a bound."""
-    chosen = kinds(df, columns)
+    count, percentage (of non-null values) and rank; ties by value. Columns that have too many values by the sketch
+    are left out, so what is ranked has a bound."""
+    chosen = list(kinds(df, columns))
     if not chosen:
         raise ValueError("no column of this kind")
-    few = {r["column_name"] for r in distinct_counts(df, list(chosen)).collect() if r["distinct_count"] < most_distinct}
-    fields = {c: t for c, t in chosen.items() if c in few}
-    entries = [_entry(i, None, _carried(c, t)) for i, (c, t) in enumerate(fields.items())]
-    pairs = df.select(F.inline(F.array(*entries))) if entries else df.select(F.inline(F.array(_entry(-1, None, None)))).where("false")
-    counts = _named(pairs.groupBy("place", *_CARRIED).agg(F.count("*").alias("count")), fields).where("value is not null")
-    return _with_rank(counts, Window.partitionBy("column_name")).where(F.col("rank") <= n)
+    few = [r["column_name"] for r in distinct_counts(df, chosen).collect() if r["distinct_count"] < most_distinct]
+    return _value_counts(df, few, {}).select("column_name", F.inline(_first_values(F.col("items"), n))).select("column_name", "value", "count", "rank", "percentage")
+
+
+def _finite_of(x: Column) -> Column:
+    d = x.cast("double")
+    return F.when(F.abs(F.nullif(d, F.lit(float("nan")))) < float("inf"), d)
 
 
 def _finite(c: str) -> Column:
-    x = _number(c)
-    return F.when(F.abs(x) < float("inf"), x)
+    return _finite_of(_q(c))
 
 
 def _bins(low: float, high: float, bins: int) -> tuple[int, float]:
@@ -291,7 +272,7 @@ def _kind(t: T.DataType) -> str | None:
 
 
 def _first_pass(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
-    """A row for each column, from one aggregation over one scan for every COLUMNS_AT_ONCE columns."""
+    """A row for each column: every statistic of it from one aggregation, COLUMNS_AT_ONCE columns in each."""
     out: DataFrame | None = None
     names = list(fields)
     for a in range(0, len(names), COLUMNS_AT_ONCE):
@@ -327,35 +308,20 @@ def profile(df: DataFrame, columns: list[str] | None = None, bins: int = 30, top
     bin, of numeric columns with finite values) and top_values (value, count, rank and percentage, of columns with
     fewer than ``most_distinct`` values).
 
-    Two scans: one for every statistic of all columns, which comes to the driver as a row for each column, and one
-    for the bins and values, which is left out where there is nothing to count."""
+    Each column is read twice: once for every statistic, which comes to the driver as a row, and once for its bins and
+    values; what needs no counting isn't read again."""
     fields = kinds(df, columns)
     spark = df.sparkSession
     found = _first_pass(df, fields)
     schema = found.schema
     rows = found.collect()  # a row for each column
     first = spark.createDataFrame(rows, schema)
-    facts, entries = {r["column_name"]: r for r in rows}, []
-    plan: dict[int, tuple[float, float, int, float]] = {}
-    for i, (c, t) in enumerate(fields.items()):
-        low, high = facts[c]["_low"], facts[c]["_high"]
-        if low is not None:
-            plan[i] = (low, high, *_bins(low, high, bins))
-            entries.append(_entry(i, _bin(_finite(c), low, *plan[i][2:]), None))
-        if (facts[c]["distinct_count"] or most_distinct) < most_distinct:
-            entries.append(_entry(i, None, _carried(c, t)))
-    counts = df.select(F.inline(F.array(*entries))) if entries else df.select(F.inline(F.array(_entry(-1, None, None)))).where("false")
-    counts = counts.groupBy("place", "bin", *_CARRIED).agg(F.count("*").alias("count"))
-    is_bin = F.col("bin").isNotNull()
-    found = _named(counts, fields, "bin").where(is_bin | F.col("value").isNotNull())
-    ranked = _with_rank(found, Window.partitionBy("column_name", is_bin)).where(is_bin | (F.col("rank") <= top))
-    details = ranked.groupBy("column_name").agg(
-        F.map_from_entries(F.collect_list(F.when(is_bin, F.struct("bin", "count")))).alias("_counts"),
-        F.nullif(F.array_sort(F.collect_list(F.when(~is_bin, F.struct("rank", "value", "count", "percentage")))), F.array().cast("array<struct<rank:int,value:string,count:bigint,percentage:double>>")).alias("top_values"),
-    )
-    names = list(fields)
-    edges = [(names[i], [(k, low + k * width, high if k == n - 1 else low + (k + 1) * width) for k in range(n)]) for i, (low, high, n, width) in plan.items()]
-    made = spark.createDataFrame(edges, "column_name string, _edges array<struct<bin:int,low:double,high:double>>")
-    bars = F.transform("_edges", lambda e: F.struct(e["low"].alias("low"), e["high"].alias("high"), F.coalesce(F.element_at("_counts", e["bin"]), F.lit(0)).alias("count")))
-    out = first.join(made, "column_name", "left").join(details, "column_name", "left")
-    return out.withColumn("histogram", bars).select(*(c for c in first.columns if not c.startswith("_")), "histogram", "top_values")
+    plan = {r["column_name"]: (r["_low"], r["_high"], *_bins(r["_low"], r["_high"], bins)) for r in rows if r["_low"] is not None}
+    few = [r["column_name"] for r in rows if r["distinct_count"] is not None and 0 < r["distinct_count"] < most_distinct]
+    made = _value_counts(df, few, plan)
+    edges = [(c, [(k, low + k * width, high if k == n - 1 else low + (k + 1) * width) for k in range(n)]) for c, (low, high, n, width) in plan.items()]
+    out = first.join(spark.createDataFrame(edges, "column_name string, _edges array<struct<bin:int,low:double,high:double>>"), "column_name", "left").join(made, "column_name", "left")
+    inside = lambda e: F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.when(x["bin"] == e["bin"], x["count"]).otherwise(F.lit(0)))
+    bars = F.transform("_edges", lambda e: F.struct(e["low"].alias("low"), e["high"].alias("high"), inside(e).alias("count")))
+    top_ = F.when(F.col("column_name").isin(few), _first_values(F.col("items"), top))
+    return out.withColumns({"histogram": bars, "top_values": top_}).select(*(c for c in first.columns if not c.startswith("_")), "histogram", "top_values")
