@@ -115,8 +115,8 @@ def token_counts(
     """n_words and n_tokens of every text: its words by ``words``, their greedy longest-match pieces.
 
     Without an automaton the pieces are those of the byte-level vocabulary file, all of which may begin or
-    continue a word; every byte is one, so no word is unknown. A null or empty text has no words. A null
-    doc_id stays null, repeated rows are kept, an empty table gives an empty result. Columns other than
+    continue a word; every byte is one, so no word is unknown. A null or empty text has no words, a very long one is
+    counted whole. A null doc_id stays null, repeated rows are kept, an empty table gives an empty result. Columns other than
     doc_id and text are ignored."""
     if automaton is None:
         v = load(tokenizer_path or default_path())
