@@ -16,11 +16,12 @@ bitmap, its range of sizes and how many elements share bits with others. Two nod
 dropped where the sizes are too far apart, all their sets are linked already, or the bits both have, with the
 shared ones, can't reach the least overlap that a link needs. Pairs of sets that remain are compared exactly.
 
-The join walks trees twice. First each set goes to one route only, the class that heads most of its routes;
-that links nearly all copies, and the components of these links are taken. Then only routes that still hold
-sets of different components are walked: once with short bitmaps alone, which leaves the sets that some other
-one may link with, and in full over these. Routes with many sets are cut into blocks, and pairs of blocks are
-tasks.
+Sets that can meet, over any number of routes, are a cluster. A cluster that fits a task is walked there as one
+tree, so each set is sent once. The sets of larger clusters are walked by route, twice. First each set goes to one
+route only, the class that heads most of its routes; that links nearly all copies, and the components of these
+links are taken. Then only routes that still hold sets of different components are walked: once with short bitmaps
+alone, which leaves the sets that some other one may link with, and in full over these. Routes with many sets are
+cut into blocks, and pairs of blocks are tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -427,13 +428,13 @@ def _sift(num: int, den: int):
     return lambda batches: _flushed(_ALIVE, (left(rows) for rows in _by_task(batches, "bits") if _open(rows)))
 
 
-def _tasks(assigned: DataFrame, sizes: DataFrame, bytes_each: float, block_bytes: int) -> DataFrame:
-    """(route, low, high, block, set_id, label): the tasks of the classes assigned (route, set_id, label).
+def _tasks(assigned: DataFrame, bytes_each: float, block_bytes: int) -> DataFrame:
+    """(route, low, high, block, set_id, label): the tasks of the classes assigned (route, set_id, label, n).
 
     A route whose classes take more than ``block_bytes`` (``bytes_each`` an element) is cut into blocks; a task
     is a pair of blocks."""
     taken = F.sum(F.col("n") * bytes_each + 64) / F.lit(float(block_bytes))
-    blocks = assigned.join(sizes, "set_id").groupBy("route").agg(F.ceil(taken).cast("int").alias("blocks"))
+    blocks = assigned.groupBy("route").agg(F.ceil(taken).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high"))
@@ -473,14 +474,54 @@ def _sets(k: int):
 
 
 def _worthwhile(met: DataFrame) -> DataFrame:
-    """Of (route, set_id, mark) the classes, in each space, of which as many routes are met as a link needs."""
-    others = met.groupBy("route").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most")
-    met = met.join(others.select("route"), "route")
-    enough = met.groupBy("set_id", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= F.shiftright("mark", 6))
-    return met.join(enough.select("set_id", "mark"), ["set_id", "mark"]).select("route", "set_id", "mark")
+    """Of (route, set_id, mark) the classes, in each space, of which as many routes are met as a link needs: a class's
+    rows are brought together once, told apart and counted there. They are as many as a set has routes."""
+    dealt = met.repartition("set_id").distinct().withColumn("n", F.count("*").over(Window.partitionBy("set_id", "mark")))
+    return dealt.where(F.col("n") >= F.shiftright("mark", 6)).select("route", "set_id")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, block_bytes: int = 24 << 20, often: int = 64) -> DataFrame:
+def _with_heads(met: DataFrame) -> DataFrame:
+    """(route, set_id, head) of the routes that are still met, with the least of a route's classes."""
+    ends = met.groupBy("route").agg(F.min("set_id").alias("head"), F.max("set_id").alias("last")).where("head != last")
+    return met.join(ends.select("route", "head"), "route")
+
+
+def _links_of_large(
+    tables: Tables, met: DataFrame, star: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, links: DataFrame
+) -> DataFrame:
+    """``links`` with those of sets whose clusters are too large for a task: from ``met`` (route, set_id, head) and
+    ``star`` (set_id, head and how many routes they meet on)."""
+    links_of = lambda tasks: _run(tasks, "elements", _walk(num, den), "a long, b long")
+    # each class goes once to the head that it meets most
+    best = star.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
+    heads = best.select(F.col("route").alias("set_id"), "route")
+    first = tables.store(best.select("set_id", "route").union(heads).distinct(), "first")
+    tasks = _tasks(first.withColumn("label", F.col("set_id")).join(sizes, "set_id"), 8, block_bytes)
+    nearest = tables.store(links_of(tasks.join(sets.select("set_id", "elements"), "set_id")), "links")
+    found = components(nearest, tables)
+
+    # routes that still hold different components, one of those with equal members
+    labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    known = sizes.join(sets.select("set_id"), "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    open_ = met.select("route", "set_id").join(known, "set_id", "left")
+    mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
+    mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
+    rest = tables.store(open_.join(mixed, "route").select("route", "set_id", "label", "n"), "open")
+    tables.drop(first, found)
+    short = _tasks(rest, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
+    alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
+    sifted = tables.store(_run(short, "bits", _sift(num, den), alive), "sifted")
+    tables.drop(rest)
+    # of tasks with equal members one is enough, but for those between two blocks, whose pairs differ
+    between = F.when(F.col("low") != F.col("high"), F.struct(*_TASK))
+    groups = sifted.groupBy(*_TASK).agg(*_members()).groupBy("members", "digest", "digest2", between).agg(F.min(F.struct(*_TASK)).alias("task"))
+    last = sifted.join(groups.select("task.*"), _TASK)
+    more = tables.store(links.union(nearest).union(links_of(last.join(sets.select("set_id", "elements"), "set_id"))), "links")
+    tables.drop(sifted, nearest, links)
+    return more
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, block_bytes: int = 24 << 20, often: int = 64, cluster_sets: int = 2048) -> DataFrame:
     """doc_id (of any type that can be ordered and hashed), n_shingles and component_id of every row of ``docs``.
 
     Rows whose shingle sets have a Jaccard similarity of num / den or more are linked; component_id is the
@@ -502,46 +543,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     classes = tables.store(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"), F.min("n").alias("n")), "classes")
     sizes = classes.select("set_id", "n")
 
-    met = all_met.where("n < 0").select(F.col("key").alias("route"), "set_id", (-1 - F.col("n")).alias("mark")).distinct()
-    once = tables.store(_worthwhile(met), "worthwhile")
-    met = tables.store(_worthwhile(once).select("route", "set_id"), "worthwhile")  # what only met those that left leaves too
-    tables.drop(once)
+    met = all_met.where("n < 0").select(F.col("key").alias("route"), "set_id", (-1 - F.col("n")).alias("mark"))
+    worthwhile = tables.store(_worthwhile(met), "worthwhile")
+    met = tables.store(_with_heads(worthwhile), "met-again")  # what only met those that left leaves too
+    tables.drop(worthwhile)
     links_of = lambda tasks: _run(tasks, "elements", _walk(num, den), "a long, b long")
 
-    # each class that meets another one goes once to the head that it meets most
-    heads = met.groupBy("route").agg(F.min("set_id").alias("head"))
-    often_met = met.join(heads, "route").where("set_id != head").groupBy("set_id", "head").agg(F.count("*").alias("times"))
-    best = often_met.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
-    heads = best.select(F.col("route").alias("set_id"), "route")
-    first = tables.store(best.select("set_id", "route").union(heads).distinct(), "first")
-    every = first.select("set_id").distinct()
+    # what can meet at all, over any number of routes: a cluster that fits a task is walked there, each set sent once
+    star = tables.store(met.where("set_id != head").groupBy("set_id", "head").agg(F.count("*").alias("times")), "star")
+    reached = components(star.select(F.col("set_id").alias("a"), F.col("head").alias("b")), tables).withColumnsRenamed({"node": "set_id", "component": "cluster"})
+    total = reached.join(sizes, "set_id").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n") * 8 + 64).alias("bytes"))
+    fits = (F.col("sets") <= cluster_sets) & (F.col("bytes") <= block_bytes)
+    clusters = tables.store(reached.join(total.select("cluster", fits.alias("fits")), "cluster"), "clusters")
     # a sort-merge join at any size: the plan doesn't turn with what happens to fit a broadcast
-    wanted = classes.join(every, "set_id").select("ref", "set_id")
+    wanted = classes.join(clusters.select("set_id"), "set_id").select("ref", "set_id")
     texts = docs.select("ref", "text").join(wanted.hint("merge"), "ref").groupBy("ref", "set_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     sets = tables.store(texts.select("set_id", "text").mapInArrow(_sets(shingle_words), "set_id long, elements binary, bits binary"), "sets")
-    tasks = _tasks(first.withColumn("label", F.col("set_id")), sizes, 8, block_bytes)
-    links = tables.store(links_of(tasks.join(sets.select("set_id", "elements"), "set_id")), "links")
+    one = lambda c: F.lit(0).alias(c)
+    small = clusters.where("fits").select(F.col("cluster").alias("route"), one("low"), one("high"), one("block"), "set_id", F.col("set_id").alias("label"))
+    links = tables.store(links_of(small.join(sets.select("set_id", "elements"), "set_id")), "links")
+    if not clusters.where("not fits").isEmpty():
+        done = clusters.where("fits").select("set_id")
+        left = lambda df: df.join(done, "set_id", "left_anti")
+        links = _links_of_large(tables, left(met), left(star), sizes, sets, num, den, block_bytes, links)
     found = components(links, tables)
 
-    # routes that still hold different components, one of those with equal members
-    labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    open_ = met.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
-    mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
-    rest = tables.store(open_.join(mixed, "route").select("route", "set_id", "label"), "open")
-    tables.drop(met, first, found)
-    short = _tasks(rest, sizes, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
-    alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
-    sifted = tables.store(_run(short, "bits", _sift(num, den), alive), "sifted")
-    tables.drop(rest)
-    # of tasks with equal members one is enough, but for those between two blocks, whose pairs differ
-    between = F.when(F.col("low") != F.col("high"), F.struct(*_TASK))
-    groups = sifted.groupBy(*_TASK).agg(*_members()).groupBy("members", "digest", "digest2", between).agg(F.min(F.struct(*_TASK)).alias("task"))
-    last = sifted.join(groups.select("task.*"), _TASK)
-    more = tables.store(links.union(links_of(last.join(sets.select("set_id", "elements"), "set_id"))), "links")
-    tables.drop(sifted, sets, links)
-    found = components(more, tables)
-
     joined = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     reached = joined.join(smallest, "component").select("set_id", "component_id")
@@ -550,3 +576,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     result = tables.store(with_words.union(without), "near-duplicates")
     tables.drop_others(result)
     return result
+
+
+def oracle_sql(shingle_words: int = 5, num: int = 80, den: int = 100) -> str:
+    """DuckDB SQL for near_duplicates() over documents: all pairs that share a shingle, and the closure of the links.
+    For small tables."""
+    k = shingle_words
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT links.b, r.root FROM r JOIN links ON links.a = r.doc)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc, min(root) AS root FROM r GROUP BY 1) c ON c.doc = d.doc_id"""

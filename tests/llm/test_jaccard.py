@@ -9,6 +9,11 @@ from hypothesis import strategies as st
 from colquarry.llm.components import components
 from colquarry.llm.jaccard import Frequent, Spaces, bitmap, marked_routes, near_duplicates, routes, tree_links, tree_sift, width_for
 
+from colquarry.llm import queries
+
+from .oracle import duck
+from .oracle import rows as table_rows
+
 SCHEMA = "doc_id long, text string, n int, set_id string, route int"
 U64 = np.uint64
 
@@ -60,12 +65,12 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,num,den,block", [(4, 85, 100, 24 << 20), (5, 80, 100, 6000), (4, 1, 2, 24 << 20)])
-def test_components_against_brute_force(spark, k, num, den, block):
+@pytest.mark.parametrize("k,num,den,block,cluster", [(4, 85, 100, 24 << 20, 2048), (5, 80, 100, 6000, 2048), (4, 1, 2, 24 << 20, 3), (5, 80, 100, 24 << 20, 0)])
+def test_components_against_brute_force(spark, k, num, den, block, cluster):
     rows = corpus(k * num, 170)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "w " * 30_000), (5003, "w " * 30_000), (None, rows[0][1]), (None, "only null id here"), (None, None)]
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(5)
-    got = sorted((tuple(x) for x in near_duplicates(df, k, num, den, block).collect()), key=str)
+    got = sorted((tuple(x) for x in near_duplicates(df, k, num, den, block, cluster_sets=cluster).collect()), key=str)
     assert got == expected(rows, k, num, den)
 
 
@@ -161,7 +166,16 @@ def test_star_components(spark):
     for _ in root:
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     loops = {a for a in root if all(a not in e or e[0] == e[1] for e in edges)}
-    assert got == {k: v for k, v in root.items() if k not in loops}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for most in (1 << 20, 2):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        got = {x.node: x.component for x in components(df, most=most).collect()}
+        assert got == {k: v for k, v in root.items() if k not in loops}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_the_query_and_its_sql(spark):
+    d = "/root/testdata/sf0.01"
+    assert table_rows(queries.op4_jaccard_join(spark, d)) == duck(queries.ORACLE_SQL["op4_jaccard_join"], d)
