@@ -487,12 +487,13 @@ def _with_heads(met: DataFrame) -> DataFrame:
 
 
 def _links_of_large(
-    tables: Tables, met: DataFrame, star: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, links: DataFrame
+    tables: Tables, met: DataFrame, star: DataFrame, clusters: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, links: DataFrame
 ) -> DataFrame:
-    """``links`` with those of sets whose clusters are too large for a task: from ``met`` (route, set_id, head) and
-    ``star`` (set_id, head and how many routes they meet on)."""
+    """``links`` with those of sets whose clusters don't fit a task: from ``met`` (route, set_id, head) and ``star``
+    (set_id, head and how many routes they meet on). A route's sets are of one cluster."""
     links_of = lambda tasks: _run(tasks, "elements", _walk(num, den), "a long, b long")
     # each class goes once to the head that it meets most
+    star = star.join(clusters.where("fits"), "set_id", "left_anti")
     best = star.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("route"))
     heads = best.select(F.col("route").alias("set_id"), "route")
     first = tables.store(best.select("set_id", "route").union(heads).distinct(), "first")
@@ -502,7 +503,9 @@ def _links_of_large(
 
     # routes that still hold different components, one of those with equal members
     labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    known = sizes.join(sets.select("set_id"), "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    # a cluster that fits is done: it counts as one component
+    label = F.coalesce("label", F.when(F.col("fits"), F.col("cluster")), "set_id")
+    known = sizes.join(clusters, "set_id").join(labels, "set_id", "left").select("set_id", "n", label.alias("label"))
     open_ = met.select("route", "set_id").join(known, "set_id", "left")
     mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
     mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
@@ -563,9 +566,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     small = clusters.where("fits").select(F.col("cluster").alias("route"), one("low"), one("high"), one("block"), "set_id", F.col("set_id").alias("label"))
     links = tables.store(links_of(small.join(sets.select("set_id", "elements"), "set_id")), "links")
     if not clusters.where("not fits").isEmpty():
-        done = clusters.where("fits").select("set_id")
-        left = lambda df: df.join(done, "set_id", "left_anti")
-        links = _links_of_large(tables, left(met), left(star), sizes, sets, num, den, block_bytes, links)
+        links = _links_of_large(tables, met, star, clusters, sizes, sets, num, den, block_bytes, links)
     found = components(links, tables)
 
     joined = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
