@@ -12,15 +12,16 @@ import hashlib
 import mmap
 import os
 import tempfile
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_batches, text_runs
+from .shared import Tables, arrow_batches, text_runs
 from .vocabulary import Vocabulary, default_path, load, words_of
 
 #: Words kept in the lexicon; with at most 64 bytes each it stays far below what may be broadcast.
@@ -111,10 +112,11 @@ class Transducer:
         nothing is left behind."""
         fd, path = tempfile.mkstemp(prefix="lexicon-")
         try:
-            os.write(fd, block)
-            return cls(mmap.mmap(fd, len(block), access=mmap.ACCESS_READ))
+            with os.fdopen(fd, "wb") as f:
+                f.write(block)
+            with open(path, "rb") as f:
+                return cls(mmap.mmap(f.fileno(), len(block), access=mmap.ACCESS_READ))
         finally:
-            os.close(fd)
             os.unlink(path)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -150,14 +152,14 @@ class Transducer:
 class Encoder:
     """Encodes texts word by word; what was found for a word is kept for a while."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int = 300_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int = 500_000) -> None:
         self.vocabulary, self.lexicon, self.memory = vocabulary, lexicon, memory
         self.place: dict[str, int] = {}
         self.ids: list[list[int]] = []
 
-    def look_up(self, words: Iterable[str]) -> None:
-        """Resolve the words that are new: through the automaton, else by merging."""
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
+    def look_up(self, *words: list[str]) -> None:
+        """Resolve the words of some lists that are new: through the automaton, else by merging."""
+        new = list(set().union(*words).difference(self.place))
         raw = [w.encode() for w in new]
         for word, data, number in zip(new, raw, self.lexicon.numbers(raw).tolist()):
             self.place[word] = len(self.ids)
@@ -186,34 +188,58 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
     return b"".join(map(vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _counted(path: str, most: int = 400_000):
+def _counted(path: str, most: int = 500_000):
+    """Words and how often they occur. Texts are cut at white space and only what differs is cut into words, as it is
+    behind a space; a word that begins a line counts as one that follows another."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
-        counts: dict[str, int] = {}
+        runs: Counter[str] = Counter()
 
         def rows():
+            counts: dict[str, int] = {}
+            for chunk, n in runs.items():
+                for word in words_of(" " + chunk):
+                    counts[word] = counts.get(word, 0) + n
             return arrow_batches({"word": pa.string(), "n": pa.int64()}, {"word": list(counts), "n": list(counts.values())})
 
         for batch in batches:
             for text in batch.column("text"):
                 for part in vocabulary.segments(text.as_py() or "")[::2]:
-                    for word in words_of(part):
-                        counts[word] = counts.get(word, 0) + 1
-                if len(counts) > most:
+                    runs.update(part.split())
+                if len(runs) > most:
                     yield rows()
-                    counts = {}
-        if counts:
+                    runs.clear()
+        if runs:
             yield rows()
 
     return run
 
 
+def most_frequent(counts: DataFrame, n_words: int) -> Column:
+    """Whether a row (word, n) is among the some ``n_words`` most frequent: by a histogram of the counts, exact up to
+    1023 and in steps of a thousandth beyond, so that the driver gets some ten thousand rows at most. Of the words of
+    the last step a share is taken, by their hashes."""
+    shift = F.greatest(F.length(F.bin("n")) - 10, F.lit(0))
+    step = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), shift), shift)
+    histogram = counts.groupBy(step.alias("least")).agg(F.count("*").alias("words")).collect()
+    least, last, share, total = 1 << 62, 1 << 62, 0.0, 0
+    for r in sorted(histogram, key=lambda r: -r["least"]):
+        if total + r["words"] > n_words:
+            last, share = r["least"], (n_words - total) / r["words"]
+            break
+        least, total = r["least"], total + r["words"]
+    return (F.col("n") >= least) | ((F.col("n") >= last) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
+
+
 def lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> bytes:
-    """The block of the ``n_words`` most frequent words of all texts, at most 64 bytes long each."""
-    vocabulary = load(path)
-    counts = docs.select("text").mapInArrow(_counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.octet_length("word") <= _LONGEST).orderBy(F.desc("n"), "word").limit(n_words).select("word")
-    block = Transducer.compile({(w := r["word"].encode()): vocabulary.merge(w) for r in top.collect()})
+    """The block of the some ``n_words`` most frequent words of all texts, at most 64 bytes long each."""
+    vocabulary, tables = load(path), Tables(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(_counted(path), "word string, n long").where(F.octet_length("word") <= _LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = tables.store(counts, "words")
+    top = counts.where(most_frequent(counts, n_words)).select("word").collect()
+    tables.drop(counts)
+    block = Transducer.compile({(w := r["word"].encode()): vocabulary.merge(w) for r in top})
     if len(block) > _MOST_BYTES:
         raise ValueError(f"the lexicon takes {len(block)} bytes; ask for fewer words")
     return block
@@ -238,6 +264,7 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None, n_words: int = L
         encoder = Encoder(vocabulary, Transducer.mapped(block.value))
         digits: list[bytes] = []
         pieces: list[bytes] = []
+        lengths: list[int] = []
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             docs_of = batch.column("doc_id").to_pylist()
@@ -246,12 +273,14 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None, n_words: int = L
                 parts = [vocabulary.segments(t) for t in texts[first:end]]
                 words = [[words_of(p) if k % 2 == 0 else p for k, p in enumerate(part)] for part in parts]
                 if encoder.forget() or len(digits) > len(encoder.ids):
-                    digits, pieces = [], []
-                encoder.look_up(w for part in words for k, p in enumerate(part) if k % 2 == 0 for w in p)
-                for ids in encoder.ids[len(digits) :]:
+                    digits, pieces, lengths = [], [], []
+                encoder.look_up(*(p for part in words for p in part[::2]))
+                for k in range(len(digits), len(encoder.ids)):
+                    ids, encoder.ids[k] = encoder.ids[k], []  # what follows is all that is needed of them
+                    lengths.append(len(ids))
                     digits.append(",".join(map(str, ids)).encode())
                     pieces.append(b"".join(map(vocabulary.pieces.__getitem__, ids)))
-                place = encoder.place
+                place = encoder.place.__getitem__
                 for doc, part in zip(docs_of[first:end], words):
                     n, shown, plain = 0, [], []
                     at: list[int] = []
@@ -262,8 +291,8 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None, n_words: int = L
                             plain.append(vocabulary.pieces[special])
                             n += 1
                         else:
-                            at = [place[w] for w in p]
-                            n += sum(map(len, map(encoder.ids.__getitem__, at)))
+                            at = list(map(place, p))
+                            n += sum(map(lengths.__getitem__, at))
                             shown += map(digits.__getitem__, at)
                             plain += map(pieces.__getitem__, at)
                     text = b"".join(plain).decode("utf-8", "replace")
