@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .infilling import oracle_sql as infilling_sql
 from .jaccard import oracle_sql as jaccard_sql
 from .license import oracle_sql as license_sql
 from .quality import oracle_sql as quality_sql
@@ -82,6 +83,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infilling import digested, transformed
+
+    return digested(transformed(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -93,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm_scores": op9_lm_scores,
     "op10_license_scan": op10_license_scan,
+    "op11_infilling": op11_infilling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard_sql(4, 85, 100),
     "op6_quality": quality_sql(),
     "op10_license_scan": license_sql(),
+    "op11_infilling": infilling_sql(),
 }
