@@ -11,6 +11,7 @@ from .infilling import oracle_sql as infilling_sql
 from .jaccard import oracle_sql as jaccard_sql
 from .license import oracle_sql as license_sql
 from .quality import oracle_sql as quality_sql
+from .ranking import oracle_sql as ranking_sql
 from .shared import documents
 
 
@@ -89,6 +90,12 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(transformed(documents(spark, sf_dir)))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import ranked
+
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op10_license_scan": op10_license_scan,
     "op11_infilling": op11_infilling,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +116,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality": quality_sql(),
     "op10_license_scan": license_sql(),
     "op11_infilling": infilling_sql(),
+    "op12_ranked_search": ranking_sql(),
 }

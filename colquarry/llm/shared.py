@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,13 @@ class Tables:
         self.spark = spark
         self.held: list[tuple[DataFrame, str]] = []
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        """``by``: the last columns, which name the folders of the table."""
         path = f"{shared_dir(self.spark)}/colquarry/{name}-{uuid.uuid4().hex}"
         before = self.spark.conf.get(_CLEANUP)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         files, hadoop = _hadoop(self.spark, path)
@@ -141,13 +143,14 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 21):
         a = b
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of several texts, A-Z lower-cased.
+def word_hashes(raw: np.ndarray, off: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of several texts, A-Z lower-cased; or of the maximal runs of bytes
+    that aren't ``outside``.
 
     Returns (hashes in order, bounds): text i has the words bounds[i]:bounds[i + 1]."""
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~outside[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = off[:-1]
