@@ -96,6 +96,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytenet import classified
+
+    return classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_infilling": op11_infilling,
     "op12_ranked_search": op12_ranked_search,
+    "op13_quality_net": op13_quality_net,
 }
 
 ORACLE_SQL: dict[str, str] = {
