@@ -9,6 +9,7 @@ so no task orders all pieces of a common length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_batches, materialize
-from .vocabulary import default_path, load
+from .vocabulary import default_path, load, words_of
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -82,9 +83,17 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special), v
 
 
+#: White space of this length goes past tiktoken, whose pattern takes stack for each character of it.
+_LONG_SPACE = re.compile(r"(?<!\s)\s{65536}")
+
+
 def encode(path: str, text: str) -> list[int]:
     """The ids that the tokenizers library gives for the vocabulary file, without special tokens added."""
     encoding, v = _encoding(path)
+    if len(text) > 65536 and _LONG_SPACE.search(text):
+        merged = lru_cache(maxsize=1 << 16)(v.merge)
+        parts = ([v.special[x]] if k % 2 else (i for w in words_of(x) for i in merged(w.encode())) for k, x in enumerate(v.segments(text)))
+        return [i for part in parts for i in part]
     if any(x in text for x in v.special):
         return encoding.encode(text, allowed_special="all")
     return encoding.encode_ordinary(text)

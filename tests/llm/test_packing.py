@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from colquarry.llm.packing import cut, pack, plan
+from colquarry.llm.packing import cut, encode, pack, plan
 from colquarry.llm.vocabulary import default_path
 
 SCHEMA = "doc_id long, text string, length string, sequence_id int, bucket int"
@@ -71,5 +71,23 @@ def test_pieces_and_places(spark, per_bucket):
     assert len(by) == best_fit_decreasing([w[3] for w in want], 128)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        " " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x\t" + "\t" * 2_000_000, "a" + " \t\n" * 700_000 + "<|endoftext|> the end" + "\u2003" * 70_000 + "é",
+        "<|endoftext|>" + " " * 65_535 + "a" + " " * 65_536, "q" * 1_200_000, "!" * 1_200_000, "7" * 1_200_000, "日" * 300_000,
+    ],
+)
+def test_very_long_runs_are_encoded_as_the_library_does(text):
+    want = Tokenizer.from_file(default_path()).encode(text, add_special_tokens=False).ids
+    assert encode(default_path(), text) == want
+
+
+def test_a_long_run_of_white_space_is_packed(spark):
+    got = pack(spark.createDataFrame([(1, "a" + " " * 1_100_000 + "b", "", 0, 0), (2, "c", "", 0, 0)], SCHEMA)).collect()
+    want = Tokenizer.from_file(default_path()).encode("a" + " " * 1_100_000 + "b", add_special_tokens=False).ids
+    assert sum(x.length for x in got if x.doc_id == 1) == len(want) + 1 and max(x.length for x in got) <= 1024
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).collect() == []
