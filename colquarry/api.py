@@ -20,7 +20,8 @@ from .operators import stats as A
 from .plans import predicate as W
 from .sources import sinks
 from .sources.footer import Footers, read_footers
-from .sources.paths import Config, preview, read, read_row_groups
+from .sources.paths import Config, preview, read
+from .sources.splits import read_row_groups
 
 
 class NotFound(FileNotFoundError):
@@ -150,10 +151,10 @@ class Dataset:
         ms = lambda c: F.call_function("div", F.col(c), F.lit(1000))
         return A.time_series(chunks.select(F.col("leaf_path").alias("column_name"), F.struct("path", "row_group").alias("index"), ms("min_micros").alias("min_ms"), ms("max_micros").alias("max_ms")))
 
-    def sort_order(self) -> DataFrame:
-        """Of every leaf with numbers or times for bounds, over row groups in order of path and index."""
-        bound = lambda end: F.coalesce(F.col(f"{end}_exact").cast("double"), F.col(f"{end}_number"), F.col(f"{end}_micros").cast("double")).alias({"min": "low", "max": "high"}[end])
-        return A.sort_order(self.footers.chunks.select("column_name", F.struct("path", "row_group").alias("index"), bound("min"), bound("max")))
+    def sort_order(self, strict: bool = True) -> DataFrame:
+        """Of every leaf with bounds, of any type that has an order, over row groups in order of path and index; see
+        ``stats.sort_order``."""
+        return A.sort_order(self.footers.chunks.select("column_name", F.struct("path", "row_group").alias("index"), F.col("min_key").alias("low"), F.col("max_key").alias("high")), strict)
 
     def partitions(self) -> DataFrame:
         """Rows and bytes by the values of each k=v folder, and the skewed ones; without such folders no row."""
@@ -172,9 +173,9 @@ class Dataset:
         return P.profile(self.rows_frame(), columns, bins)
 
     def sampled_groups(self, percent: float, seed: int = 0) -> DataFrame:
-        """The row groups (path, row_group, first_row, num_rows) that a sample takes, by their place among all: files
+        """The row groups (path, row_group, first_row, num_rows, total_byte_size) that a sample takes, by their place among all: files
         in order of path, row groups in order of index. A file's place is counted over a row for each file."""
-        groups = self.footers.row_groups.select("path", F.col("index").alias("row_group"), "num_rows")
+        groups = self.footers.row_groups.select("path", F.col("index").alias("row_group"), "num_rows", "total_byte_size")
         before = groups.groupBy("path").agg(F.count("*").alias("n"))
         order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
         offsets = before.select("path", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
@@ -197,7 +198,7 @@ class Dataset:
         chosen = self.sampled_groups(percent, seed)
         facts = chosen.agg(F.count("*").alias("n"), F.sum("num_rows").alias("rows")).first()
         scale = self.rows / facts["rows"] if extrapolate and facts["rows"] else 1.0
-        found = P.profile(read_row_groups(self.spark, chosen), columns, bins)
+        found = P.profile(read_row_groups(self.spark, chosen, self.rows_frame().schema, columns), columns, bins)
         scaled = {c: F.round(F.col(c) * scale).cast("long") for c in ("row_count", "null_count")}
         return found.withColumns(scaled | {"margin_pct": F.lit(A.sample_margin(facts["n"])), "sampled_row_groups": F.lit(facts["n"])})
 

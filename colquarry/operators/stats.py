@@ -110,12 +110,15 @@ def time_series(groups: DataFrame) -> DataFrame:
     return every.join(out, "column_name", "left").withColumns({"has_data": F.coalesce("has_data", F.lit(False)), "is_monotonic": F.coalesce("is_monotonic", F.lit(True))})
 
 
-def sort_order(groups: DataFrame) -> DataFrame:
-    """From rows (column_name, index, low, high): whether each group begins at or after the one before ends
-    (ascending), or never after (descending), and the share of ascending neighbours (1 without any)."""
-    before = F.lag("high").over(Window.partitionBy("column_name").orderBy("index"))
-    pairs = groups.where("low is not null and high is not null").withColumn("before", before)
-    up, down, has = F.col("low") >= F.col("before"), F.col("low") <= F.col("before"), F.col("before").isNotNull()
+def sort_order(groups: DataFrame, strict: bool = True) -> DataFrame:
+    """From rows (column_name, index, low, high) of anything that can be ordered: whether each group begins at or after the
+    end of the one before (ascending), or ends at or before its beginning (descending), and the share of ascending
+    neighbours (1 without any). Not ``strict``, it is enough for descending that each group begins at or before the end of
+    the one before, which groups that all overlap do as well."""
+    order = Window.partitionBy("column_name").orderBy("index")
+    pairs = groups.where("low is not null and high is not null").select("column_name", "low", "high", F.lag("low").over(order).alias("low_before"), F.lag("high").over(order).alias("before"))
+    up, has = F.col("low") >= F.col("before"), F.col("before").isNotNull()
+    down = F.col("high") <= F.col("low_before") if strict else F.col("low") <= F.col("before")
     out = pairs.groupBy("column_name").agg(
         F.coalesce(F.bool_and(F.when(has, up)), F.lit(True)).alias("ascending"), F.coalesce(F.bool_and(F.when(has, down)), F.lit(False)).alias("descending"),
         F.count_if(has & up).alias("_up"), F.count_if(has).alias("_pairs"),

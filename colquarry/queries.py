@@ -16,7 +16,8 @@ from .operators import quality as Q
 from .operators import stats as A
 from .sources import sinks
 from .sources.footer import read_footers
-from .sources.paths import preview, read, read_row_groups, scratch_folder
+from .sources.paths import preview, read, scratch_folder
+from .sources.splits import read_row_groups
 from .streaming.watch import history, poll, watch
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STORE = re.compile(r"^(?P<scheme>s3a?|gs)://(?P<bucket>[^/]+)/?(?P<key>.*)$")
 
@@ -27,41 +29,69 @@ def readable(path: str) -> str:
     return re.sub(r"^s3://", "s3a://", path)
 
 
-def partition_values(path: str, base: str) -> dict[str, str]:
-    """The k=v folders of a path below a base; an empty key or value is passed over."""
-    rest = path[len(base) :] if path.startswith(base) else path
-    pairs = (part.split("=", 1) for part in rest.split("/")[:-1] if "=" in part)
-    return {k: v for k, v in pairs if k and v}
+LISTING = "path string, size long, modified timestamp, partitions map<string,string>"
+_GLOB = re.compile(r"[*?\[{]")
 
 
-def listed(spark: SparkSession, path: str) -> list[tuple[str, int, dict[str, str]]]:
-    """(path, size, partitions) of the Parquet files that a file, directory or glob names, by path.
-
-    Directories are searched to the bottom for names ending in .parquet, and only they have partitions. Nothing
-    found is an empty list. Any file system that Hadoop knows will do."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(readable(path))
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: list[tuple[str, int, dict[str, str]]] = []
-    for status in fs.globStatus(where) or []:
-        if not status.isDirectory():
-            found.append((status.getPath().toString(), status.getLen(), {}))
-            continue
-        base, files = status.getPath().toString(), fs.listFiles(status.getPath(), True)
-        while files.hasNext():
-            f = files.next()
-            name = f.getPath().toString()
-            if name.endswith(".parquet"):
-                found.append((name, f.getLen(), partition_values(name, base)))
-    return sorted(found)
+def _glob_pattern(path: str) -> str:
+    """A pattern for what a glob names, of Hadoop's kind: nothing but ``**`` is missing there, too."""
+    out, depth, at = "", 0, 0
+    while at < len(path):
+        ch = path[at]
+        if ch == "[" and "]" in path[at + 1 :]:
+            end = path.index("]", at + 1)
+            inner = path[at + 1 : end]
+            out += f"[{'^' + inner[1:] if inner[:1] in '!^' else inner}]"
+            at = end
+        elif ch == "\\" and at + 1 < len(path):
+            out += re.escape(path[at + 1])
+            at += 1
+        else:
+            depth += (ch == "{") - (ch == "}")
+            out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(ch) or ("|" if ch == "," and depth else re.escape(ch))
+        at += 1
+    return out
+
+
+def _partitions(rest: Column) -> Column:
+    """The k=v folders of a path below a base as a map; an empty key or value is passed over, of equal keys the last counts."""
+    folders = F.filter(F.split(rest, "/"), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.transform(folders, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=", "").alias("value")))
+    known = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+    return F.map_from_entries(F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda q: q["key"] == p["key"])))
 
 
 def resolve(spark: SparkSession, path: str) -> DataFrame:
-    """``listed`` as a table."""
-    return spark.createDataFrame(listed(spark, path), "path string, size long, partitions map<string,string>")
+    """path, size, modified and partitions of the Parquet files that a file, directory or glob names.
+
+    Spark's own file index lists them, in a job where there are many folders, when this is called; the table is read by tasks. Directories
+    are searched to the bottom for names ending in .parquet, and only they have partitions; names that begin with a dot or an
+    underscore are passed over. Nothing found is an empty table. Any file system that Hadoop knows will do."""
+    where = readable(path)
+    own = spark.newSession()  # its settings are its relations' alone: files are dealt by number, as nothing of them is read
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
+    own.conf.set("spark.sql.files.openCostInBytes", str(1 << 40))
+    reader = own.read.format("binaryFile").option("recursiveFileLookup", "true")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+    glob = _GLOB.search(where)
+    try:
+        found = reader.load(where)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LISTING)
+    # a path with the name of the file or glob itself was asked for by name; all others lie below a folder that was
+    named = F.col("path").rlike(f"^{_glob_pattern(base)}$") if glob else F.col("path") == base
+    rest = F.regexp_replace("path", f"^{_glob_pattern(base)}/" if glob else f"^{re.escape(base)}/", "")
+    rest = F.regexp_replace(rest, "[^/]*$", "")
+    listing = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(named, F.create_map().cast("map<string,string>")).otherwise(_partitions(rest)).alias("partitions"))
+    return listing.where(named | F.endswith("path", F.lit(".parquet")))
 
 
-_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, dict[str, str]]]:
+    """(path, size, partitions) of ``resolve``, by path, on the driver; for few files."""
+    return sorted((r["path"], r["size"], r["partitions"]) for r in resolve(spark, path).collect())
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -70,27 +100,26 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
     Of a directory, the files below it to the bottom whose names end in .parquet, with the values of k=v folders as
     strings. Where all files lie in folders of the same keys, Spark reads these as partitions and prunes by them; else
     the values are taken from each row's path."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(readable(path))
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where = readable(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df = None
-    if not re.search(r"[*?\[{]", path) and fs.exists(where) and fs.getFileStatus(where).isDirectory():
-        base = fs.getFileStatus(where).getPath().toString()
-        files = listed(spark, path)
-        folders = {tuple(x.split("=", 1)[0] if "=" in x else None for x in name[len(base) :].strip("/").split("/")[:-1]) for name, _, _ in files}
-        reader = spark.read.option("pathGlobFilter", "*.parquet")
-        if len(folders) == 1 and None not in next(iter(folders)):
-            before = spark.conf.get(_INFERENCE)
-            spark.conf.set(_INFERENCE, "false")
-            try:
-                df = reader.parquet(readable(path))
-            finally:
-                spark.conf.set(_INFERENCE, before)
-        elif files:
-            df = reader.option("recursiveFileLookup", "true").parquet(readable(path))
-            keys = sorted({k for _, _, parts in files for k in parts} - set(df.columns))
-            df = df.withColumns(partition_columns(F.col("_metadata.file_path"), keys)) if keys else df
-    df = spark.read.parquet(readable(path)) if df is None else df
+    if not _GLOB.search(where) and fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory():
+        base = fs.makeQualified(hadoop).toString().rstrip("/")
+        folders = F.split(F.regexp_replace(F.regexp_replace("path", f"^{re.escape(base)}/", ""), "/?[^/]*$", ""), "/")
+        keys_of = F.transform(F.filter(folders, lambda x: x != ""), lambda x: F.when(F.contains(x, F.lit("=")), F.substring_index(x, "=", 1)))
+        orders = [tuple(r[0]) for r in resolve(spark, path).select(keys_of).distinct().limit(2).collect()]
+        if orders:
+            reader = spark.read.option("pathGlobFilter", "*.parquet")
+            flat = reader.option("recursiveFileLookup", "true").parquet(where)
+            if len(orders) == 1 and None not in orders[0]:
+                # with types given, Spark infers none for the folders' values
+                types = T.StructType([f for f in flat.schema if f.name not in orders[0]] + [T.StructField(k, T.StringType()) for k in orders[0]])
+                df = spark.read.option("pathGlobFilter", "*.parquet").schema(types).parquet(where)
+            else:
+                keys = [r[0] for r in resolve(spark, path).select(F.explode(F.map_keys("partitions"))).distinct().collect() if r[0] not in flat.columns]
+                df = flat.withColumns(partition_columns(F.col("_metadata.file_path"), sorted(keys))) if keys else flat
+    df = spark.read.parquet(where) if df is None else df
     return df if columns is None else df.select(*(c for c in columns if c in df.columns))
 
 
@@ -108,18 +137,6 @@ def partition_columns(file_path: Column, keys: list[str]) -> dict[str, Column]:
     return {k: F.nullif(F.url_decode(F.regexp_extract(file_path, rf"/{re.escape(k)}=([^/]+)/", 1)), F.lit("")) for k in keys}
 
 
-def read_row_groups(spark: SparkSession, groups: DataFrame) -> DataFrame:
-    """The rows of chosen row groups: ``groups`` has path, first_row and num_rows. Only their files are read, whole
-    column by column; rows outside the groups are left out by their place in the file."""
-    paths = [r["path"] for r in groups.select("path").distinct().collect()]  # as many as the sample takes
-    local = lambda c: F.regexp_replace(F.url_decode(c), "^file:/+", "file:/")
-    rows = spark.read.parquet(*paths)
-    columns = rows.columns
-    placed = rows.select(*(F.col(f"`{c}`") for c in columns), local(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    chosen = groups.select(F.regexp_replace("path", "^file:/+", "file:/").alias("_path"), F.col("first_row").alias("_first"), (F.col("first_row") + F.col("num_rows")).alias("_end"))
-    return placed.join(chosen, "_path").where("_row >= _first and _row < _end").select(*(F.col(f"`{c}`") for c in columns))
-
-
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """The first rows, every cell as text."""
     return df.limit(n).select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in df.columns))

@@ -13,7 +13,7 @@ from colquarry.operators import quality as Q
 from colquarry.operators import stats as A
 from colquarry.sources import sinks
 from colquarry.sources.footer import read_footers
-from colquarry.sources.paths import Config, parse_store_uri, partition_values, resolve
+from colquarry.sources.paths import Config, parse_store_uri, resolve
 
 
 @pytest.fixture(scope="session")
@@ -270,7 +270,6 @@ def test_two_time_limits_at_once(spark):
 
 def test_paths():
     assert parse_store_uri("s3://b/k/x.parquet") == ("s3", "b", "k/x.parquet") and parse_store_uri("gs://b") == ("gs", "b", "") and parse_store_uri("/a/b") is None
-    assert partition_values("/d/y=1/m=/=3/z/f.parquet", "/d") == {"y": "1"}
 
 
 def test_config(tmp_path):
