@@ -1,19 +1,23 @@
-"""Column profiles: one pass for all columns' moments, counts and patterns, one for histograms and top values.
+"""Column profiles.
 
-Every statistic of the first pass is an aggregate with a partial step, so a profile shuffles a row per task and
-aggregation; the wide row is turned into a row per column by inline(array(struct)). The second pass counts each
-column's values or bins in its own type. NaN is left out of numeric statistics.
+A profile of all columns takes two scans, however many columns there are: one fills mergeable states (see ``states``), one
+counts values and bins of all columns as rows (column, bin, value). What asks for a few statistics of a kind only is an
+aggregation for every few columns; the wide row is turned into a row per column by inline(array(struct)). NaN is left
+out of numeric statistics.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars as S
+from .states import FLAGS, State, column_states, kind, merged
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 _QUANTILE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
@@ -160,21 +164,17 @@ def _value_counts(df: DataFrame, few: list[str], bins: dict[str, tuple[float, fl
     """column_name and items, the list of (bin, value, count): of the columns in ``few`` every value, with its bin if
     there are ``bins`` (low, high, number, width) for the column; of other columns with bins the bins alone.
 
-    An aggregation for each column in its own type, which reads that column only and is combined before the shuffle;
-    values become text when they are counted. A list holds fewer than the most distinct values allowed, or the bins."""
-    parts: list[DataFrame] = []
-    for c in dict.fromkeys([*few, *bins]):
-        place = (lambda x: _bin(_finite_of(x), bins[c][0], *bins[c][2:])) if c in bins else lambda x: F.lit(None).cast("int")
-        if c in few:
-            counts = df.groupBy(_q(c).alias("v")).agg(F.count("*").alias("count")).where("v is not null")
-            part = counts.select(F.lit(c).alias("column_name"), place(F.col("v")).alias("bin"), F.col("v").cast("string").alias("value"), "count")
-        else:
-            counts = df.groupBy(place(_q(c)).alias("bin")).agg(F.count("*").alias("count")).where("bin is not null")
-            part = counts.select(F.lit(c).alias("column_name"), "bin", F.lit(None).cast("string").alias("value"), "count")
-        parts.append(part)
-    if not parts:
+    One aggregation of rows (column, bin, value) of all these columns, combined before the shuffle: its keys are fewer than the
+    most distinct values allowed, or the bins, of each column."""
+    names = list(dict.fromkeys([*few, *bins]))
+    if not names:
         return df.sparkSession.createDataFrame([], "column_name string, items array<struct<bin:int,value:string,count:bigint>>")
-    return reduce(DataFrame.union, parts).groupBy("column_name").agg(F.collect_list(F.struct("bin", "value", "count")).alias("items"))
+    place = lambda c: _bin(_finite(c), bins[c][0], *bins[c][2:]) if c in bins else F.lit(None).cast("int")
+    text = lambda c: _q(c).cast("string") if c in few else F.lit(None).cast("string")
+    each = F.array(*(F.struct(F.lit(k).alias("k"), place(c).alias("bin"), text(c).alias("value")) for k, c in enumerate(names)))
+    counts = df.select(F.inline(each)).where("bin is not null or value is not null").groupBy("k", "bin", "value").agg(F.count("*").alias("count"))
+    name = F.get(F.array(*map(F.lit, names)), F.col("k"))
+    return counts.groupBy(name.alias("column_name")).agg(F.collect_list(F.struct("bin", "value", "count")).alias("items"))
 
 
 def _first_values(items: Column, n: int) -> Column:
@@ -253,53 +253,69 @@ def string_length_histogram(df: DataFrame, column: str, bins: int = 20) -> DataF
     return every.join(counts, "bin", "left").select("bin", start.alias("low"), (start + width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def _kind_struct(given: dict[str, Column] | None, like: list[tuple[str, str]]) -> Column:
-    typed = F.struct(*((given[k] if given else F.lit(None)).cast(t).alias(k) for k, t in like))
-    return typed if given else F.when(F.lit(False), typed)
-
-
 _KINDS = {
     "numeric": [("count", "long"), *((k, "double") for k in NUMERIC if k != "count")],
     "string": [(k, "long") for k in ("count", "empty_count", "whitespace_count", "min_length", "max_length")] + [(k, "double") for k in ("mean_length", "numeric_pct", "email_pct", "uuid_pct", "iso_date_pct")],
     "boolean": [("true_count", "long"), ("false_count", "long"), ("null_count", "long"), ("true_pct", "double")],
     "temporal": [("count", "long"), ("null_count", "long"), ("min_ms", "long"), ("max_ms", "long"), ("range_days", "double")],
 }
+_PROFILE = "column_name string, type string, row_count long, null_count long, distinct_count long, " + ", ".join(
+    f"{k} struct<{','.join(f'{n}:{t}' for n, t in like)}>" for k, like in _KINDS.items()
+) + ", _low double, _high double"
+
+
+def _moments(state: State) -> dict:
+    """count, mean, stddev, min, max, skewness and excess kurtosis; 0 for what has no value."""
+    n, (mean, m2, m3, m4) = state.sums["numbers"], state.moments
+    shaped = n > 0 and m2 != 0
+    return {
+        "count": n, "mean": mean, "stddev": (m2 / n) ** 0.5 if n else 0.0, "min": state.bounds["least"] or 0.0, "max": state.bounds["most"] or 0.0,
+        "skewness": n**0.5 * m3 / m2**1.5 if shaped else 0.0, "kurtosis": n * m4 / m2**2 - 3 if shaped else 0.0,
+    }
+
+
+def _described(state: State, name: str, t: T.DataType) -> dict:
+    """A column's row of the profile, but for histogram and top values."""
+    of, sums, bounds = kind(t), state.sums, state.bounds
+    share = lambda k, n: 100.0 * sums[k] / n if n else 0.0
+    out = {"column_name": name, "type": t.simpleString(), "row_count": sums["row_count"], "null_count": sums["null_count"], "_low": bounds["low"], "_high": bounds["high"]}
+    out["distinct_count"] = None if isinstance(t, (T.MapType, T.VariantType)) else state.distinct.estimate()
+    if of == "numeric":
+        out["numeric"] = _moments(state) | dict(zip(_QUANTILE_NAMES, state.quantiles.at(QUANTILES)))
+    elif of == "string":
+        n = sums["texts"]
+        out["string"] = {
+            "count": n, **{k: sums[k] for k in FLAGS[:2]}, "min_length": bounds["text_least"] or 0, "max_length": bounds["text_most"] or 0, "mean_length": sums["text_bytes"] / n if n else 0.0,
+            **{f"{k}_pct": share(k, n) for k in FLAGS[2:]},
+        }
+    elif of == "boolean":
+        out["boolean"] = {"true_count": sums["true_count"], "false_count": sums["false_count"], "null_count": sums["null_count"], "true_pct": share("true_count", sums["true_count"] + sums["false_count"])}
+    elif of == "temporal":
+        low, high = bounds["time_least"], bounds["time_most"]
+        out["temporal"] = {"count": sums["times"], "null_count": sums["null_count"], "min_ms": low, "max_ms": high, "range_days": None if low is None else (high - low) / 86_400_000.0}
+    return out
 
 
-def _kind(t: T.DataType) -> str | None:
-    tests = {"numeric": T.NumericType, "string": T.StringType, "boolean": T.BooleanType, "temporal": (T.DateType, T.TimestampType, T.TimestampNTZType)}
-    return next((k for k, types in tests.items() if isinstance(t, types)), None)
+def described(states: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
+    """A row for each merged state of ``states``, and one for each column without any: the profile but for counts of values."""
+    schema = T._parse_datatype_string(_PROFILE)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([_described(State.of(r), r["column"], fields[r["column"]]) for r in batch.to_pylist()], schema=arrow)
+
+    spark = states.sparkSession
+    empty = spark.createDataFrame([_described(State(), c, t) for c, t in fields.items()], schema)
+    found = states.mapInArrow(run, schema)
+    return found.unionByName(empty).groupBy("column_name").agg(*(F.max_by(c, "row_count").alias(c) for c in schema.names[1:]))
 
 
 def _first_pass(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
-    """A row for each column: every statistic of it from one aggregation, COLUMNS_AT_ONCE columns in each."""
-    out: DataFrame | None = None
-    names = list(fields)
-    for a in range(0, len(names), COLUMNS_AT_ONCE):
-        aggregates, rows = [], []
-        for i, c in enumerate(names[a : a + COLUMNS_AT_ONCE]):
-            kind, t = _kind(fields[c]), fields[c]
-            base = {"row_count": F.count("*"), "null_count": F.count_if(_q(c).isNull())}
-            if not isinstance(t, (T.MapType, T.VariantType)):
-                base["distinct_count"] = approx_distinct(_q(c))
-            own = {"numeric": lambda: _numeric(c, NUMERIC, False), "string": lambda: _string(c), "boolean": lambda: _boolean(c), "temporal": lambda: _temporal(c, t)}.get(kind, dict)()
-            if kind == "numeric":
-                own |= {"_low": F.min(_finite(c)), "_high": F.max(_finite(c))}
-            aggregates += [x.alias(f"_{i}_{k}") for k, x in base.items()] + [x.alias(f"_{i}_own_{k}") for k, x in own.items()]
-            made = {k: F.col(f"_{i}_own_{k}") for k in own if not k.startswith("_")}
-            if kind == "numeric":
-                made |= {n: q for n, q in zip(_QUANTILE_NAMES, _quantiles(F.col(f"_{i}_own__at"), NUMERIC))}
-            edges = [F.col(f"_{i}_own_{k}") if kind == "numeric" else F.lit(None).cast("double") for k in ("_low", "_high")]
-            distinct = F.col(f"_{i}_distinct_count") if "distinct_count" in base else F.lit(None).cast("long")
-            rows.append(F.struct(
-                F.lit(c).alias("column_name"), F.lit(t.simpleString()).alias("type"), F.col(f"_{i}_row_count").alias("row_count"), F.col(f"_{i}_null_count").alias("null_count"), distinct.alias("distinct_count"),
-                *(_kind_struct(made if k == kind else None, like).alias(k) for k, like in _KINDS.items()), edges[0].alias("_low"), edges[1].alias("_high"),
-            ))
-        part = df.agg(*aggregates).select(F.inline(F.array(*rows)))
-        out = part if out is None else out.union(part)
-    if out is None:
+    """A row for each column with every statistic of it, in one scan."""
+    if not fields:
         raise ValueError("no column of this kind")
-    return out
+    return described(merged(column_states(df, fields).drop("unit"), df.rdd.getNumPartitions()), fields)
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, bins: int = 30, top: int = TOP_N, most_distinct: int = TOP_MOST_DISTINCT) -> DataFrame:
@@ -308,12 +324,14 @@ def profile(df: DataFrame, columns: list[str] | None = None, bins: int = 30, top
     bin, of numeric columns with finite values) and top_values (value, count, rank and percentage, of columns with
     fewer than ``most_distinct`` values).
 
-    Each column is read twice: once for every statistic, which comes to the driver as a row, and once for its bins and
-    values; what needs no counting isn't read again."""
+    Two scans at any number of columns: one for every statistic, which comes to the driver as a row for each column, and one for
+    bins and values of the columns that have them."""
     fields = kinds(df, columns)
-    spark = df.sparkSession
-    found = _first_pass(df, fields)
-    schema = found.schema
+    return _with_values(df, _first_pass(df, fields), bins, top, most_distinct)
+
+
+def _with_values(df: DataFrame, found: DataFrame, bins: int, top: int, most_distinct: int) -> DataFrame:
+    spark, schema = df.sparkSession, found.schema
     rows = found.collect()  # a row for each column
     first = spark.createDataFrame(rows, schema)
     plan = {r["column_name"]: (r["_low"], r["_high"], *_bins(r["_low"], r["_high"], bins)) for r in rows if r["_low"] is not None}
