@@ -17,6 +17,7 @@ from .operators import compare as C
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import stats as A
+from .operators.partial import limited_profile
 from .plans import predicate as W
 from .sources import sinks
 from .sources.footer import Footers, read_footers
@@ -172,16 +173,25 @@ class Dataset:
     def profile(self, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
         return P.profile(self.rows_frame(), columns, bins)
 
-    def sampled_groups(self, percent: float, seed: int = 0) -> DataFrame:
-        """The row groups (path, row_group, first_row, num_rows, total_byte_size) that a sample takes, by their place among all: files
-        in order of path, row groups in order of index. A file's place is counted over a row for each file."""
+    @cached_property
+    def placed_groups(self) -> DataFrame:
+        """The row groups (path, row_group, first_row, num_rows, total_byte_size) with their index among all: files in order
+        of path, row groups in order of index. A file's place is counted over a row for each file."""
         groups = self.footers.row_groups.select("path", F.col("index").alias("row_group"), "num_rows", "total_byte_size")
         before = groups.groupBy("path").agg(F.count("*").alias("n"))
         order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
         offsets = before.select("path", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
         inside = Window.partitionBy("path").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)
         placed = groups.withColumn("first_row", F.coalesce(F.sum("num_rows").over(inside), F.lit(0))).join(offsets, "path")
-        return A.sample_groups(placed.withColumn("index", F.col("offset") + F.col("row_group")).drop("offset"), percent, seed)
+        return placed.withColumn("index", F.col("offset") + F.col("row_group")).drop("offset")
+
+    def sampled_groups(self, percent: float, seed: int = 0) -> DataFrame:
+        """The ``placed_groups`` that a sample takes, by their index."""
+        return A.sample_groups(self.placed_groups, percent, seed)
+
+    def limited_profile(self, seconds: float | None = None, row_groups: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The profile of the row groups that a limit allows, flagged ``truncated`` if these aren't all; see ``partial``."""
+        return limited_profile(self.spark, self.placed_groups, self.rows_frame().schema, columns, seconds, row_groups)
 
     def sampled_stats(self, percent: float, seed: int = 0, extrapolate: bool = True) -> DataFrame:
         """Column statistics of sampled row groups, scaled to all unless told not to, with the margin in points."""

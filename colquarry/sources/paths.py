@@ -132,9 +132,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='colquarry-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def decoded_path(path: Column, encoded: bool = True) -> Column:
+    """The path of a file in one form, from a row's ``_metadata.file_path`` or, not ``encoded``, as listings give it."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
 def partition_columns(file_path: Column, keys: list[str]) -> dict[str, Column]:
     """The values of Hive partition keys, from the path that a row came from."""
-    return {k: F.nullif(F.url_decode(F.regexp_extract(file_path, rf"/{re.escape(k)}=([^/]+)/", 1)), F.lit("")) for k in keys}
+    return {k: F.nullif(F.regexp_extract(decoded_path(file_path), rf"/{re.escape(k)}=([^/]+)/", 1), F.lit("")) for k in keys}
 
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:

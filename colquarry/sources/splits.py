@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .paths import decoded_path
 from .stores import Opener, Options, in_tasks, opened, options
 
 #: Bytes (uncompressed) of the row groups that a task takes, about.
@@ -64,10 +65,9 @@ def _reader(schema: T.StructType, given: Options, opener: Opener):
 def _by_place(spark: SparkSession, groups: DataFrame, schema: T.StructType) -> DataFrame:
     """For files that tasks can't open: all their rows, without those outside the groups."""
     paths = [r["path"] for r in groups.select("path").distinct().collect()]
-    plain = lambda c: F.regexp_replace(F.url_decode(c), "^file:/+", "file:/")
     names = [F.col(f"`{f.name}`") for f in schema]
-    rows = spark.read.schema(schema).parquet(*paths).select(*names, plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    ranges = groups.groupBy(F.regexp_replace("path", "^file:/+", "file:/").alias("_path")).agg(F.collect_list(F.struct("first_row", (F.col("first_row") + F.col("num_rows")).alias("end"))).alias("_ranges"))
+    rows = spark.read.schema(schema).parquet(*paths).select(*names, decoded_path(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    ranges = groups.groupBy(decoded_path(F.col("path"), False).alias("_path")).agg(F.collect_list(F.struct("first_row", (F.col("first_row") + F.col("num_rows")).alias("end"))).alias("_ranges"))
     inside = F.exists("_ranges", lambda x: (F.col("_row") >= x["first_row"]) & (F.col("_row") < x["end"]))
     return rows.join(ranges, "_path").where(inside).select(*names)
 
