@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,31 +131,57 @@ def sort_order(groups: DataFrame, strict: bool = True) -> DataFrame:
     return out.select("column_name", order.alias("sort_order"), S.ratio(F.col("_up"), F.col("_pairs"), 1.0).alias("confidence"))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    both = a.isNotNull() & b.isNotNull()
-    u, v = F.when(both, a), F.when(both, b)
-    return F.covar_pop(u, v) / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0))
+_PAIR = {"a": pa.int32(), "b": pa.int32(), **dict.fromkeys(("n", "sa", "sb", "saa", "sbb", "sab", "endless"), pa.float64())}
+
 
+def _gram(shifts: list[float]):
+    """Rows of a task's sums for each pair of columns, over the rows where both are known."""
 
-#: Pairs that go into one aggregation.
-PAIRS_AT_ONCE = 64
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        k = len(shifts)
+        n, s, q, p, endless = (np.zeros((k, k)) for _ in range(5))
+        for batch in batches:
+            x = np.column_stack([c.fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in batch.columns])
+            known, infinite = (~np.isnan(x)).astype(float), np.isinf(x).astype(float)
+            x = np.where((known == 1) & (infinite == 0), x - np.array(shifts), 0.0)
+            n += known.T @ known
+            s += x.T @ known
+            q += (x * x).T @ known
+            p += x.T @ x
+            if infinite.any():
+                endless += infinite.T @ known + known.T @ infinite
+        a, b = np.triu_indices(k, 1)
+        columns = [a.astype(np.int32), b.astype(np.int32), n[a, b], s[a, b], s[b, a], q[a, b], q[b, a], p[a, b], endless[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, _PAIR.values())], names=list(_PAIR))
+
+    return run
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(a, b, pearson) of every pair of the numeric columns (or those given), over the rows where both are known
-    numbers; 0 where one doesn't vary. One scan for every PAIRS_AT_ONCE pairs."""
+    numbers; 0 where one doesn't vary or isn't finite.
+
+    One scan at any number of columns: tasks multiply the matrix of a batch with itself and with the mask of known values, about
+    a common middle (the median of the first rows) so that nothing large cancels, and pairs are added up over tasks."""
     columns = numeric_columns(df) if columns is None else columns
-    x = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
-    one = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(1.0).alias("pearson"))
-    names = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = lambda a, b, r: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("pearson"))
-    out = df.sparkSession.range(1).select(F.inline(F.array(*(row(c, c, F.lit(1.0)) for c in columns)) if columns else F.slice(F.array(one), 1, 0)))
-    for at in range(0, len(names), PAIRS_AT_ONCE):
-        part = names[at : at + PAIRS_AT_ONCE]
-        wide = df.agg(*(pearson(x(a), x(b)).alias(f"_{k}") for k, (a, b) in enumerate(part)))
-        value = lambda k: F.coalesce(F.nanvl(f"_{k}", F.lit(0.0)), F.lit(0.0))
-        out = out.union(wide.select(F.inline(F.array(*(row(p, q, value(k)) for k, (a, b) in enumerate(part) for p, q in ((a, b), (b, a)))))))
-    return out
+    names = F.array(*(F.lit(c).cast("string") for c in columns)).cast("array<string>")
+    name = lambda k: F.get(names, F.col(k))
+    same = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("a"), F.col("id").cast("int").alias("b"), F.lit(1.0).alias("pearson"))
+    if len(columns) < 2:
+        return same.select(name("a").alias("a"), name("b").alias("b"), "pearson")
+    x = df.select(*(F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_{k}") for k, c in enumerate(columns)))
+    middles = [r["m"] for r in x.limit(1000).select(F.posexplode(F.array(*x.columns)).alias("k", "x")).groupBy("k").agg(F.percentile_approx(F.when(F.abs("x") < float("inf"), F.col("x")), 0.5).alias("m")).orderBy("k").collect()]
+    shifts = [m or 0.0 for m in middles] if middles else [0.0] * len(columns)
+    sums = x.mapInArrow(_gram(shifts), "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double, endless double")
+    k = len(columns)
+    every = df.sparkSession.range(k * k).select(F.expr(f"int(id div {k})").alias("a"), F.expr(f"int(id % {k})").alias("b"), *(F.lit(0.0).alias(c) for c in list(_PAIR)[2:])).where("a < b")
+    total = sums.unionByName(every).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab", "endless")))
+    spread = lambda c: F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n")
+    varies = (F.col("n") > 0) & (F.col("endless") == 0) & (spread("a") > 1e-13 * F.col("saa")) & (spread("b") > 1e-13 * F.col("sbb"))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.sqrt(spread("a")) * F.sqrt(spread("b")))
+    found = total.select("a", "b", F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0).alias("pearson"))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "pearson")).unionByName(same)
+    return both.select(name("a").alias("a"), name("b").alias("b"), "pearson")
 
 
 def duplicates(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -180,3 +180,26 @@ def test_statistics_follow_the_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     nothing = FileStates(spark, str(tmp_path / "none"), f"{tmp_path}/store2").refresh()
     assert (nothing.added, nothing.profile) == (0, None)
+
+
+def test_correlation_in_one_scan(spark):
+    from colquarry.operators import stats as A
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 60)) @ r.normal(size=(60, 60)) + 1e7 * np.arange(60)
+    x[:, 7] = 3.25
+    x[r.random(x.shape) < 0.2] = np.nan
+    x[5, 9] = np.inf
+    rows = [[None if np.isnan(v) and k % 2 else float(v) for v in row] for k, row in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"`c.{k}` double" for k in range(60))).repartition(5)
+    found = A.correlation(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 2
+    got = {(p.a, p.b): p.pearson for p in found.collect()}
+    assert len(got) == 3600
+    for a in range(60):
+        for b in range(60):
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            want = 1.0 if a == b else 0.0 if 7 in (a, b) or (9 in (a, b) and both[5]) else np.corrcoef(x[both, a], x[both, b])[0, 1]
+            assert abs(got[f"c.{a}", f"c.{b}"] - want) < 1e-6, (a, b)
+    assert [tuple(p) for p in A.correlation(df.select(F.col("`c.1`").alias("y"))).collect()] == [("y", "y", 1.0)] and A.correlation(df, []).collect() == []
+    assert {p.pearson for p in A.correlation(df.limit(0), ["c.1", "c.2"]).collect()} == {0.0, 1.0}
