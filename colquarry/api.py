@@ -17,7 +17,7 @@ from .operators import compare as C
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import stats as A
-from .operators.partial import limited_profile
+from .operators.partial import limited_profile, waves
 from .plans import predicate as W
 from .sources import sinks
 from .sources.footer import Footers, read_footers
@@ -47,11 +47,16 @@ def filter_count(spark: SparkSession, path: str, text: str) -> FilterResult:
     return FilterResult(rows.count(), groups["total"] - groups["skipped"], groups["skipped"], groups["total"], preview(rows, 10))
 
 
-def skipped_row_groups(footers: Footers, text: str) -> DataFrame:
-    """One row: total and skipped row groups by the footer's statistics."""
+def row_group_skips(footers: Footers, text: str) -> DataFrame:
+    """path, row_group and whether its statistics rule out any match."""
     value = F.struct("min_exact", "max_exact", F.col("min_number").alias("min"), F.col("max_number").alias("max"), "null_count")
     stats = footers.chunks.groupBy("path", "row_group").agg(F.map_from_entries(F.collect_list(F.struct("leaf_path", value))).alias("stats"))
-    return stats.agg(F.count("*").alias("total"), F.count_if(W.skip_column(W.parse(text))).alias("skipped"))
+    return stats.select("path", "row_group", W.skip_column(W.parse(text)).alias("skipped"))
+
+
+def skipped_row_groups(footers: Footers, text: str) -> DataFrame:
+    """One row: total and skipped row groups by the footer's statistics."""
+    return row_group_skips(footers, text).agg(F.count("*").alias("total"), F.count_if("skipped").alias("skipped"))
 
 
 def filter_rows(df: DataFrame, text: str, limit: int | None = None) -> DataFrame:
@@ -189,6 +194,33 @@ class Dataset:
         """The ``placed_groups`` that a sample takes, by their index."""
         return A.sample_groups(self.placed_groups, percent, seed)
 
+    def first_rows(self, text: str, limit: int) -> tuple[DataFrame, int]:
+        """The first ``limit`` rows that match, in the order of files and rows, and how many row groups were looked at for them.
+
+        Row groups that statistics don't rule out are counted in order and in growing waves until there are enough matches; the rows
+        come from those only, so what lies behind the last match but a wave isn't read."""
+        rows = self.rows_frame()
+        schema = T.StructType([f for f in rows.schema if f.name in self._stored_columns])
+        condition = W.to_column(W.parse(text), schema)
+        left = self.placed_groups.join(row_group_skips(self.footers, text), ["path", "row_group"], "left").where("skipped is null or not skipped")
+        left = left.withColumn("at", F.row_number().over(Window.orderBy("index")) - 1).drop("skipped").persist(StorageLevel.MEMORY_AND_DISK)  # a row for each row group
+        found = end = 0
+        try:
+            for begin, end in waves(left.count() if limit > 0 else 0, self.spark.sparkContext.defaultParallelism):
+                wave = left.where((F.col("at") >= begin) & (F.col("at") < end))
+                found += read_row_groups(self.spark, wave, schema, W.roots(text, schema)).where(condition).limit(limit - found).count()
+                if found >= limit:
+                    break
+        finally:
+            left.unpersist()
+        read = read_row_groups(self.spark, left.where(F.col("at") < end), schema, placed=True)
+        return read.where(condition).orderBy("_group", "_row").limit(limit).drop("_group", "_row"), end
+
+    @cached_property
+    def _stored_columns(self) -> set[str]:
+        """The columns that files have, without those of folders."""
+        return {r[0] for r in self.footers.leaves.select(F.split("leaf_path", r"\.")[0]).distinct().collect()}
+
     def limited_profile(self, seconds: float | None = None, row_groups: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """The profile of the row groups that a limit allows, flagged ``truncated`` if these aren't all; see ``partial``."""
         return limited_profile(self.spark, self.placed_groups, self.rows_frame().schema, columns, seconds, row_groups)

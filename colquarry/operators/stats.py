@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.paths import scratch_folder
 from .profile import approx_distinct, numeric_columns
 
 
@@ -187,12 +188,24 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def duplicates(df: DataFrame, exact: bool = True) -> DataFrame:
     """total_rows, duplicate_rows and their share: rows beyond the first of equal ones (nulls are equal).
 
-    Exact: a count per distinct row, combined before the shuffle; else by a sketch of row hashes, without one."""
+    Exact: counts of row hashes, combined before the shuffle, name the rows that may be duplicates; only these are compared, so
+    what is shuffled is a hash for each row and the rows that share one. The hashes that occur twice are stored, so Spark knows their
+    size: few of them are broadcast to the rows, many are joined. Else by a sketch of row hashes, without a shuffle."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    if exact:
-        out = df.groupBy(*columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
-    else:
+    if not exact:
         out = df.agg(F.count("*").alias("total_rows"), F.greatest(F.count("*") - approx_distinct(*columns), F.lit(0)).alias("duplicate_rows"))
+    else:
+        spark = df.sparkSession
+        names = [f"_{k}" for k in range(len(columns))]
+        rows = df.select(*(c.alias(n) for c, n in zip(columns, names)), F.xxhash64(*columns).alias("_h"))
+        counts = rows.groupBy("_h").agg(F.count("*").alias("_n"))
+        folder = scratch_folder(spark, "hashes")
+        counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows")).write.parquet(f"{folder}/total")
+        counts.where("_n > 1").select("_h").write.parquet(f"{folder}/twice")
+        twice = spark.read.parquet(f"{folder}/twice")
+        same = rows.join(twice, "_h", "left_semi").groupBy("_h", *names).agg(F.count("*").alias("_n"))
+        total = spark.read.parquet(f"{folder}/total")
+        out = total.crossJoin(same.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")))  # a row each
     out = out.withColumn("duplicate_pct", S.percentage(F.col("duplicate_rows"), F.col("total_rows")))
     return out.withColumns({"severity": S.duplicate_severity(F.col("duplicate_pct")), "is_exact": F.lit(exact)})
 

@@ -14,10 +14,12 @@ from .operators import compare as C
 from .operators import profile as P
 from .operators import quality as Q
 from .operators import stats as A
+from .operators.states import column_states, merged
 from .sources import sinks
 from .sources.footer import read_footers
 from .sources.paths import preview, read, scratch_folder
 from .sources.splits import read_row_groups
+from .streaming.incremental import FileStates
 from .streaming.watch import history, poll, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,21 +88,45 @@ def filter_rows_limit(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-def _dealt(spark: SparkSession, d: str, name: str, key: str, ways: int) -> str:
-    """A table written anew with a folder k=0, k=1, .. for each remainder of a key, a file in each."""
+def _dealt(spark: SparkSession, d: str, name: str, key: str, ways: int, rows: int | None = None) -> str:
+    """A table written anew with a folder k=0, k=1, .. for each remainder of a key, a file in each, with so many rows in a row
+    group if they are given."""
     path = scratch_folder(spark, name)
     df = table(spark, d, name).withColumn("k", F.col(key) % ways)
-    df.repartition(ways, "k").sortWithinPartitions("k", key).write.partitionBy("k").parquet(path)
+    writer = df.repartition(ways, "k").sortWithinPartitions("k", key).write
+    (writer if rows is None else writer.option("parquet.block.row.count.limit", rows)).partitionBy("k").parquet(path)
     return path
 
 
+#: The orders as four files with row groups of 500 rows, each row with the row group's index among all.
+_OF_GROUPS = """(SELECT *, dense_rank() OVER (ORDER BY k, g) - 1 AS index FROM (
+  SELECT *, o_orderkey % 4 AS k, (row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1) // 500 AS g FROM orders))"""
+
+
+def _grouped(spark: SparkSession, d: str) -> str:
+    return _dealt(spark, d, "orders", "o_orderkey", 4, 500)
+
+
 _PRUNED = "o_totalprice > 400000 OR o_orderkey < 3 AND o_custkey >= 0"
 _BY_FILE = "(SELECT max(o_totalprice) AS p, min(o_orderkey) AS low, max(o_custkey) AS c FROM orders GROUP BY o_orderkey % 8)"
 
 
-@query("filter_pruning", f"SELECT count(*) AS total, count(*) FILTER (p <= 400000 AND (low >= 3 OR c < 0)) AS skipped FROM {_BY_FILE}")
+@query(
+    "filter_pruning",
+    f"""SELECT count(*) AS total, count(*) FILTER (p <= 400000 AND (low >= 3 OR c < 0)) AS skipped
+FROM (SELECT max(o_totalprice) AS p, min(o_orderkey) AS low, max(o_custkey) AS c FROM {_OF_GROUPS} GROUP BY index)""",
+)
 def filter_pruning(spark: SparkSession, d: str) -> DataFrame:
-    return skipped_row_groups(read_footers(spark, _dealt(spark, d, "orders", "o_orderkey", 8)), _PRUNED)
+    """Row groups of files that have many."""
+    return skipped_row_groups(read_footers(spark, _grouped(spark, d)), _PRUNED)
+
+
+@query("filter_first_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 OR o_orderkey < 3 ORDER BY o_orderkey % 4, o_orderkey LIMIT 40")
+def filter_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first matches in the order of files and rows; row groups beyond the last of them aren't read."""
+    with Dataset(spark, _grouped(spark, d)) as data:
+        found = data.first_rows("o_totalprice > 300000 OR o_orderkey < 3", 40)[0].select("o_orderkey", "o_totalprice").collect()  # forty rows
+    return spark.createDataFrame(found, table(spark, d, "orders").select("o_orderkey", "o_totalprice").schema)
 
 
 @query("filter_prompt", f"SELECT (SELECT count(*) FROM orders WHERE {_PRUNED}) AS matched, CAST(8 AS BIGINT) - count(*) FILTER (p <= 400000 AND (low >= 3 OR c < 0)) AS scanned, (SELECT least(10, count(*)) FROM orders WHERE {_PRUNED}) AS shown FROM {_BY_FILE}")
@@ -470,7 +496,7 @@ SELECT 'event_id' AS column_name, CASE WHEN coalesce(bool_and(low >= before), tr
   coalesce(round(count(*) FILTER (low >= before) / nullif(count(before), 0), 6), 1.0) AS confidence FROM p""",
 )
 def sort_order(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.sort_order(_groups(spark, d).withColumn("column_name", F.lit("event_id"))))
+    return rounded(A.sort_order(_groups(spark, d).withColumn("column_name", F.lit("event_id")), strict=False))
 
 
 _SPREAD = ", ".join(f"round({f}({c}), 4) AS {n}_{k}" for n, c in (("rows", "num_rows"), ("bytes", "total_byte_size")) for k, f in (("mean", "avg"), ("median", "median"), ("stddev", "stddev_pop"))) + ", " + ", ".join(
@@ -713,25 +739,94 @@ def partitions_view(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", F.array_join(F.transform("distinct_values", lambda v: F.concat(v, F.lit("="), F.col("partition_row_counts")[v].cast("string"))), ",").alias("sizes"))
 
 
-_SAMPLED = "(SELECT k FROM range(8) t(k) ORDER BY (CAST(xor(k, 3) AS HUGEINT) * 2654435761) % 18446744073709551616 LIMIT 2)"
+_ALL_GROUPS = f"(SELECT DISTINCT index FROM {_OF_GROUPS})"
+_SAMPLED = f"(SELECT index FROM {_ALL_GROUPS} ORDER BY (CAST(xor(index, 3) AS HUGEINT) * 2654435761) % 18446744073709551616, index LIMIT CAST((SELECT ceil(count(*) * 0.25) FROM {_ALL_GROUPS}) AS BIGINT))"
 
 
-@query("row_group_scan", f"SELECT o_orderkey % 8 AS k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 8 IN {_SAMPLED} GROUP BY 1")
+@query("row_group_scan", f"SELECT k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(max(o_orderdate) AS VARCHAR) AS last_date FROM {_OF_GROUPS} WHERE index IN {_SAMPLED} GROUP BY 1")
 def row_group_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of a quarter of eight row groups, each of which is a file."""
-    data = Dataset(spark, _dealt(spark, d, "orders", "o_orderkey", 8))
-    return read_row_groups(spark, data.sampled_groups(25, seed=3)).groupBy((F.col("o_orderkey") % 8).alias("k")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    """The rows of a quarter of the row groups of files that have many."""
+    data = Dataset(spark, _grouped(spark, d))
+    rows = read_row_groups(spark, data.sampled_groups(25, seed=3), columns=["o_orderkey", "o_orderdate"])
+    return rows.groupBy((F.col("o_orderkey") % 4).alias("k")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.max(F.col("o_orderdate").cast("string")).alias("last_date"))
 
 
 @query(
     "sampled_profile",
-    f"SELECT 'o_totalprice' AS column_name, (SELECT count(*) FROM orders) AS row_count, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS stddev, round(1.96 * sqrt(0.125) * 100, 6) AS margin_pct FROM orders WHERE o_orderkey % 8 IN {_SAMPLED}",
+    f"""SELECT 'o_totalprice' AS column_name, CAST(round(count(*) * ((SELECT count(*) FROM orders) / count(*))) AS BIGINT) AS row_count, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS stddev,
+  round(1.96 * sqrt(0.25 / count(DISTINCT index)) * 100, 6) AS margin_pct FROM {_OF_GROUPS} WHERE index IN {_SAMPLED}""",
 )
 def sampled_profile(spark: SparkSession, d: str) -> DataFrame:
-    out = Dataset(spark, _dealt(spark, d, "orders", "o_orderkey", 8)).sampled_profile(25, 3, ["o_totalprice"])
+    out = Dataset(spark, _grouped(spark, d)).sampled_profile(25, 3, ["o_totalprice"])
     return rounded(out.select("column_name", "row_count", "numeric.mean", "numeric.stddev", "margin_pct"))
 
 
+@query(
+    "limited_profile",
+    f"""SELECT column_name, row_count, mean, low, high, distinct_values, row_count < (SELECT count(*) FROM orders) AS truncated, row_groups, (SELECT count(*) FROM {_ALL_GROUPS}) AS total_row_groups, round(row_count / (SELECT count(*) FROM orders), 6) AS row_share FROM ("""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, {facts}, count(DISTINCT index) AS row_groups FROM {_OF_GROUPS} WHERE index < 5"
+        for c, facts in (
+            *((c, f"round(avg({c}), 6) AS mean, round(CAST(min({c}) AS DOUBLE), 6) AS low, round(CAST(max({c}) AS DOUBLE), 6) AS high, CAST(NULL AS BIGINT) AS distinct_values") for c in ("o_totalprice", "o_orderkey")),
+            ("o_orderpriority", "NULL AS mean, NULL AS low, NULL AS high, count(DISTINCT o_orderpriority) AS distinct_values"),
+        )
+    )
+    + ")",
+)
+def limited_profile(spark: SparkSession, d: str) -> DataFrame:
+    """What five row groups tell, flagged as a part of all."""
+    out = Dataset(spark, _grouped(spark, d)).limited_profile(row_groups=5, columns=["o_totalprice", "o_orderkey", "o_orderpriority"])
+    few = F.when(F.col("column_name") == "o_orderpriority", F.col("distinct_count"))
+    return rounded(out.select("column_name", "row_count", "numeric.mean", F.col("numeric.min").alias("low"), F.col("numeric.max").alias("high"), few.alias("distinct_values"), "truncated", F.col("row_groups").cast("long").alias("row_groups"), F.col("total_row_groups").cast("long").alias("total_row_groups"), "row_share"))
+
+
+_FOLLOWED = ("(SELECT o_orderpriority, o_totalprice, o_orderkey % 5 AS k FROM orders WHERE o_orderkey % 5 <> 1 AND (o_orderkey % 5 <> 2 OR o_totalprice > 100000))")
+
+
+@query(
+    "incremental_profile",
+    f"""SELECT column_name, row_count, count, mean, stddev, skewness, distinct_values, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS rewritten, CAST(1 AS BIGINT) AS deleted FROM (
+  SELECT 'o_totalprice' AS column_name, count(*) AS row_count, count(o_totalprice) AS count, round(avg(o_totalprice), 5) AS mean, round(stddev_pop(o_totalprice), 5) AS stddev,
+    round((SELECT avg(power((o_totalprice - m) / s, 3)) FROM {_FOLLOWED}, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM {_FOLLOWED})), 5) AS skewness, CAST(NULL AS BIGINT) AS distinct_values FROM {_FOLLOWED}
+  UNION ALL SELECT 'o_orderpriority', count(*), count(o_orderpriority), NULL, NULL, NULL, count(DISTINCT o_orderpriority) FROM {_FOLLOWED})""",
+)
+def incremental_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of a folder after a file was added, one rewritten and one deleted, from states of single files."""
+    path, store = scratch_folder(spark, "followed"), scratch_folder(spark, "states")
+    orders = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", (F.col("o_orderkey") % 5).cast("int").alias("k"))
+
+    def write(k: int, rows: DataFrame, mode: str = "overwrite") -> None:
+        rows.where(F.col("k") == k).drop("k").coalesce(1).write.mode(mode).parquet(f"{path}/{k}")
+
+    for k in range(4):
+        write(k, orders)
+    states = FileStates(spark, path, store)
+    states.refresh()
+    write(4, orders)
+    write(1, orders.limit(0))
+    write(2, orders.where("o_totalprice > 100000"))
+    change = states.refresh()
+    exact = F.when(F.col("column_name") == "o_orderpriority", F.col("distinct_count"))
+    # rewriting a folder puts a file of another name there, so one that is deleted and one added
+    facts = [F.lit(n).cast("long").alias(k) for k, n in (("added", change.added - 2), ("rewritten", change.deleted - 1), ("deleted", change.deleted - 1))]
+    return rounded(change.profile.select("column_name", "row_count", F.coalesce("numeric.count", "string.count").alias("count"), "numeric.mean", "numeric.stddev", "numeric.skewness", exact.alias("distinct_values"), *facts), 5)
+
+
+@query("quantiles_merged", _each(("o_totalprice", "o_custkey"), ", ".join(f"true AS {n}_within" for n in P.NUMERIC[-7:])))
+def quantiles_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Whether quantiles from the merged sketches of a hundred parts have the rank asked for within half a percent, ties aside."""
+    df = table(spark, d, "orders").select("o_totalprice", "o_custkey", F.pmod(F.xxhash64("o_orderkey"), F.lit(100)).alias("part"))
+    parts = df.repartition(4, "part").sortWithinPartitions("part")
+    fields = P.kinds(df, ["o_totalprice", "o_custkey"])
+    found = {r["column_name"]: r["numeric"] for r in P.described(merged(column_states(parts, fields, F.col("part")).drop("unit"), 100), fields).collect()}
+
+    def within(c: str) -> dict[str, Column]:
+        share = lambda test: F.count_if(test) / F.count(c)
+        return {f"{n}_within": (share(F.col(c) < found[c][n]) <= q + 0.005) & (share(F.col(c) <= found[c][n]) >= q - 0.005) for n, q in zip(P.NUMERIC[-7:], P.QUANTILES)}
+
+    return P.per_column(df, ["o_totalprice", "o_custkey"], within)
+
+
 _CHUNKS = f"(SELECT path_in_schema AS column_name, CAST(sum(total_uncompressed_size) AS BIGINT) AS data, CAST(sum(total_compressed_size) AS BIGINT) AS compressed, coalesce(sum(stats_null_count), 0) AS nulls, bool_and(encodings = 'PLAIN') AS plain FROM {_META} GROUP BY 1)"
 
 
@@ -922,14 +1017,37 @@ def footer_time_series(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("column_name", "min_timestamp", "max_timestamp", "mean_gap_ms", "max_gap_ms", "is_monotonic"), 4)
 
 
+_SORTED = ("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+
+
 @query(
     "footer_sort_order",
-    f"""WITH p AS (SELECT low, lag(high) OVER (ORDER BY k) AS before FROM {_EVENT_FILES})
-SELECT 'event_id' AS column_name, CASE WHEN coalesce(bool_and(low >= before), true) THEN 'ascending' WHEN bool_and(low <= before) THEN 'descending' ELSE 'unsorted' END AS sort_order,
-  coalesce(round(count(*) FILTER (low >= before) / nullif(count(before), 0), 6), 1.0) AS confidence FROM p""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, CASE WHEN coalesce(bool_and(low >= high_before), true) THEN 'ascending' WHEN bool_and(high <= low_before) THEN 'descending' ELSE 'unsorted' END AS sort_order,
+  coalesce(round(count(*) FILTER (low >= high_before) / nullif(count(high_before), 0), 6), 1.0) AS confidence
+FROM (SELECT low, high, lag(low) OVER (ORDER BY index) AS low_before, lag(high) OVER (ORDER BY index) AS high_before FROM (SELECT index, min({c}) AS low, max({c}) AS high FROM {_OF_GROUPS} GROUP BY 1))"""
+        for c in _SORTED
+    ),
 )
 def footer_sort_order(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(Dataset(spark, _event_files(spark, d)).sort_order().where("column_name = 'event_id'"))
+    """By the bounds of the row groups of files that have many, of numbers, texts and dates."""
+    return rounded(Dataset(spark, _grouped(spark, d)).sort_order().where(F.col("column_name").isin(*_SORTED)))
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(
+    "footer_writers",
+    f"""SELECT name, created_by, CASE WHEN created_by ILIKE '%spark%' THEN 'Apache Spark' WHEN created_by ILIKE '%arrow%' THEN 'PyArrow / Apache Arrow' WHEN created_by ILIKE '%duckdb%' THEN 'DuckDB' ELSE 'Unknown' END AS engine_name,
+  coalesce(nullif(regexp_extract(created_by, '(?i)version ([0-9.-]*)', 1), ''), nullif(regexp_extract(created_by, '(?i)v([0-9.-]*)', 1), '')) AS version_hint
+FROM (SELECT regexp_extract(file_name, '([a-z]+)\\.parquet$', 1) AS name, created_by FROM parquet_file_metadata([{", ".join(f"'{_DIR}/{t}.parquet'" for t in _TABLES)}]))""",
+)
+def footer_writers(spark: SparkSession, d: str) -> DataFrame:
+    """Who wrote the given tables."""
+    files = read_footers(spark, f"{d}/*.parquet").files.where(F.regexp_extract("path", r"([a-z]+)\.parquet$", 1).isin(*_TABLES))
+    e = S.engine(F.col("created_by"))
+    return files.select(F.regexp_extract("path", r"([a-z]+)\.parquet$", 1).alias("name"), "created_by", e["engine_name"].alias("engine_name"), e["version_hint"].alias("version_hint"))
 
 
 @query("compare_command", f"SELECT coalesce(a, b) AS name, CASE WHEN a IS NULL THEN 'Added' WHEN b IS NULL THEN 'Removed' WHEN ta <> tb THEN 'TypeChanged' ELSE 'Matching' END AS status, ta AS left_type, tb AS right_type FROM {_TWO}")

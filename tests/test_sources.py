@@ -220,3 +220,21 @@ def test_mixed_folders(spark, tmp_path):
     assert {(r["y"], r["m"]) for r in read(spark, str(tmp_path)).collect()} == {("1", "02"), ("1", None), ("2", None), (None, None)}
     kept = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
     assert read(spark, str(tmp_path / "y=1" / "m=02")).columns == ["a"] and spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == kept
+
+
+def test_first_rows_stop_early(spark, tmp_path):
+    many_groups(tmp_path / "b.parquet", 60, 100)
+    many_groups(tmp_path / "a.parquet", 60, 100)
+    with api.Dataset(spark, str(tmp_path)) as data:
+        tasks = spark.sparkContext.defaultParallelism
+        rows, looked = data.first_rows("id >= 250 AND id < 5990", 10)
+        assert [r["id"] for r in rows.collect()] == list(range(250, 260)) and looked == tasks
+        rows, looked = data.first_rows("id >= 5850", 200)
+        assert [r["id"] for r in rows.collect()] == [*range(5850, 6000), *range(5850, 5900)] and rows.columns == data.rows_frame().columns
+        assert looked <= 4 and data.first_rows("id = 17", 5)[0].count() == 2
+        assert data.first_rows("id < 0", 5)[0].collect() == [] and data.first_rows("id > 0", 0) [0].collect() == []
+
+
+def test_columns_with_dots_are_filtered(spark):
+    df = spark.createDataFrame([(1, (2,)), (3, (4,))], "`a.b` int, s struct<c:int>")
+    assert [r["a.b"] for r in api.filter_rows(df, "a.b > 1").collect()] == [3] and api.filter_rows(df, "s.c = 2").count() == 1

@@ -203,3 +203,17 @@ def test_correlation_in_one_scan(spark):
             assert abs(got[f"c.{a}", f"c.{b}"] - want) < 1e-6, (a, b)
     assert [tuple(p) for p in A.correlation(df.select(F.col("`c.1`").alias("y"))).collect()] == [("y", "y", 1.0)] and A.correlation(df, []).collect() == []
     assert {p.pearson for p in A.correlation(df.limit(0), ["c.1", "c.2"]).collect()} == {0.0, 1.0}
+
+
+def test_duplicates_shuffle_hashes_and_what_shares_one(spark):
+    from colquarry.operators import stats as A
+
+    rows = [(k % 70, f"{k % 70}", None if k % 70 == 3 else 1.5, [k % 70]) for k in range(100)] + [(None, None, None, None)] * 4 + [(None, "", None, None)]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, x double, l array<int>").repartition(4)
+    got = A.duplicates(df).first()
+    assert (got.total_rows, got.duplicate_rows, got.is_exact) == (105, 33, True)
+    assert tuple(A.duplicates(df.limit(0)).first())[:3] == (0, 0, 0.0)
+    same = spark.range(1000).select(F.lit("x" * 50).alias("t"))
+    assert A.duplicates(same).first().duplicate_rows == 999
+    plan = A.duplicates(spark.range(0, 1000, 1, 4).select("id", F.repeat(F.lit("x"), 500).alias("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
