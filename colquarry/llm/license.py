@@ -5,6 +5,10 @@ with templates, whole licences and short notices, in windows: a window begins wh
 begins, has as many words as the template at most, and ends with the last of the template's bigrams in that reach.
 The coefficient is that of the distinct bigrams of window and template.
 
+Licences that are close tell each other apart by the bigrams that one has and the other lacks: a window must hold half of
+those that its template has over each close one of another name. Of windows that overlap the one that shares the most bigrams with its
+template stays, so a notice inside its licence, or a licence inside a longer one, isn't named again.
+
 A coefficient of t or more needs t / (2 - t) of the template's distinct bigrams. So a template is left out where the
 text has fewer bigrams than that, or fewer of the template's; and a text is left out whole if it has none of the
 words without which no template can reach that many.
@@ -43,6 +47,8 @@ NOTICES = (
 
 #: Of 100, so that no comparison rounds.
 THRESHOLD = 80
+#: Of 100: templates of different names from this coefficient on are told apart by the bigrams of their own.
+CLOSE = 60
 #: Templates of fewer words are looked for in every text; longer ones have needed words of their own.
 SHORT = 60
 
@@ -68,6 +74,13 @@ def least_common(n: int, threshold: int) -> int:
     return -(-threshold * n // (200 - threshold))
 
 
+def own_bigrams(given: tuple[tuple[str, str], ...]) -> list[list[list[str]]]:
+    """For each template, and each close one of another name, the bigrams that only the first has."""
+    sets = [(name, set(bigrams(text))) for name, text in given]
+    close = lambda a, b: 200 * len(a & b) >= CLOSE * (len(a) + len(b))
+    return [[sorted(a - b) for other, b in sets if other != name and close(a, b) and a - b] for name, a in sets]
+
+
 def needed_words(given: tuple[tuple[str, str], ...], threshold: int) -> list[str]:
     """Words of which every text that matches has one: for each template words whose bigrams are more than a match
     can do without. Long words, which fewer texts have, go first, of these the ones in most bigrams."""
@@ -92,19 +105,25 @@ def _list(values: list[str]) -> Column:
     return F.split(F.lit("|".join(values)), r"\|")
 
 
+def _lists(values: list[list[str]]) -> Column:
+    return F.array(*map(_list, values)) if values else F.array().cast("array<array<string>>")
+
+
 def scan(docs: DataFrame, threshold: int = THRESHOLD, given: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """doc_id, license, dice, first_word, n_matches and licenses of every row.
 
-    license, dice and first_word: the name of the template, its coefficient and where its window begins (in words,
-    from 0) of the best match (of equals the name that sorts first, then the first window), null where none reaches
-    ``threshold``; n_matches: templates that reach it; licenses: the names they have, sorted, joined by commas, empty
-    if none. A null or empty text, or one of a single word, has none. A very long text is searched whole. Rows are
+    A match is a window that reaches ``threshold``, has what tells its template from close ones, and overlaps no match with more of
+    its template's bigrams (of equals with a lower coefficient, a name or a place that comes later). license, dice and first_word: the
+    name of the template, the coefficient and where the window begins (in words, from 0) of the best match (of equals the
+    name that sorts first, then the first window), null without any; n_matches: matches; licenses: the names they have,
+    sorted, joined by commas, empty if none. A null or empty text, or one of a single word, has none. A very long text is searched whole. Rows are
     never grouped, so repeated rows and null ids stay as they are. An empty table gives an empty result. Columns
     other than doc_id and text are ignored."""
     given = templates() if given is None else given
     sets = [(name, len(words(text)), bigrams(text)) for name, text in given]
     constant = F.array(*(
-        F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(len(b)).alias("n"), F.lit(least_common(len(b), threshold)).alias("need"), _list(b).alias("bigrams")) for name, m, b in sets
+        F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(len(b)).alias("n"), F.lit(least_common(len(b), threshold)).alias("need"), _list(b).alias("bigrams"), _lists(own).alias("own"))
+        for (name, m, b), own in zip(sets, own_bigrams(given))
     ))
     t = F.lit(threshold)
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -119,7 +138,7 @@ def scan(docs: DataFrame, threshold: int = THRESHOLD, given: tuple[tuple[str, st
     out = out.select("doc_id", found.alias("_g"))
     # size bounds: the text's distinct bigrams, then those it shares
     possible = F.filter(constant, lambda x: x["need"] <= F.size("_g"))
-    shared = F.transform(possible, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "m", "n", "need")), F.array_intersect("_g", x["bigrams"]).alias("common")))
+    shared = F.transform(possible, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "m", "n", "need", "own")), F.array_intersect("_g", x["bigrams"]).alias("common")))
     out = out.select("doc_id", "_g", F.filter(shared, lambda x: F.size(x["common"]) >= x["need"]).alias("_t"))
     flags = lambda x: F.transform("_g", lambda g: F.array_contains(x["common"], g))
     placed = F.transform("_t", lambda x: F.struct(x.alias("t"), flags(x).alias("hit")))
@@ -135,12 +154,18 @@ def scan(docs: DataFrame, threshold: int = THRESHOLD, given: tuple[tuple[str, st
             unit = F.slice("_g", i + 1, length)
             both = F.size(F.array_intersect(unit, t_["common"]))
             total = F.size(F.array_distinct(unit)) + t_["n"]
-            return F.when(200 * both >= t * total, F.struct((F.lit(-2.0) * both / total).alias("minus"), t_["name"].alias("name"), i.alias("first_word")))
-
-        return F.array_min(F.transform(begins, window))  # nulls, windows that don't match, are passed over
-
-    out = out.select("doc_id", F.filter(F.transform(placed, windows), lambda w: w.isNotNull()).alias("_found"))
-    best = F.array_min("_found")
+            told = F.forall(t_["own"], lambda own: 2 * F.size(F.array_intersect(unit, own)) >= F.size(own))
+            match = F.struct((-both).alias("minus_shared"), (F.lit(-2.0) * both / total).alias("minus"), t_["name"].alias("name"), i.alias("first_word"), (i + length).alias("last_word"))
+            return F.when((200 * both >= t * total) & told, match)
+
+        return F.filter(F.transform(begins, window), lambda w: w.isNotNull())
+
+    ordered = F.array_sort(F.flatten(F.transform(placed, windows)))
+    apart = lambda v, w: (v["first_word"] > w["last_word"]) | (v["last_word"] < w["first_word"])
+    none = F.array().cast("array<struct<minus_shared:int,minus:double,name:string,first_word:int,last_word:int>>")
+    kept = F.aggregate(ordered, none, lambda done, w: F.when(F.forall(done, lambda v: apart(v, w)), F.array_append(done, w)).otherwise(done))
+    out = out.select("doc_id", kept.alias("_found"))
+    best = F.array_min(F.transform("_found", lambda w: F.struct(w["minus"].alias("minus"), w["name"].alias("name"), w["first_word"].alias("first_word"))))
     names = F.array_sort(F.array_distinct(F.transform("_found", lambda w: w["name"])))
     return out.select(
         "doc_id", best["name"].alias("license"), (-best["minus"]).alias("dice"), best["first_word"].cast("long").alias("first_word"), F.size("_found").cast("long").alias("n_matches"),
@@ -152,6 +177,7 @@ def oracle_sql(threshold: int = THRESHOLD, given: tuple[tuple[str, str], ...] |
     """DuckDB SQL for scan() over documents, by joins of the bigrams with their places."""
     given = templates() if given is None else given
     rows = ", ".join(f"({k}, '{name}', {len(words(text))}, {len(b)}, '{'|'.join(b)}')" for k, (name, text) in enumerate(given) for b in [bigrams(text)])
+    rivals = ", ".join(f"({k}, {r}, '{'|'.join(own)}')" for k, many in enumerate(own_bigrams(given)) for r, own in enumerate(many)) or "(-1, 0, '')"
     t = threshold
     return f"""
 WITH tpl AS (SELECT * FROM (VALUES {rows}) v(k, name, m, n, bigrams)),
@@ -163,9 +189,16 @@ c AS (SELECT h.doc_id, h.k FROM h JOIN tpl USING (k) GROUP BY h.doc_id, h.k, n H
 hits AS (SELECT h.* FROM h JOIN c USING (doc_id, k)),
 runs AS (SELECT doc_id, k, i FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM hits) WHERE before IS NULL OR before < i - 1),
 ends AS (SELECT r.doc_id, r.k, r.i, max(x.i) AS e, count(DISTINCT x.g) AS common FROM runs r JOIN tpl USING (k) JOIN hits x ON x.doc_id = r.doc_id AND x.k = r.k AND x.i >= r.i AND x.i <= r.i + m - 2 GROUP BY ALL),
-sized AS (SELECT s.doc_id, s.k, s.i, s.common, count(DISTINCT p.g) AS unit FROM ends s JOIN p ON p.doc_id = s.doc_id AND p.i >= s.i AND p.i <= s.e GROUP BY ALL),
-d AS (SELECT doc_id, k, name, i, 2.0::DOUBLE * common / (unit + n) AS dice FROM sized JOIN tpl USING (k) WHERE 200 * common >= {t} * (unit + n)),
-f AS (SELECT doc_id, arg_min(name, (-dice, name, i)) AS license, max(dice) AS dice, arg_min(i, (-dice, name, i)) AS first_word, count(DISTINCT k) AS n_matches,
-  array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses FROM d GROUP BY doc_id)
+sized AS (SELECT s.doc_id, s.k, s.i, s.e, s.common, count(DISTINCT p.g) AS unit FROM ends s JOIN p ON p.doc_id = s.doc_id AND p.i >= s.i AND p.i <= s.e GROUP BY ALL),
+d AS (SELECT doc_id, k, name, i, e, common, 2.0::DOUBLE * common / (unit + n) AS dice FROM sized JOIN tpl USING (k) WHERE 200 * common >= {t} * (unit + n)),
+own AS (SELECT k, r, len(string_split(own, '|')) AS size, unnest(string_split(own, '|')) AS g FROM (VALUES {rivals}) v(k, r, own)),
+asked AS (SELECT DISTINCT k, r, size FROM own),
+held AS (SELECT d.doc_id, d.k, d.i, own.r, count(DISTINCT own.g) AS c FROM d JOIN own USING (k) JOIN hits x ON x.doc_id = d.doc_id AND x.k = d.k AND x.i >= d.i AND x.i <= d.e AND x.g = own.g GROUP BY ALL),
+unlike AS (SELECT DISTINCT d.doc_id, d.k, d.i FROM d JOIN asked USING (k) LEFT JOIN held ON held.doc_id = d.doc_id AND held.k = d.k AND held.i = d.i AND held.r = asked.r WHERE 2 * coalesce(held.c, 0) < asked.size),
+told AS (SELECT * FROM d ANTI JOIN unlike USING (doc_id, k, i)),
+listed AS (SELECT doc_id, list({{'s': -common, 'd': -dice, 'name': name, 'i': i, 'e': e + 1}} ORDER BY -common, -dice, name, i, e) AS ws FROM told GROUP BY 1),
+kept AS (SELECT doc_id, unnest(list_reduce(list_transform(ws, lambda w: [w]), lambda done, w: CASE WHEN len(list_filter(done, lambda v: v.i <= w[1].e AND v.e >= w[1].i)) > 0 THEN done ELSE list_concat(done, w) END)) AS w FROM listed),
+f AS (SELECT doc_id, arg_min(w.name, (w.d, w.name, w.i)) AS license, -min(w.d) AS dice, arg_min(w.i, (w.d, w.name, w.i)) AS first_word, count(*) AS n_matches,
+  array_to_string(list_sort(list_distinct(list(w.name))), ',') AS licenses FROM kept GROUP BY doc_id)
 SELECT o.doc_id, f.license, f.dice, f.first_word, CAST(coalesce(f.n_matches, 0) AS BIGINT) AS n_matches, coalesce(f.licenses, '') AS licenses
 FROM documents o LEFT JOIN f USING (doc_id)"""
