@@ -11,10 +11,10 @@ Everything that moves is packed: a row for each block and shard. Pairs of words
 (and of the beginning of a text) are dealt by their second word, so that no shard holds all of them.
 
 The probability of w after v is (c(vw) - d) / c(v) + d s(v) / c(v) p(w), where s(v) is the number of different
-successors of v: absolute discounting, by which a pair seen twice is far from one seen once. Of a frequent context no
-shard sees all successors; after it the probability is (c(vw) + k p(w)) / (c(v) + k) with k = c(v) ** 0.85, about the
-number of different successors a word so frequent has. p(w) is (c(w) - d) / N for words seen in training, and the
-discounts of all words, d V / N, are the probability of an unseen one.
+successors of v: absolute discounting, by which a pair seen twice is far from one seen once. The successors of a frequent
+context lie on all shards; each tells every block how many different ones it has, and blocks add these up, so the formula is the same
+for all contexts and which of them count as frequent changes no score. p(w) is (c(w) - d) / N for words seen in
+training, and the discounts of all words, d V / N, are the probability of an unseen one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from .shared import arrow_batches, crc32_bucket, materialize, mix64, text_chunks, word_hashes
 
 DISCOUNT = 0.75
-POWER = 0.85
 _BEGIN, _END = (int(x) for x in mix64(np.array([101, 202], np.uint64)))
 #: Quantisation: 255 steps over so many decades.
 DECADES = 12.0
@@ -238,9 +237,17 @@ _REQUEST = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 _MESSAGE = {"block": pa.int64(), "shard": pa.int32(), "data": pa.binary()}
 
 
+def remainder(different: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The quantised share of contexts that so many different successors leave to the words alone: all of it where a
+    context wasn't seen."""
+    share = DISCOUNT * different / np.maximum(counts, 1)
+    return quantise(np.log10(np.where(share > 0, share, 1.0)))
+
+
 def answers(requests: list[tuple[int, bytes]], frequent_counts: np.ndarray) -> tuple[list[tuple[int, bytes]], int]:
     """For each block's request of a shard the counts of its words, the quantised share that their successors leave
-    to the words alone, and the quantised probabilities of its pairs; and the number of words seen in training."""
+    to the words alone, the number of different successors that each frequent context has here, and the quantised
+    probabilities of the block's pairs; and the number of words seen in training."""
     read = [(block, *unpacked(data, *_REQUEST)) for block, data in requests]
     words, place = np.unique(np.concatenate([r[1] for r in read]), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate([r[2] for r in read]), minlength=len(words)).astype(np.int64)
@@ -255,40 +262,38 @@ def answers(requests: list[tuple[int, bytes]], frequent_counts: np.ndarray) -> t
     seen, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     times = np.bincount(inverse, weights=np.concatenate([r[5][r[5] > 0] for r in read]), minlength=len(seen))
     total = np.concatenate([counts, frequent_counts]).astype(np.float64)
-    spread = np.power(total, POWER)
     context = (seen >> np.uint64(32)).astype(np.int64)
     different = np.bincount(context, minlength=n_contexts)
-    own = np.arange(n_contexts) < len(words)
+    left = remainder(different[: len(words)], counts)
     with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.where(own, DISCOUNT * different / total, spread / (total + spread))
-        left = np.where((total > 0) & (share > 0), quantise(np.log10(share)), 255).astype(np.uint8)
-        codes = quantise(np.log10(np.where(own[context], (times - DISCOUNT) / total[context], times / (total + spread)[context])))
+        codes = quantise(np.log10((times - DISCOUNT) / total[context]))
     trie = Trie.build(n_contexts, seen, codes)
     out, at = [], 0
     for (block, own, *_), (context, word) in zip(read, asked):
         mine = place[at : at + len(own)]
         at += len(own)
-        out.append((block, packed(counts[mine].astype(np.uint32), left[mine], left[len(words) :], trie.find(context, word))))
+        out.append((block, packed(counts[mine].astype(np.uint32), left[mine], different[len(words) :].astype(np.uint32), trie.find(context, word))))
     return out, int((counts > 0).sum())
 
 
-_ANSWER = (np.uint32, np.uint8, np.uint8, np.uint8)
+_ANSWER = (np.uint32, np.uint8, np.uint32, np.uint8)
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "log_counts": pa.float64(), "log_model": pa.float64()}
 
 
-def scores(block: Block, replies: dict[int, bytes], n_train: int) -> dict[str, np.ndarray]:
+def scores(block: Block, replies: dict[int, bytes], n_train: int, frequent_counts: np.ndarray) -> dict[str, np.ndarray]:
     """For each document: n_tokens, n_known, the sum of log10(c + 1), and the model's logarithm but for the number
     of words seen, which the probability of every unseen word holds as a factor."""
     counts, left = np.zeros(len(block.words), np.float64), np.zeros(len(block.words) + 1)
-    code = np.zeros(len(block.pair_order), np.uint8)
+    code, different = np.zeros(len(block.pair_order), np.uint8), np.zeros(len(frequent_counts), np.int64)
     for shard, data in replies.items():
-        c, own, special, pairs = unpacked(data, *_ANSWER)
+        c, own, here, pairs = unpacked(data, *_ANSWER)
         a, b = block.word_cuts[shard : shard + 2]
         counts[a:b] = c
         left[a:b] = restored(own)
         code[block.pair_order[block.pair_cuts[shard] : block.pair_cuts[shard + 1]]] = pairs
-        at = np.flatnonzero(block.special >= 0)
-        left[at] = restored(special)[block.special[at]]
+        different += here
+    at = np.flatnonzero(block.special >= 0)
+    left[at] = restored(remainder(different, frequent_counts))[block.special[at]]
     alone = np.where(counts > 0, np.log10(np.maximum(counts - DISCOUNT, 1e-9)), np.log10(DISCOUNT)) - np.log10(max(1, n_train))
     after = np.power(10.0, left[block.context] + alone[block.following])
     pair = np.log10(np.where(code > 0, np.power(10.0, restored(code)), 0.0) + after)
@@ -375,7 +380,7 @@ def scored(docs: DataFrame, held_out: Column | None = None, block_bytes: int = 1
             held = own.column("held_out").to_numpy().astype(bool)
             block = block_of(own.column("text").chunks, held)
             data = dict(zip(replies.column("shard").to_pylist(), replies.column("data").to_pylist()))
-            values = {"doc_id": own.column("doc_id").combine_chunks(), "held_out": held, **scores(block, data, n_train)}
+            values = {"doc_id": own.column("doc_id").combine_chunks(), "held_out": held, **scores(block, data, n_train, frequent_counts)}
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x, _SCORES[k]) for k, x in values.items()], names=list(_SCORES))
 
     requests = dealt.groupBy("block").applyInArrow(ask, "block long, shard int, data binary")

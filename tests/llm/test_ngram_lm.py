@@ -5,12 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colquarry.llm.ngram_lm import DISCOUNT, POWER, EliasFano, Trie, _frequent, mapped, quantise, restored, scored, tokens
+from colquarry.llm.ngram_lm import DISCOUNT, EliasFano, Trie, mapped, quantise, restored, scored
 
 SCHEMA = "doc_id long, text string, held_out string, block int, score int"
 
@@ -46,8 +45,7 @@ def words(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
 
-def brute(rows, frequent):
-    """frequent: the words that are frequent contexts, and BEGIN."""
+def brute(rows):
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     c, pairs = Counter(), Counter()
     for (_, t), h in zip(rows, held):
@@ -65,13 +63,7 @@ def brute(rows, frequent):
         score = 0.0
         for before, w in zip(["BEGIN", *ws], ws):
             alone = (c[w] - DISCOUNT) / n if c[w] else DISCOUNT * v / n
-            k = c[before] ** POWER
-            if not c[before]:
-                p = alone
-            elif before in frequent:
-                p = (pairs[before, w] + k * alone) / (c[before] + k)
-            else:
-                p = (max(0, pairs[before, w] - DISCOUNT) + DISCOUNT * different[before] * alone) / c[before]
+            p = (max(0, pairs[before, w] - DISCOUNT) + DISCOUNT * different[before] * alone) / c[before] if c[before] else alone
             score += math.log10(p)
         out.append((i, h, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
     return out
@@ -86,10 +78,7 @@ def corpus(seed, n):
 def test_rows_against_brute_force(spark):
     rows = corpus(3, 150) + [(900, None), (901, ""), (902, "long Text " * 5000), (903, "tie tie"), (903, "tie tie"), (None, "w1é no id")]
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(4)
-    found = set(_frequent(df.select("doc_id", "text"), F.lit(True))[0].tolist())
-    frequent = {w for w in {w for _, t in rows for w in words(t) if w} if tokens([pa.array([w])])[0][0].item() in found} | {"BEGIN"}
-    assert 5 < len(frequent) < 200
-    want = sorted(brute(rows, frequent), key=str)
+    want = sorted(brute(rows), key=str)
     for size in (1500, 14 << 20):
         got = sorted((tuple(x) for x in scored(df, block_bytes=size).collect()), key=str)
         for g, w in zip(got, want, strict=True):
@@ -98,6 +87,17 @@ def test_rows_against_brute_force(spark):
             assert abs(g[6] - w[6]) <= 0.06 * w[2] + 1e-9  # two quantised parts of a token, half a step each
 
 
+def test_scores_do_not_move_with_the_cut_of_frequent_contexts(spark, monkeypatch):
+    from colquarry.llm import ngram_lm
+
+    df = spark.createDataFrame(corpus(4, 120), "doc_id long, text string").repartition(3)
+    found = []
+    for cut in (0.0005, 0.01, 0.5):
+        monkeypatch.setattr(ngram_lm, "FREQUENT", cut)
+        found.append([r["score"] for r in scored(df, block_bytes=1000).orderBy("doc_id").collect()])
+    assert np.allclose(found[0], found[1], atol=1e-9) and np.allclose(found[0], found[2], atol=1e-9)
+
+
 def test_held_out_texts_score_better_than_by_the_base(spark):
     r = random.Random(5)
     follow = {w: r.sample(range(400), 3) for w in range(400)}
