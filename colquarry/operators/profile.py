@@ -8,7 +8,7 @@ out of numeric statistics.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars as S
-from .states import FLAGS, State, column_states, kind, merged
+from .states import FLAGS, State, column_states, kind, merged, quoted
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 _QUANTILE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
@@ -160,7 +160,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool
     return per_column(df, list(kinds(df, columns)), lambda c: {"distinct_count": count(_q(c))})
 
 
-def _value_counts(df: DataFrame, few: list[str], bins: dict[str, tuple[float, float, int, float]]) -> DataFrame:
+def _value_counts(df: DataFrame, few: Iterable[str], bins: dict[str, tuple[float, float, int, float]]) -> DataFrame:
     """column_name and items, the list of (bin, value, count): of the columns in ``few`` every value, with its bin if
     there are ``bins`` (low, high, number, width) for the column; of other columns with bins the bins alone.
 
@@ -169,10 +169,19 @@ def _value_counts(df: DataFrame, few: list[str], bins: dict[str, tuple[float, fl
     names = list(dict.fromkeys([*few, *bins]))
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, items array<struct<bin:int,value:string,count:bigint>>")
-    place = lambda c: _bin(_finite(c), bins[c][0], *bins[c][2:]) if c in bins else F.lit(None).cast("int")
-    text = lambda c: _q(c).cast("string") if c in few else F.lit(None).cast("string")
-    each = F.array(*(F.struct(F.lit(k).alias("k"), place(c).alias("bin"), text(c).alias("value")) for k, c in enumerate(names)))
-    counts = df.select(F.inline(each)).where("bin is not null or value is not null").groupBy("k", "bin", "value").agg(F.count("*").alias("count"))
+    number = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+
+    def place(c: str) -> str:
+        if c not in bins:
+            return "CAST(NULL AS INT)"
+        x, (low, _, n, width) = f"CAST({quoted(c)} AS DOUBLE)", bins[c]
+        at = f"CAST(least(floor(({x} - {number(low)}) / {number(width)}), {n - 1}) AS INT)" if n > 1 else "0"
+        return f"CASE WHEN abs(nullif({x}, {number(float('nan'))})) < {number(float('inf'))} THEN {at} END"
+
+    text = lambda c: f"CAST({quoted(c)} AS STRING)" if c in few else "CAST(NULL AS STRING)"
+    few = set(few)
+    each = "array(" + ", ".join(f"struct({k} AS k, {place(c)} AS bin, {text(c)} AS value)" for k, c in enumerate(names)) + ")"
+    counts = df.select(F.expr(f"inline({each})")).where("bin is not null or value is not null").groupBy("k", "bin", "value").agg(F.count("*").alias("count"))
     name = F.get(F.array(*map(F.lit, names)), F.col("k"))
     return counts.groupBy(name.alias("column_name")).agg(F.collect_list(F.struct("bin", "value", "count")).alias("items"))
 

@@ -220,22 +220,28 @@ def kind(t: T.DataType) -> str | None:
     return next((k for k, types in tests.items() if isinstance(t, types)), None)
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _inputs(df: DataFrame, fields: dict[str, T.DataType], unit: Column) -> DataFrame:
-    """unit, then for each column: k whether it has a value, or h the hash of it; and x a number, s and f a text's bytes and flags, b, t."""
+    """unit, then for each column: k whether it has a value, or h the hash of it; and x a number, s and f a text's bytes and flags, b, t.
+    Written as SQL, which the JVM parses at once, where a tree of a thousand columns built from here takes seconds."""
     out = [unit.alias("unit")]
     for i, (c, t) in enumerate(fields.items()):
-        x, of = F.col(f"`{c}`"), kind(t)
-        out.append(x.isNotNull().alias(f"k{i}") if isinstance(t, (T.MapType, T.VariantType)) else F.when(x.isNotNull(), F.xxhash64(x)).alias(f"h{i}"))
+        x, of = quoted(c), kind(t)
+        sql = [f"{x} IS NOT NULL AS k{i}" if isinstance(t, (T.MapType, T.VariantType)) else f"CASE WHEN {x} IS NOT NULL THEN xxhash64({x}) END AS h{i}"]
         if of == "numeric":
-            out.append(F.when(~F.isnan(x.cast("double")), x.cast("double")).alias(f"x{i}"))
+            sql.append(f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST({x} AS DOUBLE) END AS x{i}")
         elif of == "string":
-            tests = (x == "", x.rlike(S.BLANK), x.rlike(S.NUMERIC), x.rlike(S.EMAIL), x.rlike(S.UUID), x.rlike(S.ISO_DATE))
-            flags = sum((F.when(test, 1 << k).otherwise(0) for k, test in enumerate(tests)), F.lit(0))
-            out += [F.octet_length(x).alias(f"s{i}"), F.when(x.isNotNull(), flags).alias(f"f{i}")]
+            tests = (f"{x} = ''", *(f"{x} RLIKE r'{p}'" for p in (S.BLANK, S.NUMERIC, S.EMAIL, S.UUID, S.ISO_DATE)))
+            flags = " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, test in enumerate(tests))
+            sql += [f"octet_length({x}) AS s{i}", f"CASE WHEN {x} IS NOT NULL THEN {flags} END AS f{i}"]
         elif of == "boolean":
-            out.append(x.alias(f"b{i}"))
-        elif of == "temporal":
-            out.append(S.epoch_ms(x, t).alias(f"t{i}"))
+            sql.append(f"{x} AS b{i}")
+        out += map(F.expr, sql)
+        if of == "temporal":
+            out.append(S.epoch_ms(F.col(x), t).alias(f"t{i}"))
     return df.select(*out)
 
 
