@@ -1,17 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each text gets counts of words, symbols, repeated lines and repeated five-word windows. A rule compares a ratio
-of two counts with a cutoff on a fixed grid. Which cutoffs hold is decided on labelled documents, apart for each
-stratum: a cutoff is certified if so few good documents exceed it that, by the exact binomial tail, a false
-rejection rate above the permitted one can be excluded. The permitted rate is shared out over the rules and the
-error of the certificates over all strata and rules (within a rule the cutoffs are tested from the most lenient
-on, which needs no further correction). A rule takes its strictest certified cutoff, or none: where too few
-documents are labelled, it rejects nothing.
+Each text gets counts of words, symbols, repeated lines and repeated five-word windows. A rule compares a ratio of two
+counts with a cutoff, and a path of steps leads all rules together from their most lenient cutoffs to their strictest, so what
+one step rejects the next one rejects too. How far down the path one may go is decided on labelled documents, apart for each
+stratum: a step is certified if so few good documents are rejected by it that, by the exact binomial tail, a false rejection rate
+above the permitted one can be excluded. Steps are tested in their order up to the first that fails, which needs no correction; the error
+is shared out over the strata. Strata that have too few labels for any certificate are tested together as one. Where even these are too
+few, nothing is certified and nothing rejected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Steps of the path after its beginning.
+STEPS = 40
 
 
 @dataclass(frozen=True)
@@ -35,10 +38,15 @@ class Rule:
     first: int
     last: int
 
-    def level(self) -> Column:
-        """The largest whole cutoff that is exceeded, 0 if none is."""
-        exceeded = F.expr(f"({self.scale} * {self.numerator} - 1) div {self.denominator}")
-        return F.when((F.col(self.numerator) > 0) & (F.col(self.denominator) > 0), F.least(exceeded, F.lit(self.last).cast("long"))).otherwise(F.lit(0).cast("long"))
+    def cutoff(self, step: int) -> int:
+        """The cutoff at a step of the path, ``last`` at the first."""
+        return self.last - step * (self.last - self.first) // STEPS
+
+    def step(self) -> Column:
+        """The first step that rejects, STEPS + 1 if none does."""
+        exceeded = f"least(({self.scale} * {self.numerator} - 1) div {self.denominator}, {self.last}L)"
+        at = f"(({self.last} - {exceeded}) * {STEPS} + {self.last - self.first - 1}) div {self.last - self.first}"
+        return F.expr(f"CASE WHEN {self.numerator} > 0 AND {self.denominator} > 0 THEN least({at}, {STEPS + 1}L) ELSE {STEPS + 1}L END")
 
 
 RULES = (
@@ -101,8 +109,6 @@ def binomial_tail(n: str, k: str, rate: float) -> Column:
             (a["term"] * i / ((F.col(n) - i + 1) * odds)).alias("term"), (a["total"] + a["term"] * i / ((F.col(n) - i + 1) * odds)).alias("total")
         ),
     )["total"]
-    from math import log, pi
-
     def log_factorial(x: Column) -> Column:
         """Of whole numbers: a sum up to 30, the series beyond, whose next term is under 1e-13 there."""
         near = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(x, F.lit(30)), F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.ln(i))
@@ -113,31 +119,23 @@ def binomial_tail(n: str, k: str, rate: float) -> Column:
     return F.exp(ways + F.col(k) * log(rate) + (F.col(n) - F.col(k)) * log(1 - rate)) * below
 
 
-def thresholds(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """stratum, rule and the strictest certified cutoff, from rows (stratum, level of each rule) of good documents.
+def thresholds(labelled: DataFrame, rate: float, error: float) -> DataFrame:
+    """stratum and the last certified step, from rows (stratum, step) of good documents; no row where none is certified.
 
-    Every count is an aggregate over (stratum, rule, level), of which there are at most the grid's."""
-    share = rate / len(rules)
-    levels = labelled.select(
-        "stratum", F.inline(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.col(f"level_{r.name}").alias("level")) for r in rules)))
-    )
-    counted = levels.groupBy("stratum", "rule", "level").agg(F.count("*").alias("c"))
-    totals = counted.groupBy("stratum", "rule").agg(F.sum("c").alias("n"))
-    strata = totals.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    grid = F.array(*(F.struct(F.lit(r.name).alias("g_rule"), F.sequence(F.lit(r.first), F.lit(r.last)).alias("g_cutoffs")) for r in rules))
-    cutoffs = totals.select("stratum", "rule", "n", F.inline(F.filter(grid, lambda g: g["g_rule"] == F.col("rule")))).select(
-        "stratum", "rule", "n", F.explode("g_cutoffs").alias("cutoff")
-    )
-    per = Window.partitionBy("stratum", "rule").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    points = counted.select("stratum", "rule", F.col("level"), F.sum("c").over(per).alias("over"))
-    over = (
-        cutoffs.join(points, ["stratum", "rule"], "left")
-        .groupBy("stratum", "rule", "n", "cutoff")
-        .agg(F.coalesce(F.max(F.when(F.col("level") >= F.col("cutoff"), F.col("over"))), F.lit(0)).alias("k"))
-    )
-    tested = over.join(strata).where(F.col("k") < F.col("n") * share)
-    certified = tested.where(binomial_tail("n", "k", share) <= F.lit(error) / (len(rules) * F.col("strata")))
-    return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    Every count is an aggregate over (stratum, step), of which there are at most STEPS + 2 a stratum. A stratum without as many
+    labels as a certificate without a false rejection needs joins the others of that kind. Each test may err by ``error`` over the number of all strata."""
+    counted = labelled.groupBy("stratum", "step").agg(F.count("*").alias("c"))
+    totals = counted.groupBy("stratum").agg(F.sum("c").alias("labels"))
+    strata = totals.agg(F.count("*").alias("strata"))
+    few = F.col("labels") * log(1 - rate) > F.ln(F.lit(error) / F.col("strata"))
+    grouped = totals.join(strata).select("stratum", "strata", F.when(few, F.lit("")).otherwise(F.concat(F.lit("="), "stratum")).alias("group"))  # one row
+    points = counted.join(grouped, "stratum").groupBy("group", "strata", "step").agg(F.sum("c").alias("c"))
+    sized = points.withColumn("n", F.sum("c").over(Window.partitionBy("group")))
+    grid = sized.select("group", "strata", "n").distinct().withColumn("tested", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
+    rejected = grid.join(sized.select("group", "step", "c"), "group").groupBy("group", "strata", "n", "tested").agg(F.coalesce(F.sum(F.when(F.col("step") <= F.col("tested"), F.col("c"))), F.lit(0)).alias("k"))
+    # a step further down rejects no fewer, so its tail is no lower: the certified ones are the first ones
+    passed = rejected.where(F.col("k") < F.col("n") * rate).where(binomial_tail("n", "k", rate) <= F.lit(error) / F.col("strata"))
+    return grouped.join(passed.groupBy("group").agg(F.max("tested").alias("certified")), "group").select("stratum", "certified")
 
 
 def judge(
@@ -145,9 +143,9 @@ def judge(
 ) -> DataFrame:
     """The features of every document with base_failed and kept.
 
-    base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept is false if
-    base_failed; else false if some rule's ratio exceeds the cutoff certified for the document's stratum, so
-    that with confidence 1 - ``error`` no stratum loses more than ``rate`` of its good documents to the rules.
+    base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept is false if base_failed; else false
+    if some rule rejects at the last step certified for the document's stratum, so that with confidence 1 - ``error`` no stratum
+    (or all those together that have few labels) loses more than ``rate`` of its good documents to the rules.
 
     ``labels``: doc_id and quality (1 good); a document with several labels is good if none says otherwise. Copies of
     a text count once, for trials must be independent. A very long text is judged whole. A
@@ -155,30 +153,24 @@ def judge(
     are judged each. Empty tables give an empty result, and no labels leave the base rules only. ``carry``: the
     columns to return along with the results (doc_id alone if not given)."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    levels = [f"level_{r.name}" for r in rules]
     given = carry or ["doc_id"]
     base = docs.select(F.col("doc_id").alias("_doc"), *given, F.col("text").alias("_text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
-    found = features(base, "_text").withColumns({"base_failed": base_failed(), **{f"level_{r.name}": r.level() for r in rules}})
-    judged = materialize(found.select("_doc", F.xxhash64("_text").alias("_hash"), *given, "stratum", *made, "base_failed", *levels), "quality")
+    step = F.least(*(r.step() for r in rules), F.lit(STEPS + 1).cast("long"), F.lit(STEPS + 1).cast("long"))
+    found = features(base, "_text").withColumns({"base_failed": base_failed(), "step": step})
+    judged = materialize(found.select("_doc", F.xxhash64("_text").alias("_hash"), *given, "stratum", *made, "base_failed", "step"), "quality")
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     good = good.select(F.col("doc_id").alias("_doc"))
-    holdout = judged.where("not base_failed").select("_doc", "_hash", "stratum", *levels).join(good, "_doc").drop("_doc").distinct()
-    cuts = thresholds(holdout, rate, error, rules)
-    by = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules))
-    exceeds = F.lit(False)
-    for r in rules:
-        exceeds = exceeds | F.coalesce(F.col(f"level_{r.name}") >= F.col(f"cut_{r.name}"), F.lit(False))
-    out = judged.join(by, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~exceeds)
-    return out.select(*given, *made, "base_failed", "kept")
+    holdout = judged.where("not base_failed").select("_doc", "_hash", "stratum", "step").join(good, "_doc").drop("_doc").distinct()
+    out = judged.join(thresholds(holdout, rate, error), "stratum", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("step") <= F.col("certified"), F.lit(False))).select(*given, *made, "base_failed", "kept")
 
 
 def oracle_sql(stratum: str = "lang", rate: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for judge() over documents and labels; the tail is a sum of terms by lgamma instead."""
-    share = rate / len(rules)
-    level = lambda r: f"CASE WHEN {r.numerator} > 0 AND {r.denominator} > 0 THEN least(({r.scale} * {r.numerator} - 1) // {r.denominator}, {r.last}) ELSE 0 END"
-    levels = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r.name}' AS rule, {level(r)} AS level FROM f" for r in rules)
-    grid = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, unnest(range({r.first}, {r.last + 1})) AS cutoff" for r in rules)
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))"
+    exceeded = lambda r: f"least(({r.scale} * {r.numerator} - 1) // {r.denominator}, {r.last})"
+    at = lambda r: f"CASE WHEN {r.numerator} > 0 AND {r.denominator} > 0 THEN least((({r.last} - {exceeded(r)}) * {STEPS} + {r.last - r.first - 1}) // {r.last - r.first}, {STEPS + 1}) ELSE {STEPS + 1} END"
+    step = f"least({', '.join(map(at, rules))}, {STEPS + 1})"
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))"
     return f"""
 WITH t AS (
   SELECT doc_id, coalesce({stratum}, '') AS stratum, coalesce(text, '') AS body,
@@ -193,21 +185,16 @@ c AS (
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.c, 0) AS n_repeat_words, len(lines) AS n_lines,
     length(body) - length(regexp_replace(body, '[A-Z]', '', 'g')) AS n_capitals
   FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-l AS ({levels}),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {step} AS step FROM c),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT DISTINCT body, l.stratum, rule, level FROM l JOIN good USING (doc_id) JOIN t USING (doc_id) WHERE NOT base_failed),
-tot AS (SELECT stratum, rule, count(*) AS n FROM h GROUP BY ALL),
-test AS (
-  SELECT tot.stratum, tot.rule, n, cutoff, (SELECT count(*) FROM h WHERE h.stratum = tot.stratum AND h.rule = tot.rule AND h.level >= g.cutoff) AS k
-  FROM tot JOIN ({grid}) g ON tot.rule = g.rule),
-p AS (
-  SELECT stratum, rule, cutoff, list_sum(list_transform(range(0, k + 1), lambda i: {term})) AS tail FROM test WHERE k < n * {share!r}),
-cut AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM p
-  WHERE tail <= {error!r} / ({len(rules)} * (SELECT count(DISTINCT stratum) FROM tot)) GROUP BY ALL),
-bad AS (SELECT DISTINCT l.doc_id FROM l JOIN cut ON l.stratum = cut.stratum AND l.rule = cut.rule AND l.level >= cut.cutoff)
+h AS (SELECT DISTINCT body, f.stratum, step FROM f JOIN good USING (doc_id) JOIN t USING (doc_id) WHERE NOT base_failed),
+tot AS (SELECT stratum, count(*) AS labels, (SELECT count(DISTINCT stratum) FROM h) AS strata FROM h GROUP BY 1),
+grp AS (SELECT stratum, strata, CASE WHEN labels * ln(1 - {rate!r}) > ln({error!r} / strata) THEN '' ELSE '=' || stratum END AS grp FROM tot),
+hg AS (SELECT grp, strata, step FROM h JOIN grp USING (stratum)),
+test AS (SELECT grp, strata, tested, count(*) AS n, count(*) FILTER (step <= tested) AS k FROM hg, (SELECT unnest(range(0, {STEPS + 1})) AS tested) GROUP BY ALL),
+p AS (SELECT grp, strata, tested, list_sum(list_transform(range(0, k + 1), lambda i: {term})) AS tail FROM test WHERE k < n * {rate!r}),
+cut AS (SELECT stratum, max(tested) AS certified FROM p JOIN grp USING (grp) WHERE tail <= {error!r} / p.strata GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
-FROM f"""
+  NOT base_failed AND NOT coalesce(step <= certified, false) AS kept
+FROM f LEFT JOIN cut USING (stratum)"""

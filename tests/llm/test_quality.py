@@ -76,6 +76,45 @@ def test_cutoffs_reject_what_is_bad_and_spare_the_good(spark):
     assert all(verdict[i] for i in good) and not any(verdict[i] for i in bad)
 
 
+def test_a_path_of_rules_and_strata_with_few_labels(spark):
+    r = random.Random(5)
+    docs, labels = [], []
+    for i in range(2400):
+        lang = "en" if i % 3 else r.choice(["de", "fr", "es", "it"])  # none of four has enough for itself, all together have
+        bad = r.random() < 0.25
+        ws = [r.choice(["Plain", "prose", "word", "other", "thing"]) + str(r.randint(0, 9999)) for _ in range(25)]
+        text = " ".join(ws) if not bad else " ".join(w.upper() for w in ws) if i % 2 else " ".join(w + "$$" for w in ws)
+        docs.append({"doc_id": i, "text": text, "lang": lang})
+        labels.append({"doc_id": i, "quality": int(not bad), "toxic": 0})
+    docs.append({"doc_id": 9000, "text": "SHOUTED " * 3 + " ".join(f"A{k}" for k in range(20)), "lang": "unheard"})
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = judge(d, l)
+    assert spark_rows(out) == duck(oracle_sql(), documents=docs, labels=labels)
+    kept, quality = {x.doc_id: x.kept for x in out.collect()}, {x["doc_id"]: x["quality"] for x in labels}
+    for lang in ("en", "de", "fr"):
+        ids = [x["doc_id"] for x in docs if x["lang"] == lang]
+        assert not any(kept[i] for i in ids if not quality[i]) and all(kept[i] for i in ids if quality[i])
+    assert kept[9000]  # nothing is certified where nothing is labelled
+
+
+def test_cutoffs_of_a_path():
+    from colquarry.llm.quality import RULES, STEPS
+
+    for rule in RULES:
+        path = [rule.cutoff(s) for s in range(STEPS + 1)]
+        assert path[0] == rule.last and path[-1] == rule.first and path == sorted(path, reverse=True)
+
+
+def test_steps_are_the_first_that_reject(spark):
+    from colquarry.llm.quality import RULES, STEPS
+
+    rule = RULES[0]
+    df = spark.createDataFrame([(a, b) for a in range(0, 60, 3) for b in (0, 7, 50, 100)], "n_symbols long, word_chars long").withColumn("step", rule.step())
+    for x in df.collect():
+        want = next((s for s in range(STEPS + 1) if x.word_chars and rule.scale * x.n_symbols > rule.cutoff(s) * x.word_chars), STEPS + 1)
+        assert x.step == want, x
+
+
 def test_the_query_and_its_sql(spark):
     d = "/root/testdata/sf0.001"
     assert spark_rows(queries.op6_quality(spark, d)) == duck(queries.ORACLE_SQL["op6_quality"], d)
