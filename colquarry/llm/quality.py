@@ -5,7 +5,7 @@ counts with a cutoff, and a path of steps leads all rules together from their mo
 one step rejects the next one rejects too. How far down the path one may go is decided on labelled documents, apart for each
 stratum: a step is certified if so few good documents are rejected by it that, by the exact binomial tail, a false rejection rate
 above the permitted one can be excluded. Steps are tested in their order up to the first that fails, which needs no correction; the error
-is shared out over the strata. Strata that have too few labels for any certificate are tested together as one. Where even these are too
+is shared out over the tests. Strata that have too few labels for a certificate are tested together as one. Where even these are too
 few, nothing is certified and nothing rejected.
 """
 
@@ -123,18 +123,20 @@ def thresholds(labelled: DataFrame, rate: float, error: float) -> DataFrame:
     """stratum and the last certified step, from rows (stratum, step) of good documents; no row where none is certified.
 
     Every count is an aggregate over (stratum, step), of which there are at most STEPS + 2 a stratum. A stratum without as many
-    labels as a certificate without a false rejection needs joins the others of that kind. Each test may err by ``error`` over the number of all strata."""
+    labels as a certificate without a false rejection needs at the number of strata joins the others of that kind. Each test may err by ``error``
+    over the number of groups that are tested."""
     counted = labelled.groupBy("stratum", "step").agg(F.count("*").alias("c"))
     totals = counted.groupBy("stratum").agg(F.sum("c").alias("labels"))
     strata = totals.agg(F.count("*").alias("strata"))
     few = F.col("labels") * log(1 - rate) > F.ln(F.lit(error) / F.col("strata"))
-    grouped = totals.join(strata).select("stratum", "strata", F.when(few, F.lit("")).otherwise(F.concat(F.lit("="), "stratum")).alias("group"))  # one row
-    points = counted.join(grouped, "stratum").groupBy("group", "strata", "step").agg(F.sum("c").alias("c"))
+    grouped = totals.join(strata).select("stratum", F.when(few, F.lit("")).otherwise(F.concat(F.lit("="), "stratum")).alias("group"))  # one row
+    points = counted.join(grouped, "stratum").groupBy("group", "step").agg(F.sum("c").alias("c"))
     sized = points.withColumn("n", F.sum("c").over(Window.partitionBy("group")))
-    grid = sized.select("group", "strata", "n").distinct().withColumn("tested", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
-    rejected = grid.join(sized.select("group", "step", "c"), "group").groupBy("group", "strata", "n", "tested").agg(F.coalesce(F.sum(F.when(F.col("step") <= F.col("tested"), F.col("c"))), F.lit(0)).alias("k"))
+    tests = sized.select("group", "n").distinct()
+    grid = tests.join(tests.agg(F.count("*").alias("tests"))).withColumn("tested", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
+    rejected = grid.join(sized.select("group", "step", "c"), "group").groupBy("group", "tests", "n", "tested").agg(F.coalesce(F.sum(F.when(F.col("step") <= F.col("tested"), F.col("c"))), F.lit(0)).alias("k"))
     # a step further down rejects no fewer, so its tail is no lower: the certified ones are the first ones
-    passed = rejected.where(F.col("k") < F.col("n") * rate).where(binomial_tail("n", "k", rate) <= F.lit(error) / F.col("strata"))
+    passed = rejected.where(F.col("k") < F.col("n") * rate).where(binomial_tail("n", "k", rate) <= F.lit(error) / F.col("tests"))
     return grouped.join(passed.groupBy("group").agg(F.max("tested").alias("certified")), "group").select("stratum", "certified")
 
 
@@ -189,11 +191,11 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 h AS (SELECT DISTINCT body, f.stratum, step FROM f JOIN good USING (doc_id) JOIN t USING (doc_id) WHERE NOT base_failed),
 tot AS (SELECT stratum, count(*) AS labels, (SELECT count(DISTINCT stratum) FROM h) AS strata FROM h GROUP BY 1),
-grp AS (SELECT stratum, strata, CASE WHEN labels * ln(1 - {rate!r}) > ln({error!r} / strata) THEN '' ELSE '=' || stratum END AS grp FROM tot),
-hg AS (SELECT grp, strata, step FROM h JOIN grp USING (stratum)),
-test AS (SELECT grp, strata, tested, count(*) AS n, count(*) FILTER (step <= tested) AS k FROM hg, (SELECT unnest(range(0, {STEPS + 1})) AS tested) GROUP BY ALL),
-p AS (SELECT grp, strata, tested, list_sum(list_transform(range(0, k + 1), lambda i: {term})) AS tail FROM test WHERE k < n * {rate!r}),
-cut AS (SELECT stratum, max(tested) AS certified FROM p JOIN grp USING (grp) WHERE tail <= {error!r} / p.strata GROUP BY 1)
+grp AS (SELECT stratum, CASE WHEN labels * ln(1 - {rate!r}) > ln({error!r} / strata) THEN '' ELSE '=' || stratum END AS grp FROM tot),
+hg AS (SELECT grp, (SELECT count(DISTINCT grp) FROM grp) AS tests, step FROM h JOIN grp USING (stratum)),
+test AS (SELECT grp, tests, tested, count(*) AS n, count(*) FILTER (step <= tested) AS k FROM hg, (SELECT unnest(range(0, {STEPS + 1})) AS tested) GROUP BY ALL),
+p AS (SELECT grp, tests, tested, list_sum(list_transform(range(0, k + 1), lambda i: {term})) AS tail FROM test WHERE k < n * {rate!r}),
+cut AS (SELECT stratum, max(tested) AS certified FROM p JOIN grp USING (grp) WHERE tail <= {error!r} / tests GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(step <= certified, false) AS kept
