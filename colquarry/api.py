@@ -252,6 +252,11 @@ class Dataset:
         return C.save_baseline(store, self.path, self.schema, self.scores, self.column_stats)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A result with a few rows for each column of a dataset, as a table that needs its footers no more."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def summary(spark: SparkSession, path: str, columns: list[str] | None = None, save: str | None = None) -> DataFrame:
     """Files, rows, bytes and quality, of some columns if they are named; with ``save`` also as a JSON file
     {dataset, quality} at that path."""
@@ -267,7 +272,8 @@ def summary(spark: SparkSession, path: str, columns: list[str] | None = None, sa
 
 def schema(spark: SparkSession, path: str, form: str = "table") -> DataFrame | str:
     """The leaves of the first file: as a table, as ``text`` (a line for each) or as ``json``."""
-    found = Dataset(spark, path).schema.orderBy("position")
+    with Dataset(spark, path) as data:
+        found = _held(data.schema.orderBy("position"))
     if form == "table":
         return found
     rows = [r.asDict() for r in found.collect()]  # a schema
@@ -287,7 +293,9 @@ def duplicates(spark: SparkSession, path: str, exact: bool = True, threshold: fl
 
 def check(spark: SparkSession, path: str, store: str) -> tuple[DataFrame | None, bool]:
     """Regressions against the stored baseline (None without one), and whether there are none."""
-    found = Dataset(spark, path).regressions(store)
+    with Dataset(spark, path) as data:
+        found = data.regressions(store)
+        found = None if found is None else _held(found)
     return found, found is None or found.isEmpty()
 
 
@@ -297,22 +305,29 @@ def validate(spark: SparkSession, path: str, store: str | None = None) -> tuple[
         data = Dataset(spark, path)
     except NotFound:
         return {}, 2
-    found = {"quality": data.quality(), "suggestions": data.suggestions(), "regressions": data.regressions(store) if store else None}
+    with data:
+        made = {"quality": data.quality(), "suggestions": data.suggestions(), "regressions": data.regressions(store) if store else None}
+        found = {k: None if v is None else _held(v) for k, v in made.items()}
     bad = found["quality"].first()["overall_score"] < 80 or not found["suggestions"].isEmpty() or (found["regressions"] is not None and not found["regressions"].isEmpty())
     return found, int(bad)
 
 
 def compare(spark: SparkSession, left: str, right: str) -> dict[str, DataFrame]:
-    a, b = Dataset(spark, left), Dataset(spark, right)
-    return {
-        "dataset": C.dataset_diff(a.footers.files, b.footers.files, a.schema.count(), b.schema.count()),
-        "schema": C.schema_diff(a.schema, b.schema), "stats": C.stats_diff(a.column_stats, b.column_stats),
-    }
+    with Dataset(spark, left) as a, Dataset(spark, right) as b:
+        made = {
+            "dataset": C.dataset_diff(a.footers.files, b.footers.files, a.schema.count(), b.schema.count()),
+            "schema": C.schema_diff(a.schema, b.schema), "stats": C.stats_diff(a.column_stats, b.column_stats),
+        }
+        return {k: _held(v) for k, v in made.items()}
 
 
 def export(spark: SparkSession, path: str, out: str, form: str = "json", columns: list[str] | None = None, limit: int | None = None, store: str | None = None) -> None:
     """Write json, csv (columns and row groups) or ndjson below ``out``; ``columns`` and ``limit`` choose columns."""
-    data = Dataset(spark, path)
+    with Dataset(spark, path) as data:
+        _export(spark, data, out, form, columns, limit, store)
+
+
+def _export(spark: SparkSession, data: Dataset, out: str, form: str, columns: list[str] | None, limit: int | None, store: str | None) -> None:
     pick = lambda df: df if columns is None else df.where(F.col("column_name").isin(columns))
     stats = pick(data.column_stats).orderBy("column_name")
     stats = stats if limit is None else stats.limit(limit)
