@@ -33,6 +33,8 @@ SAMPLE_ROWS = 8192
 SAMPLE_TERMS = 1024
 #: Terms of the items of a block, about: with their weights some megabytes that every task gets.
 BLOCK_TERMS = 1 << 20
+#: Items of a block at most, about: the driver gets FIRST_SHARDS rows and a goal for each.
+BLOCK_ITEMS = 1 << 14
 SHARD_POSTINGS = 1 << 19
 PART_POSTINGS = 1 << 22
 FEWEST_PARTS, MOST_PARTS = 24, 8192
@@ -373,12 +375,13 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, shard_postings: int =
     spark = docs.sparkSession
     tables = Tables(spark)
     kind = items.schema["item_id"].dataType.simpleString()
-    read = tables.store(items.select("item_id", "text").mapInArrow(_item_terms, f"item_id {kind}, terms array<long>, times array<long>").where(F.size("terms") > 0), "items")
-    total = read.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_terms))
+    stored = tables.store(items.select("item_id", "text").mapInArrow(_item_terms, f"item_id {kind}, terms array<long>, times array<long>").where(F.size("terms") > 0), "items")
+    total = stored.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"), F.count("*").alias("items")).first()
+    blocks = max(1, -(-total["terms"] // block_terms), -(-total["items"] // BLOCK_ITEMS))
+    read = stored.withColumn("block", F.monotonically_increasing_id() % blocks)  # a stored table's rows: the same each time it is read
     found: DataFrame | None = None
     for number in range(blocks):
-        rows = read.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks)) == number).toArrow().to_pylist()
+        rows = read.where(F.col("block") == number).toArrow().to_pylist()
         if not rows:
             continue
         hashes = np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64)
@@ -390,7 +393,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, shard_postings: int =
         best = search(index, block, len(vocabulary), tables, k, first_shards)
         names = spark.createDataFrame([(n, r["item_id"]) for n, r in enumerate(rows)], f"item int, item_id {kind}")
         best = tables.store(best.join(names, "item").select("item_id", "rank", "doc_id", "score"), "ranked")
-        tables.drop_others(read, best, *([found] if found is not None else []))
+        tables.drop_others(stored, best, *([found] if found is not None else []))
         found = best if found is None else tables.store(found.unionByName(best), "ranked")
     return found if found is not None else spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
 
