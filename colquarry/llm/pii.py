@@ -10,8 +10,11 @@ attempts.
 
 A name is found by its title. Its last word is a family name, the others are given names; each has a surrogate of
 its own, so that a person keeps one with and without the given name, and hyphens, particles and beginnings such as
-O' and Mc stay. Where a document names somebody by title with a given name, the same name without a title is
-replaced in it as well; a family name alone without a title is not.
+O' and Mc stay. Where a document names somebody by title, the same name without a title is replaced in it as well, and
+so is the family name alone, unless an article before it shows that it is a word ("der Berg") or it has two letters.
+
+A telephone number is named without its country code or trunk zero, so its national and international form have one
+surrogate. Numbers of four parts behind "version" and the like are no addresses.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import secrets
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables
@@ -52,27 +55,46 @@ ALPHABETS = (
 #: A draw is as long as its entity at the first attempts; each later one is a character longer, so no form's space is used up.
 SAME_LENGTH = 4
 
+#: Beginnings of access tokens, articles, and calling codes of one and two digits (all others have three).
+TOKENS = r"(?:sk-(?:[a-z]{2,8}\d{0,2}-)?|[spr]k_(?:live|test)_|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|AIza|hf_|npm_|[Bb]earer )"
+ARTICLES = ("the", "a", "an", "der", "die", "das", "dem", "den", "des", "ein", "eine", "einem", "einen", "einer", "eines", "le", "la", "les", "un", "une", "el", "los", "las", "una")
+CALLING_CODES = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _WORD = r"(?=\p{Lu}[\p{Ll}'’])\p{Lu}\p{Ll}*+(?:['’-]?\p{Lu}\p{Ll}++)*+"
 _NAME = rf"(?:(?:{'|'.join(PARTICLES)}) )*{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*{_WORD}){{0,2}}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_LETTER = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{N}"  # scripts that set words apart, so an address ends where its word does
+#: Numbers as North America, then as others write them; a number that goes on with more groups is none.
+_NATIONAL = (
+    r"\([2-9]\d{2}\) ?[2-9]\d{2}[ .]\d{4}", r"(?<!\d[ .])(?<!\.)[2-9]\d{2}(?:\.[2-9]\d{2}\.| [2-9]\d{2} )\d{4}(?![ .]?\d)",
+    r"(?<!\d[ ./-])(?<![./-])0[1-9]\d{1,3}(?: ?/ ?|[ -])(?:\d{6,8}|\d{3,4}[ -]\d{3,4})(?![ ./-]?\d)", r"(?<!\d[ .])(?<!\.)0[1-9](?:[ .]\d{2}){4}(?![ .]?\d)",
+)
+_PHONE = "|".join((
+    r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}", r"(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}",
+    r"\+[17](?:[ .-]?\d){10}", r"\+[2-9]\d{1,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){7,12}", *_NATIONAL,
+))
 _TITLED = rf"(?:(?:{_ALL_TITLES})\.? ){{1,3}}"
 #: The kinds in order of precedence, each with its pattern.
 PATTERNS = {
     "name": rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?<![\p{{L}}\p{{N}}]){_TITLED}{_NAME}(?![\p{{L}}\p{{N}}])",
     "secret": r"(?i:password|passwd|secret|api_?key|token)(?: ?[=:] ?)\"?[^\s\"]{6,}\"?",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "login": r"://[^\s/:@]{1,64}+:[^\s/@]{1,256}+@",
+    "email": rf"(?<!{_LETTER}._%+-]){_LETTER}._%+-]{{1,64}}+@{_LETTER}-]++(?:\.{_LETTER}-]++)+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "token": rf"(?=[a-zAB]){TOKENS}(?=[A-Za-z._~+/-]{{0,256}}\d)[A-Za-z0-9._~+/-]{{15,}}[A-Za-z0-9_-]",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}|(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4})(?!\d)",
+    "ip": rf"(?=\d)(?<![\d.])(?<!(?<![A-Za-z])(?i:version|release|build|ver|v)[ .:=]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "ipv6": rf"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?i:[23][0-9a-f]{{3}}|f[cd][0-9a-f]{{2}}|fe[89ab][0-9a-f])(?::{_GROUP}){{0,6}}+::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\w:])",
+    "phone": rf"(?=[+(\d])(?<![\w+])(?:{_PHONE})(?!\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?=\d)(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4})(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 #: What may also begin inside a word (accessToken, SSN123-45-6789). The others can't, so there they aren't tried.
-INSIDE = ("secret", "ip", "ssn", "card")
-ENTITY = rf"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})|(?=[AaPpSsTt\d])(?<=[A-Za-z0-9])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in INSIDE)})"
+INSIDE = ("secret", "ip", "ssn", "card", "login")
+ENTITY = rf"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})|(?=[AaPpSsTt\d:])(?<=[A-Za-z0-9])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in INSIDE)})"
 #: A text without any of these holds no entity; looking for them costs much less.
 HINT = "[0-9@=:]|AKIA"
 TITLE_HINT = rf"(?=[{''.join(dict.fromkeys(t[0] for ts in TITLES.values() for t in ts))}])(?:{_ALL_TITLES})\.? "
@@ -106,19 +128,21 @@ def kind(raw: Column) -> Column:
 _PREFIX = r"\A(?i:password|passwd|secret|api_?key|token) ?[=:] ?\"?"
 
 
-#: A telephone number's country code: one digit for two zones, two for the others.
-_COUNTRY = r"\A\+(?:1|7|[2-9]\d)"
+#: A telephone number's country code, with a zero in brackets, or its trunk zero.
+_COUNTRY = rf"\A(?:\+{CALLING_CODES}(?:[ .-]?\(0\))?|0(?=[1-9]))"
 
 
 def plain_form(k: Column, raw: Column) -> Column:
     """What names an entity of a kind, whatever way it is written."""
     digits = lambda c: F.regexp_replace(c, r"[^\d]", "")
     return (
-        F.when(k == "email", F.lower(raw))
+        F.when(k.isin("email", "ipv6"), F.lower(raw))
         .when(k == "phone", digits(F.regexp_replace(raw, _COUNTRY, "")))
         .when(k.isin("ssn", "card"), digits(raw))
         .when(k == "iban", F.replace(raw, F.lit(" "), F.lit("")))
         .when(k == "secret", F.regexp_replace(F.regexp_replace(raw, _PREFIX, ""), r"\"\z", ""))
+        .when(k == "token", F.regexp_replace(raw, rf"\A{TOKENS}", ""))
+        .when(k == "login", F.regexp_replace(raw, r"\A://|@\z", ""))
         .when(k == "name", F.regexp_replace(raw, rf"\A{_TITLED}", ""))
         .otherwise(raw)
     )
@@ -186,6 +210,14 @@ def _given(seed: Column, plain: Column, gender: Column, attempt: Column) -> Colu
     return _by_script(plain, one)
 
 
+def _address(seed: Column, plain: Column, attempt: Column) -> Column:
+    """An IPv6 address of the same first group; at the first attempt it is shortened where the other one is."""
+    drawn = lambda i: F.substr(seed, i * 4 + 1, F.lit(4))
+    same = F.transform(F.split(plain, ":"), lambda g, i: F.when((i == 0) | (g == ""), g).otherwise(drawn(i)))
+    whole = F.concat(F.slice(F.split(plain, ":"), 1, 1), F.transform(F.sequence(F.lit(1), F.lit(7)), drawn))
+    return F.array_join(F.when(attempt == 0, same).otherwise(whole), ":")
+
+
 def surrogate(k: Column, plain: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The plain form of the surrogate drawn at an attempt."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), k, plain, attempt.cast("string")), 256)
@@ -203,13 +235,15 @@ def surrogate(k: Column, plain: Column, gender: Column, attempt: Column, key: st
     return (
         F.when(k == "email", F.concat(F.substr(body, F.lit(1), dot - 1), longer, F.substr(plain, dot)))
         .when(k == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), digits))
+        .when(k == "ipv6", _address(seed, plain, attempt))
         .when(k == "card", card)
         .when(k == "iban", account(F.lpad((98 - mod97(account(F.lit("00")))).cast("string"), 2, "0")))
         .when(k == "access_key", F.concat(F.lit("AKIA"), F.substring(body, 5, 100), F.upper(longer)))
         .when(k == "family", _family(seed, plain, attempt))
         .when(k == "given", _given(seed, plain, gender, attempt))
         .when(k == "phone", F.concat(F.when(plain.rlike(r"\A[2-9]"), F.chr(F.lit(50) + _pick(seed, 0, 8))).otherwise(F.left(plain, F.lit(1))), F.substring(body, 2, 100), digits))
-        .when(k.isin("hex", "secret"), F.concat(secret, longer))
+        .when(k.isin("hex", "secret", "token"), F.concat(secret, longer))
+        .when(k == "login", F.concat(body, longer))
         .otherwise(F.concat(body, digits))
     )
 
@@ -227,7 +261,7 @@ def written(k: Column, raw: Column, plain: Column, new: Column) -> Column:
     fill = F.concat(code, filled["out"], F.substr(new, filled["k"] + 1))  # a longer draw goes on at the end
     cased = F.when(raw == F.upper(raw), F.upper(new)).otherwise(new)
     inside = F.concat(F.substr(raw, F.lit(1), F.instr(raw, plain) - 1), new, F.substr(raw, F.instr(raw, plain) + F.length(plain)))
-    return F.when(k.isin("phone", "ssn", "card", "iban"), fill).when(k == "email", cased).when(k == "secret", inside).otherwise(new)
+    return F.when(k.isin("phone", "ssn", "card", "iban"), fill).when(k.isin("email", "ipv6"), cased).when(k.isin("secret", "token", "login"), inside).otherwise(new)
 
 
 def gender_of(raw: Column) -> Column:
@@ -275,8 +309,10 @@ def surrogates(entities: DataFrame, key: str, tables: Tables) -> DataFrame:
     out: DataFrame | None = None
     for attempt in count():
         drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("plain"), F.col("gender"), F.lit(attempt), key))
-        first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("plain")) == 1
-        free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "new"], "left").withColumn("ok", F.col("used").isNull() & first)
+        drawn = tables.store(drawn, "draws")
+        # given names have few draws at first, so no draw's rows are brought together: its first is a partial minimum
+        first = drawn.groupBy("kind", "new").agg(F.min("plain").alias("plain")).join(taken, ["kind", "new"], "left_anti").withColumn("first", F.lit(True))
+        free = drawn.join(first, ["kind", "plain", "new"], "left").withColumn("ok", F.coalesce("first", F.lit(False)))
         tried = tables.store(free.select("kind", "plain", "gender", "attempt", "new", "ok"), "surrogates")
         given = tried.where("ok").select("kind", "plain", "new")
         out = given if out is None else out.union(given)
@@ -318,10 +354,14 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = F.array_distinct(F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)))
     raws = some.select(F.col(id_).alias("id"), F.explode(found).alias("raw")).withColumn("kind", kind(F.col("raw")))
     raws = raws.withColumn("plain", plain_form(F.col("kind"), F.col("raw"))).where(_valid(F.col("kind"), F.col("plain"))).distinct()
-    # a name with a given one is looked for without its title too
-    bare = F.when((F.col("kind") == "name") & F.contains("plain", F.lit(" ")), F.array("raw", "plain")).otherwise(F.array("raw"))
+    # a name is looked for without its title too, and its family name alone
+    form = lambda raw, plain: F.struct(raw.alias("raw"), plain.alias("plain"))
+    family = F.regexp_extract("plain", r"[^ ]+\z", 0)
+    forms = F.array(form(F.col("raw"), F.col("plain")), form(F.col("plain"), F.col("plain")), form(family, family))
+    forms = F.filter(forms, lambda x: (x["raw"] == F.col("raw")) | F.contains(x["raw"], F.lit(" ")) | (F.length(x["raw"]) > 2))
+    alone = F.array(form(F.col("raw"), F.col("plain")))
     raws = raws.withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("raw"))).otherwise("n"))
-    raws = raws.select("id", "kind", "plain", "gender", F.explode(bare).alias("raw"))
+    raws = raws.select("id", "kind", "gender", F.inline(F.when(F.col("kind") == "name", forms).otherwise(alone)))
     raws = raws.withColumn("parts", _parts(F.col("kind"), F.col("raw"), F.col("plain")))
     raws = tables.store(raws.select("id", "raw", F.col("kind").alias("whole"), "gender", F.posexplode("parts").alias("place", "part")).select("id", "raw", "whole", "gender", "place", "part.*").distinct(), "entities")
     shown = F.when(F.col("gender") != "n", F.col("gender"))
@@ -337,7 +377,9 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     maps = tables.store(maps.withColumnRenamed("id", id_), "maps")
     tables.drop_others(maps)
     matched = some.join(maps, id_, "left")
-    names = F.array_join(F.reverse(F.array_sort(names_)), "|")  # of two names the longer one first; letters, spaces, hyphens and apostrophes only
+    # of two names the longer one first; letters, spaces, hyphens and apostrophes only
+    single = lambda n: F.concat(F.lit(rf"(?<!-)(?<!(?<!\p{{L}})(?i:{'|'.join(ARTICLES)}) )"), n, F.lit(r"(?!-)"))
+    names = F.array_join(F.transform(F.reverse(F.array_sort(names_)), lambda n: F.when(F.contains(n, F.lit(" ")), n).otherwise(single(n))), "|")
     pattern = F.when(F.size(names_) > 0, F.concat(F.lit(rf"{ENTITY}|(?=\p{{Lu}}|\p{{Ll}}+ )(?<![\p{{L}}\p{{N}}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ENTITY))
 
     def rebuilt(rows: DataFrame, what: Column) -> DataFrame:

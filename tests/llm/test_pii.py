@@ -138,8 +138,8 @@ def test_a_person_keeps_one_surrogate(spark):
     assert b and not {"Donald", "Brien", "Jean", "Paul", "Sartre"} & set(b.groups()) and n[2] == 3
     c = re.fullmatch(r"Herr Dr\. (\w+) van (\w+), Herr van (\w+), (\w+) van (\w+)", got[3])
     assert c and c[1] == c[4] != "Ludwig" and c[2] == c[3] == c[5] != "Beethoven" and n[3] == 3
-    d = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+); (\w+) (\w+) (\w+); Berg", got[4])
-    assert d and d.groups()[:3] == d.groups()[3:] and d[1] == a[1] and d[3] == a[2] and n[4] == 2
+    d = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+); (\w+) (\w+) (\w+); (\w+)", got[4])
+    assert d and d.groups()[:3] == d.groups()[3:6] and d[1] == a[1] and d[3] == d[7] == a[2] and n[4] == 3
     e = re.fullmatch(r"Frau (\w+) (\w+) und Herr (\w+) (\w+)-(\w+)", got[5])
     assert e and e[1] != a[1] and e[2] == e[5] == a[2] and len({e[1], e[3], a[1]}) == 3
 
@@ -151,6 +151,53 @@ def test_a_telephone_number_keeps_its_country(spark):
     assert re.fullmatch(r"\+49 \d\d \d{3} \d{4}", got[3]) and re.fullmatch(r"\+44 \(\d\d\) \d{3} \d{4}", got[4])
 
 
+def test_a_family_name_alone(spark):
+    texts = ["Frau Anna Berg kam. Berg schwieg; auf dem Berg, Berg-Tal, Bergs, Neu-Berg.", "Berg allein.", "Mr. Li and Li.", "Mr. Jean-Paul Sartre wrote; Sartre read, THE Sartre."]
+    got, n = run(spark, texts)
+    a = re.fullmatch(r"Frau (\w+) (\w+) kam\. (\w+) schwieg; auf dem Berg, Berg-Tal, Bergs, Neu-Berg\.", got[0])
+    assert a and a[2] == a[3] != "Berg" and n[0] == 2
+    assert got[1] == texts[1] and n[1] == 0
+    assert re.fullmatch(r"Mr\. (?!Li)\w+ and Li\.", got[2]) and n[2] == 1
+    b = re.fullmatch(r"Mr\. (\w+)-(\w+) (\w+) wrote; (\w+) read, THE Sartre\.", got[3])
+    assert b and b[3] == b[4] != "Sartre" and n[3] == 2
+
+
+def test_telephone_numbers_of_more_forms(spark):
+    forms = {
+        "569.555.9473": r"\d{3}\.\d{3}\.\d{4}", "569 555 9473": r"\d{3} \d{3} \d{4}", "(569) 555 9473": r"\(\d{3}\) \d{3} \d{4}", "+15695559473": r"\+1\d{10}",
+        "+44 20 7946 0958": r"\+44 \d\d \d{4} \d{4}", "+44 (0)20 7946 0958": r"\+44 \(0\)\d\d \d{4} \d{4}", "020 7946 0958": r"0\d\d \d{4} \d{4}",
+        "+49 30 12345678": r"\+49 \d\d \d{8}", "030/12345678": r"0\d\d/\d{8}", "+33 1 42 68 53 00": r"\+33 \d \d\d \d\d \d\d \d\d", "01 42 68 53 00": r"0\d \d\d \d\d \d\d \d\d",
+        "+353 1 555 0123": r"\+353 \d \d{3} \d{4}",
+    }
+    got, n = run(spark, [f"call {x}, please" for x in forms])
+    for (old, form), new, k in zip(forms.items(), got, n):
+        assert re.fullmatch(f"call {form}, please", new) and old not in new and k == 1, new
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[0] == digits[1] == digits[2] == digits[3][1:]
+    assert digits[4][2:] == digits[5][3:] == digits[6][1:] and digits[7][2:] == digits[8][1:] and digits[9][2:] == digits[10][1:]
+    clean = ["123 456 7890", "1 569 555 9473 22", "00 01 02 03 04 05 06 07", "rows 100 200 3000", "12 +20 30 40", "2020.555.9473.1", "in 2019 2020 2021", "0.569.555.9473"]
+    assert run(spark, clean) == (clean, [0] * len(clean))
+
+
+def test_tokens_logins_and_addresses(spark):
+    forms = {
+        "use sk-proj-a1B2c3D4e5F6g7H8i9J0 now": r"use sk-proj-([a-z]\d[A-Z]\d){5} now", "ghp_0123456789abcdefABCDEF0123456789abcd": r"ghp_\d{10}[a-z]{6}[A-Z]{6}\d{10}[a-z]{4}",
+        "Authorization: Bearer abcdefgh12345678.": r"Authorization: Bearer [a-z]{8}\d{8}\.",
+        "ftp://user:hunter2@host/x": r"ftp://[a-z]{4}:[a-z]{6}\d@host/x", "müller@bücher.de": r"[a-zà-ö]{6}@[a-zà-ö]{6}\.de", "иван@пример.рф": r"[а-я]{4}@[а-я]{6}\.рф",
+        "from 2001:db8::8a2e:370:7334 to": r"from 2001(:[0-9a-f]{4})::[0-9a-f]{4}(:[0-9a-f]{4}){2} to", "fe80::1": r"fe80::[0-9a-f]{4}", "2001:DB8:0:0:0:0:0:1": r"2001(:[0-9A-F]{4}){7}",
+    }
+    got, n = run(spark, list(forms))
+    for (old, form), new, k in zip(forms.items(), got, n):
+        assert re.fullmatch(form, new) and new != old and k == 1, new
+    clean = [
+        "version 1.2.3.4", "v1.2.3.4", "Version: 10.0.0.1", "std::cafe::bad", "x[1::2]", "at 12:30:45", "00:1b:44:11:3a:b7", "sk-well-known-long-hyphenated-words", "http://host:80/a@b", "the bearer of this letter",
+        "ghp_short1",
+    ]
+    assert run(spark, clean) == (clean, [0] * len(clean))
+    many, k = run(spark, [f"fe80::{i:x}" for i in range(3000)])
+    assert len(set(many)) == 3000 and set(k) == {1} and not set(many) & {f"fe80::{i:x}" for i in range(3000)}
+
+
 def test_names_that_clash_and_no_key(spark):
     schema = "_map string, _found string, _key string, _text string, _names int, __map int, text string"
     df = spark.createDataFrame([("a", "b", "c", "d", 1, 2, "Herr Adam Berg 1.2.3.4"), ("e", "f", "g", "h", 3, 4, None)], schema)
