@@ -8,10 +8,12 @@ out of numeric statistics.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,12 +83,48 @@ def per_column(df: DataFrame, columns: list[str], statistics) -> DataFrame:
 NUMERIC = ("count", "mean", "stddev", "min", "max", "skewness", "kurtosis", *_QUANTILE_NAMES)
 
 
-def _numeric(c: str, statistics: tuple[str, ...], exact: bool) -> dict[str, Column]:
+def _numeric(c: str, statistics: tuple[str, ...]) -> dict[str, Column]:
     x = _number(c)
     moments = {"count": F.count(x), "mean": F.avg(x), "stddev": F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x)}
     wanted = [q for q, n in zip(QUANTILES, _QUANTILE_NAMES) if n in statistics]
     out = {k: v if k == "count" else F.coalesce(v, F.lit(0.0)) for k, v in moments.items() if k in statistics}
-    return out | ({"_at": F.percentile(x, wanted) if exact else F.percentile_approx(x, wanted, 10_000)} if wanted else {})
+    return out | ({"_at": F.percentile_approx(x, wanted, 10_000)} if wanted else {})
+
+
+#: Share of the values on each side of an exact quantile that are told apart, ten times the error of the sketch.
+_ASIDE = 0.001
+
+
+def _exact_quantiles(df: DataFrame, columns: list[str], wanted: list[float]) -> DataFrame:
+    """column_name and _at, the quantiles interpolated over all values (null without any).
+
+    A sketch gives bounds around each quantile; how many values lie below and within them is counted, and only the values
+    within are told apart and ranked, a few of a thousand. Bounds that miss the ranks give way to all values."""
+    around = [min(max(q + aside, 0.0), 1.0) for aside in (-_ASIDE, _ASIDE) for q in wanted]
+    bounds = lambda c: {"n": F.count(_number(c)), "at": F.percentile_approx(_number(c), around, 10_000)}
+    found = {r["column_name"]: r for r in per_column(df, columns, bounds).collect() if r["n"]}  # a row for each column
+    spark, places = df.sparkSession, []
+    names = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    if not found:
+        return names.withColumn("_at", F.lit(None).cast("array<double>"))
+    ends = lambda c: list(zip(found[c]["at"], found[c]["at"][len(wanted) :]))
+    counts = lambda c: {k: v for i, (low, high) in enumerate(ends(c)) for k, v in ((f"b{i}", F.count_if(_number(c) < low)), (f"w{i}", F.count_if(_number(c) <= high)))}
+    for r in [per_column(df, [c], counts).first() for c in found]:
+        c = r["column_name"]
+        for i, (low, high) in enumerate(ends(c)):
+            at, before = (found[c]["n"] - 1) * wanted[i], r[f"b{i}"]
+            if before > math.floor(at) or r[f"w{i}"] <= math.ceil(at):
+                low, high, before = float("-inf"), float("inf"), 0
+            places.append((c, i, low, high, before, at))
+    inside = lambda c: functools.reduce(lambda a, b: a | b, (_number(c).between(low, high) for k, _, low, high, *_ in places if k == c))
+    values = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(inside(c), _number(c)).alias("x")) for c in found)))).where("x is not null")
+    tally = values.groupBy("column_name", "x").agg(F.count("*").alias("n"))
+    near = tally.join(F.broadcast(spark.createDataFrame(places, "column_name string, i int, low double, high double, before long, at double")), "column_name").where(F.col("x").between(F.col("low"), F.col("high")))
+    ranked = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "i").orderBy("x")))
+    first = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    pairs = ranked.groupBy("column_name", "i", "at").agg(first(F.floor("at")).alias("a"), first(F.ceil("at")).alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    return names.join(pairs.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("_at")), "column_name", "left")
 
 
 def _quantiles(at: Column, statistics: tuple[str, ...]) -> list[Column]:
@@ -99,9 +137,15 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, exact_quant
     numeric columns; what isn't asked for isn't computed.
 
     Population moments; 0 for shape statistics of a constant, and for all of them without values. Quantiles come
-    from a bounded sketch (percentile_approx); ``exact_quantiles`` interpolates over all values instead, which
-    keeps each distinct value in memory."""
-    wide = per_column(df, numeric_columns(df, columns), lambda c: _numeric(c, statistics, exact_quantiles))
+    from a bounded sketch (percentile_approx); ``exact_quantiles`` interpolates over all values instead, in more
+    scans, which are made at once."""
+    numeric, wanted = numeric_columns(df, columns), [q for q, n in zip(QUANTILES, _QUANTILE_NAMES) if n in statistics]
+    if exact_quantiles and wanted and numeric:
+        others = tuple(n for n in statistics if n not in _QUANTILE_NAMES)
+        wide = _exact_quantiles(df, numeric, wanted)
+        wide = per_column(df, numeric, lambda c: _numeric(c, others)).join(wide, "column_name") if others else wide
+    else:
+        wide = per_column(df, numeric, lambda c: _numeric(c, statistics))
     kept = [c for c in wide.columns if c != "_at"]
     return wide.select(*kept, *(_quantiles(F.col("_at"), statistics) if "_at" in wide.columns else []))
 
