@@ -501,16 +501,18 @@ def _links_of_large(
     nearest = tables.store(links_of(tasks.join(sets.select("set_id", "elements"), "set_id")), "links")
     found = components(nearest, tables)
 
-    # routes that still hold different components, one of those with equal members
+    # routes that still hold different components, one of those with equal members. A route's head is one of its sets,
+    # so labels are compared once for each set and head, not on each route they meet on
     labels = found.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    # a cluster that fits is done: it counts as one component
-    label = F.coalesce("label", F.when(F.col("fits"), F.col("cluster")), "set_id")
-    known = sizes.join(clusters, "set_id").join(labels, "set_id", "left").select("set_id", "n", label.alias("label"))
-    open_ = met.select("route", "set_id").join(known, "set_id", "left")
-    mixed = open_.groupBy("route").agg(F.min("label").alias("least"), F.max("label").alias("most"), *_members()).where("least != most")
-    mixed = mixed.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
-    rest = tables.store(open_.join(mixed, "route").select("route", "set_id", "label", "n"), "open")
-    tables.drop(first, found)
+    large = sizes.join(clusters.where("not fits").select("set_id"), "set_id")
+    known = tables.store(large.join(labels, "set_id", "left").select("set_id", "n", F.coalesce("label", "set_id").alias("label")), "labels")
+    of_head = known.select(F.col("set_id").alias("head"), F.col("label").alias("of_head"))
+    apart = star.join(known, "set_id").join(of_head, "head").where("label != of_head").select("set_id", "head")
+    mixed = met.join(apart, ["set_id", "head"], "left_semi").select("route").distinct()
+    members = met.join(mixed, "route").groupBy("route").agg(*_members())
+    mixed = members.groupBy("members", "digest", "digest2").agg(F.min("route").alias("route")).select("route")
+    rest = tables.store(met.join(mixed, "route").join(known, "set_id", "left").select("route", "set_id", "label", "n"), "open")
+    tables.drop(first, found, known)
     short = _tasks(rest, 1, block_bytes).join(sets.select("set_id", "bits"), "set_id")
     alive = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in _ALIVE.items())
     sifted = tables.store(_run(short, "bits", _sift(num, den), alive), "sifted")

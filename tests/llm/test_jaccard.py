@@ -120,6 +120,34 @@ def test_dealt_routes_join_all_the_same(spark):
     assert got == expected(rows, 4, 70, 100)
 
 
+def rows_made(spark, join):
+    """How many rows the joins of a type have made in all plans that ran so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList()
+    for at in range(plans.size()):
+        number = plans.apply(at).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and join in node.desc():
+                metrics = node.metrics()
+                made = [m for m in map(metrics.apply, range(metrics.size())) if m.name() == "number of output rows"]
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in made if values.contains(m.accumulatorId()))
+    return total
+
+
+def test_labels_are_not_joined_on_each_route(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 80):  # copies with a change each: all link with the first, and meet on many routes
+        rows.append((i, " ".join([*words[: 4 * i], f"x{i}", *words[4 * i + 1 :]])))
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
+    before = rows_made(spark, "LeftOuter")
+    got = sorted((tuple(x) for x in near_duplicates(df, cluster_sets=0).collect()), key=str)
+    assert 0 < rows_made(spark, "LeftOuter") - before <= 4 * len(rows)
+    assert got == expected(rows, 5, 80, 100)
+
+
 def test_ids_of_another_type(spark):
     df = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six"), (None, "none"), ("c", None)], "doc_id string, text string")
     assert sorted((tuple(x) for x in near_duplicates(df).collect()), key=str) == sorted([("b", 2, "a"), ("a", 2, "a"), (None, 1, None), ("c", 0, "c")], key=str)
