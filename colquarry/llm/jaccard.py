@@ -237,17 +237,18 @@ def _met(batches) -> Iterator[pa.RecordBatch]:
 
 
 class SignatureTree:
-    """Sets in order of size, in leaves of 8; nodes of 8. bits: a bitmap for each set (64-bit words)."""
+    """Sets in the order given, in leaves of 64; nodes of 8. bits: a bitmap for each set (64-bit words)."""
 
-    FAN = 8
+    LEAF, FAN = 64, 8
 
     def __init__(self, members: list[int], sizes: np.ndarray, bits: np.ndarray, spare: np.ndarray) -> None:
         self.members = np.array(members)
         size = sizes[self.members]
         self.levels = []
         low, high, signature, extra = size, size, bits[self.members], spare[self.members]
+        fan = self.LEAF
         while True:
-            at = np.arange(0, len(low), self.FAN)
+            at, fan = np.arange(0, len(low), fan), self.FAN
             low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             signature, extra = np.bitwise_or.reduceat(signature, at, axis=0), np.maximum.reduceat(extra, at)
             self.levels.append((low, high, signature, extra))
@@ -255,11 +256,10 @@ class SignatureTree:
                 break
 
     def children(self, level: int, node: int) -> range:
-        below = len(self.levels[level - 1][0]) if level else len(self.members)
-        return range(node * self.FAN, min(below, (node + 1) * self.FAN))
+        return range(node * self.FAN, min(len(self.levels[level - 1][0]), (node + 1) * self.FAN))
 
     def under(self, level: int, node: int) -> slice:
-        width = self.FAN ** (level + 1)
+        width = self.LEAF * self.FAN**level
         return slice(node * width, (node + 1) * width)
 
 
@@ -281,13 +281,17 @@ def width_for(n: int, each: int, most: int) -> int:
     return 1 << min(most, max(6, int(each * n - 1).bit_length()))
 
 
+_AT_ONCE = 1 << 16  # words of bitmaps
+
+
 def walk_pairs(sizes: np.ndarray, bits: np.ndarray, group: np.ndarray, sides: list[int], spaces: Spaces, visit) -> None:
-    """Calls visit(i, j) for the pairs of sets of different groups that their bitmaps don't rule out.
+    """Calls visit(i, at) for the pairs of a set i and sets ``at`` of other groups that their bitmaps don't rule out.
 
     bits: a row of 64-bit words for each set. sides: 0 or 1; with both, only pairs between the two are met, else
-    all. ``visit`` may change ``group``: what it joins isn't met any more."""
+    all. Leaves are compared as a whole, some ``_AT_ONCE`` words at a time, not set by set. ``visit`` may change
+    ``group``: what it joins isn't met any more."""
     spare = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    order = np.argsort(sizes, kind="stable").tolist()
+    order = np.lexsort((group, sizes)).tolist()
     if len(set(sides)) > 1:
         left, right = (SignatureTree([k for k in order if sides[k] == side], sizes, bits, spare) for side in (0, 1))
     else:
@@ -295,17 +299,23 @@ def walk_pairs(sizes: np.ndarray, bits: np.ndarray, group: np.ndarray, sides: li
     num, den = spaces.num, spaces.den
 
     def leaves(a: int, b: int) -> None:
-        right_at = right.members[right.under(0, b)]
-        for i in left.members[left.under(0, a)].tolist():
-            at = right_at[group[right_at] != group[i]]
+        left_at, right_at = left.members[left.under(0, a)], right.members[right.under(0, b)]
+        step = max(1, _AT_ONCE // (len(right_at) * bits.shape[1]))
+        for first in range(0, len(left_at), step):
+            some = left_at[first : first + step]
+            apart = group[some][:, None] != group[right_at]
             if left is right and a == b:
-                at = at[sizes[at] >= sizes[i]]
-            if len(at):
-                most = np.bitwise_count(bits[at] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(spare[at], spare[i])
-                least = -(-num * (sizes[at] + sizes[i]) // (num + den))
-                for j in at[np.minimum(most, np.minimum(sizes[at], sizes[i])) >= least].tolist():
-                    if group[i] != group[j]:
-                        visit(i, j)
+                apart &= np.arange(first, first + len(some))[:, None] < np.arange(len(right_at))
+            if not apart.any():
+                continue
+            most = np.bitwise_count(bits[some][:, None] & bits[right_at]).sum(axis=-1, dtype=np.int64)
+            most += np.minimum(spare[some][:, None], spare[right_at])
+            x, y = sizes[some][:, None], sizes[right_at]
+            apart &= np.minimum(most, np.minimum(x, y)) >= -(-num * (x + y) // (num + den))
+            for k in np.flatnonzero(apart.any(axis=1)).tolist():
+                at = right_at[apart[k]]
+                if len(at := at[group[at] != group[some[k]]]):
+                    visit(some[k], at)
 
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
@@ -344,10 +354,11 @@ def tree_links(sets: list[np.ndarray], labels: list[int], sides: list[int], spac
     bits = np.stack([bitmap(s, width).view(np.uint64) for s in sets])
     group, found = _numbered(labels), []
 
-    def compare(i: int, j: int) -> None:
-        if spaces.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
-            found.append((i, j))
-            group[group == group[j]] = group[i]
+    def compare(i: int, at: np.ndarray) -> None:
+        for j in at.tolist():
+            if group[i] != group[j] and spaces.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
+                found.append((i, j))
+                group[group == group[j]] = group[i]
 
     walk_pairs(sizes, bits, group, sides, spaces, compare)
     return found
@@ -359,8 +370,8 @@ def tree_sift(sizes: list[int], bitmaps: list[np.ndarray], labels: list[int], si
     bits = np.stack([(b if len(b) * 8 == width else folded(b, width)).view(np.uint64) for b in bitmaps])
     alive = np.zeros(len(sizes), bool)
 
-    def visit(i: int, j: int) -> None:
-        alive[i] = alive[j] = True
+    def visit(i: int, at: np.ndarray) -> None:
+        alive[i] = alive[at] = True
 
     walk_pairs(np.array(sizes), bits, _numbered(labels), sides, spaces, visit)
     return alive

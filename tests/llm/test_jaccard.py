@@ -185,6 +185,26 @@ def test_tree_joins_what_links(seed, n, two_sides):
     assert all(alive[i] and alive[j] for i, j in linked if labels[i] != labels[j])
 
 
+def test_sets_that_are_alike_are_compared_by_leaves(monkeypatch):
+    r = np.random.default_rng(5)
+    base, n, calls = r.integers(0, 2**64 - 1, 147, dtype=U64), 600, []
+    fresh = lambda k: r.integers(0, 2**64 - 1, k, dtype=U64)
+    sets = [np.unique(np.concatenate([r.permutation(base)[:132], fresh(r.integers(10, 16))])) for _ in range(n)]
+    for i in range(0, n, 50):  # a few that do link
+        sets[i] = np.unique(np.concatenate([sets[(i + 333) % n][4:], fresh(3)]))
+    spaces = Spaces(85, 100)
+    linked = {(i, j) for i in range(n) for j in range(i) if spaces.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
+    counted = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: calls.append(1) or counted(x))
+    found = tree_links(sets, list(range(n)), [0] * n, spaces)
+    assert len(calls) < n  # a call for each set and leaf of 8 made 25,709
+    calls.clear()
+    alive = tree_sift([len(s) for s in sets], [bitmap(s, width_for(len(s), 4, 16)) for s in sets], list(range(n)), [0] * n, spaces)
+    assert len(calls) < n
+    assert len(linked) == 12 and {(max(p), min(p)) for p in found} == linked
+    assert all(alive[i] and alive[j] for i, j in linked)
+
+
 def test_star_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40, 75)] + [(r.randrange(30), r.randrange(30)) for _ in range(14)] + [(99, 99)]
