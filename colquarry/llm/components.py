@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, arrow_batches
 
 _EDGE = {"a": pa.int64(), "b": pa.int64()}
+_NODE = {"node": pa.int64(), "component": pa.int64()}
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +48,27 @@ def _contracted(most: int = 1 << 20):
     return run
 
 
+def _labelled(batches) -> Iterator[pa.RecordBatch]:
+    """Every node of a task's edges with the smallest one reached."""
+    held = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if held:
+        nodes, least = stars(*map(np.concatenate, zip(*held)))
+        roots = np.unique(least)
+        yield arrow_batches(_NODE, {"node": np.concatenate([nodes, roots]), "component": np.concatenate([least, roots])})
+
+
 def components(edges: DataFrame, tables: Tables | None = None, most: int = 1 << 20) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of long): the smallest node reached; a stored
     table, of ``tables`` if they are given. A node with no edge but loops is left out.
 
-    Tasks first contract the edges they read, ``most`` at a time, into stars. Then each round hangs neighbours onto
-    the smallest node they see; rounds are logarithmic in the longest path that is left, each is a stored table, and
-    no node's neighbours are ever gathered in one place: the smallest neighbour is an aggregate, joined back. An
-    empty table gives an empty result; loops are allowed, null ends are not."""
-    rounds = Tables(edges.sparkSession)
+    Up to ``most`` edges are told by one task. Of more, tasks first contract the edges they read, ``most`` at a time,
+    into stars. Then each round hangs neighbours onto the smallest node they see; rounds are logarithmic in the longest
+    path that is left, each is a stored table, and no node's neighbours are ever gathered in one place: the smallest
+    neighbour is an aggregate, joined back. An empty table gives an empty result; loops are allowed, null ends are not."""
+    rounds, tables = Tables(edges.sparkSession), tables or Tables(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+    if (number := edges.count()) <= most:
+        return tables.store(edges.coalesce(1).mapInArrow(_labelled, "node long, component long"), "components")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def contract(df: DataFrame, n: int) -> DataFrame:
@@ -64,7 +76,7 @@ def components(edges: DataFrame, tables: Tables | None = None, most: int = 1 <<
         few = df.select("a", "b").coalesce(max(1, -(-n // most)))
         return rounds.store(few.mapInArrow(_contracted(most), "a long, b long"), "edges")
 
-    now = contract(edges, edges.count())
+    now = contract(edges, number)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -77,6 +89,6 @@ def components(edges: DataFrame, tables: Tables | None = None, most: int = 1 <<
         now = contract(small, after[0])
         rounds.drop_others(now)
     pairs = small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(small.select(F.col("b").alias("node"), F.col("b").alias("component")))
-    found = (tables or Tables(edges.sparkSession)).store(pairs.distinct(), "components")
+    found = tables.store(pairs.distinct(), "components")
     rounds.drop_others()
     return found

@@ -224,6 +224,18 @@ def test_star_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_edges_take_two_steps(spark):
+    df = spark.createDataFrame([(1, 2), (3, 2), (7, 9), (5, 5)], "a long, b long").repartition(3)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = max((store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())), default=-1)
+    found = components(df)
+    bus.waitUntilEmpty(30_000)
+    after = max(store.executionsList().apply(k).executionId() for k in range(store.executionsList().size()))
+    assert after - before == 2  # they are counted and told; a round of stars made it seven
+    assert {x.node: x.component for x in found.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+
+
 def test_the_query_and_its_sql(spark):
     d = "/root/testdata/sf0.01"
     assert table_rows(queries.op4_jaccard_join(spark, d)) == duck(queries.ORACLE_SQL["op4_jaccard_join"], d)
